@@ -18,7 +18,7 @@ from spanframe.llm.common import let, words
 MEASURES = (
     ("word_length", "word_chars * 1000 div greatest(n_words, 1)", 4, 750, 0, True),
     ("symbols", "n_symbols * 1000000 div greatest(word_chars, 1)", 6, 2000, 60000, False),
-    ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 6, 20, 300, False),
+    ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 6, 20, 500, False),
     ("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", 6, 20, 250, False),
 )
 
