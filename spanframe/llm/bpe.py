@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that splits text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded words and trie nodes a worker keeps; beyond, it starts anew.
-MOST_WORDS, MOST_NODES = 400_000, 1_500_000
+MOST_WORDS, MOST_NODES, MOST_PAIRS = 300_000, 800_000, 400_000
 FAR = 1 << 60
 
 
@@ -63,8 +63,8 @@ class TrieBpe:
 
     def reset(self) -> None:
         self.known: dict[str, bytes] = {}
-        # The trie: children by byte, last token and depth of each node. Node 0 is the empty prefix.
-        self.below: list[dict[int, int]] = [{}]
+        # The trie: children by 256 * node + byte, and the last token of each node. Node 0 is the empty prefix.
+        self.below: dict[int, int] = {}
         self.last: list[int] = [-1]
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -88,12 +88,14 @@ class TrieBpe:
                 x, x_gone = parts[x][1], x_made
             else:
                 y, y_gone = parts[y][0], y_made
+        if len(self.beside) > MOST_PAIRS:
+            self.beside.clear()
         self.beside[left, right] = ok
         return ok
 
     def learn(self, fresh: set[str]) -> None:
         """Inserts the words into the trie and walks its new nodes depth-first."""
-        if len(self.known) > MOST_WORDS or len(self.below) > MOST_NODES:
+        if len(self.known) > MOST_WORDS or len(self.last) > MOST_NODES:
             self.reset()
         below, last = self.below, self.last
         ids, longest = self.ids, self.longest
@@ -102,11 +104,9 @@ class TrieBpe:
             data = word.encode("utf-8", "replace")
             node, path = 0, [0]
             for depth, b in enumerate(data, 1):
-                nxt = below[node].get(b)
+                nxt = below.get(node << 8 | b)
                 if nxt is None:
-                    nxt = len(below)
-                    below[node][b] = nxt
-                    below.append({})
+                    nxt = below[node << 8 | b] = len(last)
                     state = -1
                     for start in range(max(0, depth - longest), depth):
                         token = ids.get(data[start:depth])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from spanframe.llm import ann, bpe, langid, mixing, pii, quality_rules, sharding
+from spanframe.llm import ann, bpe, langid, mixing, neardup, pii, quality_prior, quality_rules, sharding, substrings
 from spanframe.llm.common import table, written
 
 
@@ -49,10 +49,33 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(table(spark, sf_dir, "documents"))
+    return done.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and class_size of every document."""
+    docs = table(spark, sf_dir, "documents")
+    classed = neardup.classes(docs.select("doc_id", "text")).select("doc_id", "root")
+    sizes = classed.where("root IS NOT NULL").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    joined = classed.join(sizes, F.col("root") == F.col("r"), "left")
+    return joined.select("doc_id", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("class_size"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op9_bpe)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the sources of documents, paths their languages."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_prior.fit(docs, table(spark, sf_dir, "labels"))
+    evidence = written(quality_prior.classify(docs, model).select("doc_id", "source", "lang", "p_doc"), "evidence")
+    scored = quality_prior.combine(evidence, "source", "lang")
+    return scored.select("doc_id", "p_doc", "site_post", "path_post", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
