@@ -71,7 +71,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
         step = 0
         while len(e):
             step += 1
-            r = tokens.splitmix(seed + np.uint64(step) * tokens.K2)
+            r = tokens.splitmix(seed + np.uint64(step * int(tokens.K2) & (1 << 64) - 1))
             t = t - np.log(((r >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / w
             on = t < horizon[d]
             e, w, d, t, seed, r = e[on], w[on], d[on], t[on], seed[on], r[on]

@@ -22,8 +22,9 @@ def word_hashes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         _known.clear()
     known, digest = _known, xxhash.xxh3_64_intdigest
     for words in lists:
-        for w in set(words) - known.keys():
-            known[w] = digest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = digest(w)
     counts = np.array([len(w) for w in lists], np.int64)
     flat = np.empty(int(counts.sum()), np.uint64)
     at = 0
