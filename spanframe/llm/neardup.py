@@ -94,7 +94,7 @@ def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         at = 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (to == at or (size < 4_000_000 and to - at < 4096)):
+            while to < len(texts) and (to == at or (size < 1_500_000 and to - at < 1024)):
                 size += len(texts[to] or "")
                 to += 1
             sig = signatures(*shingles(texts[at:to]), to - at)
