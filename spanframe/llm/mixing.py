@@ -25,7 +25,7 @@ MOST_SENT = 100_000
 
 def fill_targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     """Shares the sum of all sizes by weight; no target over cap times its size, the excess reshared by weight."""
-    targets = [cap * s for s in sizes]
+    targets = [float(cap * s) for s in sizes]
     left, weight = float(sum(sizes)), float(sum(weights))
     for i in sorted(range(len(sizes)), key=lambda i: cap * sizes[i] / weights[i]):
         targets[i] = min(targets[i], left * weights[i] / weight) if left > 0 else 0.0

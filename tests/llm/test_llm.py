@@ -1,0 +1,219 @@
+"""Corpus operators against brute force, round trips, held-out accuracy and edge cases."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from spanframe.llm import ann, bpe, langid, mixing, neardup, pii, quality_prior, quality_rules, queries, sharding, substrings
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, shard string, size string, tid string"
+
+
+def odd_rows():
+    rng = random.Random(1)
+    long_ = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 999)) for _ in range(9000))
+    near = " ".join(f"w{i}" for i in range(120))
+    return [
+        (1, near, "en", "a", "x", "y", "z"), (1, near, "en", "a", "x", "y", "z"), (2, near, None, None, None, None, None), (3, near.replace("w60 ", "v60 "), "en", "a", "", "", ""),
+        (4, None, "en", "b", None, None, None), (None, "", "de", None, None, None, None), (5, "!!! 123", None, "b", None, None, None), (6, long_, "en", "c", None, None, None), (7, "two words", "de", "c", None, None, None),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+def test_shards_follow_the_key_law_and_slots_are_gapless(spark, odd):
+    for rows in (queries.op1_sharding(spark, DATA).collect(), sharding.shard(odd, 16).collect()):
+        by = defaultdict(list)
+        for r in rows:
+            assert r.grown_shard in (r.shard, 16)
+            by[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in by.values())
+        assert len({(r.doc_id, r.shard) for r in rows}) == len({r.doc_id for r in rows})
+    assert len(rows) == len(odd_rows())
+    assert sharding.shard(odd.limit(0), 4).count() == 0
+
+
+def test_language_is_found_on_held_out_rows(spark, docs, odd):
+    got = queries.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out").select("lang", "lang_pred", "score").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+    out = {r.doc_id: r for r in langid.predict(odd, langid.fit(docs)).collect()}
+    assert out[4].lang_pred == out[5].lang_pred == "und" and out[6].lang_pred != "und"
+    assert langid.predict(odd, langid.fit(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_nearest_neighbours_reach_the_recall(spark):
+    v = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = v.vec_id.to_numpy(), np.stack(v.embedding).astype(float)
+    hit = total = 0
+    got = queries.op3_nearest(spark, DATA).toPandas()
+    assert set(got.query_id) == {int(i) for i in ids if i % 100 == 0}
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        assert sorted(g["rank"]) == list(range(1, 11))
+        assert np.allclose(g.score, [d[ids == i][0] for i in g.vec_id], rtol=0, atol=1e-12)
+        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(g.vec_id))
+        total += 10
+    assert hit / total >= 0.9
+
+
+def test_odd_vectors_take_no_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 2.0, 3.0]), (7, [1.0, 0.1]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(ann.build(df), ann.usable(df.where("vec_id = 0"), "vec_id", "embedding"), 10).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 7]
+    assert ann.search(ann.build(df.limit(0)), ann.usable(df, "vec_id", "embedding")).count() == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(t):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else 0, "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_personal_data_base_spans(spark, texts):
+    for r in queries.op4_pii(spark, DATA).collect():
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_personal_data_on_odd_texts(spark, odd):
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["a@b.c", "_d@e.f", "1.2.3.4", ".5", "@", "+4 (55) 1234567", "4111 1111 1111 1111", "é", " ", "-", "x"]) for _ in range(12)) for _ in range(150)]
+    made += ["9" * 20000, "a" * 20000, "1." * 5000, "mail bob (at) site (dot) com or call 555-123-4567", ""]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    weights = pii.fit(df)
+    for r in pii.spans(df, weights).select("doc_id", pii.joined(F.filter("pii", lambda x: x["base"])).alias("b")).collect():
+        assert r.b == base_spans(made[r.doc_id]), made[r.doc_id]
+    clean = pii.redact(pii.spans(df, weights)).where("doc_id = 0").first().text
+    assert "a@b.c" not in clean
+    assert pii.spans(odd, pii.fit(odd)).count() == len(odd_rows())
+    assert pii.spans(odd.limit(0), pii.fit(odd.limit(0))).count() == 0
+
+
+def test_mix_comes_near_its_targets(spark, odd):
+    rows = queries.op5_mixing(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    taken, target, largest = Counter(), {}, Counter()
+    for r in rows:
+        assert r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in target)
+    assert abs(sum(target.values()) - sum(r["size"] for r in rows)) < 1
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op5_mixing(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id").collect()))
+    assert mixing.mix(odd).count() == len(odd_rows()) and mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_targets_are_capped_and_reshared():
+    got = mixing.fill_targets([10, 100, 100], [5, 2, 1], 3)
+    assert got == [30.0, 120.0, 60.0] and mixing.fill_targets([], [], 3) == []
+
+
+def test_quality_measures(spark, texts, odd):
+    for r in queries.op6_quality_rules(spark, DATA).collect():
+        t = texts[r.doc_id]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        at = defaultdict(list)
+        for i in range(len(w) - 7):
+            at[tuple(w[i : i + 8])].append(i)
+        covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
+    m = quality_rules.measure(odd)
+    assert quality_rules.apply_fences(m, quality_rules.thresholds(m)).count() == len(odd_rows())
+
+
+def cut(texts):
+    w = {i: (t or "").encode().split() for i, t in texts.items()}
+    n = Counter(tuple(x[k : k + 35]) for x in w.values() for k in range(len(x) - 34))
+    out = {}
+    for i, x in w.items():
+        gone = {j for k in range(len(x) - 34) if n[tuple(x[k : k + 35])] > 1 for j in range(k, k + 35)}
+        out[i] = len(x), len(gone), hashlib.sha256(b" ".join(y for j, y in enumerate(x) if j not in gone)).hexdigest()
+    return out
+
+
+def test_repeated_windows_go(spark, texts):
+    want = cut(texts)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op7_substrings(spark, DATA).collect()} == want
+    rng = random.Random(2)
+    part = [f"p{rng.randint(0, 9)}" for _ in range(40)]
+    made = {1: " ".join(part), 2: " ".join(["x", *part, "y"]), 3: "a " * 80, 4: " ".join(part[:34]), 5: "", 6: None, 7: " ".join(map(str, range(200)))}
+    got = substrings.dedup(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    assert {r.key: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got} == cut(made)
+
+
+def test_near_duplicates_match_brute_force(spark, texts, odd):
+    sh = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
+    got = {r.doc_id: r.class_id for r in queries.op8_near_duplicates(spark, DATA).collect()}
+    root = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b]):
+                ra, rb = root[a], root[b]
+                root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
+    assert got == root
+    classed = neardup.classes(odd)
+    assert len({r.root for r in classed.where("doc_id IN (1, 2, 3)").collect()}) == 1
+    kept = neardup.survivors(classed, "doc_id").collect()
+    assert Counter(r.doc_id for r in kept) == Counter([1, 4, None, 5, 6, 7])
+
+
+def test_encoding_equals_the_library(spark, texts, odd):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    for r in queries.op9_bpe(spark, DATA).collect():
+        ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    rng = random.Random(3)
+    made = ["".join(rng.choice(["a", "th", "ing", " ", "  ", "\n", "\t", "é", "日本", "😀", "1", "'s", "...", "<|endoftext|>", "aaaa", "\x00", "\x1c"]) for _ in range(30)) for _ in range(500)]
+    mine = bpe.loaded(open(path, encoding="utf-8").read()).encode(made)
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine] == [lib.encode(t, add_special_tokens=False).ids for t in made]
+    out = {r.doc_id: r.n_tokens for r in bpe.encode(odd, path).collect()}
+    assert out[4] == 0 and out[None] == 0
+
+
+def test_quality_classifier(spark, odd):
+    rows = queries.op10_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    assert np.mean([r.kept == bool(r.quality) for r in rows]) > 0.95
+    model = quality_prior.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality_prior.combine(quality_prior.classify(odd, model), "source", "lang").count() == len(odd_rows())
+    assert quality_prior.combine(quality_prior.classify(odd.limit(0), model), "source", "lang").count() == 0
