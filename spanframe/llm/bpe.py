@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by prefix-sharing trie traversal.
 
-The distinct words (pre-tokens) of a batch are inserted into a trie over their bytes, and a
-depth-first walk gives each node the last token of the encoding of its prefix. By the prefix
-property of BPE that token is the only one, ending there, that may follow the last token of
-the prefix before it; so each shared prefix is computed once for all words below it, and a
+The distinct words (pre-tokens) of a run of texts make a trie over their bytes, held as their
+sorted list, and a depth-first walk of it gives each node the last token of the encoding of
+its prefix. By the prefix property of BPE that token is the only one, ending there, that may
+follow the last token of the prefix before it; so each shared prefix is computed once for all words below it, and a
 word's encoding is read back along its last tokens. Two tokens may stand side by side if no
 merge across their border would have come before one of their own merges.
 
@@ -15,16 +15,18 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that splits text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded words and trie nodes a worker keeps; beyond, it starts anew.
-MOST_WORDS, MOST_NODES, MOST_PAIRS = 300_000, 800_000, 400_000
+#: Encoded words and token borders a worker keeps; beyond, it starts anew. Of the trie only the walk's path is held.
+MOST_WORDS, MOST_PAIRS = 300_000, 200_000
 FAR = 1 << 60
 
 
@@ -59,13 +61,11 @@ class TrieBpe:
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.beside: dict[tuple[int, int], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
         self.known: dict[str, bytes] = {}
-        # The trie: children by 256 * node + byte, and the last token of each node. Node 0 is the empty prefix.
-        self.below: dict[int, int] = {}
-        self.last: list[int] = [-1]
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        self.known = {s: np.array([i], "<u4").tobytes() for s, i in self.specials.items()}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether BPE leaves the border between the two tokens standing."""
@@ -94,35 +94,37 @@ class TrieBpe:
         return ok
 
     def learn(self, fresh: set[str]) -> None:
-        """Inserts the words into the trie and walks its new nodes depth-first."""
-        if len(self.known) > MOST_WORDS or len(self.last) > MOST_NODES:
-            self.reset()
-        below, last = self.below, self.last
-        ids, longest = self.ids, self.longest
-        # In sorted order a word's new nodes come straight after the walk of its shared prefix.
+        """Walks the trie of the words depth-first and keeps their encodings.
+
+        Sorted, the distinct words are their trie's nodes with the branches in depth-first order: a
+        word's shared prefix is the path that the walk stands on, cut back to where the two part.
+        So only one path is held, and each prefix shared by these words is computed once.
+        """
+        ids, token, longest, may_follow, known = self.ids, self.token, self.longest, self.may_follow, self.known
+        path, last = b"", [-1]  # last[d]: the last token of the path's first d bytes
         for word in sorted(fresh):
             data = word.encode("utf-8", "replace")
-            node, path = 0, [0]
-            for depth, b in enumerate(data, 1):
-                nxt = below.get(node << 8 | b)
-                if nxt is None:
-                    nxt = below[node << 8 | b] = len(last)
-                    state = -1
-                    for start in range(max(0, depth - longest), depth):
-                        token = ids.get(data[start:depth])
-                        if token is not None and (start == 0 or (last[path[start]] >= 0 and self.may_follow(last[path[start]], token))):
-                            state = token
-                            break
-                    last.append(state)
-                node = nxt
-                path.append(node)
-            out = []
-            at = len(data)
+            common = 0
+            for x, y in zip(path, data):
+                if x != y:
+                    break
+                common += 1
+            del last[common + 1 :]
+            for depth in range(common + 1, len(data) + 1):
+                state = -1
+                for start in range(max(0, depth - longest), depth):
+                    t = ids.get(data[start:depth])
+                    if t is not None and (start == 0 or (last[start] >= 0 and may_follow(last[start], t))):
+                        state = t
+                        break
+                last.append(state)
+            path = data
+            out, at = [], len(data)
             while at > 0:
-                t = last[path[at]]
-                out.append(t)
-                at -= len(self.token[t])
-            self.known[word] = np.array(out[::-1], "<u4").tobytes()
+                out.append(last[at])
+                at -= len(token[last[at]])
+            out.reverse()
+            known[word] = pack(f"<{len(out)}I", *out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -135,17 +137,13 @@ class TrieBpe:
                 parts.append(words)
             else:
                 parts.append(self.split(t))
-        for s, i in self.specials.items():
-            self.known[s] = np.array([i], "<u4").tobytes()
+        here = set().union(*parts)
+        fresh = {w for w in here if w not in self.known}
+        if len(self.known) + len(fresh) > MOST_WORDS:
+            self.start_anew()
+            fresh = here - self.specials.keys()
+        self.learn(fresh)
         known = self.known
-        fresh = {w for words in parts for w in set(words) if w not in known}
-        if fresh:
-            self.learn(fresh)
-            if known is not self.known:  # it started anew
-                known = self.known
-                self.learn({w for words in parts for w in words} - known.keys() - self.specials.keys())
-                for s, i in self.specials.items():
-                    known[s] = np.array([i], "<u4").tobytes()
         return [b"".join(map(known.__getitem__, words)) for words in parts]
 
     def decode(self, ids: bytes) -> str:
@@ -164,23 +162,43 @@ def loaded(spec: str) -> TrieBpe:
     return _loaded[name]
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", chunk: int = 256) -> DataFrame:
+def pieces(texts: pa.Array, rows: int = 1024, chars: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts in runs of at most so many rows and, but for a single text, about so many characters."""
+    run: list[str] = []
+    size = 0
+    for at in range(0, len(texts), rows):
+        for t in texts.slice(at, rows).to_pylist():
+            run.append(t or "")
+            size += len(run[-1])
+            if len(run) >= rows or size >= chars:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
+def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit integers), n_tokens and decoded.
 
-    A null text counts as empty and has no ids. Input columns named like the added ones are replaced.
+    A null text counts as empty and has no ids; so does an empty one. Texts are taken whole,
+    whatever their length; equal rows get equal ids; an empty table gives no rows. Input columns
+    named like the added ones are replaced.
     """
     docs = docs.drop("ids", "n_tokens", "decoded")
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("ids binary, n_tokens long, decoded string")
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("ids binary, n_tokens long, decoded string")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(spec.value)
         for batch in batches:
-            ids: list[bytes] = []
-            texts = ["" if t is None else t for t in batch]
-            for at in range(0, len(texts), chunk):
-                ids += bpe.encode(texts[at : at + chunk])
-            yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+            # Arrow arrays of each run, so that objects of one run only are alive.
+            ids, decoded = [pa.array([], pa.binary())], [pa.array([], pa.string())]
+            for run in pieces(batch):
+                ids.append(pa.array(bpe.encode(run), pa.binary()))
+                decoded.append(pa.array([bpe.decode(x.as_py()) for x in ids[-1]], pa.string()))
+            coded_ids = pa.concat_arrays(ids)
+            n_tokens = pc.divide(pc.binary_length(coded_ids), 4).cast(pa.int64())
+            yield pa.StructArray.from_arrays([coded_ids, n_tokens, pa.concat_arrays(decoded)], ["ids", "n_tokens", "decoded"])
 
     return docs.withColumn("__c", coded(F.col(text))).select(*docs.columns, "__c.ids", "__c.n_tokens", "__c.decoded")
