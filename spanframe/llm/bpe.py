@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.llm import tokens
+
 #: Fixed value: the pattern that splits text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded words and token borders a worker keeps; beyond, it starts anew. Of the trie only the walk's path is held.
@@ -200,5 +202,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
             coded_ids = pa.concat_arrays(ids)
             n_tokens = pc.divide(pc.binary_length(coded_ids), 4).cast(pa.int64())
             yield pa.StructArray.from_arrays([coded_ids, n_tokens, pa.concat_arrays(decoded)], ["ids", "n_tokens", "decoded"])
+        bpe.start_anew()
+        tokens.rest()
 
     return docs.withColumn("__c", coded(F.col(text))).select(*docs.columns, "__c.ids", "__c.n_tokens", "__c.decoded")

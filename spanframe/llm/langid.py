@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.llm import tokens
 from spanframe.llm.common import unit_hash
 
 WINDOW = 256
@@ -177,6 +178,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
             score = np.where(mass > 0, total.max(axis=1) / np.maximum(mass, 1e-12), 0.0)
             names = [model.langs[b] if s > 0 else UNKNOWN for b, s in zip(best, mass)]
             yield pd.DataFrame({"lang_pred": names, "score": np.clip(score, 0, 1)})
+        tokens.rest()
 
     return docs.withColumn("__j", judged(F.col(text))).select(*docs.columns, "__j.lang_pred", "__j.score")
 

@@ -110,6 +110,7 @@ def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             bands += [k if h else k[:0] for k, h in zip(keys.view(np.int64), has)]
             at = to
         yield pd.DataFrame({"sig": sigs, "bands": bands})
+    tokens.rest()
 
 
 def agreement(same: np.ndarray, places: int) -> np.ndarray:
@@ -180,6 +181,7 @@ def candidates_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [rows[open_]]
     if held:
         yield pairs(pd.concat(held, ignore_index=True))
+    tokens.rest()
 
 
 def similarity(a: str, b: str) -> float:
