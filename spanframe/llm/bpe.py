@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import tokens
+from spanframe.llm.common import bounded_batches
 
 #: Fixed value: the pattern that splits text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -187,6 +188,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     named like the added ones are replaced.
     """
     docs = docs.drop("ids", "n_tokens", "decoded")
+    bounded_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 

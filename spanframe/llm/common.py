@@ -29,6 +29,11 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, size: str = "4MB") -> None:
+    """Bounds the Arrow batches of this session by bytes, as the default counts rows and texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, readable after executors are lost."""
     path = shared_path(df.sparkSession, tag)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import tokens
-from spanframe.llm.common import unit_hash
+from spanframe.llm.common import bounded_batches, unit_hash
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -142,6 +142,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
     nothing to learn from. Input columns named like the added ones are replaced.
     """
     docs = docs.drop("lang_pred", "score")
+    bounded_batches(docs.sparkSession)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
 

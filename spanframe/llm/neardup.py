@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import tokens
-from spanframe.llm.common import written
+from spanframe.llm.common import bounded_batches, written
 from spanframe.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -198,6 +198,7 @@ def similarities(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def links(texts: DataFrame) -> DataFrame:
     """a, b, similarity of linked distinct texts (tid long, text); links within one class may be left out."""
+    bounded_batches(texts.sparkSession)
     sketch, alike = F.pandas_udf(sketched, "sig binary, bands array<long>"), F.pandas_udf(similarities, "double")
     sketches = written(texts.withColumn("s", sketch("text")).groupBy("tid").agg(F.first("s").alias("s")).select("tid", "s.sig", "s.bands"), "sketches")
     rows = sketches.select("tid", F.explode("bands").alias("bucket"))
