@@ -165,7 +165,7 @@ def loaded(spec: str) -> TrieBpe:
     return _loaded[name]
 
 
-def pieces(texts: pa.Array, rows: int = 1024, chars: int = 2_000_000) -> Iterator[list[str]]:
+def pieces(texts: pa.Array, rows: int = 1024, chars: int = 500_000) -> Iterator[list[str]]:
     """The texts in runs of at most so many rows and, but for a single text, about so many characters."""
     run: list[str] = []
     size = 0
@@ -188,7 +188,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     named like the added ones are replaced.
     """
     docs = docs.drop("ids", "n_tokens", "decoded")
-    bounded_batches(docs.sparkSession)
+    # A batch is held as texts, ids and decoded texts at once.
+    bounded_batches(docs.sparkSession, "1MB")
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
