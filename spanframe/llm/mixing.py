@@ -75,8 +75,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, *
         cuts = F.broadcast(cuts)
     placed = ranked.join(cuts, F.col("__source").eqNullSafe(F.col("__cut_source")))
     in_cell = Window.partitionBy("__source").orderBy("__rank", key, "size").rowsBetween(Window.unboundedPreceding, 0)
-    clear = placed.where(F.col("__bin") != F.col("__cut")).withColumn("__in", F.when(F.col("__bin") < F.col("__cut"), 1).otherwise(0))
-    edge = placed.where(F.col("__bin") == F.col("__cut")).withColumn("__to", F.col("__before") + F.sum("size").over(in_cell)).withColumn("__in", F.when((p > 0) & (F.col("__to") - F.col("size") / 2 <= F.col("__rest")), 1).otherwise(0)).drop("__to")
+    # Rows without a chance (p = 0) share one cell, which may be a whole source: they are never ordered.
+    at_edge = (F.col("__bin") == F.col("__cut")) & (p > 0)
+    clear = placed.where(~at_edge).withColumn("__in", F.when(F.col("__bin") < F.col("__cut"), 1).otherwise(0))
+    edge = placed.where(at_edge).withColumn("__to", F.col("__before") + F.sum("size").over(in_cell)).withColumn("__in", F.when(F.col("__to") - F.col("size") / 2 <= F.col("__rest"), 1).otherwise(0)).drop("__to")
     copies = (F.col("__whole") + F.col("__in")).cast("int")
     return clear.unionByName(edge).select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 

@@ -217,3 +217,10 @@ def test_quality_classifier(spark, odd):
     model = quality_prior.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality_prior.combine(quality_prior.classify(odd, model), "source", "lang").count() == len(odd_rows())
     assert quality_prior.combine(quality_prior.classify(odd.limit(0), model), "source", "lang").count() == 0
+
+
+def test_mix_of_a_source_at_its_cap_takes_whole_copies(spark):
+    rows = [(i, "one two three", "a") for i in range(4)] + [(i, "one two three", "b") for i in range(4, 400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 400 and all(r.copies == 3 and r.target == 36.0 for r in got if r.source == "a")
+    assert abs(sum(r.taken for r in got) - 1200) <= 3
