@@ -7,6 +7,29 @@ from pyspark.sql import functions as F
 
 _CJK = r"\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}"
 
+#: Names and codes of languages.
+LANGUAGES = {
+    "Japanese": "ja", "English": "en", "Chinese": "zh", "Cantonese": "yue", "Korean": "ko", "French": "fr", "German": "de", "Spanish": "es", "Portuguese": "pt", "Italian": "it",
+    "Russian": "ru", "Arabic": "ar", "Indonesian": "id", "Thai": "th", "Vietnamese": "vi", "Turkish": "tr", "Hindi": "hi", "Malay": "ms", "Dutch": "nl", "Swedish": "sv",
+    "Danish": "da", "Finnish": "fi", "Polish": "pl", "Czech": "cs", "Filipino": "fil", "Persian": "fa", "Greek": "el", "Romanian": "ro", "Hungarian": "hu", "Macedonian": "mk",
+}
+
+
+def _lookup(pairs) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+
+
+def language_code(name: Column) -> Column:
+    """The code of a language's name; what has three letters or less stays, anything else is null."""
+    return F.when(name != "", F.coalesce(F.try_element_at(_lookup(LANGUAGES.items()), name), F.when(F.length(name) <= 3, name)))
+
+
+def language_name(label: Column) -> Column:
+    """The name for a code or name, of the first one in a list; unknown ones are capitalised, null is empty."""
+    first = F.trim(F.element_at(F.split(label, ","), 1))
+    known = F.when(first.isin(*LANGUAGES), first).otherwise(F.try_element_at(_lookup((c, n) for n, c in LANGUAGES.items()), F.lower(first)))
+    return F.coalesce(known, F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substr(first, F.lit(2)))), F.lit(""))
+
 
 def hms(ms: Column) -> Column:
     s = F.floor(F.greatest(ms, F.lit(0)) / 1000)

@@ -78,4 +78,43 @@ def assign_speakers(words: DataFrame, turns: DataFrame, most_ms: int = 1000, lon
     ).withColumn("speaker", F.coalesce("over.s", "near.s"))
     order = Window.partitionBy("file_id").orderBy("start_ms", "pos")
     filled = best.withColumn("speaker", F.coalesce("speaker", F.last("speaker", True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
-    return filled.withColumn("speaker", F.coalesce("speaker", F.first("speaker", True).over(order.rowsBetween(1, Window.unboundedFollowing)))).select(*keys, "speaker")
+    # Backwards as a running frame of the reversed order: a frame up to the end is computed anew for each row.
+    back = Window.partitionBy("file_id").orderBy(F.desc("start_ms"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    return filled.withColumn("speaker", F.coalesce("speaker", F.last("speaker", True).over(back))).select(*keys, "speaker")
+
+
+def region_speakers(turns: DataFrame, least_ms: int = 200) -> DataFrame:
+    """Overlap regions with the sorted names of all who speak in them."""
+    spoken = turns.select("file_id", "speaker", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    return overlap_join(overlap_regions(turns, least_ms), spoken).groupBy("file_id", "start_ms", "end_ms").agg(F.sort_array(F.collect_set("speaker")).alias("speakers"))
+
+
+def inner_pieces(clips: DataFrame, segs: DataFrame) -> DataFrame:
+    """The stretches of segs (b_start, b_end) inside each clip (clip_id), cut to it; a clip without any is its own piece."""
+    keys = ["file_id", "clip_id"]
+    cut = overlap_join(clips, segs).select(*keys, F.greatest("start_ms", "b_start").alias("start_ms"), F.least("end_ms", "b_end").alias("end_ms"))
+    bare = clips.join(cut.select(*keys).distinct(), keys, "left_anti").select(cut.columns)
+    return cut.unionByName(bare)
+
+
+def nearest_of_two(points: DataFrame, turns: DataFrame, at: str = "at_ms") -> DataFrame:
+    """points with the speaker of the last turn begun or of the next: the one that holds the point, else the one with the nearer edge (ties: the former); null in a file without turns."""
+    held = F.struct("start_ms", "end_ms", "speaker")
+    t = turns.select("file_id", F.col("start_ms").alias("__t"), F.lit(0).alias("__kind"), F.col("end_ms").alias("__end"), F.col("pos").alias("__pos"), held.alias("__turn"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("__p"))
+    p = points.select("file_id", F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__end"), F.lit(0).cast("long").alias("__pos"), F.lit(None).cast(t.schema["__turn"].dataType).alias("__turn"), F.struct(*points.columns).alias("__p"))
+    order = ["__t", "__kind", "__end", "__pos"]
+    file = Window.partitionBy("file_id")
+    both = t.unionByName(p)
+    both = both.withColumn("__a", F.last("__turn", True).over(file.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("__b", F.last("__turn", True).over(file.orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0)))
+    edge = lambda c: F.least(F.abs(F.col("__t") - F.col(f"{c}.start_ms")), F.abs(F.col("__t") - F.col(f"{c}.end_ms")))
+    holds = F.col("__a.end_ms") >= F.col("__t")
+    former = F.col("__b").isNull() | (F.col("__a").isNotNull() & (holds | (edge("__a") <= edge("__b"))))
+    return both.where("__kind = 1").select("__p.*", F.when(former, F.col("__a.speaker")).otherwise(F.col("__b.speaker")).alias("speaker"))
+
+
+def whole_groups(parts: DataFrame, by: str, n_parts: str, order: str, text: str) -> DataFrame:
+    """The texts of all parts joined in order, for the groups of which every part is there with a text."""
+    rows = F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("x"))))
+    each = parts.groupBy(by).agg(F.count(text).alias("n"), F.max(n_parts).alias("all"), rows.alias("rows"))
+    return each.where(F.col("n") == F.col("all")).select(by, F.array_join(F.transform("rows", lambda r: r["x"]), " ").alias("text"))

@@ -11,6 +11,8 @@ from spanframe.operators.intervals import islands
 #: What ends a sentence.
 ENDS_JA = r"[。！？!?][」』）)\]]*\s*$"
 ENDS_LATIN, ENDS_LAST = r"\.[\"')\]]*\s+$", r"\.[\"')\]]*\s*$"
+#: Fixed value: a word with the punctuation and blanks after it.
+TOKEN = r"[^、。！？!?,.，．\s\x{3000}]+[、。！？!?,.，．]*[\s\x{3000}]*"
 
 
 def ends_sentence(word: Column, last: Column) -> Column:
@@ -89,3 +91,65 @@ def speaker_names(words: DataFrame) -> DataFrame:
     first = words.where("speaker IS NOT NULL").groupBy("file_id", "speaker").agg(F.min("pos").alias("first"))
     n = F.row_number().over(Window.partitionBy("file_id").orderBy("first"))
     return first.withColumn("n", n).select("file_id", "speaker", F.concat(F.lit("話者"), F.when(F.col("n") <= 26, F.expr("chr(64 + n)")).otherwise(F.col("n").cast("string"))).alias("name"))
+
+
+def absorb_interruptions(words: DataFrame, most_words: int = 2, under_ms: int = 800) -> DataFrame:
+    """words in which a short run between two runs of one other speaker takes that speaker.
+
+    An absorbed run ends the chance of the next one, whose neighbours then differ; so in a stretch of
+    candidates the first, third and so on are absorbed, and no row-by-row pass is needed.
+    """
+    w = Window.partitionBy("file_id").orderBy("pos")
+    before = F.lag(F.struct("speaker")).over(w)
+    marked = words.withColumn("__b", before.isNull() | ~before["speaker"].eqNullSafe(F.col("speaker")))
+    marked = islands(marked, ["file_id"], ["pos"], F.col("__b"), "__run").drop("__b")
+    runs = marked.groupBy("file_id", "__run").agg(F.count(F.lit(1)).alias("n"), F.min_by("start_ms", "pos").alias("s"), F.max_by("end_ms", "pos").alias("e"), F.min_by(F.struct("speaker"), "pos").alias("own"))
+    o = Window.partitionBy("file_id").orderBy("__run")
+    runs = runs.withColumns({"left": F.lag("own").over(o), "right": F.lead("own").over(o)})
+    short = (F.col("n") <= most_words) & (F.col("e") - F.col("s") < under_ms)
+    runs = runs.withColumn("may", F.coalesce(short & F.col("left").isNotNull() & F.col("right").isNotNull() & F.col("left.speaker").eqNullSafe(F.col("right.speaker")), F.lit(False)))
+    runs = islands(runs, ["file_id"], ["__run"], ~F.col("may"), "stretch")
+    place = F.row_number().over(Window.partitionBy("file_id", "stretch").orderBy("__run"))
+    # The first of a stretch is the run before its candidates.
+    taken = runs.withColumn("place", place).where(F.col("may") & (F.col("place") % 2 == 0)).select("file_id", "__run", F.col("left").alias("__new"))
+    out = marked.join(taken, ["file_id", "__run"], "left")
+    return out.withColumn("speaker", F.when(F.col("__new").isNotNull(), F.col("__new.speaker")).otherwise(F.col("speaker"))).select(*words.columns)
+
+
+def smooth_speakers(words: DataFrame, least_share: float = 0.6, pause_ms: int = 1000, most_chars: int | None = 150) -> DataFrame:
+    """words with the speaker most of their sentence is spoken by, short interruptions absorbed, and whether it changed."""
+    ids = sentence_ids(words.withColumn("__old", F.col("speaker")), pause_ms, most_chars, on_speaker=False)
+    vote = majority(ids, ["file_id", "sent_id"], "speaker", F.greatest(F.lit(20), F.col("end_ms") - F.col("start_ms")), "pos", least_share)
+    voted = ids.join(vote.select("file_id", "sent_id", F.col("speaker").alias("__vote")), ["file_id", "sent_id"]).withColumn("speaker", F.coalesce("__vote", "speaker")).drop("__vote", "sent_id")
+    return absorb_interruptions(voted).select(*words.columns, (~F.col("speaker").eqNullSafe(F.col("__old"))).alias("changed"))
+
+
+def rest_lengths(words: DataFrame, gap_ms: int = 800) -> DataFrame:
+    """words with rest: the characters that follow up to the end of the sentence or the next gap."""
+    w = Window.partitionBy("file_id").orderBy("pos")
+    following = F.lead("start_ms").over(w)
+    last = F.lead("word").over(w).isNull()
+    ended = words.withColumn("__end", last | ends_sentence(F.col("word"), last) | (following - F.col("end_ms") >= gap_ms))
+    back = Window.partitionBy("file_id").orderBy(F.desc("pos"))
+    ended = ended.withColumn("__s", F.sum(F.col("__end").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("file_id", "__s").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    return ended.withColumn("rest", F.coalesce(F.sum(F.length("word")).over(own), F.lit(0)).cast("bigint")).drop("__end", "__s")
+
+
+def approx_tokens(clips: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Words of each clip's text timed by their share of its characters, along its speech (spans: array of struct s, e; none: the whole clip)."""
+    spans = F.filter(F.transform("spans", lambda x: F.struct(F.greatest(x["s"], F.col("start_ms")).cast("double").alias("s"), F.least(x["e"], F.col("end_ms")).cast("double").alias("e"))), lambda x: x["e"] > x["s"])
+    whole = F.array(F.struct(F.col("start_ms").cast("double").alias("s"), F.col("end_ms").cast("double").alias("e")))
+    clips = clips.select(key, "text", spans.alias("spans"), whole.alias("whole"))
+    each = clips.select(key, F.when(F.size("spans") > 0, F.col("spans")).otherwise(F.col("whole")).alias("spans"), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("i", "word"))
+    each = each.withColumn("w", F.greatest(F.lit(1), F.length(F.regexp_replace("word", r"[^\p{L}\p{N}']", ""))))
+    one = Window.partitionBy(key)
+    to = F.sum("w").over(one.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumns({"to": to, "all": F.sum("w").over(one), "speech": F.aggregate("spans", F.lit(0.0), lambda n, x: n + x["e"] - x["s"])})
+
+    def at(acc: Column) -> Column:
+        step = lambda a, x: F.when(a["t"].isNotNull(), a).when(a["x"] <= x["e"] - x["s"], F.struct(a["x"].alias("x"), (x["s"] + a["x"]).alias("t"))).otherwise(F.struct((a["x"] - (x["e"] - x["s"])).alias("x"), F.lit(None).cast("double").alias("t")))
+        start = F.struct((acc / F.col("all") * F.col("speech")).alias("x"), F.lit(None).cast("double").alias("t"))
+        return F.floor(F.aggregate("spans", start, step, lambda a: F.coalesce(a["t"], F.element_at("spans", -1)["e"])) + 0.5)
+
+    return each.select(key, F.col("i").cast("bigint").alias("i"), "word", at(F.col("to") - F.col("w")).alias("start_ms"), at(F.col("to")).alias("end_ms"))

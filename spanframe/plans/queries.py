@@ -9,18 +9,28 @@ from spanframe.functions import text as T
 from spanframe.operators import intervals as I
 from spanframe.operators import sequences as S
 from spanframe.sources import adapters as A
+from spanframe.sources import sinks
 
 TURNS = "turns AS (SELECT strftime(ts, '%Y-%m-%d') AS file_id, event_id AS pos, event_type AS speaker, user_id, (epoch_us(ts) // 1000) AS start_ms, (epoch_us(ts) // 1000) + CAST(round(value * 100) AS BIGINT) * 60 AS end_ms FROM events)"
 WORDS = r"""w0 AS (SELECT conv_id AS file_id, turn, role AS speaker, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(text, '\S+\s*') AS l FROM conversations)),
 w1 AS (SELECT *, row_number() OVER o AS pos, coalesce(sum(length(word)) OVER (PARTITION BY file_id ORDER BY turn, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w0 WINDOW o AS (PARTITION BY file_id ORDER BY turn, i)),
 words AS (SELECT file_id, pos, turn, speaker, word, CAST(b * 10 + turn * 1000 AS BIGINT) AS start_ms, CAST(b * 10 + turn * 1000 + length(regexp_replace(word, '\s+$', '')) * 10 AS BIGINT) AS end_ms FROM w1)"""
 CLIPS = "clips AS (SELECT doc_id AS clip_id, text, lang, d AS dur_ms, d * 4 // 5 AS speech_ms FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN n_chars * 40 ELSE CAST(floor(n_chars * 1000 / 15) AS BIGINT) END AS d FROM documents))"
-PAIRS = r"pairs AS (SELECT doc_id, left(b.text, 200) AS ref, left(d.text, 200) AS hyp FROM documents d JOIN benchmark b ON item_id = doc_id % 40 WHERE NOT regexp_matches(left(b.text, 200), '[^\x00-\x7F]') AND NOT regexp_matches(left(d.text, 200), '[^\x00-\x7F]'))"
+PAIRS = "pairs AS (SELECT doc_id, b.text AS ref, d.text AS hyp FROM documents d JOIN benchmark b ON item_id = doc_id % 40)"
 MERGED = "m0 AS (SELECT *, max(end_ms) OVER (PARTITION BY file_id, speaker ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM turns WHERE end_ms - start_ms >= 50), m1 AS (SELECT *, sum(CASE WHEN u IS NULL OR start_ms > u THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, speaker ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS g FROM m0), merged AS (SELECT file_id, speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM m1 GROUP BY file_id, speaker, g)"
 SENTS = r"""s0 AS (SELECT *, regexp_matches(word, '[。！？!?][」』）)\]]*\s*$') OR regexp_matches(word, '\.["'')\]]*\s+$') OR (lead(word) OVER o IS NULL AND regexp_matches(word, '\.["'')\]]*\s*$')) AS e, lag(speaker) OVER o AS ps, lag(end_ms) OVER o AS pe FROM words WINDOW o AS (PARTITION BY file_id ORDER BY pos)),
 s1 AS (SELECT *, lag(e) OVER (PARTITION BY file_id ORDER BY pos) AS le FROM s0),
 s2 AS (SELECT *, sum(CASE WHEN le IS NULL OR le OR start_ms - pe > 1500 OR speaker IS DISTINCT FROM ps THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sent_id FROM s1),
 sents AS (SELECT file_id, sent_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_min(speaker, pos) AS speaker, count(*) AS n_words, trim(string_agg(word, '' ORDER BY pos)) AS text FROM s2 GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY file_id, sent_id")
+#: Words whose speaker flickers: every word of a length divisible by five is someone else's.
+FLICKER = "flicker AS (SELECT * REPLACE (CASE WHEN length(word) % 5 = 0 THEN 'x' ELSE speaker END AS speaker) FROM words)"
+ABSORB = """r0 AS (SELECT *, CASE WHEN lag(pos) OVER o IS NULL OR lag(speaker) OVER o IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS b FROM {0} WINDOW o AS (PARTITION BY file_id ORDER BY pos)),
+r1 AS (SELECT *, sum(b) OVER (PARTITION BY file_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM r0),
+r2 AS (SELECT file_id, run, arg_min(speaker, pos) AS own, count(*) AS n, arg_max(end_ms, pos) - arg_min(start_ms, pos) AS d FROM r1 GROUP BY file_id, run),
+r3 AS (SELECT *, lag(own) OVER o AS l, n <= 2 AND d < 800 AND coalesce(lag(own) OVER o = lead(own) OVER o, false) AS may FROM r2 WINDOW o AS (PARTITION BY file_id ORDER BY run)),
+r4 AS (SELECT *, sum(CASE WHEN may THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY run ROWS UNBOUNDED PRECEDING) AS st FROM r3),
+r5 AS (SELECT *, may AND row_number() OVER (PARTITION BY file_id, st ORDER BY run) % 2 = 0 AS taken FROM r4),
+absorbed AS (SELECT r1.* REPLACE (CASE WHEN taken THEN l ELSE speaker END AS speaker) FROM r1 JOIN r5 USING (file_id, run))"""
 HMS = "printf('%02d:%02d:%02d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60)"
 
 QUERIES, ORACLES = {}, {}
@@ -65,11 +75,12 @@ def f8_overlap_regions(spark, d):
     return I.overlap_regions(A.turns(spark, d))
 
 
-@query(f"WITH {TURNS}, w AS (SELECT * FROM turns WHERE user_id % 2 = 0), t AS (SELECT * FROM turns WHERE user_id % 2 = 1 AND end_ms > start_ms), j AS (SELECT w.file_id, w.pos, w.start_ms, w.end_ms, t.speaker, t.start_ms AS ts, t.pos AS tp, least(t.end_ms, w.end_ms) - greatest(t.start_ms, w.start_ms) AS o, greatest(2 * t.start_ms - w.start_ms - w.end_ms, w.start_ms + w.end_ms - 2 * t.end_ms, 0) AS far FROM w LEFT JOIN t USING (file_id)), g AS (SELECT file_id, pos, start_ms, end_ms, coalesce(arg_min(speaker, (-o, ts, tp)) FILTER (o > 0), arg_min(speaker, (far, ts, tp)) FILTER (far <= 2000)) AS s FROM j GROUP BY file_id, pos, start_ms, end_ms), f AS (SELECT *, coalesce(s, last_value(s IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY start_ms, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS s1 FROM g) SELECT file_id, pos, start_ms, end_ms, coalesce(s1, first_value(s1 IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY start_ms, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS speaker FROM f")
+@query(f"WITH {TURNS}, w AS (SELECT file_id, pos, start_ms + 5000 AS start_ms, start_ms + 5400 AS end_ms FROM turns), t AS (SELECT * FROM turns WHERE end_ms > start_ms), j AS (SELECT w.file_id, w.pos, w.start_ms, w.end_ms, t.speaker, t.start_ms AS ts, t.pos AS tp, least(t.end_ms, w.end_ms) - greatest(t.start_ms, w.start_ms) AS o, greatest(2 * t.start_ms - w.start_ms - w.end_ms, w.start_ms + w.end_ms - 2 * t.end_ms, 0) AS far FROM w LEFT JOIN t USING (file_id)), g AS (SELECT file_id, pos, start_ms, end_ms, coalesce(arg_min(speaker, (-o, ts, tp)) FILTER (o > 0), arg_min(speaker, (far, ts, tp)) FILTER (far <= 2000)) AS s FROM j GROUP BY file_id, pos, start_ms, end_ms), f AS (SELECT *, coalesce(s, last_value(s IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY start_ms, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS s1 FROM g) SELECT file_id, pos, start_ms, end_ms, coalesce(s1, first_value(s1 IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY start_ms, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS speaker FROM f")
 def d1_assign_speakers(spark, d):
     t = A.turns(spark, d)
     longest = t.agg(F.max(F.col("end_ms") - F.col("start_ms"))).first()[0] or 0
-    return I.assign_speakers(t.where("user_id % 2 = 0").drop("user_id"), t.where("user_id % 2 = 1"), longest_ms=int(longest))
+    spoken = t.select("file_id", "pos", "speaker", (F.col("start_ms") + 5000).alias("start_ms"), (F.col("start_ms") + 5400).alias("end_ms"))
+    return I.assign_speakers(spoken, t, longest_ms=int(longest))
 
 
 @query(f"WITH {TURNS}, {MERGED}, h AS (SELECT DISTINCT file_id, start_ms // 3600000 AS hour FROM turns) SELECT h.file_id, hour, CAST(coalesce(sum(least(end_ms, (hour + 1) * 3600000) - greatest(start_ms, hour * 3600000)), 0) AS BIGINT) AS speech_ms FROM h LEFT JOIN merged m ON h.file_id = m.file_id AND m.start_ms < (hour + 1) * 3600000 AND m.end_ms > hour * 3600000 GROUP BY h.file_id, hour")
@@ -256,3 +267,80 @@ def f23_adjacent_groups(spark, d):
 def d9_label_lookup(spark, d):
     names = A.table(spark, d, "region").where("r_regionkey < 3")
     return A.table(spark, d, "nation").join(names, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.coalesce("r_name", F.lit("none")).alias("label"))
+
+
+def _flicker(spark, d):
+    return A.words(spark, d).withColumn("speaker", F.when(F.length("word") % 5 == 0, "x").otherwise(F.col("speaker")))
+
+
+@query(f"WITH {WORDS}, {FLICKER}, {ABSORB.format('flicker')} SELECT file_id, pos, speaker FROM absorbed")
+def f9_absorb_interruptions(spark, d):
+    return S.absorb_interruptions(_flicker(spark, d)).select("file_id", "pos", "speaker")
+
+
+@query(f"WITH {WORDS}, {FLICKER}, {SENTS.split('s1 AS')[0].replace('FROM words', 'FROM flicker')} s1 AS (SELECT *, lag(e) OVER (PARTITION BY file_id ORDER BY pos) AS le FROM s0), s2 AS (SELECT *, sum(CASE WHEN le IS NULL OR le OR start_ms - pe > 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sent_id FROM s1), v0 AS (SELECT file_id, sent_id, speaker, sum(greatest(20, end_ms - start_ms)) AS w, min(pos) AS f FROM s2 GROUP BY file_id, sent_id, speaker), v1 AS (SELECT file_id, sent_id, CASE WHEN max(w) >= 0.6 * sum(w) THEN arg_max(speaker, (w, -f)) END AS vote FROM v0 GROUP BY file_id, sent_id), voted AS (SELECT file_id, pos, start_ms, end_ms, speaker AS old, coalesce(vote, speaker) AS speaker FROM s2 JOIN v1 USING (file_id, sent_id)), {ABSORB.format('voted')} SELECT file_id, pos, speaker, speaker IS DISTINCT FROM old AS changed FROM absorbed")
+def f10_smooth_speakers(spark, d):
+    return S.smooth_speakers(_flicker(spark, d), most_chars=None).select("file_id", "pos", "speaker", "changed")
+
+
+@query(f"WITH {WORDS}, {SENTS.split('s1 AS')[0]} r AS (SELECT *, sum(CASE WHEN e OR nx IS NULL OR nx - end_ms >= 800 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lead(start_ms) OVER (PARTITION BY file_id ORDER BY pos) AS nx FROM s0)) SELECT file_id, pos, CAST(coalesce(sum(length(word)) OVER (PARTITION BY file_id, g ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest FROM r")
+def f19_rest_lengths(spark, d):
+    return S.rest_lengths(A.words(spark, d)).select("file_id", "pos", "rest")
+
+
+@query(r"WITH t0 AS (SELECT doc_id AS clip_id, n_chars * 60 AS d, regexp_extract_all(text, '[^、。！？!?,.，．\s\x{3000}]+[、。！？!?,.，．]*[\s\x{3000}]*') AS l FROM documents), t1 AS (SELECT clip_id, d, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM t0), t2 AS (SELECT *, greatest(1, length(regexp_replace(word, '[^\p{L}\p{N}'']', '', 'g'))) AS w FROM t1), t3 AS (SELECT *, sum(w) OVER (PARTITION BY clip_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS b, sum(w) OVER (PARTITION BY clip_id) AS n, CAST(d // 3 AS DOUBLE) AS l1, CAST(d - d // 2 AS DOUBLE) AS l2 FROM t2), t4 AS (SELECT *, CAST(b - w AS DOUBLE) / n * (l1 + l2) AS x, CAST(b AS DOUBLE) / n * (l1 + l2) AS y FROM t3) SELECT clip_id, i, word, CAST(floor(CASE WHEN x <= l1 THEN x WHEN x - l1 <= l2 THEN d // 2 + (x - l1) ELSE d END + 0.5) AS BIGINT) AS start_ms, CAST(floor(CASE WHEN y <= l1 THEN y WHEN y - l1 <= l2 THEN d // 2 + (y - l1) ELSE d END + 0.5) AS BIGINT) AS end_ms FROM t4")
+def f14_approx_tokens(spark, d):
+    span = lambda s, e: F.struct(F.expr(s).alias("s"), F.expr(e).alias("e"))
+    clips = A.table(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), "text", F.lit(0).alias("start_ms"), (F.col("n_chars") * 60).alias("end_ms"))
+    return S.approx_tokens(clips.withColumn("spans", F.array(span("cast(0 as bigint)", "end_ms div 3"), span("end_ms div 2", "end_ms"))))
+
+
+@query(f"WITH regions AS ({ORACLES['f8_overlap_regions']}), {TURNS} SELECT r.file_id, r.start_ms, r.end_ms, string_agg(DISTINCT speaker, '|' ORDER BY speaker) AS speakers FROM regions r JOIN turns t ON t.file_id = r.file_id AND t.start_ms < r.end_ms AND t.end_ms > r.start_ms GROUP BY r.file_id, r.start_ms, r.end_ms")
+def d8_region_speakers(spark, d):
+    return I.region_speakers(A.turns(spark, d)).withColumn("speakers", F.array_join("speakers", "|"))
+
+
+@query(f"WITH {TURNS}, {MERGED}, h AS (SELECT DISTINCT file_id, start_ms // 900000 AS clip_id FROM turns), c AS (SELECT file_id, clip_id, clip_id * 900000 AS s, (clip_id + 1) * 900000 AS e FROM h) SELECT c.file_id, clip_id, CASE WHEN m.file_id IS NULL THEN s ELSE greatest(s, m.start_ms) END AS start_ms, CASE WHEN m.file_id IS NULL THEN e ELSE least(e, m.end_ms) END AS end_ms FROM c LEFT JOIN merged m ON c.file_id = m.file_id AND m.start_ms < e AND m.end_ms > s")
+def d7_inner_pieces(spark, d):
+    t = A.turns(spark, d)
+    clips = t.select("file_id", F.expr("start_ms div 900000").alias("clip_id")).distinct().withColumns({"start_ms": F.col("clip_id") * 900000, "end_ms": (F.col("clip_id") + 1) * 900000})
+    segs = I.normalize(t, ["file_id", "speaker"]).select("file_id", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    return I.inner_pieces(clips, segs)
+
+
+@query(f"WITH {TURNS}, p AS (SELECT file_id, pos, start_ms + 90000 AS at_ms FROM turns), u AS (SELECT file_id, start_ms AS t, 0 AS k, end_ms AS e, pos, {{'s': start_ms, 'e': end_ms, 'w': speaker}} AS x, NULL AS p FROM turns UNION ALL SELECT file_id, at_ms, 1, 0, 0, NULL, pos FROM p), n AS (SELECT file_id, p, t, last_value(x IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY t, k, e, pos ROWS UNBOUNDED PRECEDING) AS a, last_value(x IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY t DESC, k DESC, e DESC, pos DESC ROWS UNBOUNDED PRECEDING) AS b FROM u) SELECT file_id, p AS pos, t AS at_ms, CASE WHEN b IS NULL OR (a IS NOT NULL AND (a.e >= t OR least(abs(t - a.s), abs(t - a.e)) <= least(abs(t - b.s), abs(t - b.e)))) THEN a.w ELSE b.w END AS speaker FROM n WHERE p IS NOT NULL")
+def d11_nearest_of_two(spark, d):
+    t = A.turns(spark, d)
+    return I.nearest_of_two(t.select("file_id", "pos", (F.col("start_ms") + 90000).alias("at_ms")), t)
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id HAVING count(text) = max(turn) - min(turn) + 1")
+def d6_whole_groups(spark, d):
+    c = A.table(spark, d, "conversations")
+    return I.whole_groups(c.join(c.groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1).alias("n_parts")), "conv_id"), "conv_id", "n_parts", "turn", "text")
+
+
+@query("WITH m AS (SELECT * FROM (VALUES ('en', 'English'), ('de', 'German'), ('fr', 'French'), ('es', 'Spanish'), ('ja', 'Japanese'), ('zh', 'Chinese'), ('it', 'Italian'), ('pt', 'Portuguese'), ('ru', 'Russian'), ('ko', 'Korean')) m(code, name)) SELECT doc_id, CASE WHEN coalesce(lang, '') = '' THEN '' ELSE coalesce(name, upper(left(lang, 1)) || lower(substr(lang, 2))) END AS name, CASE WHEN coalesce(lang, '') <> '' THEN coalesce(code, CASE WHEN length(lang) <= 3 THEN upper(left(lang, 1)) || lower(substr(lang, 2)) END) END AS code FROM documents LEFT JOIN m ON code = lower(lang)")
+def d12_language_names(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", T.language_name(F.col("lang")).alias("name"), T.language_code(T.language_name(F.col("lang"))).alias("code"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS clip FROM conversations")
+def f22_ordinals(spark, d):
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return A.table(spark, d, "conversations").select("conv_id", "turn", n.cast("bigint").alias("clip"))
+
+
+@query(f"WITH {WORDS}, {SENTS} SELECT file_id, string_agg('[' || {HMS.format('start_ms')} || '] ' || speaker || ': ' || text, chr(10) ORDER BY sent_id) || chr(10) AS txt FROM sents WHERE text <> '' GROUP BY file_id")
+def b1_txt(spark, d):
+    return sinks.transcript(_sentences(spark, d), "sent_id")
+
+
+@query(f"""WITH {WORDS}, {SENTS} SELECT file_id, 'start,end,start_hms,speaker,text' || chr(10) || string_agg(printf('%d.%03d,%d.%03d,', start_ms // 1000, start_ms % 1000, end_ms // 1000, end_ms % 1000) || {HMS.format('start_ms')} || ',' || speaker || ',' || CASE WHEN regexp_matches(text, '[",\r\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END, chr(10) ORDER BY sent_id) || chr(10) AS csv FROM sents WHERE text <> '' GROUP BY file_id""")
+def b4_csv(spark, d):
+    return sinks.csv_table(_sentences(spark, d), "sent_id")
+
+
+@query(f"WITH {WORDS}, {SENTS} SELECT file_id, '# Talk' || chr(10) || chr(10) || '- model: none' || chr(10) || chr(10) || '## 文字起こし' || chr(10) || chr(10) || string_agg('**[' || {HMS.format('start_ms')} || ']** **' || speaker || '**  ' || chr(10) || text || chr(10), chr(10) ORDER BY sent_id) AS md FROM sents WHERE text <> '' GROUP BY file_id")
+def b6_markdown(spark, d):
+    return sinks.markdown(_sentences(spark, d), "sent_id", "Talk", {"model": "none"})

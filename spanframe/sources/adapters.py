@@ -32,7 +32,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ref, hyp: ASCII texts of benchmark and documents side by side."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("ref"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("hyp"), (F.col("doc_id") % 40).alias("item_id"))
-    return d.join(b, "item_id").where(F.col("ref").rlike(r"^[\x00-\x7F]*$") & F.col("hyp").rlike(r"^[\x00-\x7F]*$")).select("doc_id", "ref", "hyp")
+    """doc_id, ref, hyp: whole texts of benchmark and documents side by side."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hyp"), (F.col("doc_id") % 40).alias("item_id"))
+    return d.join(b, "item_id").select("doc_id", "ref", "hyp")

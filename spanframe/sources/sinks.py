@@ -1,0 +1,64 @@
+"""Sinks: one text a file (transcript, table, notes), and files replaced as a whole."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spanframe.functions import text as T
+
+
+def in_order(order: str, line: Column, glue: str = "\n") -> Column:
+    """The lines of a group joined in order; one file's lines are gathered, never a table's."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("x")))), lambda r: r["x"]), glue)
+
+
+def transcript(rows: DataFrame, order: str, timestamps: bool = True) -> DataFrame:
+    """file_id, txt: a line [HH:MM:SS] speaker: text for each row; rows without a speaker have text only."""
+    who = F.coalesce(F.concat("speaker", F.lit(": ")), F.lit(""))
+    head = F.concat(F.lit("["), T.hms(F.col("start_ms")), F.lit("] ")) if timestamps else F.lit("")
+    return rows.groupBy("file_id").agg(F.concat(in_order(order, F.concat(head, who, "text")), F.lit("\n")).alias("txt"))
+
+
+def csv_field(c: Column) -> Column:
+    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(c.rlike('[",\r\n]'), quoted).otherwise(c)
+
+
+def seconds(ms: Column) -> Column:
+    return F.format_string("%d.%03d", F.floor(ms / 1000), ms % 1000)
+
+
+def csv_table(rows: DataFrame, order: str) -> DataFrame:
+    """file_id, csv: start, end, start_hms, speaker, text under a header."""
+    line = F.concat_ws(",", seconds(F.col("start_ms")), seconds(F.col("end_ms")), T.hms(F.col("start_ms")), csv_field(F.coalesce("speaker", F.lit(""))), csv_field(F.col("text")))
+    return rows.groupBy("file_id").agg(F.concat(F.lit("start,end,start_hms,speaker,text\n"), in_order(order, line), F.lit("\n")).alias("csv"))
+
+
+def markdown(rows: DataFrame, order: str, title: str, meta: dict[str, str]) -> DataFrame:
+    """file_id, md: a title, the notes as a list, and a paragraph with time and speaker for each row."""
+    head = "\n".join([f"# {title}", "", *(f"- {k}: {v}" for k, v in meta.items()), "", "## 文字起こし", "", ""])
+    who = F.coalesce(F.concat(F.lit(" **"), "speaker", F.lit("**")), F.lit(""))
+    line = F.concat(F.lit("**["), T.hms(F.col("start_ms")), F.lit("]**"), who, F.lit("  \n"), "text", F.lit("\n"))
+    return rows.groupBy("file_id").agg(F.concat(F.lit(head), in_order(order, line)).alias("md"))
+
+
+def write_files(df: DataFrame, name: str, content: str, folder: str, bom: bool = False) -> None:
+    """Writes each row's content as folder/name, on a file system that all executors share.
+
+    Every file is written beside its place and then renamed, so a task run again replaces it whole.
+    """
+
+    def put(rows) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            path = os.path.join(folder, os.path.basename(str(r[0])))
+            part = f"{path}.{uuid.uuid4().hex}.tmp"
+            with open(part, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
+                f.write(r[1] or "")
+            os.replace(part, path)
+
+    df.select(name, content).foreachPartition(put)
