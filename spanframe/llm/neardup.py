@@ -1,10 +1,11 @@
-"""Near-duplicate classes by ProbMinHash over weighted five-word shingles.
+"""Near-duplicate classes by ProbMinHash over five-word shingles.
 
-A document is the bag of its five-word shingles. Each shingle sends the arrivals of a Poisson
-process whose rate is its count; each arrival falls on one of 125 places, and a place keeps
-the shingle of its first arrival. A document stops drawing once its horizon is past which
-all places are taken (early termination). Places of two documents agree with probability
-equal to their probability Jaccard similarity, which counts tf and not sizes.
+A document is the set of its five-word shingles. Each shingle sends the arrivals of a Poisson
+process of rate one; each arrival falls on one of 125 places, and a place keeps the shingle of
+its first arrival. A document stops drawing once its horizon is past which all places are taken
+(early termination). Places of two documents agree with probability equal to their probability
+Jaccard similarity, which with equal weights is the Jaccard similarity of the sets: the one
+that the exact check measures, however often a line repeats.
 
 25 bands of 5 places send documents to buckets. In a bucket, agreement of the signatures gives
 an estimate for every pair, and of those only maximum spanning forests are kept (on all places
@@ -97,7 +98,8 @@ def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             while to < len(texts) and (to == at or (size < 1_500_000 and to - at < 1024)):
                 size += len(texts[to] or "")
                 to += 1
-            sig = signatures(*shingles(texts[at:to]), to - at)
+            doc, element, _ = shingles(texts[at:to])
+            sig = signatures(doc, element, np.ones(len(doc)), to - at)
             has = sig.any(axis=1)
             keys = np.zeros((len(sig), BANDS), np.uint64)
             for b in range(BANDS):

@@ -224,3 +224,31 @@ def test_mix_of_a_source_at_its_cap_takes_whole_copies(spark):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert len(got) == 400 and all(r.copies == 3 and r.target == 36.0 for r in got if r.source == "a")
     assert abs(sum(r.taken for r in got) - 1200) <= 3
+
+
+def brute_classes(made):
+    sh = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in made]
+    root = list(range(len(made)))
+    for b in range(len(made)):
+        for a in range(b):
+            if root[a] != root[b] and len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def found_classes(spark, made):
+    rows = neardup.classes(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).select("doc_id", "root").collect()
+    least = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        least.setdefault(r.root, r.doc_id)
+    return [least[r.root] for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_copies_with_a_much_repeated_line_are_near(spark):
+    rng = random.Random(5)
+    made = []
+    for _ in range(10):
+        words, line = ([f"q{rng.randint(0, 10**9)}" for _ in range(n)] for n in (300, 12))
+        made += [" ".join(words), " ".join(words + 40 * line)]
+    assert found_classes(spark, made) == brute_classes(made) == [i - i % 2 for i in range(20)]
