@@ -8,9 +8,11 @@ Jaccard similarity, which with equal weights is the Jaccard similarity of the se
 that the exact check measures, however often a line repeats.
 
 25 bands of 5 places send documents to buckets. In a bucket, agreement of the signatures gives
-an estimate for every pair, and of those only maximum spanning forests are kept (on all places
-and on two halves of them): as many candidate pairs as documents, not as pairs, yet if two
-documents are linked at all, some path of candidates at least as close joins them. Buckets of
+an estimate for every pair, and of those maximum spanning forests are verified first (on all
+places and on two halves of them): as many candidate pairs as documents, not as pairs. As an
+edge of a forest may fail although the link it stood for holds, every other pair of a bucket
+that is not doubtful and whose ends are not yet in one class is verified then, from the sets of
+shingles sent to the bucket, so that no row is made for a pair. Buckets of
 more than TILE documents are cut into tiles and every two tiles are compared. Candidates are
 verified exactly from the texts by the Jaccard similarity of their sets of shingles; links of
 0.8 or more give the classes.
@@ -141,16 +143,39 @@ def forest(sig: np.ndarray) -> set[tuple[int, int]]:
     return out
 
 
+def whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted bucket rows (bucket, tile, ...) in frames that hold whole buckets."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        last = batch.iloc[-1]
+        # The last bucket may go on in the next batch.
+        if (batch["bucket"].iloc[0], batch["tile"].iloc[0]) == (last["bucket"], last["tile"]):
+            continue
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else batch
+        open_ = ((rows["bucket"] == last["bucket"]) & (rows["tile"] == last["tile"])).to_numpy()
+        yield rows[~open_]
+        held = [rows[open_]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def parts(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """tid and signatures of the rows, starts and ends of their buckets."""
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), PLACES)
+    new = np.flatnonzero((np.diff(rows["bucket"].to_numpy()) != 0) | (np.diff(rows["tile"].to_numpy()) != 0)) + 1
+    return rows["tid"].to_numpy(np.int64), sig, np.concatenate([[0], new]), np.concatenate([new, [len(rows)]])
+
+
 def candidates_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Candidate pairs of sorted bucket rows (bucket, tile, tid, sig)."""
     done: set[bytes] = set()
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        tid = rows["tid"].to_numpy(np.int64)
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), PLACES)
-        new = np.flatnonzero((np.diff(rows["bucket"].to_numpy()) != 0) | (np.diff(rows["tile"].to_numpy()) != 0)) + 1
-        starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(rows)]])
+        tid, sig, starts, ends = parts(rows)
         two = starts[ends - starts == 2]
         near = agreement((sig[two] == sig[two + 1]).sum(axis=1), PLACES) >= DOUBTFUL
         a.append(tid[two][near])
@@ -168,24 +193,64 @@ def candidates_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        last = batch.iloc[-1]
-        # The last bucket may go on in the next batch.
-        if (batch["bucket"].iloc[0], batch["tile"].iloc[0]) == (last["bucket"], last["tile"]):
-            continue
-        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else batch
-        open_ = ((rows["bucket"] == last["bucket"]) & (rows["tile"] == last["tile"])).to_numpy()
-        yield pairs(rows[~open_])
-        held = [rows[open_]]
-    if held:
-        yield pairs(pd.concat(held, ignore_index=True))
+    for rows in whole_buckets(batches):
+        yield pairs(rows)
+    tokens.rest()
+
+
+def joining(sig: np.ndarray, root: np.ndarray, sets: list[bytes]) -> Iterator[tuple[int, int, float]]:
+    """Rows i, j and similarity of links that join the roots of a bucket, as all its pairs that are not doubtful do."""
+    n = len(sig)
+    near, step = np.zeros((n, n), bool), max(1, 8_000_000 // (n * PLACES))
+    for at in range(0, n, step):
+        near[at : at + step] = agreement((sig[at : at + step, None] == sig[None]).sum(axis=2), PLACES) >= DOUBTFUL
+    near &= root[:, None] != root[None]
+    rows = np.flatnonzero(near.any(axis=1))
+    if not len(rows):
+        return
+    each = [np.frombuffer(sets[i], np.uint64) for i in rows]
+    size = np.array([len(x) for x in each])
+    _, column = np.unique(np.concatenate(each), return_inverse=True)
+    row, order = np.repeat(np.arange(len(rows)), size), np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both, width = np.zeros((len(rows), len(rows)), np.float32), 2048
+    edges = np.searchsorted(column, np.arange(0, column[-1] + 1 + width, width)) if len(column) else []
+    for k in range(len(edges) - 1):
+        x = np.zeros((len(rows), width), np.float32)
+        x[row[edges[k] : edges[k + 1]], column[edges[k] : edges[k + 1]] - k * width] = 1
+        both += x @ x.T
+    label = root[rows].copy()
+    for i in range(len(rows)):
+        alike = both[i].astype(float) / np.maximum(1, size[i] + size - both[i].astype(float))
+        to = np.flatnonzero(near[rows[i], rows] & (alike >= LEAST) & (label != label[i]))
+        if len(to):
+            new, first = np.unique(label[to], return_index=True)
+            for j in to[first]:
+                yield int(rows[i]), int(rows[j]), float(alike[j])
+            label[np.isin(label, new)] = label[i]
+
+
+def joining_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between the roots of sorted bucket rows (bucket, tile, tid, root, sig, set)."""
+    done: set[bytes] = set()
+    for rows in whole_buckets(batches):
+        tid, sig, starts, ends = parts(rows)
+        root, sets, out = rows["root"].to_numpy(np.int64), list(rows["set"]), []
+        for s, e in zip(starts, ends):
+            name = tid[s:e].tobytes()
+            if e - s < 2 or (root[s:e] == root[s]).all() or name in done:
+                continue
+            if len(done) < 50_000:
+                done.add(name)
+            out += [(*sorted((tid[s + i], tid[s + j])), x) for i, j, x in joining(sig[s:e], root[s:e], sets[s:e])]
+        yield pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
     tokens.rest()
 
 
+def shingle_sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles([t])[1].tobytes() for t in texts], dtype=object)
+
+
 def similarity(a: str, b: str) -> float:
     """The Jaccard similarity of the sets of two texts' shingles, exactly."""
     doc, key, _ = shingles([a, b])
@@ -198,25 +263,54 @@ def similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def named_texts(texts: DataFrame, named: DataFrame, most: int) -> DataFrame:
+    """tid and text of the texts whose tid is named, at most so many; each once."""
+    named = named.distinct()
+    if most <= MOST_SENT:
+        named = F.broadcast(named)
+    return texts.join(named, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, similarity of the pairs (a, b) that are links."""
+    alike = F.pandas_udf(similarities, "double")
+    read = written(named_texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("tid")), pairs.count() * 2), "read")
+    both = pairs.join(read.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
+    return written(both.select("a", "b", alike("ta", "tb").alias("similarity")).where(F.col("similarity") >= LEAST), "verified")
+
+
 def links(texts: DataFrame) -> DataFrame:
     """a, b, similarity of linked distinct texts (tid long, text); links within one class may be left out."""
     bounded_batches(texts.sparkSession)
-    sketch, alike = F.pandas_udf(sketched, "sig binary, bands array<long>"), F.pandas_udf(similarities, "double")
+    sketch = F.pandas_udf(sketched, "sig binary, bands array<long>")
     sketches = written(texts.withColumn("s", sketch("text")).groupBy("tid").agg(F.first("s").alias("s")).select("tid", "s.sig", "s.bands"), "sketches")
     rows = sketches.select("tid", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("tiles", F.when(F.col("n") > TILE, F.ceil(F.col("n") / (TILE // 2))).otherwise(1).cast("int"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = F.pmod(F.xxhash64(F.lit(9), "tid"), F.col("tiles")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: u != F.col("own"))
     pair = lambda u: F.least(u, F.col("own")) * F.col("tiles") + F.greatest(u, F.col("own"))
-    dealt = rows.join(shared, "bucket").withColumn("own", own).select("bucket", "tid", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.transform(others, pair))).alias("tile"))
-    dealt = dealt.join(sketches.select("tid", "sig"), "tid").repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "tid")
-    pairs = written(dealt.mapInPandas(candidates_of, "a long, b long").distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    if pairs.count() * 2 <= MOST_SENT:
-        named = F.broadcast(named)
-    read = written(texts.join(named, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "read")
-    both = pairs.join(read.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(read.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
-    return written(both.select("a", "b", alike("ta", "tb").alias("similarity")).where(F.col("similarity") >= LEAST), "verified")
+
+    def dealt(rows: DataFrame, buckets: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        tiled = buckets.select("bucket", F.when(F.col("n") > TILE, F.ceil(F.col("n") / (TILE // 2))).otherwise(1).cast("int").alias("tiles"))
+        out = rows.join(tiled, "bucket").withColumn("own", own)
+        out = out.select(*rows.columns, F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.transform(others, pair))).alias("tile"))
+        out = out.join(sketches.select("tid", "sig"), "tid")
+        return (out if sets is None else out.join(sets, "tid")).repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "tid")
+
+    pairs = written(dealt(rows, shared).mapInPandas(candidates_of, "a long, b long").distinct(), "pairs")
+    found = verified(texts, pairs)
+    # Edges of the forests may have failed: in buckets of more than one class all other pairs are tried, in place.
+    roots = components(found)
+    rooted = rows.join(roots, F.col("tid") == F.col("node"), "left").select("tid", "bucket", F.coalesce("root", "tid").alias("root"))
+    parted = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.bit_xor(F.xxhash64("tid")).alias("members")).where("n > 2 AND r < s")
+    # Of buckets of the same texts one will do.
+    parted = written(parted.groupBy("n", "r", "s", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "parted")
+    most = parted.agg(F.sum("n")).first()[0]
+    if not most:
+        return found
+    crossing = written(rooted.join(parted.select("bucket"), "bucket", "left_semi"), "crossing")
+    sets = written(named_texts(texts, crossing.select("tid"), most).select("tid", F.pandas_udf(shingle_sets, "binary")("text").alias("set")), "sets")
+    return found.unionByName(written(dealt(crossing, parted, sets).mapInPandas(joining_of, found.schema), "joining"))
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:

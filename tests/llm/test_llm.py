@@ -252,3 +252,16 @@ def test_copies_with_a_much_repeated_line_are_near(spark):
         words, line = ([f"q{rng.randint(0, 10**9)}" for _ in range(n)] for n in (300, 12))
         made += [" ".join(words), " ".join(words + 40 * line)]
     assert found_classes(spark, made) == brute_classes(made) == [i - i % 2 for i in range(20)]
+
+
+def test_links_in_a_family_just_under_the_least_similarity_are_found(spark):
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(600)]
+    changes = [{p: f"n{i}-{p}" for p in rng.sample(range(5, 595, 5), 9)} for i in range(400)]
+    for i in range(0, 400, 10):
+        same = dict(list(changes[i].items())[:3])
+        changes[i + 1] = same | dict([x for x in changes[i + 1].items() if x[0] not in same][:6])
+    made = [" ".join(c.get(k, w) for k, w in enumerate(base)) for c in changes]
+    want = brute_classes(made)
+    assert 340 < len(set(want)) <= 360
+    assert found_classes(spark, made) == want
