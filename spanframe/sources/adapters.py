@@ -32,7 +32,9 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ref, hyp: whole texts of benchmark and documents side by side."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hyp"), (F.col("doc_id") % 40).alias("item_id"))
-    return d.join(b, "item_id").select("doc_id", "ref", "hyp")
+    """doc_id, ref, hyp: whole texts of benchmark and documents side by side; documents take the items in turn, all of them."""
+    b = table(spark, sf_dir, "benchmark")
+    ranks = b.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("rank"))
+    b = b.join(F.broadcast(ranks), "item_id").select("rank", F.col("text").alias("ref"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hyp"), F.pmod("doc_id", F.lit(max(1, b.count()))).alias("rank"))
+    return d.join(b, "rank").select("doc_id", "ref", "hyp")

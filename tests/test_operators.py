@@ -2,6 +2,7 @@ import random
 
 from spanframe.operators import intervals as I
 from spanframe.operators import sequences as S
+from spanframe.sources import adapters as A
 from spanframe.sources import sinks
 from spanframe.streaming.resume import resume
 
@@ -69,3 +70,10 @@ def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
         spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("append").parquet(source)
         resume(spark.readStream.schema("k long, v string").parquet(source), table, "k", marks).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_pairs_take_every_item(spark, tmp_path):
+    spark.createDataFrame([(3 * i, f"item {i}") for i in range(60)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, f"doc {i}") for i in range(130)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, A.pairs(spark, str(tmp_path)).collect()))
+    assert got == [(i, f"item {i % 60}", f"doc {i}") for i in range(130)]
