@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,10 +85,56 @@ def occurrences(t: Column, term: Column) -> Column:
     return F.expr("1") * (F.length(t) - F.length(F.replace(t, term, F.lit("")))) / F.length(term)
 
 
-def quality_flags(text: Column, dur_ms: Column, speech_ms: Column, most_cps: int = 18) -> Column:
-    """Flags of a transcript, in a fixed order: empty, too_dense, no_punct."""
+def plain_flags(text: Column, dur_ms: Column, speech_ms: Column, most_cps: int = 18) -> Column:
+    """Those flags of quality_flags that SQL can express: empty, too_dense, no_punct."""
     core = core_len(text)
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
     stops = F.length(text) - F.length(F.translate(text, "。、，．！？,.!?", ""))
     rest = F.array_compact(F.array(F.when((dur_ms > 0) & (core * 1000 > F.greatest(dur_ms, F.lit(1000)) * most_cps), F.lit("too_dense")), F.when((core > 150) & (stops < 3), F.lit("no_punct"))))
     return F.when(blank, F.when(speech_ms >= 2000, F.array(F.lit("empty"))).otherwise(F.array().cast("array<string>"))).otherwise(rest)
+
+
+#: Scripts that don't belong in a transcript of a language.
+_FOREIGN = {
+    "Japanese": r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{0400}-\x{04FF}\x{0E00}-\x{0E7F}\x{0600}-\x{06FF}\x{0900}-\x{097F}]",
+    "English": r"[\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{4E00}-\x{9FFF}]",
+}
+
+
+def _ratios(texts: pd.Series) -> pd.Series:
+    coded = [(t or "").encode("utf-8") for t in texts]
+    return pd.Series([len(b) / max(1, len(zlib.compress(b))) if b else 0.0 for b in coded], dtype="float64")
+
+
+def compression_ratio(t: Column) -> Column:
+    """The bytes of a text over those of its zlib form; 0 for an empty text."""
+    return F.pandas_udf(_ratios, "double")(t)
+
+
+def quality_flags(text: Column, dur_ms: Column, speech_ms: Column, ctx_terms: Column | None = None, ctx_label: str = "", punctuates: bool = True, most_cps: int = 18, lang: Column | None = None) -> Column:
+    """Flags of a transcript, in a fixed order: empty, or context_label, context_echo, too_dense, repetition, no_punct, foreign_script.
+
+    ctx_terms is an array of the terms given as context, lang the language's name.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    core, flag = core_len(t), lambda said, name: F.when(said, F.lit(name))
+    flags = []
+    if len(ctx_label) >= 2:
+        flags.append(flag(F.contains(t, F.lit(ctx_label)), "context_label"))
+    if ctx_terms is not None:
+        by_length = F.array_sort(F.filter(ctx_terms, lambda w: w != ""), lambda a, b: F.length(b) - F.length(a))
+        start = F.struct(t.alias("rest"), F.lit(0).cast("long").alias("hits"))
+        # The longest terms are taken out first, so that none is counted within another.
+        step = lambda s, w: F.struct(F.replace(s["rest"], w, F.lit("")).alias("rest"), (s["hits"] + ((F.length(s["rest"]) - F.length(F.replace(s["rest"], w, F.lit("")))) / F.length(w)).cast("long")).alias("hits"))
+        echo = F.aggregate(by_length, start, step, lambda s: (s["hits"] >= 2) & (core_len(s["rest"]) <= F.greatest(F.lit(3), F.floor(core / 10))))
+        flags.append(flag(echo, "context_echo"))
+    flags.append(flag((dur_ms > 0) & (core * 1000 > F.greatest(dur_ms, F.lit(1000)) * most_cps), "too_dense"))
+    flags.append(flag(t.rlike(r"(?s)(.{1,20}?)\1{5,}") | ((F.length(t) >= 80) & (compression_ratio(t) > 3.2)), "repetition"))
+    if punctuates:
+        flags.append(flag((core > 150) & (F.length(t) - F.length(F.translate(t, "。、，．！？,.!?", "")) < 3), "no_punct"))
+    if lang is not None:
+        foreign = F.lit(False)
+        for name, script in _FOREIGN.items():
+            foreign = foreign | ((lang == name) & t.rlike(script))
+        flags.append(flag(foreign, "foreign_script"))
+    return F.when(t == "", F.when(speech_ms >= 2000, F.array(F.lit("empty"))).otherwise(F.array().cast("array<string>"))).otherwise(F.array_compact(F.array(*flags)))

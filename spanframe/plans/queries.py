@@ -231,7 +231,14 @@ def e11_multiset_common(spark, d):
 
 @query(f"WITH {CLIPS}, c AS (SELECT *, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}'']', '', 'g')) AS core, length(text) - length(translate(text, '。、，．！？,.!?', '')) AS stops FROM clips) SELECT clip_id, CASE WHEN trim(text) = '' THEN CASE WHEN speech_ms >= 2000 THEN 'empty' ELSE '' END ELSE array_to_string(list_filter([CASE WHEN dur_ms > 0 AND core * 1000 > greatest(dur_ms, 1000) * 18 THEN 'too_dense' END, CASE WHEN core > 150 AND stops < 3 THEN 'no_punct' END], lambda x: x IS NOT NULL), '|') END AS flags FROM c")
 def i25_quality_flags(spark, d):
-    return A.clips(spark, d).select("clip_id", F.array_join(T.quality_flags(F.col("text"), F.col("dur_ms"), F.col("speech_ms")), "|").alias("flags"))
+    return A.clips(spark, d).select("clip_id", F.array_join(T.plain_flags(F.col("text"), F.col("dur_ms"), F.col("speech_ms")), "|").alias("flags"))
+
+
+@query()
+def i25_quality_flags_whole(spark, d):
+    """All flags; the first six words of a text stand for the terms of its context."""
+    c = A.clips(spark, d).withColumn("terms", F.slice(T.terms(F.substring("text", 1, 60)), 1, 6))
+    return c.select("clip_id", F.array_join(T.quality_flags(F.col("text"), F.col("dur_ms"), F.col("speech_ms"), F.col("terms"), "Terms", lang=T.language_name(F.col("lang"))), "|").alias("flags"))
 
 
 @query(f"WITH {CLIPS} SELECT lang, count(*) AS clips, CAST(sum(speech_ms) AS BIGINT) AS speech_ms, max(dur_ms) AS longest_ms, count(*) FILTER (dur_ms > 30000) AS hard_cuts FROM clips GROUP BY lang")

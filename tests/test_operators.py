@@ -1,5 +1,11 @@
 import random
+import re
+import unicodedata
+import zlib
 
+from pyspark.sql import functions as F
+
+from spanframe.functions import text as T
 from spanframe.operators import intervals as I
 from spanframe.operators import sequences as S
 from spanframe.sources import adapters as A
@@ -77,3 +83,40 @@ def test_pairs_take_every_item(spark, tmp_path):
     spark.createDataFrame([(i, f"doc {i}") for i in range(130)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, A.pairs(spark, str(tmp_path)).collect()))
     assert got == [(i, f"item {i % 60}", f"doc {i}") for i in range(130)]
+
+
+def core(t):
+    return sum(c == "'" or unicodedata.category(c)[0] in "LN" for c in t)
+
+
+def flags(text, dur, speech, terms, label, lang):
+    t = (text or "").strip()
+    if not t:
+        return ["empty"] if speech >= 2 else []
+    rest, hits = t, 0
+    for w in sorted(terms, key=len, reverse=True):
+        hits += rest.count(w)
+        rest = rest.replace(w, "")
+    foreign = {"Japanese": "[가-힣а-я]", "English": "[ぁ-ヿ가-힣一-鿿]"}.get(lang)
+    said = {
+        "context_label": label in t,
+        "context_echo": hits >= 2 and core(rest) <= max(3, int(core(t) * 0.1)),
+        "too_dense": dur > 0 and core(t) / max(dur, 1) > 18,
+        "repetition": re.search(r"(?s)(.{1,20}?)\1{5,}", t) or (len(t) >= 80 and len(t.encode()) / len(zlib.compress(t.encode())) > 3.2),
+        "no_punct": core(t) > 150 and len(re.findall("[、。，．,.!?！？]", t)) < 3,
+        "foreign_script": foreign and re.search(foreign, t),
+    }
+    return [k for k, v in said.items() if v]
+
+
+def test_all_flags_equal_brute_force(spark):
+    rng = random.Random(7)
+    made = [(None, 0, 3000), (" \n\u3000", 900, 1000), ("go " * 6, 9000, 1), ("Terms: alpha, alphabet.", 9000, 1), ("日本 語 한글", 0, 0)]
+    long_ = " ".join(f"{rng.randint(0, 9)} a rather long line that comes again and again" for _ in range(20))
+    made += [(long_, 90000, 1)] + [("".join(rng.choice(["alpha ", "alphabet ", "beta", ", ", ". ", "x", "語", "ж", "한", "é'", "\n"]) for _ in range(rng.choice([3, 12, 200]))), rng.choice([0, 500, 5000, 90000]), 1) for _ in range(300)]
+    rows = [(i, *r, ["alpha", "alphabet", "beta"], rng.choice(["Japanese", "English", "French"])) for i, r in enumerate(made)]
+    df = spark.createDataFrame(rows, "i long, text string, d long, s long, terms array<string>, lang string")
+    got = df.select("i", T.quality_flags(F.col("text"), F.col("d"), F.col("s"), F.col("terms"), "Terms", lang=F.col("lang")).alias("f")).collect()
+    want = {i: flags(t, d / 1000, s / 1000, w, "Terms", lang) for i, t, d, s, w, lang in rows}
+    assert {r.i: r.f for r in got} == want
+    assert len({f for x in want.values() for f in x}) == 7
