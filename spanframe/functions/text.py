@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import pandas as pd
@@ -77,7 +78,17 @@ def cer(ref: Column, hyp: Column) -> Column:
     return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(float("nan"))).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
 
 
+def _normal(texts: pd.Series) -> pd.Series:
+    return pd.Series(["".join(c for c in unicodedata.normalize("NFKC", t or "").lower() if unicodedata.category(c)[0] in "LN") for t in texts], dtype=object)
+
+
+def normal(t: Column) -> Column:
+    """The letters and digits of a text in any script, after NFKC and in lower case; null is empty."""
+    return F.pandas_udf(_normal, "string")(t)
+
+
 def normal_ascii(t: Column) -> Column:
+    """normal as far as SQL can express it: of ASCII letters and digits only."""
     return F.regexp_replace(F.lower(t), "[^a-z0-9]", "")
 
 

@@ -215,6 +215,13 @@ def i15_i16_cer(spark, d):
     return p.select("doc_id", T.cer(F.col("r"), F.col("h")).alias("cer"))
 
 
+@query()
+def i14_i16_cer_whole(spark, d):
+    """The error rate over the letters and digits of all scripts."""
+    p = A.pairs(spark, d).select("doc_id", T.normal(F.col("ref")).alias("r"), T.normal(F.col("hyp")).alias("h"))
+    return p.select("doc_id", T.cer(F.col("r"), F.col("h")).alias("cer"))
+
+
 @query(f"WITH {PAIRS}, t AS (SELECT doc_id, ref, hyp, unnest(['the', 'and', 'tion', 'er']) AS term FROM pairs) SELECT doc_id, CAST(sum(least((length(ref) - length(replace(ref, term, ''))) // length(term), (length(hyp) - length(replace(hyp, term, ''))) // length(term))) AS BIGINT) AS hit, CAST(sum((length(ref) - length(replace(ref, term, ''))) // length(term)) AS BIGINT) AS total FROM t GROUP BY doc_id")
 def i18_term_recall(spark, d):
     t = A.pairs(spark, d).withColumn("term", F.explode(F.array(*map(F.lit, ("the", "and", "tion", "er")))))

@@ -120,3 +120,24 @@ def test_all_flags_equal_brute_force(spark):
     want = {i: flags(t, d / 1000, s / 1000, w, "Terms", lang) for i, t, d, s, w, lang in rows}
     assert {r.i: r.f for r in got} == want
     assert len({f for x in want.values() for f in x}) == 7
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_error_rate_counts_the_letters_of_all_scripts(spark):
+    rng = random.Random(8)
+    kept = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t or "").lower() if unicodedata.category(c)[0] in "LN")
+    made = [("日本語", "英語だ"), ("Привет", "пока"), ("ＡＢ１２", "ab12"), ("...", ""), ("é", "e"), (None, None), ("don't", "dont")]
+    made += [tuple("".join(rng.choice(["a", "É", "ß", "語", "ｶﾞ", "㍍", "Ж", "한", "١", " ", "'", "-", "😀"]) for _ in range(rng.randint(1, 40))) for _ in range(2)) for _ in range(150)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(made)], "i long, r string, h string")
+    got = {x.i: x.c for x in df.select("i", T.cer(T.normal(F.col("r")), T.normal(F.col("h"))).alias("c")).collect()}
+    for i, (r, h) in enumerate(map(kept, x) for x in made):
+        assert got[i] == distance(r, h) / len(r) if r else (got[i] == 0) if not h else got[i] != got[i], made[i]
+    assert got[0] > 0 and got[1] > 0 and got[2] == 0
