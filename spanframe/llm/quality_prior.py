@@ -71,6 +71,12 @@ def strength(n: float, mean: float, between: float) -> float:
     return float(np.clip(mean * (1 - mean) / max(between, 1e-9) - 1, 2, 1000)) if n > 1 and 0 < mean < 1 else 10.0
 
 
+def site_and_path(url: Column) -> tuple[Column, Column]:
+    """Host, in lower case, and path of a URL, for combine; both null where the URL has no host."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    return host, F.when(host.isNotNull(), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+
+
 def combine(classified: DataFrame, site: str, path: str) -> DataFrame:
     """classified with site_post, path_post and score. Null sites and paths are groups like any other."""
     out = classified.drop("site_post", "path_post", "score")

@@ -265,3 +265,13 @@ def test_links_in_a_family_just_under_the_least_similarity_are_found(spark):
     want = brute_classes(made)
     assert 340 < len(set(want)) <= 360
     assert found_classes(spark, made) == want
+
+
+def test_urls_of_pages_are_split_into_host_and_path(spark):
+    from urllib.parse import urlsplit
+
+    urls = [r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").select("url").collect()] + ["http://A.b:80/c/d?e=f#g", "https://a.b", "no url", "http://a b/c", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "i long, url string")
+    got = {r.i: (r.host, r.path) for r in df.select("i", *[c.alias(n) for c, n in zip(quality_prior.site_and_path(F.col("url")), ("host", "path"))]).collect()}
+    split = lambda u: (None, None) if not u or " " in u or not urlsplit(u).hostname else (urlsplit(u).hostname, urlsplit(u).path)
+    assert got == {i: split(u) for i, u in enumerate(urls)}
