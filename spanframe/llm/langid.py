@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import tokens
-from spanframe.llm.common import bounded_batches, unit_hash
+from spanframe.llm.common import unit_hash
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -106,29 +106,34 @@ def train(texts: list[str], langs: list[str], *, dim: int = 8, per_width: int =
     return ByteCnn(names, p["embed"], p["filters"], p["bias"], p["out"], p["out_bias"])
 
 
-def fit(docs: DataFrame, learn: Column | None = None, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 800, most_langs: int = 200, chars: int = 2048, seed: int = 29) -> ByteCnn | None:
-    """Trains on a sample bounded by per_lang rows for each of the most_langs commonest languages.
+def fit(docs: DataFrame, learn: Column | None = None, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 800, most_rows: int = 20_000, chars: int = 2048, seed: int = 29) -> ByteCnn | None:
+    """Trains on a sample bounded by per_lang rows for each language and by most_rows rows in all.
 
-    Rows are drawn by a hash of the key, and `chars` characters from a random place of each are
-    learned from. None if no labelled text is there.
+    Every language of the labels is learned; where there are many, each has fewer rows. Rows are
+    drawn by a hash of the key and text, and `chars` characters from a random place of each are learned from.
+    Null labels and null or blank texts aren't learned from; equal rows are drawn alike. None if
+    no labelled text is there. More languages than most_rows are no languages: an error.
     """
     has = F.col(lang).isNotNull() & (F.length(F.trim(F.col(text))) > 0)
-    rows = docs.where(has if learn is None else has & learn)
-    counts = [(r.l, r["count"]) for r in rows.groupBy(F.col(lang).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(most_langs).collect()]
+    rows = docs.where(has if learn is None else has & learn).select(F.col(lang).cast("string").alias("l"), F.col(key).alias("k"), F.col(text).alias("t"))
+    by_lang = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_lang.limit(most_rows + 1).collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for name, n in counts:
-        share = F.when(F.col(lang).cast("string") == name, min(1.0, 1.1 * per_lang / n)).otherwise(share)
-    u = unit_hash(seed, F.col(key), F.xxhash64(text))
-    place = F.floor(unit_hash(seed + 1, F.col(key)) * F.greatest(F.length(text) - chars + 1, F.lit(1))).cast("int") + 1
-    picked = rows.where(u < share).select(F.col(lang).cast("string").alias("l"), u.alias("u"), F.substring(F.col(text), place, F.lit(chars)).alias("t"))
-    sample = sorted((tuple(r) for r in picked.orderBy("u").limit(2 * per_lang * len(counts)).collect()), key=lambda r: (r[0], r[1]))
+    if len(counts) > most_rows:
+        raise ValueError(f"{lang} has more than {most_rows} values")
+    each = max(1, min(per_lang, most_rows // len(counts)))
+    u = unit_hash(seed, F.col("k"), F.xxhash64("t"))
+    place = F.floor(unit_hash(seed + 1, F.col("k")) * F.greatest(F.length("t") - chars + 1, F.lit(1))).cast("int") + 1
+    # Somewhat more than needed, by each language's share; one row at least.
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(r.l, min(1.0, (1.1 * each + 10) / r.n)) for r in counts], "l string, share double"))
+    picked = rows.withColumn("u", u).join(shares, "l").where("u < share").select("l", "u", F.substring(F.col("t"), place, F.lit(chars)).alias("t"))
+    sample = sorted((tuple(r) for r in picked.orderBy("u").limit(2 * (each + 10) * len(counts)).collect()), key=lambda r: (r[0], r[1]))
     taken: dict[str, int] = {}
     texts, langs = [], []
     for l, _, t in sample:
         taken[l] = taken.get(l, 0) + 1
-        if taken[l] <= per_lang:
+        if taken[l] <= each:
             texts.append(t)
             langs.append(l)
     epochs = max(6, math.ceil(6000 / max(1, len(texts))))
@@ -139,10 +144,12 @@ def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataF
     """docs with lang_pred and score (0 to 1).
 
     A null text, or one without a letter, is `und` with score 0, as is everything if there was
-    nothing to learn from. Input columns named like the added ones are replaced.
+    nothing to learn from. All windows of a text count, however long it is, some at a time. Equal
+    texts get equal predictions, ties the first language by name; an empty table gives no rows. Input
+    columns named like the added ones are replaced. Bound Arrow batches (common.bounded_batches)
+    while it runs, as texts may be long.
     """
     docs = docs.drop("lang_pred", "score")
-    bounded_batches(docs.sparkSession)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
 
