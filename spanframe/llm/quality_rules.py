@@ -2,9 +2,14 @@
 
 Each document is measured (measure). The measures of the documents that pass the fixed base
 rules are sketched per language and source: a sketch is a histogram over logarithmic cells of
-relative width 1/32, so sketches merge by adding counts and any quantile is found within that
+relative width 1/128, so sketches merge by adding counts and any quantile is found within that
 width. Thin groups use the merged sketch of their language, thin languages that of everything.
-From the quartiles come fences, and a join with the documents applies them (apply_fences).
+
+From the quartiles come an inner and an outer fence for each measure (one and a half and three
+times the quartiles' distance beyond them), wider for documents shorter than the group's median,
+as their averages vary more. A measure without spread has no scale, so it has an inner fence
+only. A join with the documents applies the fences: beyond an outer fence, or beyond inner fences
+of two families of measures, a document goes. No cutoff is fixed: all come from the sketches.
 """
 
 from __future__ import annotations
@@ -14,13 +19,16 @@ from pyspark.sql import functions as F
 
 from spanframe.llm.common import let, words
 
-#: Measures: (name, integer expression, quartile spreads allowed, least spread, least upper fence, has a lower fence).
+#: Measures: (name, integer expression, family, has lower fences). Repeated lines repeat words, so the two are one family.
 MEASURES = (
-    ("word_length", "word_chars * 1000 div greatest(n_words, 1)", 4, 750, 0, True),
-    ("symbols", "n_symbols * 1000000 div greatest(word_chars, 1)", 6, 2000, 60000, False),
-    ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 6, 20, 500, False),
-    ("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", 6, 20, 250, False),
+    ("word_length", "word_chars * 1000 div greatest(n_words, 1)", 0, True),
+    ("symbols", "n_symbols * 1000000 div greatest(word_chars, 1)", 1, False),
+    ("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 2, False),
+    ("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", 2, False),
 )
+INNER, OUTER, FAMILIES = 1.5, 3.0, 2
+#: Cells of the sketches for each doubling; smaller numbers are exact.
+CELLS = 128
 
 
 def repeat_words(ws: Column) -> Column:
@@ -49,8 +57,9 @@ def repeat_words(ws: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long) and base_failed.
 
-    A null or empty text has no words and so fails the base rules. Input columns named like the
-    added ones are replaced.
+    A null or empty text has no words and so fails the base rules; texts are measured whole,
+    however long; equal rows get equal measures; an empty table gives no rows; input columns named
+    like the added ones are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
     docs = docs.drop(*added)
@@ -64,54 +73,66 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def cell_of(v: str) -> Column:
-    """The logarithmic cell of a whole number: exact below 64, then 32 cells for each doubling."""
-    return F.expr(f"CASE WHEN {v} < 64 THEN {v} ELSE 32 * (length(bin({v})) - 6) + shiftright({v}, length(bin({v})) - 6) END")
+    """The logarithmic cell of a whole number: exact below 2 * CELLS, then CELLS cells for each doubling."""
+    bits = CELLS.bit_length()
+    return F.expr(f"CASE WHEN {v} < {2 * CELLS} THEN {v} ELSE {CELLS} * (length(bin({v})) - {bits}) + shiftright({v}, length(bin({v})) - {bits}) END")
 
 
 def _floor_of(c: str) -> str:
-    return f"CASE WHEN {c} < 64 THEN {c} ELSE shiftleft({c} - 32 * ({c} div 32 - 1), CAST({c} div 32 - 1 AS int)) END"
+    return f"CASE WHEN {c} < {2 * CELLS} THEN {c} ELSE shiftleft({c} - {CELLS} * ({c} div {CELLS} - 1), CAST({c} div {CELLS} - 1 AS int)) END"
 
 
 def sketches(measured: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """One row for each group, measure and cell, with its count; sums of counts merge sketches."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.expr(e).alias("v")) for k, (_, e, *_) in enumerate(MEASURES)]))
-    return measured.where("NOT base_failed").select(*by, each.alias("x")).select(*by, "x.m", cell_of("x.v").alias("cell")).groupBy(*by, "m", "cell").agg(F.count(F.lit(1)).alias("n"))
-
-
-def fences(sketch: DataFrame, by: list[str], least: int) -> DataFrame:
-    """For each group with at least that many documents: a struct f of the fences of each measure."""
-    group = Window.partitionBy(*by, "m")
-    q = sketch.withColumns({"all": F.sum("n").over(group), "to": F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))})
-    at = lambda c: F.min(F.when(F.col("to") * 100 >= F.col("all") * c, F.col("cell")))
-    q = q.groupBy(*by, "m").agg(at(25).alias("c1"), at(75).alias("c3"), F.max("all").alias("all")).where(F.col("all") >= least)
-    q = q.withColumns({"q1": F.expr(_floor_of("c1")), "q3": F.expr(_floor_of("c3"))})
-    one = []
-    for k, (name, _, spreads, least_spread, least_upper, lower) in enumerate(MEASURES):
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least_spread)) * spreads
-        one.append(F.max(F.when(F.col("m") == k, F.greatest(F.col("q3") + spread, F.lit(least_upper)))).alias(f"{name}_high"))
-        one.append(F.max(F.when(F.col("m") == k, F.col("q1") - spread if lower else F.lit(-1))).alias(f"{name}_low"))
-    return q.groupBy(*by).agg(*one).select(*by, F.struct(*[c for n, *_ in MEASURES for c in (f"{n}_high", f"{n}_low")]).alias("f"))
+    """One row for each group, measure and cell, with its count; sums of counts merge sketches. The last measure is n_words."""
+    exprs = [e for _, e, *_ in MEASURES] + ["n_words"]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.expr(e).alias("v")) for k, e in enumerate(exprs)]))
+    return measured.where("NOT base_failed").select(*by, each.alias("__x")).select(*by, F.col("__x.m").alias("__m"), cell_of("__x.v").alias("__cell")).groupBy(*by, "__m", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def quartiles(sketch: DataFrame, by: list[str], least: int) -> DataFrame:
+    """For each group with at least that many documents: a struct __f of low and high quartile of each measure, and the median of n_words."""
+    group = Window.partitionBy(*by, "__m")
+    q = sketch.withColumns({"all": F.sum("__n").over(group), "to": F.sum("__n").over(group.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0))})
+    at = lambda c: F.min(F.when(F.col("to") * 100 >= F.col("all") * c, F.col("__cell")))
+    q = q.groupBy(*by, "__m").agg(at(25).alias("c1"), at(50).alias("c2"), at(75).alias("c3"), F.max("all").alias("all")).where(F.col("all") >= least)
+    one = [F.max(F.when(F.col("__m") == k, F.expr(_floor_of(c)))).alias(f"{name}_{end}") for k, (name, *_) in enumerate(MEASURES) for c, end in (("c1", "low"), ("c3", "high"))]
+    one.append(F.max(F.when(F.col("__m") == len(MEASURES), F.expr(_floor_of("c2")))).alias("n_words"))
+    names = [f"{name}_{end}" for name, *_ in MEASURES for end in ("low", "high")] + ["n_words"]
+    return q.groupBy(*by).agg(*one).select(*by, F.struct(*names).alias("__f"))
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", least: int = 100) -> DataFrame:
-    """Fences for every (lang, source) that has a document passing the base rules; null is a group of its own."""
-    fine = sketches(measured, (lang, source))
-    mid = fine.groupBy(lang, "m", "cell").agg(F.sum("n").alias("n"))
-    top = mid.groupBy("m", "cell").agg(F.sum("n").alias("n"))
-    groups = fine.select(lang, source).distinct()
-    own = fences(fine, [lang, source], least).withColumnsRenamed({lang: "l1", source: "s1", "f": "f1"})
-    its_lang = fences(mid, [lang], least).withColumnsRenamed({lang: "l2", "f": "f2"})
-    all_ = fences(top.withColumn("__all", F.lit(1)), ["__all"], 1).withColumnRenamed("f", "f3")
-    out = groups.withColumn("__all", F.lit(1)).join(own, F.col(lang).eqNullSafe(F.col("l1")) & F.col(source).eqNullSafe(F.col("s1")), "left").join(its_lang, F.col(lang).eqNullSafe(F.col("l2")), "left").join(all_, "__all", "left")
-    return out.select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.coalesce("f1", "f2", "f3").alias("__f"))
+    """Quartiles for every (lang, source) that has a document passing the base rules; null is a group of its own.
+
+    Groups of fewer than `least` documents have those of their language, languages of fewer those
+    of all documents. Equal rows count each; an empty table gives no rows.
+    """
+    fine = sketches(measured.select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"), ("__lang", "__source"))
+    mid = fine.groupBy("__lang", "__m", "__cell").agg(F.sum("__n").alias("__n"))
+    top = mid.groupBy("__m", "__cell").agg(F.sum("__n").alias("__n"))
+    groups = fine.select("__lang", "__source").distinct()
+    own = quartiles(fine, ["__lang", "__source"], least).withColumnsRenamed({"__lang": "l1", "__source": "s1", "__f": "f1"})
+    its_lang = quartiles(mid, ["__lang"], least).withColumnsRenamed({"__lang": "l2", "__f": "f2"})
+    all_ = quartiles(top.withColumn("__all", F.lit(1)), ["__all"], 1).withColumnRenamed("__f", "f3")
+    out = groups.withColumn("__all", F.lit(1)).join(own, F.col("__lang").eqNullSafe(F.col("l1")) & F.col("__source").eqNullSafe(F.col("s1")), "left").join(its_lang, F.col("__lang").eqNullSafe(F.col("l2")), "left").join(all_, "__all", "left")
+    return out.select("__lang", "__source", F.coalesce("f1", "f2", "f3").alias("__f"))
 
 
 def apply_fences(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """measured with kept: passes the base rules and lies within every fence of its group."""
+    """measured with kept: passes the base rules, lies within every outer fence of its group, and beyond inner fences of one family at most.
+
+    A value on a fence lies within it. An input column named kept is replaced.
+    """
     columns = [c for c in measured.columns if c.lower() != "kept"]
     joined = measured.join(limits, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
-    inside = F.lit(True)
-    for name, e, *_ in MEASURES:
-        v = F.expr(e)
-        inside = inside & F.coalesce((v <= F.col(f"__f.{name}_high")) & (v >= F.col(f"__f.{name}_low")), F.lit(True))
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.col("__f.n_words") / F.greatest("n_words", F.lit(1))))
+    far, beyond = F.lit(False), {}
+    for name, e, family, lower in MEASURES:
+        v, low, high = F.expr(e), F.col(f"__f.{name}_low"), F.col(f"__f.{name}_high")
+        reach = (high - low) * wider
+        out = lambda k: (v > high + reach * k) | (F.lit(lower) & (v < low - reach * k))  # noqa: B023, E731
+        far = far | ((high > low) & out(OUTER))
+        beyond[family] = beyond.get(family, F.lit(False)) | out(INNER)
+    broken = sum((x.cast("int") for x in beyond.values()), F.lit(0))
+    inside = F.coalesce(~far & (broken < FAMILIES), F.lit(True))
     return joined.select(*columns, (~F.col("base_failed") & inside).alias("kept"))
