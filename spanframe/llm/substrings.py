@@ -2,33 +2,44 @@
 
 Fingerprints: of the 10-word runs in each 35-word window the one with the least hash stands
 for the window (equal windows choose alike), so about one word in thirteen gives a fingerprint.
-Texts are dealt into blocks by a hash; each block's fingerprints are cut by hash into buckets
-and packed sorted. WindowIndex holds sorted immutable runs of such fingerprints with a mark for
-those met twice; add() writes a batch's run, compact() merges runs, repeated() merge-joins a
-batch's fingerprints with the runs, bucket by bucket, and answers with one bit for each.
-
-Windows whose fingerprint repeats are then verified: the hash of all 35 words, made apart from
-the fingerprints, must itself start at two places (64 bits, and the bucket besides). What is
-sent for that is again packed by block and bucket, and answered by bits. A block holds about
-4 MB of text, a bucket's share is some MB whatever the size of the corpus, and a block sends
-each hash once, so a passage that many documents share puts no more than its blocks together.
+Texts are dealt into blocks, written once, bucketed by block, so that no later pass shuffles them;
+each block's fingerprints are cut by hash into buckets and packed sorted.
+
+WindowIndex holds sorted immutable runs of such fingerprints, one a batch, with a mark for those
+met before. add() merge-joins a batch with the runs so far, bucket by bucket, and writes its run;
+beyond `fanout` runs, compact() merges them; a manifest in the index's folder names the runs
+and the batches' texts, so that an index is opened again later and further batches are checked
+against all history. repeated() merge-joins fingerprints with the runs and answers with one bit for each.
+
+Windows whose fingerprint repeats are then verified: a hash of all 35 words of 128 bits, made
+apart from the fingerprints, must itself start at two places (by chance, two of 10^13 windows
+agree in it once in 10^12 corpora). What is sent for that is again packed by block and bucket, and
+answered by bits. A block holds about 4 MB of text, a bucket's share is some MB whatever the size of
+the corpus, and a block sends each hash once, so a passage that many documents share puts no more than
+its blocks together. A document's block follows from its place in the table, not its text, so
+that equal texts lie in as many blocks as any others.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import tokens
-from spanframe.llm.common import written
+from spanframe.llm.common import bounded_batches, remove, shared_path, written
 
 LENGTH, GRAM = 35, 10
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
+#: Bytes of text in a file of dealt blocks, and such files at most.
+FILE_BYTES, MOST_FILES = 16 << 20, 100_000
 PACKED = "bucket int, blk long, prints binary, twice binary"
+WIDE = np.dtype("S16")  # a hash of 128 bits, ordered by its bytes
 
 
 def sliding(a: np.ndarray, n: int, f) -> np.ndarray:
@@ -62,17 +73,26 @@ class Block:
             self.chosen = grams[grams == top[: len(grams)]]
 
     def wholes(self, which: np.ndarray) -> np.ndarray:
-        """Hashes of all words of the windows at self.starts[which]."""
-        return tokens.runs(tokens.splitmix(self.hashes), LENGTH)[self.starts[which]]
+        """Hashes of all words of the windows at self.starts[which], of 128 bits."""
+        out = np.empty((int(which.sum()) if which.dtype == bool else len(which), 2), ">u8")
+        if len(out):
+            out[:, 0] = tokens.runs(tokens.splitmix(self.hashes), LENGTH)[self.starts[which]]
+            out[:, 1] = tokens.runs(tokens.splitmix(self.hashes ^ tokens.K2), LENGTH)[self.starts[which]]
+        return out.view(WIDE).ravel()
+
+
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, from its high 32 bits: in the order of the hashes."""
+    high = values >> np.uint64(32) if values.dtype == np.uint64 else np.frombuffer(values.tobytes(), ">u4")[::4].astype(np.uint64)
+    return (high * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def packed(blk: int, hashes: np.ndarray, buckets: int) -> pd.DataFrame:
     """One row for each bucket with some of the hashes: sorted, once each, marked if met twice."""
     values, n = np.unique(hashes, return_counts=True)
-    bucket = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1)) if buckets <= len(values) else None
-    pairs = [(b, cuts[b], cuts[b + 1]) for b in range(buckets) if cuts[b] < cuts[b + 1]] if cuts is not None else [(int(bucket[i]), i, j) for i, j in _stretches(bucket)]
-    return pd.DataFrame({"bucket": np.array([p[0] for p in pairs], np.int32), "blk": np.int64(blk), "prints": [values[a:b].tobytes() for _, a, b in pairs], "twice": [(n[a:b] > 1).tobytes() for _, a, b in pairs]}, columns=["bucket", "blk", "prints", "twice"])
+    bucket = bucket_of(values, buckets)
+    cuts = _stretches(bucket)
+    return pd.DataFrame({"bucket": np.array([bucket[a] for a, _ in cuts], np.int32), "blk": np.int64(blk), "prints": [values[a:b].tobytes() for a, b in cuts], "twice": [(n[a:b] > 1).tobytes() for a, b in cuts]}, columns=["bucket", "blk", "prints", "twice"])
 
 
 def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
@@ -80,28 +100,37 @@ def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(x)]]).tolist())) if len(x) else []
 
 
-def merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def merged(rows: pd.DataFrame, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all rows, sorted and once each, with the mark of those met twice."""
-    values = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["prints"]]) if len(rows) else np.zeros(0, np.uint64)
+    values = np.concatenate([np.frombuffer(x, kind) for x in rows["prints"]]) if len(rows) else np.zeros(0, kind)
     marks = np.concatenate([np.frombuffer(x, bool) for x in rows["twice"]]) if len(rows) else np.zeros(0, bool)
     out, where, n = np.unique(values, return_inverse=True, return_counts=True)
     return out, (n > 1) | (np.bincount(where, weights=marks, minlength=len(out)) > 0)
 
 
-def answer(rows: pd.DataFrame, values: np.ndarray, marks: np.ndarray) -> pd.DataFrame:
-    """A bit for each hash of each row: whether it is marked."""
-    bits = []
-    for x in rows["prints"]:
-        asked = np.frombuffer(x, np.uint64)
-        at = np.minimum(np.searchsorted(values, asked), max(0, len(values) - 1))
-        bits.append(np.packbits((values[at] == asked) & marks[at] if len(values) else np.zeros(len(asked), bool)).tobytes())
-    return pd.DataFrame({"blk": rows["blk"], "bucket": rows["bucket"], "bits": bits})
+def among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each of x is one of the sorted values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
+def answer(rows: pd.DataFrame, values: np.ndarray) -> pd.DataFrame:
+    """A bit for each hash of each row: whether it is one of the values; rows without such go."""
+    blk, bucket, bits = [], [], []
+    for i, b, x in zip(rows["blk"], rows["bucket"], rows["prints"]):
+        yes = among(np.frombuffer(x, values.dtype), values)
+        if yes.any():
+            blk.append(i)
+            bucket.append(b)
+            bits.append(np.packbits(yes).tobytes())
+    return pd.DataFrame({"blk": np.array(blk, np.int64), "bucket": np.array(bucket, np.int32), "bits": bits})
 
 
 def marked(hashes: np.ndarray, replies: pd.DataFrame, buckets: int) -> np.ndarray:
     """Those of a block's hashes, sorted, that the replies to packed() mark."""
     values = np.unique(hashes)
-    bucket = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = bucket_of(values, buckets)
     keep = np.zeros(len(values), bool)
     by = dict(zip(replies["bucket"], replies["bits"]))
     for a, b in _stretches(bucket):
@@ -110,58 +139,123 @@ def marked(hashes: np.ndarray, replies: pd.DataFrame, buckets: int) -> np.ndarra
     return values[keep]
 
 
-def among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether each of x is one of the sorted values."""
-    if not len(values):
-        return np.zeros(len(x), bool)
-    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+class Dealt:
+    """A batch's texts in a table (key, text, blk) of the shared folder, bucketed by block: read by block without a shuffle."""
+
+    def __init__(self, spark: SparkSession, path: str, files: int, kind: str):
+        self.path, self.files, self.kind = path, files, kind
+        name = f"dealt_{uuid.uuid4().hex}"
+        # The catalog only learns of files that are there already.
+        spark.sql(f"CREATE TABLE {name} (key {kind}, text STRING, blk BIGINT) USING parquet CLUSTERED BY (blk) INTO {files} BUCKETS LOCATION '{path}'")
+        self.table = spark.table(name)
+
+    @classmethod
+    def of(cls, docs: DataFrame, key: str, text: str) -> Dealt:
+        spark = docs.sparkSession
+        total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        n, files = max(16, math.ceil(total / BLOCK_BYTES)), min(MOST_FILES, max(8, math.ceil(total / FILE_BYTES)))
+        blk = F.pmod(F.xxhash64(F.lit(3), F.monotonically_increasing_id()), F.lit(n)).cast("long")
+        rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), blk.alias("blk"))
+        path, name = shared_path(spark, "dealt"), f"written_{uuid.uuid4().hex}"
+        rows.repartition(files, "blk").write.bucketBy(files, "blk").option("path", path).saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")
+        return cls(spark, path, files, rows.schema["key"].dataType.simpleString())
 
 
 class WindowIndex:
-    """Sorted immutable runs of fingerprints, one table each in the shared folder."""
+    """Sorted immutable runs of fingerprints, one table each, and a manifest, in one folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 8, fanout: int = 2):
+        self.spark, self.path, self.buckets, self.fanout = spark, path or shared_path(spark, "index"), buckets, fanout
+        self.runs: list[str] = []
+        #: Of each batch: its texts (path, files, type of the key) and its fingerprints by block (path).
+        self.batches: list[dict] = []
+
+    def _fs(self):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def save(self) -> None:
+        """Writes the manifest beside its place and renames it, so that readers see the old or the new one."""
+        fs, at = self._fs()
+        text = json.dumps({"buckets": self.buckets, "fanout": self.fanout, "runs": self.runs, "batches": self.batches})
+        part = f"{self.path}/manifest-{uuid.uuid4().hex}"
+        out = fs.create(at(part))
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.delete(at(f"{self.path}/manifest.json"), False)
+        fs.rename(at(part), at(f"{self.path}/manifest.json"))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> WindowIndex:
+        d = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))  # the names of some runs
+        index = cls(spark, path, d["buckets"], d["fanout"])
+        index.runs, index.batches = d["runs"], d["batches"]
+        return index
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(PACKED).parquet(path)
+
+    def _write(self, df: DataFrame, tag: str) -> str:
+        path = f"{self.path}/{tag}-{uuid.uuid4().hex}"
+        with bounded_batches(self.spark):
+            df.write.parquet(path)
+        return path
+
+    def history(self) -> DataFrame:
+        """All runs' rows: a row for each run and bucket."""
+        out = self.spark.createDataFrame([], PACKED)
+        for r in self.runs:
+            out = out.unionByName(self._read(r))
+        return out
+
+    def add(self, prints: DataFrame, dealt: Dealt | None = None) -> None:
+        """Merge-joins a batch's fingerprints with the runs, bucket by bucket, and writes its run: those met before, or twice, are marked."""
+        where = self._write(prints, "prints")
+
+        def merge(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(batch):
+                return pd.DataFrame({"bucket": [], "blk": [], "prints": [], "twice": []})
+            values, twice = merged(batch)
+            twice = twice | among(values, merged(held)[0])
+            return pd.DataFrame({"bucket": batch["bucket"].iloc[:1].to_numpy(), "blk": np.int64(-1), "prints": [values.tobytes()], "twice": [twice.tobytes()]})
+
+        both = self._read(where).groupBy("bucket").cogroup(self.history().groupBy("bucket"))
+        self.runs.append(self._write(both.applyInPandas(merge, PACKED).sortWithinPartitions("bucket"), "run"))
+        self.batches.append({"prints": where} | ({"texts": [dealt.path, dealt.files, dealt.kind]} if dealt else {}))
+        if len(self.runs) > self.fanout:
+            self.compact()
+        self.save()
 
-    def __init__(self, runs: list[DataFrame] | None = None, fanout: int = 4):
-        self.runs, self.fanout = list(runs or []), fanout
+    def compact(self) -> None:
+        """Merges all runs into one; the old ones go once the manifest names the new one."""
+        if len(self.runs) < 2:
+            return
 
-    @staticmethod
-    def _run(prints: DataFrame) -> DataFrame:
         def merge(rows: pd.DataFrame) -> pd.DataFrame:
             values, marks = merged(rows)
             return pd.DataFrame({"bucket": rows["bucket"].iloc[:1].to_numpy(), "blk": np.int64(-1), "prints": [values.tobytes()], "twice": [marks.tobytes()]})
 
-        return written(prints.groupBy("bucket").applyInPandas(merge, PACKED).sortWithinPartitions("bucket"), "run")
-
-    def add(self, prints: DataFrame) -> None:
-        """Writes the run of a batch; more than `fanout` runs are merged into one."""
-        self.runs.append(self._run(prints))
-        if len(self.runs) > self.fanout:
-            self.compact()
-
-    def compact(self) -> None:
-        if len(self.runs) > 1:
-            both = self.runs[0]
-            for r in self.runs[1:]:
-                both = both.unionByName(r)
-            self.runs = [self._run(both)]
+        old, self.runs = self.runs, [self._write(self.history().groupBy("bucket").applyInPandas(merge, PACKED).sortWithinPartitions("bucket"), "run")]
+        self.save()
+        for path in old:
+            remove(self.spark, path)
 
     def repeated(self, prints: DataFrame) -> DataFrame:
-        """For each packed row of prints, bits for those fingerprints that the runs hold twice or more."""
-        history = self.runs[0]
-        for r in self.runs[1:]:
-            history = history.unionByName(r)
+        """For each packed row of prints, bits for those fingerprints that the runs hold twice or more; rows without such go."""
 
         def look_up(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            return answer(asked, *merged(held))
+            values, marks = merged(held)
+            return answer(asked, values[marks])
 
-        return prints.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInPandas(look_up, "blk long, bucket int, bits binary")
+        return prints.groupBy("bucket").cogroup(self.history().groupBy("bucket")).applyInPandas(look_up, "blk long, bucket int, bits binary")
 
+    def drop(self) -> None:
+        remove(self.spark, self.path)
 
-def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """key, text and blk of each document, and the number of buckets for a corpus of this size."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(16, math.ceil(total / BLOCK_BYTES))
-    blk = F.pmod(F.xxhash64(F.lit(3), key, text), F.lit(n)).cast("long")
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), blk.alias("blk")), max(8, math.ceil(total / BUCKET_BYTES))
+
+def buckets_for(docs: DataFrame, text: str = "text") -> int:
+    return max(8, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / BUCKET_BYTES))
 
 
 def fingerprints(dealt: DataFrame, buckets: int) -> DataFrame:
@@ -171,18 +265,28 @@ def fingerprints(dealt: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("blk").applyInPandas(pack, PACKED)
 
 
-def remove(dealt: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
-    """key, n_words, n_removed and kept (the words left, one space between) of each dealt document."""
+def candidates(dealt: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """The packed whole hashes of the windows whose fingerprints the replies mark; blocks without such are not read."""
 
     def verify(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
+        if not len(rows) or not len(told):
             return pd.DataFrame({"bucket": [], "blk": [], "prints": [], "twice": []})
         block = Block(rows["text"])
         which = among(block.least, marked(block.chosen, told, buckets))
         return packed(int(rows["blk"].iloc[0]), block.wholes(which), buckets)
 
+    return dealt.groupBy("blk").cogroup(replies.groupBy("blk")).applyInPandas(verify, PACKED)
+
+
+def remove_windows(dealt: DataFrame, replies: DataFrame, buckets: int, kind: str, history: DataFrame | None = None) -> DataFrame:
+    """key, n_words, n_removed and kept (the words left, one space between) of each dealt document.
+
+    history: packed whole hashes of earlier batches' windows, which count as places too.
+    """
+
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        return answer(rows, *merged(rows))
+        values, marks = merged(rows, WIDE)
+        return answer(rows[rows["blk"] >= 0], values[marks])
 
     def cut(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -204,23 +308,52 @@ def remove(dealt: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
             kept.append(b" ".join(words if not n else [w for w, g in zip(words, own.tolist()) if not g]).decode("utf-8", "replace"))
         return pd.DataFrame({"key": rows["key"].to_numpy(), "n_words": block.counts, "n_removed": lost, "kept": kept})
 
-    sent = dealt.groupBy("blk").cogroup(replies.groupBy("blk")).applyInPandas(verify, PACKED)
+    sent = candidates(dealt, replies, buckets)
+    sent = sent if history is None else sent.unionByName(history)
     proved = sent.groupBy("bucket").applyInPandas(judge, "blk long, bucket int, bits binary")
     told = replies.withColumn("step", F.lit(1)).unionByName(proved.withColumn("step", F.lit(2)))
-    kind = dealt.schema["key"].dataType.simpleString()
     return dealt.groupBy("blk").cogroup(told.groupBy("blk")).applyInPandas(cut, f"key {kind}, n_words long, n_removed long, kept string")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 3, index: WindowIndex | None = None) -> DataFrame:
     """One row for each document: its key, n_words, n_removed and kept.
 
-    The index is built from `batches` batches of blocks, each a run merged with those before it.
-    A null or empty text has no words and is kept as the empty text; equal rows cover each other;
-    an empty table gives no rows; other columns are not carried.
+    Without an index, docs are all there is: one is built from `batches` batches of blocks, each
+    merge-joined with the runs before it, and all are judged against all. With an index, docs are a new batch:
+    it is merge-joined with the runs of earlier batches, its windows that start elsewhere in it or
+    in their texts go from it, and it is added; what earlier batches returned stays as it was.
+
+    A null or empty text has no words and is kept as the empty text; texts are read whole; equal
+    rows cover each other; an empty table gives no rows; other columns are not carried.
     """
-    dealt, buckets = blocks(docs, key, text)
-    prints = written(fingerprints(dealt, buckets), "prints")
-    index = WindowIndex(fanout=1)
-    for b in range(batches):
-        index.add(prints.where(F.pmod(F.col("blk"), F.lit(batches)) == b))
-    return remove(dealt, written(index.repeated(prints), "replies"), buckets)
+    spark = docs.sparkSession
+    own = index is None
+    index = index or WindowIndex(spark, buckets=buckets_for(docs, text))
+    dealt = Dealt.of(docs, key, text)
+    prints = written(fingerprints(dealt.table, index.buckets), "prints")
+    old = list(index.batches)
+    if own:
+        for b in range(batches):
+            index.add(prints.where(F.pmod(F.col("blk"), F.lit(batches)) == b))
+    else:
+        index.add(prints, dealt)
+    replies = written(index.repeated(prints), "replies")
+    history = None if own else earlier(index, old, prints)
+    if own:
+        index.drop()
+    return remove_windows(dealt.table, replies, index.buckets, dealt.kind, history)
+
+
+def earlier(index: WindowIndex, batches: list[dict], prints: DataFrame) -> DataFrame:
+    """The packed whole hashes (blk -1) of windows of earlier batches whose fingerprints are among the new ones; only blocks that hold such are read."""
+
+    def shared(asked: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        return answer(asked, merged(new)[0])
+
+    out = index.spark.createDataFrame([], PACKED)
+    for b in batches:
+        texts = Dealt(index.spark, *b["texts"]).table
+        asked = index._read(b["prints"]).groupBy("bucket").cogroup(prints.groupBy("bucket"))
+        replies = written(asked.applyInPandas(shared, "blk long, bucket int, bits binary"), "earlier")
+        out = out.unionByName(candidates(texts, replies, index.buckets).withColumn("blk", F.lit(-1).cast("long")))
+    return out
