@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import tokens
-from spanframe.llm.common import bounded_batches, written
+from spanframe.llm.common import written
 from spanframe.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -281,7 +281,6 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame) -> DataFrame:
     """a, b, similarity of linked distinct texts (tid long, text); links within one class may be left out."""
-    bounded_batches(texts.sparkSession)
     sketch = F.pandas_udf(sketched, "sig binary, bands array<long>")
     sketches = written(texts.withColumn("s", sketch("text")).groupBy("tid").agg(F.first("s").alias("s")).select("tid", "s.sig", "s.bands"), "sketches")
     rows = sketches.select("tid", F.explode("bands").alias("bucket"))
@@ -313,24 +312,39 @@ def links(texts: DataFrame) -> DataFrame:
     return found.unionByName(written(dealt(crossing, parted, sets).mapInPandas(joining_of, found.schema), "joining"))
 
 
+def with_ids(docs: DataFrame, text: str) -> DataFrame:
+    """docs with tid, a hash of the text (null for null); texts that share a hash, as some of very many do, take another one."""
+    one, other = F.xxhash64(text), F.xxhash64(F.lit(43), text)
+    both = docs.where(F.col(text).isNotNull()).select(one.alias("__one"), other.alias("__other"))
+    shared = both.groupBy("__one").agg(F.min("__other").alias("low"), F.max("__other").alias("high")).where("low <> high")
+    shared = written(shared.select("__one"), "clashes")
+    if shared.isEmpty():
+        return docs.withColumn("tid", F.when(F.col(text).isNotNull(), one))
+    marked = docs.join(shared, F.col(text).isNotNull() & (one == F.col("__one")), "left")
+    return marked.withColumn("tid", F.when(F.col("__one").isNotNull(), other).when(F.col(text).isNotNull(), one)).drop("__one")
+
+
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with tid (of equal texts) and root (of near-duplicate texts): both null where the text is null.
 
     Equal texts are one class whatever their length; texts under five words are one shingle, and
-    texts without words are near nothing but their equals. A null text is in no class. Equal
-    rows are equal texts. An empty table gives no rows. Input columns named tid or root are replaced.
+    texts without words are near nothing but their equals. A null text is in no class. Texts are
+    read whole. Equal rows are equal texts. An empty table gives no rows. Input columns named tid or
+    root are replaced.
     """
-    docs = docs.drop("tid", "root")
-    tid = F.when(F.col(text).isNotNull(), F.xxhash64(text))
-    roots = components(links(docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("tid"), F.col(text).alias("text"))))
-    joined = docs.withColumn("tid", tid).join(roots, F.col("tid") == F.col("node"), "left")
-    return joined.select(*docs.columns, "tid", F.coalesce("root", "tid").alias("root"))
+    docs = with_ids(docs.drop("tid", "root"), text)
+    roots = components(links(docs.where("tid IS NOT NULL").select("tid", F.col(text).alias("text"))))
+    joined = docs.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col("tid") == F.col("__node"), "left")
+    return joined.select(*docs.columns, F.coalesce("__root", "tid").alias("root"))
 
 
 def survivors(classed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of each class, that of the least key, and every row without a class; tid and root go."""
+    """One row of each class, that of the least key (null last, ties by text id), and every row without a class; tid and root go.
+
+    Of rows equal in both any one stays; an empty table gives no rows.
+    """
     columns = [c for c in classed.columns if c not in ("tid", "root")]
     row = F.struct(*columns)
     # A minimum, not a window: combined before the shuffle, so large classes do no harm.
-    kept = classed.where("root IS NOT NULL").groupBy("root").agg(F.min_by(row, F.struct(F.col(key).isNull(), key, F.col("tid"))).alias("r")).select("r.*")
+    kept = classed.where("root IS NOT NULL").groupBy("root").agg(F.min_by(row, F.struct(F.col(key).isNull(), key, F.col("tid"))).alias("__r")).select("__r.*")
     return kept.unionByName(classed.where("root IS NULL").select(*columns))
