@@ -12,6 +12,7 @@ The file of the tokenizer is a parameter; it is read on the driver and sent to t
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 from collections.abc import Iterator
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import tokens
-from spanframe.llm.common import bounded_batches
 
 #: Fixed value: the pattern that splits text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded words and token borders a worker keeps; beyond, it starts anew. Of the trie only the walk's path is held.
-MOST_WORDS, MOST_PAIRS = 300_000, 200_000
+#: Bytes of encoded words (about, with what Python adds to each) and number of token borders that a worker keeps; beyond, it starts anew. Of the trie only the walk's path is held.
+MOST_BYTES, WORD_BYTES, MOST_PAIRS = 40 << 20, 240, 100_000
+#: Characters that are encoded at a time.
+RUN = 500_000
 FAR = 1 << 60
 
 
@@ -64,11 +66,11 @@ class TrieBpe:
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.beside: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
         self.start_anew()
 
     def start_anew(self) -> None:
         self.known = {s: np.array([i], "<u4").tobytes() for s, i in self.specials.items()}
+        self.held = 0
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether BPE leaves the border between the two tokens standing."""
@@ -128,6 +130,7 @@ class TrieBpe:
                 at -= len(token[last[at]])
             out.reverse()
             known[word] = pack(f"<{len(out)}I", *out)
+            self.held += WORD_BYTES + 2 * len(data) + 4 * len(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -142,15 +145,38 @@ class TrieBpe:
                 parts.append(self.split(t))
         here = set().union(*parts)
         fresh = {w for w in here if w not in self.known}
-        if len(self.known) + len(fresh) > MOST_WORDS:
+        if self.held + sum(WORD_BYTES + 3 * len(w) for w in fresh) > MOST_BYTES:
             self.start_anew()
             fresh = here - self.specials.keys()
         self.learn(fresh)
         known = self.known
         return [b"".join(map(known.__getitem__, words)) for words in parts]
 
+    def encode_long(self, text: str) -> bytes:
+        """The ids of a text of any length, some of it at a time."""
+        pieces_ = [text] if any(" " in s for s in self.specials) else cut(text)
+        return b"".join(self.encode([piece])[0] for piece in pieces_)
+
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        out, decoder, n = [], codecs.getincrementaldecoder("utf-8")("replace"), 4 * RUN
+        for at in range(0, len(ids), n):
+            out.append(decoder.decode(b"".join(map(self.token.__getitem__, np.frombuffer(ids[at : at + n], "<u4").tolist()))))
+        out.append(decoder.decode(b"", True))
+        return "".join(out)
+
+
+def cut(text: str, size: int = RUN) -> Iterator[str]:
+    """The text in pieces of about that size, cut where a pre-token must begin: before a single space between two other characters."""
+    at = 0
+    while len(text) - at > size:
+        to = at + size
+        while 0 < (to := text.find(" ", to)) and (to + 1 >= len(text) or text[to - 1].isspace() or text[to + 1].isspace()):
+            to += 1
+        if to <= 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
 
 
 _loaded: dict[str, TrieBpe] = {}
@@ -165,7 +191,7 @@ def loaded(spec: str) -> TrieBpe:
     return _loaded[name]
 
 
-def pieces(texts: pa.Array, rows: int = 1024, chars: int = 500_000) -> Iterator[list[str]]:
+def pieces(texts: pa.Array, rows: int = 1024, chars: int = RUN) -> Iterator[list[str]]:
     """The texts in runs of at most so many rows and, but for a single text, about so many characters."""
     run: list[str] = []
     size = 0
@@ -180,32 +206,35 @@ def pieces(texts: pa.Array, rows: int = 1024, chars: int = 500_000) -> Iterator[
         yield run
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """docs with ids (binary: little-endian unsigned 32-bit integers), n_tokens and decoded.
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", decoded: bool = True) -> DataFrame:
+    """docs with ids (binary: little-endian unsigned 32-bit integers), n_tokens and, if asked for, decoded.
 
     A null text counts as empty and has no ids; so does an empty one. Texts are taken whole,
-    whatever their length; equal rows get equal ids; an empty table gives no rows. Input columns
-    named like the added ones are replaced.
+    whatever their length, and encoded some of it at a time; a single word is held whole. Equal rows
+    get equal ids; an empty table gives no rows. Input columns named like the added ones are
+    replaced. Bound Arrow batches (common.bounded_batches) while it runs, as a batch is held as
+    texts, ids and decoded texts at once.
     """
     docs = docs.drop("ids", "n_tokens", "decoded")
-    # A batch is held as texts, ids and decoded texts at once.
-    bounded_batches(docs.sparkSession, "1MB")
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = ["ids", "n_tokens", *["decoded"] * decoded]
 
-    @F.arrow_udf("ids binary, n_tokens long, decoded string")
+    @F.arrow_udf("ids binary, n_tokens long" + ", decoded string" * decoded)
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(spec.value)
         for batch in batches:
             # Arrow arrays of each run, so that objects of one run only are alive.
-            ids, decoded = [pa.array([], pa.binary())], [pa.array([], pa.string())]
+            ids, back = [pa.array([], pa.binary())], [pa.array([], pa.string())]
             for run in pieces(batch):
-                ids.append(pa.array(bpe.encode(run), pa.binary()))
-                decoded.append(pa.array([bpe.decode(x.as_py()) for x in ids[-1]], pa.string()))
+                ids.append(pa.array([bpe.encode_long(run[0])] if len(run) == 1 else bpe.encode(run), pa.binary()))
+                if decoded:
+                    back.append(pa.array([bpe.decode(x.as_py()) for x in ids[-1]], pa.string()))
             coded_ids = pa.concat_arrays(ids)
             n_tokens = pc.divide(pc.binary_length(coded_ids), 4).cast(pa.int64())
-            yield pa.StructArray.from_arrays([coded_ids, n_tokens, pa.concat_arrays(decoded)], ["ids", "n_tokens", "decoded"])
+            yield pa.StructArray.from_arrays([coded_ids, n_tokens, *[pa.concat_arrays(back)] * decoded], names)
         bpe.start_anew()
+        bpe.beside.clear()
         tokens.rest()
 
-    return docs.withColumn("__c", coded(F.col(text))).select(*docs.columns, "__c.ids", "__c.n_tokens", "__c.decoded")
+    return docs.withColumn("__c", coded(F.col(text))).select(*docs.columns, *[f"__c.{n}" for n in names])
