@@ -36,7 +36,11 @@ def measures(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 4000, seed: int = 37) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (bias first), means and scales, from `most` labelled rows at most, drawn by a hash of the key."""
+    """Weights (bias first), means and scales, from `most` labelled rows at most, drawn by a hash of the key.
+
+    Null keys and labels aren't learned from; of several rows with a key each counts; without both
+    labels the weights are zero, so that all evidence is one half.
+    """
     good = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("double").alias("__y"))
     n = good.count()
     good = good.where(unit_hash(seed, F.col("__k")) < min(1.0, 1.05 * most / max(n, 1))).orderBy(F.xxhash64(F.lit(seed), "__k")).limit(most)
@@ -56,7 +60,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with p_doc, in (0, 1); a null text counts as empty."""
+    """docs with p_doc, in (0, 1).
+
+    A null text counts as empty; texts are measured whole; equal texts get equal evidence; an
+    empty table gives no rows; an input column named p_doc is replaced.
+    """
     w, mean, scale = model
     docs = docs.drop("p_doc")
     z = F.lit(float(w[0]))
@@ -78,22 +86,34 @@ def site_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def combine(classified: DataFrame, site: str, path: str) -> DataFrame:
-    """classified with site_post, path_post and score. Null sites and paths are groups like any other."""
+    """classified with site_post, path_post and score.
+
+    Null sites and paths are groups like any other; ties don't arise; equal rows get equal scores;
+    an empty table gives no rows; input columns named like the added ones are replaced.
+    """
     out = classified.drop("site_post", "path_post", "score")
-    paths = classified.groupBy(F.col(site).alias("s"), F.col(path).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum("p_doc").alias("p"))
-    sites = paths.groupBy("s").agg(F.sum("n").alias("sn"), F.sum("p").alias("sp"))
-    top = sites.agg(F.sum("sn").alias("n"), F.sum("sp").alias("p"), F.count(F.lit(1)).alias("k"), F.var_pop(F.col("sp") / F.col("sn")).alias("v")).first()
+    paths = classified.groupBy(F.col(site).alias("__s"), F.col(path).alias("__t")).agg(F.count(F.lit(1)).alias("__n"), F.sum("p_doc").alias("__p"))
+    sites = paths.groupBy("__s").agg(F.sum("__n").alias("sn"), F.sum("__p").alias("sp"))
+    top = sites.agg(F.sum("sn").alias("n"), F.sum("sp").alias("p"), F.count(F.lit(1)).alias("k"), F.var_pop(F.col("sp") / F.col("sn")).alias("v"), F.avg(1 / F.col("sn")).alias("thin")).first()
     if not top["n"]:
         return out.withColumns({"site_post": F.lit(0.5), "path_post": F.lit(0.5), "score": F.col("p_doc")})
     mean = min(max(top["p"] / top["n"], 1e-6), 1 - 1e-6)
-    k_site = strength(top["k"], mean, top["v"] or 0.0)
-    sites = sites.withColumn("site_post", (F.col("sp") + k_site * mean) / (F.col("sn") + k_site))
-    placed = paths.join(sites.select(F.col("s").alias("s2"), "site_post"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    within = placed.agg(F.count(F.lit(1)), F.avg(F.pow(F.col("p") / F.col("n") - F.col("site_post"), 2))).first()
-    k_path = strength(within[0], mean, within[1] or 0.0)
-    joined = out.join(placed, F.col(site).eqNullSafe(F.col("s")) & F.col(path).eqNullSafe(F.col("t")))
+    # What sampling alone would spread the means of so small groups by is no spread between them.
+    k_site = strength(top["k"], mean, (top["v"] or 0.0) - mean * (1 - mean) * top["thin"])
+    sites = sites.withColumn("__site_post", (F.col("sp") + k_site * mean) / (F.col("sn") + k_site))
+    placed = paths.join(sites.select(F.col("__s").alias("s2"), "__site_post"), F.col("__s").eqNullSafe(F.col("s2"))).drop("s2")
+    within = placed.agg(F.count(F.lit(1)), F.avg(F.pow(F.col("__p") / F.col("__n") - F.col("__site_post"), 2)), F.avg(1 / F.col("__n"))).first()
+    k_path = strength(within[0], mean, (within[1] or 0.0) - mean * (1 - mean) * within[2])
+    joined = out.join(placed, F.col(site).eqNullSafe(F.col("__s")) & F.col(path).eqNullSafe(F.col("__t")))
     logit = lambda x: F.log(x / (1 - x))
-    others = (F.col("p") - F.col("p_doc") + k_path * F.col("site_post")) / (F.col("n") - 1 + k_path)
+    others = (F.col("__p") - F.col("p_doc") + k_path * F.col("__site_post")) / (F.col("__n") - 1 + k_path)
     others = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), others))
     z = logit(F.col("p_doc")) + logit(others) - float(np.log(mean / (1 - mean)))
-    return joined.select(*out.columns, "site_post", ((F.col("p") + k_path * F.col("site_post")) / (F.col("n") + k_path)).alias("path_post"), (1 / (1 + F.exp(-z))).alias("score"))
+    path_post = (F.col("__p") + k_path * F.col("__site_post")) / (F.col("__n") + k_path)
+    return joined.select(*out.columns, F.col("__site_post").alias("site_post"), path_post.alias("path_post"), (1 / (1 + F.exp(-z))).alias("score"))
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles, comments and tags; null for null."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*>|<!--.*?-->", " ")
+    return F.regexp_replace(bare, r"<[^<>]*+>", " ")
