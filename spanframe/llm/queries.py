@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
 from spanframe.llm import ann, bpe, langid, mixing, neardup, pii, quality_prior, quality_rules, sharding, substrings
-from spanframe.llm.common import table, written
+from spanframe.llm.common import shared_path, table, written
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    """Read back from the shards that the operator has written."""
+    sharded = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    docs = sharding.write_shards(sharded, shared_path(spark, "shards"))
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id has no remainder: it is neither held out nor learned from."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = langid.fit(docs, ~held_out)
-    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    predicted = langid.predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return written(predicted, "languages")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +42,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Texts are read once, for their sizes and hashes; the mix itself works on those."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = written(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n"), F.xxhash64("text").alias("h")), "words")
+    return mixing.mix(sizes, size=F.col("n"), content=F.col("h")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +71,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return written(coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")), "tokens")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites are the sources of documents, paths their languages."""
+    """Documents have no URL: sites are their sources, paths their languages. quality_of_pages has hosts and paths."""
     docs = table(spark, sf_dir, "documents")
     model = quality_prior.fit(docs, table(spark, sf_dir, "labels"))
     evidence = written(quality_prior.classify(docs, model).select("doc_id", "source", "lang", "p_doc"), "evidence")
@@ -77,5 +83,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_doc", "site_post", "path_post", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier)}
+def quality_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op10 over web pages: fitted on labelled documents, sites are hosts, paths the first part of the URL's path."""
+    model = quality_prior.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    host, path = quality_prior.site_and_path(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.regexp_extract(path, "^/([^/]*)/", 1).alias("path"), quality_prior.page_text(F.col("html")).alias("text"))
+    evidence = written(quality_prior.classify(pages, model).drop("text"), "evidence")
+    return quality_prior.combine(evidence, "host", "path").select("page_id", "host", "path", "p_doc", "site_post", "path_post", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier, quality_of_pages)}
 ORACLES: dict[str, str] = {}
