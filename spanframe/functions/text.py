@@ -9,7 +9,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CJK = r"\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}"
+from spanframe.functions.distance import edit_distance
+
+#: Characters between which blanks are dropped, what separates terms, a loop, punctuation that a long text must have, numerals.
+_CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3000}-\x{303F}\x{FF01}-\x{FF60}"
+_SEPARATORS = r"[\s、，,・･/／;；]+"
+_LOOP = r"(?s)(.{1,20}?)\1{5,}"
+_PUNCT = "、。，．,.!?！？"
+NUMERALS = r"[0-9０-９]+(?:[.,．，][0-9０-９]+)?|[〇一二三四五六七八九十百千万億兆]+"
 
 #: Names and codes of languages.
 LANGUAGES = {
@@ -35,6 +42,18 @@ def language_name(label: Column) -> Column:
     return F.coalesce(known, F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substr(first, F.lit(2)))), F.lit(""))
 
 
+def whole_ms(seconds: Column) -> Column:
+    """Seconds, not below zero, as whole milliseconds; halves go to the even one."""
+    return F.rint(F.greatest(seconds.cast("double"), F.lit(0.0)) * 1000).cast("bigint")
+
+
+def duration(seconds: Column) -> Column:
+    """12.3秒 below a minute, else minutes or hours with whole seconds."""
+    s = F.rint(seconds.cast("double")).cast("bigint")
+    long_ = F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
+    return F.when(seconds < 60, F.concat(F.format_string("%.1f", F.bround(seconds.cast("double"), 1)), F.lit("秒"))).otherwise(long_)
+
+
 def hms(ms: Column) -> Column:
     s = F.floor(F.greatest(ms, F.lit(0)) / 1000)
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
@@ -60,22 +79,70 @@ def close_cjk_blanks(t: Column) -> Column:
 
 def collapse_repeats(t: Column, keep: int = 2) -> Column:
     """A run of six or more of the same 1 to 20 characters keeps `keep` of them."""
-    return F.regexp_replace(t, r"(?s)(.{1,20}?)\1{5,}", "$1" * keep)
+    return F.regexp_replace(t, _LOOP, "$1" * keep)
 
 
 def terms(t: Column) -> Column:
-    parts = F.split(t, r"[\s、，,・･/／;；]+")
+    parts = F.split(t, "(?U)" + _SEPARATORS)
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
-def context(label: Column, ts: Column) -> Column:
+def context(label: Column, ts: Column, extra: Column | None = None) -> Column:
+    """The terms framed by a label, then whatever else is to be said on a line of its own."""
     plain = label.rlike(r"^[\x00-\x7F]*$")
-    return F.when(F.size(ts) == 0, "").when(plain, F.concat(label, F.lit(": "), F.array_join(ts, ", "), F.lit("."))).otherwise(F.concat(label, F.lit(": "), F.array_join(ts, "、"), F.lit("。")))
+    head = F.when(label == "", "").otherwise(F.concat(label, F.lit(": ")))
+    framed = F.when(plain, F.concat(head, F.array_join(ts, ", "), F.lit("."))).otherwise(F.concat(head, F.array_join(ts, "、"), F.lit("。")))
+    parts = [F.when(F.size(ts) > 0, framed)]
+    if extra is not None:
+        parts.append(F.nullif(strip(F.coalesce(extra, F.lit(""))), F.lit("")))
+    return F.array_join(F.array_compact(F.array(*parts)), "\n")
+
+
+def strip(t: Column) -> Column:
+    """Without blanks of any script at either end."""
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+
+
+def escaped(t: Column) -> Column:
+    """Text for HTML."""
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        t = F.replace(t, F.lit(plain), F.lit(code))
+    return t
+
+
+def content_key(*cols: Column) -> Column:
+    """Sixteen hex digits that stand for the values, nulls included."""
+    return F.substring(F.sha1(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})), 1, 16)
+
+
+def joined_texts(parts: Column) -> Column:
+    """An array of texts as one: blanks at their ends go, empty ones too, and a space stands between ASCII letters or digits only."""
+    start = F.lit("")
+    add = lambda out, t: F.when(t == "", out).otherwise(F.concat(out, F.when(out.rlike("[0-9A-Za-z]$") & t.rlike("^[0-9A-Za-z]"), " ").otherwise(""), t))
+    return F.aggregate(F.transform(parts, lambda t: strip(F.coalesce(t, F.lit("")))), start, add)
 
 
 def cer(ref: Column, hyp: Column) -> Column:
     """Edit distance over the reference's length; an empty reference gives 0 for an empty hypothesis, else NaN."""
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(float("nan"))).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
+    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(float("nan"))).otherwise(distance(ref, hyp) / F.length(ref))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """The Levenshtein distance in code points; null for null. Bit-parallel, so that whole documents can be compared."""
+
+    def each(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else edit_distance(s, t) for s, t in zip(x, y)], dtype="Int64")
+
+    return F.pandas_udf(each, "bigint")(a, b)
+
+
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return pd.Series([unicodedata.normalize("NFKC", t or "") for t in texts], dtype=object)
+
+
+def nfkc(t: Column) -> Column:
+    """Compatibility forms of characters made plain; null is empty."""
+    return F.pandas_udf(_nfkc, "string")(t)
 
 
 def _normal(texts: pd.Series) -> pd.Series:
@@ -93,14 +160,38 @@ def normal_ascii(t: Column) -> Column:
 
 
 def occurrences(t: Column, term: Column) -> Column:
-    return F.expr("1") * (F.length(t) - F.length(F.replace(t, term, F.lit("")))) / F.length(term)
+    """How often the term is found in the text, without overlaps."""
+    return F.when(term == "", 0).otherwise(((F.length(t) - F.length(F.replace(t, term, F.lit("")))) / F.length(term)).cast("bigint"))
+
+
+def term_recall(ref: Column, hyp: Column, terms_: Column) -> Column:
+    """hit, total: how many of the terms of the reference the hypothesis has too. Texts and terms should be nfkc() forms."""
+    start = F.struct(F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("total"))
+
+    def add(s, t):
+        n = occurrences(ref, t).cast("bigint")
+        return F.struct((s["hit"] + F.least(n, occurrences(hyp, t).cast("bigint"))).alias("hit"), (s["total"] + n).alias("total"))
+
+    return F.aggregate(terms_, start, add)
+
+
+def multiset_recall(ref: Column, hyp: Column) -> Column:
+    """hit, total: the common elements of two arrays, each as often as in both, and the elements of the first."""
+    same = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    hit = F.aggregate(F.array_distinct(ref), F.lit(0), lambda n, x: n + F.least(same(ref, x), same(hyp, x)))
+    return F.struct(hit.cast("bigint").alias("hit"), F.size(ref).cast("bigint").alias("total"))
+
+
+def numerals(t: Column) -> Column:
+    """Arabic and kanji numerals of an nfkc() text, as they stand."""
+    return F.regexp_extract_all(t, F.lit(NUMERALS), F.lit(0))
 
 
 def plain_flags(text: Column, dur_ms: Column, speech_ms: Column, most_cps: int = 18) -> Column:
     """Those flags of quality_flags that SQL can express: empty, too_dense, no_punct."""
     core = core_len(text)
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
-    stops = F.length(text) - F.length(F.translate(text, "。、，．！？,.!?", ""))
+    stops = F.length(text) - F.length(F.translate(text, _PUNCT, ""))
     rest = F.array_compact(F.array(F.when((dur_ms > 0) & (core * 1000 > F.greatest(dur_ms, F.lit(1000)) * most_cps), F.lit("too_dense")), F.when((core > 150) & (stops < 3), F.lit("no_punct"))))
     return F.when(blank, F.when(speech_ms >= 2000, F.array(F.lit("empty"))).otherwise(F.array().cast("array<string>"))).otherwise(rest)
 
@@ -127,7 +218,7 @@ def quality_flags(text: Column, dur_ms: Column, speech_ms: Column, ctx_terms: Co
 
     ctx_terms is an array of the terms given as context, lang the language's name.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    t = strip(F.coalesce(text, F.lit("")))
     core, flag = core_len(t), lambda said, name: F.when(said, F.lit(name))
     flags = []
     if len(ctx_label) >= 2:
@@ -140,9 +231,9 @@ def quality_flags(text: Column, dur_ms: Column, speech_ms: Column, ctx_terms: Co
         echo = F.aggregate(by_length, start, step, lambda s: (s["hits"] >= 2) & (core_len(s["rest"]) <= F.greatest(F.lit(3), F.floor(core / 10))))
         flags.append(flag(echo, "context_echo"))
     flags.append(flag((dur_ms > 0) & (core * 1000 > F.greatest(dur_ms, F.lit(1000)) * most_cps), "too_dense"))
-    flags.append(flag(t.rlike(r"(?s)(.{1,20}?)\1{5,}") | ((F.length(t) >= 80) & (compression_ratio(t) > 3.2)), "repetition"))
+    flags.append(flag(t.rlike(_LOOP) | ((F.length(t) >= 80) & (compression_ratio(t) > 3.2)), "repetition"))
     if punctuates:
-        flags.append(flag((core > 150) & (F.length(t) - F.length(F.translate(t, "。、，．！？,.!?", "")) < 3), "no_punct"))
+        flags.append(flag((core > 150) & (F.length(t) - F.length(F.translate(t, _PUNCT, "")) < 3), "no_punct"))
     if lang is not None:
         foreign = F.lit(False)
         for name, script in _FOREIGN.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,9 @@ def islands(df: DataFrame, by: list[str], order: list[str], breaks, name: str) -
     return df.withColumn("__new", F.when(breaks, 1).otherwise(0)).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def normalize(df: DataFrame, by: list[str], total_ms: int | None = None, least_ms: int = 50, gap_ms: int = 0) -> DataFrame:
-    """Clips to [0, total], drops what is shorter than least_ms, then merges what overlaps, touches or lies within gap_ms."""
-    s, e = F.greatest(F.col("start_ms"), F.lit(0)), F.col("end_ms") if total_ms is None else F.least(F.col("end_ms"), F.lit(total_ms))
+def normalize(df: DataFrame, by: list[str], total_ms: int | Column | None = None, least_ms: int = 50, gap_ms: int = 0) -> DataFrame:
+    """Clips to [0, total] (a number or a column), drops what is shorter than least_ms, then merges what overlaps, touches or lies within gap_ms."""
+    s, e = F.greatest(F.col("start_ms"), F.lit(0)), F.col("end_ms") if total_ms is None else F.least(F.col("end_ms"), total_ms if isinstance(total_ms, Column) else F.lit(total_ms))
     cut = df.select(*by, s.alias("start_ms"), e.alias("end_ms")).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
     w = Window.partitionBy(*by).orderBy("start_ms", "end_ms").rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("__until", F.max("end_ms").over(w))
@@ -62,12 +62,14 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_ms: int = 600_000) -> DataFrame
     return both.withColumn("overlap_ms", F.least("end_ms", "b_end") - F.greatest("start_ms", "b_start"))
 
 
-def assign_speakers(words: DataFrame, turns: DataFrame, most_ms: int = 1000, longest_ms: int = 60_000, bin_ms: int = 600_000) -> DataFrame:
-    """words with the speaker of the turn that overlaps most (ties: earliest), else of the nearest within most_ms of the midpoint, else filled forward, then backward."""
+def assign_speakers(words: DataFrame, turns: DataFrame, most_ms: int = 1000, bin_ms: int = 120_000) -> DataFrame:
+    """words with the speaker of the turn that overlaps most (ties: earliest), else of the nearest within most_ms of the midpoint, else filled forward, then backward.
+
+    Words and turns meet in the time bins that both touch, turns widened by most_ms; meeting in several bins changes nothing.
+    """
     t = turns.where("end_ms > start_ms").select("file_id", F.col("speaker").alias("s"), F.col("pos").alias("p"), F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"))
-    reach = most_ms + longest_ms
-    t = binned(t, F.col("ts") - reach, F.col("te") + reach, bin_ms)
-    w = words.drop("speaker").withColumn("mid2", F.col("start_ms") + F.col("end_ms")).withColumn("bin", F.floor(F.col("mid2") / 2 / bin_ms))
+    t = binned(t, F.col("ts") - most_ms, F.col("te") + most_ms, bin_ms)
+    w = binned(words.drop("speaker").withColumn("mid2", F.col("start_ms") + F.col("end_ms")), F.col("start_ms"), F.greatest("start_ms", "end_ms"), bin_ms)
     both = w.join(t, ["file_id", "bin"], "left")
     shared = F.least("te", "end_ms") - F.greatest("ts", "start_ms")
     off = F.greatest(F.col("ts") * 2 - F.col("mid2"), F.col("mid2") - F.col("te") * 2, F.lit(0))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.functions.rewrite import PLAIN, Clean
 from spanframe.operators.intervals import islands
 
-#: What ends a sentence.
-ENDS_JA = r"[。！？!?][」』）)\]]*\s*$"
-ENDS_LATIN, ENDS_LAST = r"\.[\"')\]]*\s+$", r"\.[\"')\]]*\s*$"
+#: What ends a sentence (a period needs a blank after it, or the end), and what ends a clause.
+ENDS_JA = r"(?U)[。！？!?…‥]+[」』）)\]】〕”’\"']*\s*$"
+ENDS_LATIN, ENDS_LAST = r"(?U)[.．][」』）)\]】〕”’\"']*\s+$", r"(?U)[.．][」』）)\]】〕”’\"']*\s*$"
+ENDS_CLAUSE = r"(?U)[、，,;；:：][」』）)\]】〕”’\"']*\s*$"
 #: Fixed value: a word with the punctuation and blanks after it.
 TOKEN = r"[^、。！？!?,.，．\s\x{3000}]+[、。！？!?,.，．]*[\s\x{3000}]*"
 
@@ -26,10 +29,54 @@ def majority(df: DataFrame, by: list[str], label: str, weight, pos, least_share:
     return top.select(*by, F.when(F.col("t.w") >= least_share * F.col("all"), F.col(f"t.{label}")).alias(label), F.col("t.w").alias("weight"), F.col("all").alias("total"))
 
 
+def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows (file_id, pos) with a running number of their groups, which lie one after the other in pos."""
+    w = Window.partitionBy("file_id").orderBy("pos")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
+    return islands(rows.withColumn("__b", F.lag("pos").over(w).isNull() | ~same), ["file_id"], ["pos"], F.col("__b"), name).drop("__b")
+
+
+def pieces(rows: Column, size, most: int, after: bool, glue=None) -> Column:
+    """The piece (from 0) of each element of an array, filled greedily up to `most`.
+
+    after: a piece ends with the element that fills it; else it ends before the one that would
+    overfill it, and each element but a piece's first adds its glue to the piece's size.
+    """
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("piece"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, x):
+        n = size(x).cast("bigint")
+        if after:
+            full = s["n"] + n >= most
+            return F.struct(F.when(full, F.lit(0).cast("bigint")).otherwise(s["n"] + n).alias("n"), (s["piece"] + full.cast("int")).alias("piece"), F.concat(s["out"], F.array(s["piece"])).alias("out"))
+        fits = s["n"] + n <= most
+        piece = s["piece"] + (~fits).cast("int")
+        return F.struct(F.when(fits, s["n"] + glue(x).cast("bigint") + n).otherwise(n).alias("n"), piece.alias("piece"), F.concat(s["out"], F.array(piece)).alias("out"))
+
+    return F.aggregate(rows, start, step, lambda s: s["out"])
+
+
+def cut_groups(rows: DataFrame, group: str, total: Column, most: int, piece) -> DataFrame:
+    """Rows (file_id, pos, group, ...) with __piece: that of piece(array of their structs in order) where a group's total reaches `most`, else 0."""
+    w = Window.partitionBy("file_id", group)
+    marked = rows.withColumn("__total", F.sum(total).over(w))
+    short = marked.where(F.col("__total") < most).drop("__total").withColumn("__piece", F.lit(0))
+    long_ = marked.where(F.col("__total") >= most).groupBy("file_id", group).agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in rows.columns if c not in ("file_id", "pos", group)]))).alias("rows"))
+    long_ = long_.select("file_id", group, F.explode(F.arrays_zip("rows", piece(F.col("rows")).alias("piece"))).alias("z"))
+    names = [F.col(c) if c in ("file_id", group) else F.col(f"z.rows.{c}").alias(c) for c in rows.columns]
+    return short.unionByName(long_.select(*names, F.col("z.piece").alias("__piece")))
+
+
 def sentence_ids(words: DataFrame, pause_ms: int = 1500, most_chars: int | None = 150, on_speaker: bool = True) -> DataFrame:
-    """words with sent_id: breaks before a pause or change of speaker, after a sentence's end or most_chars characters."""
+    """words with sent_id: breaks before a pause or change of speaker, after a sentence's end or most_chars characters.
+
+    Pauses, speakers and ends cut a file without regard to what came before; only sentences that reach
+    most_chars are folded, each for itself.
+    """
     w = Window.partitionBy("file_id").orderBy("pos")
-    last = F.lead("word").over(w).isNull()
+    last = F.lead("pos").over(w).isNull()
     marked = words.withColumn("__end", ends_sentence(F.col("word"), last)).withColumn("__prev", F.lag("__end").over(w))
     new = F.col("__prev").isNull() | F.col("__prev") | (F.col("start_ms") - F.lag("end_ms").over(w) > pause_ms)
     if on_speaker:
@@ -37,45 +84,37 @@ def sentence_ids(words: DataFrame, pause_ms: int = 1500, most_chars: int | None
     marked = islands(marked.withColumn("__b", new), ["file_id"], ["pos"], F.col("__b"), "sent_id").drop("__b", "__end", "__prev")
     if most_chars is None:
         return marked
-    cap = int(most_chars)
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("pos")
-        out, n, before, size, full = [], 0, None, 0, False
-        for s, word in zip(batch["sent_id"], batch["word"]):
-            if s != before or full:
-                n, size = n + 1, 0
-            size += len(word)
-            before, full = s, size >= cap
-            out.append(n)
-        return batch.assign(sent_id=out)
+    cut = cut_groups(marked, "sent_id", F.length("word"), most_chars, lambda rows: pieces(rows, lambda x: F.length(x["word"]), most_chars, True))
+    return numbered(cut.withColumnRenamed("sent_id", "__sent"), ["__sent", "__piece"], "sent_id").drop("__sent", "__piece")
 
-    return marked.groupBy("file_id").applyInPandas(fold, marked.schema)
 
-
-def sentences(with_ids: DataFrame) -> DataFrame:
-    """file_id, sent_id, start_ms, end_ms, speaker (of the first word), n_words, text; empty texts go."""
+def sentences(with_ids: DataFrame, clean: Clean = PLAIN) -> DataFrame:
+    """file_id, sent_id, start_ms, end_ms, speaker (of the first word), n_words, text (cleaned); empty texts go."""
     rows = F.array_sort(F.collect_list(F.struct("pos", "word")))
-    out = with_ids.groupBy("file_id", "sent_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("speaker", "pos").alias("speaker"), F.count(F.lit(1)).alias("n_words"), F.trim(F.array_join(F.transform(rows, lambda x: x["word"]), "")).alias("text"))
-    return out.where("text <> ''")
+    out = with_ids.groupBy("file_id", "sent_id").agg(F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.min_by("speaker", "pos").alias("speaker"), F.count(F.lit(1)).alias("n_words"), F.array_join(F.transform(rows, lambda x: x["word"]), "").alias("text"))
+    return out.withColumn("text", clean(F.col("text"))).where("text <> ''")
 
 
 def paragraphs(sents: DataFrame, gap_ms: int = 3000, most_chars: int = 400) -> DataFrame:
-    """Sentences of one speaker joined while the gap and the length allow."""
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for r in batch.sort_values("sent_id").itertuples():
-            if rows and rows[-1][3] == r.speaker and r.start_ms - rows[-1][2] <= gap_ms and len(rows[-1][4]) + len(r.text) <= most_chars:
-                p = rows[-1]
-                glue = " " if p[4] and p[4][-1].isascii() and p[4][-1] not in ")]}" else ""
-                p[2], p[4] = r.end_ms, p[4] + glue + r.text
-            else:
-                rows.append([r.file_id, r.start_ms, r.end_ms, r.speaker, r.text])
-        return pd.DataFrame([[p[0], i, *p[1:]] for i, p in enumerate(rows)], columns=["file_id", "par_id", "start_ms", "end_ms", "speaker", "text"])
+    """Sentences of one speaker joined while the gap and the length allow; a space between, but not after 。！？!?」』 or beyond ASCII.
 
-    kind = sents.schema["file_id"].dataType.simpleString()
-    return sents.groupBy("file_id").applyInPandas(fold, f"file_id {kind}, par_id long, start_ms long, end_ms long, speaker string, text string")
+    The length is that of both texts without the space.
+    """
+    rows = sents.withColumnRenamed("sent_id", "pos").select("file_id", "pos", "start_ms", "end_ms", "speaker", "text")
+    w = Window.partitionBy("file_id").orderBy("pos")
+    before = F.lag(F.struct("end_ms", "speaker", "text")).over(w)
+    rows = rows.withColumn("__before", before)
+    new = F.col("__before").isNull() | ~F.col("__before.speaker").eqNullSafe(F.col("speaker")) | (F.col("start_ms") - F.col("__before.end_ms") > gap_ms)
+    tight = F.col("__before.text").rlike(r"(?:[。！？!?」』]|[^\x00-\x7F])$")
+    rows = rows.withColumns({"glue": F.when(new | tight, "").otherwise(" "), "__b": new}).drop("__before")
+    rows = islands(rows, ["file_id"], ["pos"], F.col("__b"), "__run").drop("__b")
+    # A run may reach the limit by its spaces too.
+    cut = cut_groups(rows, "__run", F.length("text") + 1, most_chars, lambda xs: pieces(xs, lambda x: F.length(x["text"]), most_chars, False, lambda x: F.length(x["glue"])))
+    cut = numbered(cut, ["__run", "__piece"], "par_id")
+    texts = F.array_sort(F.collect_list(F.struct("pos", "glue", "text")))
+    each = cut.groupBy("file_id", "par_id").agg(F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.min_by("speaker", "pos").alias("speaker"), texts.alias("rows"))
+    text = F.array_join(F.transform("rows", lambda x, i: F.concat(F.when(i == 0, "").otherwise(x["glue"]), x["text"])), "")
+    return each.select("file_id", (F.col("par_id") - 1).cast("bigint").alias("par_id"), "start_ms", "end_ms", "speaker", text.alias("text"))
 
 
 def cue_times(cues: DataFrame, order: str = "sent_id", pad_ms: int = 200, least_ms: int = 600) -> DataFrame:
@@ -86,11 +125,45 @@ def cue_times(cues: DataFrame, order: str = "sent_id", pad_ms: int = 200, least_
     return cues.withColumn("end_ms", F.greatest(end, F.col("start_ms") + 50))
 
 
-def speaker_names(words: DataFrame) -> DataFrame:
-    """file_id, speaker, name: letters by first appearance, numbers after 26."""
+def speaker_names(words: DataFrame, style: str = "話者A", mapping: str = "") -> DataFrame:
+    """file_id, speaker, name by first appearance.
+
+    style 話者A: letters, numbers after 26; S1: numbers; SPEAKER_00: the speaker itself. mapping renames:
+    a=b, c=d where a is a speaker or a name so far, one after the other, or names in the order of appearance.
+    """
     first = words.where("speaker IS NOT NULL").groupBy("file_id", "speaker").agg(F.min("pos").alias("first"))
     n = F.row_number().over(Window.partitionBy("file_id").orderBy("first"))
-    return first.withColumn("n", n).select("file_id", "speaker", F.concat(F.lit("話者"), F.when(F.col("n") <= 26, F.expr("chr(64 + n)")).otherwise(F.col("n").cast("string"))).alias("name"))
+    plain = {
+        "話者A": F.concat(F.lit("話者"), F.when(F.col("n") <= 26, F.expr("chr(64 + n)")).otherwise(F.col("n").cast("string"))),
+        "S1": F.concat(F.lit("S"), F.col("n").cast("string")), "SPEAKER_00": F.col("speaker"),
+    }
+    named = first.withColumn("n", n).withColumn("name", plain[style])
+    items = [x.strip() for x in re.split(r"[,、，\n]+", mapping) if x.strip()]
+    if items and all("=" in x or "＝" in x for x in items):
+        for x in items:
+            old, new = (y.strip() for y in re.split("[=＝]", x, maxsplit=1))
+            named = named.withColumn("name", F.when((F.col("speaker") == old) | (F.col("name") == old), new).otherwise(F.col("name")))
+    elif items:
+        named = named.withColumn("name", F.coalesce(F.get(F.array(*map(F.lit, items)), F.col("n") - 1), F.col("name")))
+    return named.select("file_id", "speaker", "name")
+
+
+def labelled(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with the speaker's name for the speaker; without a name it stays, null becomes empty."""
+    known = names.select("file_id", F.col("speaker").alias("__s"), F.col("name").alias("__name"))
+    out = rows.join(known, (rows["file_id"] == known["file_id"]) & (rows["speaker"] == known["__s"]), "left").drop(known["file_id"])
+    return out.withColumn("speaker", F.coalesce("__name", "speaker", F.lit(""))).select(*rows.columns)
+
+
+def fill(rows: DataFrame, by: list[str], order: list[str], column: str, back: bool = True) -> DataFrame:
+    """Nulls of a column take the last value before them, then (back) the next one after them."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn(column, F.coalesce(column, F.last(column, True).over(w)))
+    if back:
+        # As a running frame of the reversed order: a frame up to the end is computed anew for each row.
+        w = Window.partitionBy(*by).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(column, F.coalesce(column, F.last(column, True).over(w)))
+    return out
 
 
 def absorb_interruptions(words: DataFrame, most_words: int = 2, under_ms: int = 800) -> DataFrame:
@@ -128,7 +201,7 @@ def rest_lengths(words: DataFrame, gap_ms: int = 800) -> DataFrame:
     """words with rest: the characters that follow up to the end of the sentence or the next gap."""
     w = Window.partitionBy("file_id").orderBy("pos")
     following = F.lead("start_ms").over(w)
-    last = F.lead("word").over(w).isNull()
+    last = F.lead("pos").over(w).isNull()
     ended = words.withColumn("__end", last | ends_sentence(F.col("word"), last) | (following - F.col("end_ms") >= gap_ms))
     back = Window.partitionBy("file_id").orderBy(F.desc("pos"))
     ended = ended.withColumn("__s", F.sum(F.col("__end").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, 0)))
@@ -136,20 +209,55 @@ def rest_lengths(words: DataFrame, gap_ms: int = 800) -> DataFrame:
     return ended.withColumn("rest", F.coalesce(F.sum(F.length("word")).over(own), F.lit(0)).cast("bigint")).drop("__end", "__s")
 
 
+#: Elements whose sums are added one by one; sums of so many are kept.
+_STEP = 32
+
+
+def running(weights: Column) -> Column:
+    """The running sums of an array, without an array being built element by element."""
+
+    def made(ws):
+        total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / _STEP).cast("int"))
+        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out"))
+        firsts = F.aggregate(blocks, start, lambda a, k: F.struct((a["n"] + total(F.slice(ws, k * _STEP + 1, _STEP))).alias("n"), F.concat(a["out"], F.array(a["n"])).alias("out")), lambda a: a["out"])
+        each = lambda heads: F.transform(ws, lambda x, i: F.get(heads, F.floor(i / _STEP).cast("int")) + total(F.slice(ws, F.floor(i / _STEP).cast("int") * _STEP + 1, i % _STEP + 1)))
+        return F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(let(firsts, each))
+
+    return let(weights, made)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def approx_array(text: Column, start_ms: Column, end_ms: Column, spans: Column) -> Column:
+    """Words of a text with times by their share of its characters, along the spans (array of struct s, e) within start and end; none: all of it.
+
+    An array of structs word, start_ms, end_ms, in whole milliseconds.
+    """
+    inside = F.filter(F.transform(spans, lambda x: F.struct(F.greatest(x["s"], start_ms).cast("double").alias("s"), F.least(x["e"], end_ms).cast("double").alias("e"))), lambda x: x["e"] > x["s"])
+    whole = F.array(F.struct(start_ms.cast("double").alias("s"), end_ms.cast("double").alias("e")))
+
+    def timed(given):
+        speech = F.aggregate(given, F.lit(0.0), lambda n, x: n + x["e"] - x["s"])
+
+        def at(share):
+            step = lambda a, x: F.when(a["t"].isNotNull(), a).when(a["x"] <= x["e"] - x["s"], F.struct(a["x"].alias("x"), (x["s"] + a["x"]).alias("t"))).otherwise(F.struct((a["x"] - (x["e"] - x["s"])).alias("x"), F.lit(None).cast("double").alias("t")))
+            return F.floor(F.aggregate(given, F.struct((share * speech).alias("x"), F.lit(None).cast("double").alias("t")), step, lambda a: F.coalesce(a["t"], F.element_at(given, -1)["e"])) + 0.5)
+
+        def of_words(ws):
+            weights = F.transform(ws, lambda x: F.greatest(F.lit(1), F.length(F.regexp_replace(x, r"[^\p{L}\p{N}']", ""))).cast("bigint"))
+            spot = lambda sums, x, i: F.struct(x.alias("word"), at(F.coalesce(F.get(sums, i - 1), F.lit(0)) / F.element_at(sums, -1)).alias("start_ms"), at(F.get(sums, i) / F.element_at(sums, -1)).alias("end_ms"))
+            return let(running(weights), lambda sums: F.transform(ws, lambda x, i: spot(sums, x, i)))
+
+        return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), of_words)
+
+    return let(F.when(F.size(inside) > 0, inside).otherwise(whole), timed)
+
+
 def approx_tokens(clips: DataFrame, key: str = "clip_id") -> DataFrame:
-    """Words of each clip's text timed by their share of its characters, along its speech (spans: array of struct s, e; none: the whole clip)."""
-    spans = F.filter(F.transform("spans", lambda x: F.struct(F.greatest(x["s"], F.col("start_ms")).cast("double").alias("s"), F.least(x["e"], F.col("end_ms")).cast("double").alias("e"))), lambda x: x["e"] > x["s"])
-    whole = F.array(F.struct(F.col("start_ms").cast("double").alias("s"), F.col("end_ms").cast("double").alias("e")))
-    clips = clips.select(key, "text", spans.alias("spans"), whole.alias("whole"))
-    each = clips.select(key, F.when(F.size("spans") > 0, F.col("spans")).otherwise(F.col("whole")).alias("spans"), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("i", "word"))
-    each = each.withColumn("w", F.greatest(F.lit(1), F.length(F.regexp_replace("word", r"[^\p{L}\p{N}']", ""))))
-    one = Window.partitionBy(key)
-    to = F.sum("w").over(one.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    each = each.withColumns({"to": to, "all": F.sum("w").over(one), "speech": F.aggregate("spans", F.lit(0.0), lambda n, x: n + x["e"] - x["s"])})
-
-    def at(acc: Column) -> Column:
-        step = lambda a, x: F.when(a["t"].isNotNull(), a).when(a["x"] <= x["e"] - x["s"], F.struct(a["x"].alias("x"), (x["s"] + a["x"]).alias("t"))).otherwise(F.struct((a["x"] - (x["e"] - x["s"])).alias("x"), F.lit(None).cast("double").alias("t")))
-        start = F.struct((acc / F.col("all") * F.col("speech")).alias("x"), F.lit(None).cast("double").alias("t"))
-        return F.floor(F.aggregate("spans", start, step, lambda a: F.coalesce(a["t"], F.element_at("spans", -1)["e"])) + 0.5)
-
-    return each.select(key, F.col("i").cast("bigint").alias("i"), "word", at(F.col("to") - F.col("w")).alias("start_ms"), at(F.col("to")).alias("end_ms"))
+    """Words of each clip's text (start_ms, end_ms, spans) as rows: key, i, word, start_ms, end_ms; see approx_array. Nothing is shuffled."""
+    words = approx_array(F.col("text"), F.col("start_ms"), F.col("end_ms"), F.col("spans"))
+    return clips.select(key, F.posexplode(words).alias("i", "w")).select(key, F.col("i").cast("bigint").alias("i"), "w.word", "w.start_ms", "w.end_ms")

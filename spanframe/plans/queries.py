@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import text as T
 from spanframe.operators import intervals as I
+from spanframe.operators import clips as C
 from spanframe.operators import sequences as S
+from spanframe.operators import tables as B
 from spanframe.sources import adapters as A
 from spanframe.sources import sinks
 
@@ -16,12 +18,12 @@ WORDS = r"""w0 AS (SELECT conv_id AS file_id, turn, role AS speaker, unnest(l) A
 w1 AS (SELECT *, row_number() OVER o AS pos, coalesce(sum(length(word)) OVER (PARTITION BY file_id ORDER BY turn, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w0 WINDOW o AS (PARTITION BY file_id ORDER BY turn, i)),
 words AS (SELECT file_id, pos, turn, speaker, word, CAST(b * 10 + turn * 1000 AS BIGINT) AS start_ms, CAST(b * 10 + turn * 1000 + length(regexp_replace(word, '\s+$', '')) * 10 AS BIGINT) AS end_ms FROM w1)"""
 CLIPS = "clips AS (SELECT doc_id AS clip_id, text, lang, d AS dur_ms, d * 4 // 5 AS speech_ms FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN n_chars * 40 ELSE CAST(floor(n_chars * 1000 / 15) AS BIGINT) END AS d FROM documents))"
-PAIRS = "pairs AS (SELECT doc_id, b.text AS ref, d.text AS hyp FROM documents d JOIN benchmark b ON item_id = doc_id % 40)"
+PAIRS = "pairs AS (SELECT doc_id, b.text AS ref, d.text AS hyp FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark))"
 MERGED = "m0 AS (SELECT *, max(end_ms) OVER (PARTITION BY file_id, speaker ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM turns WHERE end_ms - start_ms >= 50), m1 AS (SELECT *, sum(CASE WHEN u IS NULL OR start_ms > u THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, speaker ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS g FROM m0), merged AS (SELECT file_id, speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM m1 GROUP BY file_id, speaker, g)"
-SENTS = r"""s0 AS (SELECT *, regexp_matches(word, '[。！？!?][」』）)\]]*\s*$') OR regexp_matches(word, '\.["'')\]]*\s+$') OR (lead(word) OVER o IS NULL AND regexp_matches(word, '\.["'')\]]*\s*$')) AS e, lag(speaker) OVER o AS ps, lag(end_ms) OVER o AS pe FROM words WINDOW o AS (PARTITION BY file_id ORDER BY pos)),
+SENTS = r"""s0 AS (SELECT *, regexp_matches(word, '[。！？!?…‥]+[」』）)\]】〕”’"'']*\s*$') OR regexp_matches(word, '[.．][」』）)\]】〕”’"'']*\s+$') OR (lead(word) OVER o IS NULL AND regexp_matches(word, '[.．][」』）)\]】〕”’"'']*\s*$')) AS e, lag(speaker) OVER o AS ps, lag(end_ms) OVER o AS pe FROM words WINDOW o AS (PARTITION BY file_id ORDER BY pos)),
 s1 AS (SELECT *, lag(e) OVER (PARTITION BY file_id ORDER BY pos) AS le FROM s0),
 s2 AS (SELECT *, sum(CASE WHEN le IS NULL OR le OR start_ms - pe > 1500 OR speaker IS DISTINCT FROM ps THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sent_id FROM s1),
-sents AS (SELECT file_id, sent_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_min(speaker, pos) AS speaker, count(*) AS n_words, trim(string_agg(word, '' ORDER BY pos)) AS text FROM s2 GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY file_id, sent_id")
+sents AS (SELECT file_id, sent_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_min(speaker, pos) AS speaker, count(*) AS n_words, trim(string_agg(word, '' ORDER BY pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM s2 GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY file_id, sent_id")
 #: Words whose speaker flickers: every word of a length divisible by five is someone else's.
 FLICKER = "flicker AS (SELECT * REPLACE (CASE WHEN length(word) % 5 = 0 THEN 'x' ELSE speaker END AS speaker) FROM words)"
 ABSORB = """r0 AS (SELECT *, CASE WHEN lag(pos) OVER o IS NULL OR lag(speaker) OVER o IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS b FROM {0} WINDOW o AS (PARTITION BY file_id ORDER BY pos)),
@@ -46,6 +48,11 @@ def query(sql: str | None = None):
     return keep
 
 
+def _spread(spark, pairs):
+    """Pairs dealt evenly, as comparing them takes far longer than sending them."""
+    return pairs.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def _sentences(spark, d):
     return S.sentences(S.sentence_ids(A.words(spark, d), most_chars=None))
 
@@ -78,9 +85,8 @@ def f8_overlap_regions(spark, d):
 @query(f"WITH {TURNS}, w AS (SELECT file_id, pos, start_ms + 5000 AS start_ms, start_ms + 5400 AS end_ms FROM turns), t AS (SELECT * FROM turns WHERE end_ms > start_ms), j AS (SELECT w.file_id, w.pos, w.start_ms, w.end_ms, t.speaker, t.start_ms AS ts, t.pos AS tp, least(t.end_ms, w.end_ms) - greatest(t.start_ms, w.start_ms) AS o, greatest(2 * t.start_ms - w.start_ms - w.end_ms, w.start_ms + w.end_ms - 2 * t.end_ms, 0) AS far FROM w LEFT JOIN t USING (file_id)), g AS (SELECT file_id, pos, start_ms, end_ms, coalesce(arg_min(speaker, (-o, ts, tp)) FILTER (o > 0), arg_min(speaker, (far, ts, tp)) FILTER (far <= 2000)) AS s FROM j GROUP BY file_id, pos, start_ms, end_ms), f AS (SELECT *, coalesce(s, last_value(s IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY start_ms, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS s1 FROM g) SELECT file_id, pos, start_ms, end_ms, coalesce(s1, first_value(s1 IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY start_ms, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS speaker FROM f")
 def d1_assign_speakers(spark, d):
     t = A.turns(spark, d)
-    longest = t.agg(F.max(F.col("end_ms") - F.col("start_ms"))).first()[0] or 0
     spoken = t.select("file_id", "pos", "speaker", (F.col("start_ms") + 5000).alias("start_ms"), (F.col("start_ms") + 5400).alias("end_ms"))
-    return I.assign_speakers(spoken, t, longest_ms=int(longest))
+    return I.assign_speakers(spoken, t)
 
 
 @query(f"WITH {TURNS}, {MERGED}, h AS (SELECT DISTINCT file_id, start_ms // 3600000 AS hour FROM turns) SELECT h.file_id, hour, CAST(coalesce(sum(least(end_ms, (hour + 1) * 3600000) - greatest(start_ms, hour * 3600000)), 0) AS BIGINT) AS speech_ms FROM h LEFT JOIN merged m ON h.file_id = m.file_id AND m.start_ms < (hour + 1) * 3600000 AND m.end_ms > hour * 3600000 GROUP BY h.file_id, hour")
@@ -96,23 +102,22 @@ def d5_speech_in(spark, d):
 def c1_c2_ownership(spark, d):
     near = F.expr("start_ms div 5000")
     c = A.words(spark, d).withColumn("clip", F.explode(F.array(near - 1, near, near + 1)))
-    mid2 = F.col("start_ms") + F.col("end_ms")
-    c = c.where((mid2 >= F.col("clip") * 10000) & (mid2 < F.col("clip") * 10000 + 10000))
-    s = F.greatest("start_ms", F.col("clip") * 5000 - 500)
-    return c.select("file_id", "pos", "clip", s.alias("start_ms"), F.least(F.greatest(F.col("end_ms"), s), F.col("clip") * 5000 + 5500).alias("end_ms"))
+    c = c.where(C.owns(F.col("start_ms"), F.col("end_ms"), F.col("clip") * 5000, F.col("clip") * 5000 + 5000))
+    start, end = C.clamp(F.col("start_ms"), F.col("end_ms"), F.col("clip") * 5000 - 500, F.col("clip") * 5000 + 5500)
+    return c.select("file_id", "pos", "clip", start.alias("start_ms"), end.alias("end_ms"))
 
 
 @query("SELECT doc_id, quality IS NULL AS fresh FROM documents LEFT JOIN labels USING (doc_id)")
 def d3_resume(spark, d):
     docs, done = A.table(spark, d, "documents").select("doc_id"), A.table(spark, d, "labels").select("doc_id")
-    fresh = docs.join(done, "doc_id", "left_anti").withColumn("fresh", F.lit(True))
+    fresh = B.unfinished(docs, done, "doc_id").withColumn("fresh", F.lit(True))
     return fresh.unionByName(docs.join(done, "doc_id", "left_semi").withColumn("fresh", F.lit(False)))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 3)")
 def d4_skip_complete(spark, d):
-    whole = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_returnflag").alias("n")).where("n = 3")
-    return A.table(spark, d, "orders").join(whole, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    outputs = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    return B.incomplete(A.table(spark, d, "orders").select("o_orderkey"), outputs, "o_orderkey", "l_returnflag", 3)
 
 
 @query("WITH v AS (SELECT l_orderkey, l_returnflag, sum(greatest(0.02, l_quantity)) AS w, min(l_linenumber) AS f FROM lineitem GROUP BY l_orderkey, l_returnflag), t AS (SELECT l_orderkey, arg_max(l_returnflag, (w, -f)) AS r, max(w) AS weight, sum(w) AS total FROM v GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN weight >= 0.6 * total THEN r END AS l_returnflag, weight, total FROM t")
@@ -147,45 +152,39 @@ def f12_speaker_names(spark, d):
 
 @query("SELECT event_id, last_value(CASE WHEN value > 50 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM events")
 def f20_forward_fill(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return A.table(spark, d, "events").select("event_id", F.last(F.when(F.col("value") > 50, F.col("event_type")), True).over(w).alias("filled"))
+    e = A.table(spark, d, "events").withColumn("filled", F.when(F.col("value") > 50, F.col("event_type")))
+    return S.fill(e, ["user_id"], ["ts", "event_id"], "filled", back=False).select("event_id", "filled")
 
 
 @query("SELECT conv_id, turn, CAST(sum(length(text) * 10 + 500) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - length(text) * 10 - 500 AS BIGINT) AS offset_ms FROM conversations")
 def f24_utterance_offsets(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.length("text") * 10 + 500
-    return A.table(spark, d, "conversations").select("conv_id", "turn", (F.sum(n).over(w) - n).alias("offset_ms"))
+    c = A.table(spark, d, "conversations").withColumn("n", F.length("text") * 10 + 500)
+    return B.offsets(c, ["conv_id"], ["turn"], "n", "offset_ms").select("conv_id", "turn", "offset_ms")
 
 
 @query(f"WITH {WORDS}, {SENTS} SELECT file_id, string_agg(n || chr(10) || {HMS.format('start_ms')} || ',' || lpad(CAST(start_ms % 1000 AS VARCHAR), 3, '0') || ' --> ' || {HMS.format('end_ms')} || ',' || lpad(CAST(end_ms % 1000 AS VARCHAR), 3, '0') || chr(10) || speaker || ': ' || text || chr(10), chr(10) ORDER BY n) AS srt FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY sent_id) AS n FROM sents WHERE text <> '') GROUP BY file_id")
 def b2_srt(spark, d):
-    s = _sentences(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy("sent_id")))
-    line = F.concat(F.col("n").cast("string"), F.lit("\n"), T.clock(F.col("start_ms")), F.lit(" --> "), T.clock(F.col("end_ms")), F.lit("\n"), F.col("speaker"), F.lit(": "), F.col("text"), F.lit("\n"))
-    return s.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("x")))), lambda x: x["x"]), "\n").alias("srt"))
+    return sinks.srt(_sentences(spark, d), "sent_id")
 
 
 @query(f"WITH {WORDS}, {SENTS} SELECT file_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({HMS.format('start_ms')} || '.' || lpad(CAST(start_ms % 1000 AS VARCHAR), 3, '0') || ' --> ' || {HMS.format('end_ms')} || '.' || lpad(CAST(end_ms % 1000 AS VARCHAR), 3, '0') || chr(10) || '<v ' || speaker || '>' || text || chr(10), chr(10) ORDER BY sent_id) AS vtt FROM sents WHERE text <> '' GROUP BY file_id")
 def b3_vtt(spark, d):
-    line = F.concat(T.clock(F.col("start_ms"), "."), F.lit(" --> "), T.clock(F.col("end_ms"), "."), F.lit("\n<v "), F.col("speaker"), F.lit(">"), F.col("text"), F.lit("\n"))
-    return _sentences(spark, d).groupBy("file_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", line.alias("x")))), lambda x: x["x"]), "\n")).alias("vtt"))
+    return sinks.vtt(_sentences(spark, d), "sent_id")
 
 
 @query(f"WITH {TURNS} SELECT pos, printf('SPEAKER %s 1 %d.%03d %d.%03d <NA> <NA> %s <NA> <NA>', file_id, start_ms // 1000, start_ms % 1000, (end_ms - start_ms) // 1000, (end_ms - start_ms) % 1000, regexp_replace(speaker, '\\s+', '_', 'g')) AS line FROM turns")
 def b7_rttm(spark, d):
-    n = F.col("end_ms") - F.col("start_ms")
-    return A.turns(spark, d).select("pos", F.format_string("SPEAKER %s 1 %d.%03d %d.%03d <NA> <NA> %s <NA> <NA>", "file_id", F.expr("start_ms div 1000"), F.col("start_ms") % 1000, F.floor(n / 1000), n % 1000, F.regexp_replace("speaker", r"\s+", "_")).alias("line"))
+    return sinks.rttm_lines(A.turns(spark, d)).select("pos", "line")
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def h1_first_of_equal(spark, d):
-    return A.table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return B.first_of_equal(A.table(spark, d, "documents"), ["text"], "doc_id").select("doc_id")
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 6")
 def g5_newest(spark, d):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return A.table(spark, d, "events").withColumn("n", n).where("n <= 6").select("event_id")
+    return B.newest(A.table(spark, d, "events"), ["user_id"], ["ts", "event_id"], 6).select("event_id")
 
 
 @query(r"SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS terms FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\s、，,・･/／;；]+'), lambda x: x <> '') AS l FROM conversations)")
@@ -211,14 +210,14 @@ def i9_collapse_repeats(spark, d):
 
 @query(f"WITH {PAIRS}, n AS (SELECT doc_id, regexp_replace(lower(ref), '[^a-z0-9]', '', 'g') AS r, regexp_replace(lower(hyp), '[^a-z0-9]', '', 'g') AS h FROM pairs) SELECT doc_id, CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0 ELSE 'nan'::DOUBLE END ELSE levenshtein(r, h) / length(r) END AS cer FROM n")
 def i15_i16_cer(spark, d):
-    p = A.pairs(spark, d).select("doc_id", T.normal_ascii(F.col("ref")).alias("r"), T.normal_ascii(F.col("hyp")).alias("h"))
+    p = _spread(spark, A.pairs(spark, d)).select("doc_id", T.normal_ascii(F.col("ref")).alias("r"), T.normal_ascii(F.col("hyp")).alias("h"))
     return p.select("doc_id", T.cer(F.col("r"), F.col("h")).alias("cer"))
 
 
 @query()
 def i14_i16_cer_whole(spark, d):
     """The error rate over the letters and digits of all scripts."""
-    p = A.pairs(spark, d).select("doc_id", T.normal(F.col("ref")).alias("r"), T.normal(F.col("hyp")).alias("h"))
+    p = _spread(spark, A.pairs(spark, d)).select("doc_id", T.normal(F.col("ref")).alias("r"), T.normal(F.col("hyp")).alias("h"))
     return p.select("doc_id", T.cer(F.col("r"), F.col("h")).alias("cer"))
 
 
@@ -250,22 +249,22 @@ def i25_quality_flags_whole(spark, d):
 
 @query(f"WITH {CLIPS} SELECT lang, count(*) AS clips, CAST(sum(speech_ms) AS BIGINT) AS speech_ms, max(dur_ms) AS longest_ms, count(*) FILTER (dur_ms > 30000) AS hard_cuts FROM clips GROUP BY lang")
 def e7_clip_totals(spark, d):
-    return A.clips(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("clips"), F.sum("speech_ms").alias("speech_ms"), F.max("dur_ms").alias("longest_ms"), F.count_if(F.col("dur_ms") > 30000).alias("hard_cuts"))
+    return C.clip_totals(A.clips(spark, d), ["lang"])
 
 
 @query(f"WITH {CLIPS} SELECT clip_id FROM clips WHERE trim(text) <> '' AND lang IN ('en', 'de', 'fr', 'es') AND dur_ms <= 179000")
 def c5_aligner_eligible(spark, d):
-    return A.clips(spark, d).where((F.trim("text") != "") & F.col("lang").isin("en", "de", "fr", "es") & (F.col("dur_ms") <= 179000)).select("clip_id")
+    return C.alignable(A.clips(spark, d).withColumnRenamed("lang", "language"), ("en", "de", "fr", "es")).select("clip_id")
 
 
 @query("SELECT user_id, count(DISTINCT event_type) AS speakers, count(*) AS turns FROM events GROUP BY user_id")
 def e9_speakers(spark, d):
-    return A.table(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("speakers"), F.count(F.lit(1)).alias("turns"))
+    return B.speaker_counts(A.turns(spark, d), ["user_id"])
 
 
 @query(f"WITH {CLIPS} SELECT clip_id, row_number() OVER (PARTITION BY lang ORDER BY dur_ms DESC, clip_id) AS place FROM clips")
 def g1_longest_first(spark, d):
-    return A.clips(spark, d).select("clip_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("dur_ms"), "clip_id")).alias("place"))
+    return C.longest_first(A.clips(spark, d), ["lang"]).select("clip_id", "place")
 
 
 @query("SELECT conv_id, g AS grp, min(turn) AS first, max(turn) AS last FROM (SELECT conv_id, turn, sum(CASE WHEN p IS DISTINCT FROM k THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT conv_id, turn, length(text) % 2 AS k, lag(length(text) % 2) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)) GROUP BY conv_id, g")
@@ -341,8 +340,7 @@ def d12_language_names(spark, d):
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS clip FROM conversations")
 def f22_ordinals(spark, d):
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return A.table(spark, d, "conversations").select("conv_id", "turn", n.cast("bigint").alias("clip"))
+    return B.ordinals(A.table(spark, d, "conversations"), ["conv_id"], ["turn"], "clip").select("conv_id", "turn", "clip")
 
 
 @query(f"WITH {WORDS}, {SENTS} SELECT file_id, string_agg('[' || {HMS.format('start_ms')} || '] ' || speaker || ': ' || text, chr(10) ORDER BY sent_id) || chr(10) AS txt FROM sents WHERE text <> '' GROUP BY file_id")
@@ -358,3 +356,6 @@ def b4_csv(spark, d):
 @query(f"WITH {WORDS}, {SENTS} SELECT file_id, '# Talk' || chr(10) || chr(10) || '- model: none' || chr(10) || chr(10) || '## 文字起こし' || chr(10) || chr(10) || string_agg('**[' || {HMS.format('start_ms')} || ']** **' || speaker || '**  ' || chr(10) || text || chr(10), chr(10) ORDER BY sent_id) AS md FROM sents WHERE text <> '' GROUP BY file_id")
 def b6_markdown(spark, d):
     return sinks.markdown(_sentences(spark, d), "sent_id", "Talk", {"model": "none"})
+
+
+from spanframe.plans import speech as _speech  # noqa: E402, F401  (adds its queries to QUERIES and ORACLES)

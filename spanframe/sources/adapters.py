@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanframe.functions import text as T
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,3 +40,34 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = b.join(F.broadcast(ranks), "item_id").select("rank", F.col("text").alias("ref"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hyp"), F.pmod("doc_id", F.lit(max(1, b.count()))).alias("rank"))
     return d.join(b, "rank").select("doc_id", "ref", "hyp")
+
+
+def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, start_ms, end_ms from events: a type is a file, and a second counts as a millisecond, so that gaps and lengths are those of talk."""
+    t = F.expr("unix_millis(cast(ts as timestamp)) div 1000 % 2592000")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("file_id"), t.alias("start_ms"), (t + F.round(F.col("value") * 6).cast("bigint")).alias("end_ms"))
+
+
+#: Milliseconds between the clips of two documents.
+APART = 1_000_000_000
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips (as operators.clips gives them) of documents: a language is a file."""
+    c = clips(spark, sf_dir).withColumns({"file_id": F.coalesce("lang", F.lit("?")), "start_ms": F.col("clip_id") * APART})
+    none = F.lit(None).cast("double")
+    return c.select("file_id", "clip_id", "start_ms", (F.col("start_ms") + F.col("dur_ms")).alias("end_ms"), none.alias("own_start"), none.alias("own_end"), "speech_ms", F.lit(False).alias("cut"), F.lit(None).cast("bigint").alias("parent"))
+
+
+def reader(spark: SparkSession, sf_dir: str, loops: bool = True):
+    """A recogniser that reads the documents: of a stretch its share of the text, without a context (or loops) without the loops in it."""
+    docs = clips(spark, sf_dir).select(F.col("clip_id").alias("__doc"), F.col("text").alias("__text"), "dur_ms")
+
+    def recognise(asked: DataFrame) -> DataFrame:
+        both = asked.join(docs, F.expr(f"start_ms div {APART}") == F.col("__doc"), "left")
+        at = lambda c: F.floor((F.col(c) % APART) * F.length("__text") / F.greatest("dur_ms", F.lit(1)))
+        part = F.substr(F.col("__text"), (at("start_ms") + 1).cast("int"), F.greatest(at("end_ms") - at("start_ms"), F.lit(0)).cast("int"))
+        said = F.when((F.col("context") != "") & F.lit(loops), part).otherwise(T.collapse_repeats(part))
+        return both.select("file_id", "clip_id", said.alias("text"), F.lit("English").alias("language"), F.lit(None).cast("array<struct<tok:string,s:double,e:double>>").alias("words"))
+
+    return recognise
