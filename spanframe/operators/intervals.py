@@ -71,12 +71,14 @@ def assign_speakers(words: DataFrame, turns: DataFrame, most_ms: int = 1000, bin
     t = binned(t, F.col("ts") - most_ms, F.col("te") + most_ms, bin_ms)
     w = binned(words.drop("speaker").withColumn("mid2", F.col("start_ms") + F.col("end_ms")), F.col("start_ms"), F.greatest("start_ms", "end_ms"), bin_ms)
     both = w.join(t, ["file_id", "bin"], "left")
+    # A word alone in a bin has no turn there; least and greatest pass over its nulls.
+    met = F.col("te").isNotNull()
     shared = F.least("te", "end_ms") - F.greatest("ts", "start_ms")
     off = F.greatest(F.col("ts") * 2 - F.col("mid2"), F.col("mid2") - F.col("te") * 2, F.lit(0))
     keys = words.drop("speaker").columns
     best = both.groupBy(*keys).agg(
-        F.min(F.when(shared > 0, F.struct((-shared).alias("o"), "ts", "p", "s"))).alias("over"),
-        F.min(F.when(off <= 2 * most_ms, F.struct(off.alias("o"), "ts", "p", "s"))).alias("near"),
+        F.min(F.when(met & (shared > 0), F.struct((-shared).alias("o"), "ts", "p", "s"))).alias("over"),
+        F.min(F.when(met & (off <= 2 * most_ms), F.struct(off.alias("o"), "ts", "p", "s"))).alias("near"),
     ).withColumn("speaker", F.coalesce("over.s", "near.s"))
     order = Window.partitionBy("file_id").orderBy("start_ms", "pos")
     filled = best.withColumn("speaker", F.coalesce("speaker", F.last("speaker", True).over(order.rowsBetween(Window.unboundedPreceding, -1))))

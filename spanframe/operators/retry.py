@@ -108,8 +108,8 @@ def in_halves(results: DataFrame, recognise: Recogniser, context: str, policy: P
     halves = halves.withColumn("clip_id", F.col("__top") + 1 + 2 * F.col("__place") + F.col("part"))
     said = answered(halves, recognise, policy, terms, label)
     pair = F.array_sort(F.collect_list(F.struct("part", "text", "flags")))
-    judged = said.groupBy("file_id", F.col("parent").alias("__parent")).agg(pair.alias("__pair"))
-    both = results.join(judged, (results["file_id"] == judged["file_id"]) & (results["clip_id"] == judged["__parent"]), "left").drop(judged["file_id"])
+    judged = said.groupBy(F.col("file_id").alias("__file"), F.col("parent").alias("__parent")).agg(pair.alias("__pair"))
+    both = results.join(judged, (F.col("file_id") == F.col("__file")) & (F.col("clip_id") == F.col("__parent")), "left")
     wins = F.col("__pair").isNotNull() & (F.aggregate("__pair", F.lit(0), lambda n, x: n + F.size(x["flags"])) < F.size("flags"))
     split = attempt("split", split_texts=F.transform("__pair", lambda x: x["text"]), split_flags=F.transform("__pair", lambda x: x["flags"]))
     stay = both.where(~wins).withColumn("attempts", F.when(F.col("__pair").isNotNull(), F.concat("attempts", F.array(split))).otherwise(F.col("attempts"))).select(*RESULT)

@@ -150,8 +150,8 @@ def speaker_names(words: DataFrame, style: str = "話者A", mapping: str = "") -
 
 def labelled(rows: DataFrame, names: DataFrame) -> DataFrame:
     """rows with the speaker's name for the speaker; without a name it stays, null becomes empty."""
-    known = names.select("file_id", F.col("speaker").alias("__s"), F.col("name").alias("__name"))
-    out = rows.join(known, (rows["file_id"] == known["file_id"]) & (rows["speaker"] == known["__s"]), "left").drop(known["file_id"])
+    known = names.select(F.col("file_id").alias("__f"), F.col("speaker").alias("__s"), F.col("name").alias("__name"))
+    out = rows.join(known, (F.col("file_id") == F.col("__f")) & (F.col("speaker") == F.col("__s")), "left")
     return out.withColumn("speaker", F.coalesce("__name", "speaker", F.lit(""))).select(*rows.columns)
 
 

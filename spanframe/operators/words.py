@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,14 +20,29 @@ OPENERS = "「『（(［[｛{〈《【〔“‘«"
 SKIP = 400
 
 
-@functools.lru_cache(4096)
-def finder(token: str):
-    """Finds a token in a text where characters that are no letter, digit or apostrophe may stand between its own."""
-    import regex
+def kept(c: str) -> bool:
+    """Whether an aligner keeps the character: letters, digits, apostrophes."""
+    return c == "'" or unicodedata.category(c)[0] in "LN"
 
-    gap = lambda c: rf"(?:(?!{c})[^\p{{L}}\p{{N}}'])*+{c}"
-    first, *rest = (regex.escape(c, special_only=True, literal_spaces=True) for c in token)
-    return regex.compile(first + "".join(map(gap, rest)))
+
+def located(text: str, core: str, at: int) -> tuple[int, int] | None:
+    """Where a token stands in a text from `at` on; characters that no aligner keeps may lie between its own."""
+    limit = min(len(text), at + SKIP + 4 * len(core))
+    start = text.find(core[0], at, limit)
+    while start >= 0:
+        if text.startswith(core, start):
+            return start, start + len(core)
+        end = start
+        for c in core:
+            while end < len(text) and text[end] != c and not kept(text[end]):
+                end += 1
+            if end == len(text) or text[end] != c:
+                break
+            end += 1
+        else:
+            return start, end
+        start = text.find(core[0], start + 1, limit)
+    return None
 
 
 def restored(text: str, tokens: list[tuple[str, float, float]]) -> list[tuple[str, str, float, float]]:
@@ -39,11 +54,10 @@ def restored(text: str, tokens: list[tuple[str, float, float]]) -> list[tuple[st
     tokens = [t for t in tokens if t[0].strip()]
     found, at = [], 0
     for token, s, e in tokens:
-        core = "".join(token.split())
-        m = finder(core).search(text, at)
-        if m is not None and m.start() < min(len(text), at + SKIP + 4 * len(core)):
-            found.append((m.start(), m.end(), token, s, max(s, e)))
-            at = m.end()
+        place = located(text, "".join(token.split()), at)
+        if place is not None:
+            found.append((*place, token, s, max(s, e)))
+            at = place[1]
     if not found:
         return [(t, t, s, max(s, e)) for t, s, e in tokens]
     # Where each word begins: the text's start, or an opening bracket before the token, or the token.

@@ -142,8 +142,8 @@ def json_documents(sents: DataFrame, words: DataFrame, results: DataFrame, names
     gathered = lambda df, by, order, x, name: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, x.alias("x")))).alias(name)).withColumn(name, F.transform(name, lambda r: r["x"]))
     word = F.struct("word", sec("start_ms").alias("start"), sec("end_ms").alias("end"), "speaker")
     of_words = gathered(words, ["file_id", "sent_id"], ["pos"], word, "words")
-    known = names.select("file_id", F.col("speaker").alias("__s"), "name")
-    named = sents.join(known, (sents["file_id"] == known["file_id"]) & (sents["speaker"] == known["__s"]), "left").drop(known["file_id"]).join(of_words, ["file_id", "sent_id"], "left")
+    known = names.select(F.col("file_id").alias("__f"), F.col("speaker").alias("__s"), "name")
+    named = sents.join(known, (F.col("file_id") == F.col("__f")) & (F.col("speaker") == F.col("__s")), "left").drop("__f", "__s").join(of_words, ["file_id", "sent_id"], "left")
     number = F.row_number().over(Window.partitionBy("file_id").orderBy("sent_id")) - 1
     segment = F.struct(F.col("__id").alias("id"), sec("start_ms").alias("start"), sec("end_ms").alias("end"), "text", F.when(F.col("speaker").isNotNull(), F.coalesce("name", "speaker")).alias("speaker"), F.col("speaker").alias("speaker_id"), "words")
     segments = gathered(named.withColumn("__id", number), ["file_id"], ["__id"], segment, "segments")
