@@ -55,7 +55,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     with bounded_batches(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -65,5 +65,5 @@ def write_shards(sharded: DataFrame, path: str) -> DataFrame:
 
     Each file holds whole buckets in the order of their slots; buckets lie together already, so nothing is shuffled anew.
     """
-    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    sharded.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return sharded.sparkSession.read.schema(sharded.schema).parquet(path).select(*sharded.columns)
