@@ -35,7 +35,7 @@ def f5_build_clips(spark, d):
 
 @query()
 def f6_split_clips(spark, d):
-    return C.split_clips(_clips(spark, d).where("end_ms - start_ms >= 8000"))
+    return C.split_clips(_clips(spark, d).where("end_ms - start_ms >= 600"))
 
 
 @query(f"WITH {SPEECH} SELECT * FROM speech WHERE start_ms + end_ms >= 1200000 AND start_ms + end_ms < 2400000")
@@ -120,6 +120,8 @@ def e4_word_stats(spark, d):
 def _results(spark, d):
     texts = A.clips(spark, d).select(F.col("clip_id").alias("__c"), "text")
     results = A.spoken(spark, d).join(texts, F.col("clip_id") == F.col("__c")).drop("__c").withColumns({"flags": F.array().cast("array<string>"), "words": F.lit(None).cast(E.WORDS), "attempts": F.array().cast(E.ATTEMPTS)})
+    # Restoring texts takes far longer than sending them.
+    results = results.repartition(4 * spark.sparkContext.defaultParallelism)
     bare = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
     dur = (F.col("end_ms") - F.col("start_ms")).cast("double")
     tokens = F.transform(bare, lambda w, i: F.struct(w.alias("tok"), (dur * i / F.size(bare)).alias("s"), (dur * (i + 1) / F.size(bare)).alias("e")))
