@@ -39,6 +39,8 @@ DOUBTFUL = 0.6
 TILE = 2048
 #: Documents named by candidates up to which their ids are sent to all executors (16 MB); beyond, they are joined.
 MOST_SENT = 2_000_000
+#: Parts of a class, where all its rows are told something of it.
+SALTS = 256
 
 
 def shingles(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -338,6 +340,21 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     return joined.select(*docs.columns, F.coalesce("__root", "tid").alias("root"))
 
 
+def with_sizes(classed: DataFrame, key: str) -> DataFrame:
+    """classed (key, root) with least (the least key of its class) and n (its rows): both null where the root is null.
+
+    Rows of a class are dealt over SALTS parts by their keys, and what is found of the class is
+    sent to those parts that hold rows of it, so a class of a third of all rows is no task of its own.
+    Repeated rows are counted each; null keys are the least only of classes without others; an empty
+    table gives no rows. Input columns named least or n are replaced.
+    """
+    salted = classed.drop("least", "n").withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    parts = salted.where("root IS NOT NULL").groupBy(F.col("root").alias("__root"), F.col("__salt").alias("__part")).agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy(F.col("__root").alias("__r")).agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+    sent = parts.select("__root", "__part").join(whole, F.col("__root") == F.col("__r")).drop("__r")
+    return salted.join(sent, (F.col("root") == F.col("__root")) & (F.col("__salt") == F.col("__part")), "left").drop("__root", "__part", "__salt")
+
+
 def survivors(classed: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of each class, that of the least key (null last, ties by text id), and every row without a class; tid and root go.
 

@@ -63,9 +63,8 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and class_size of every document."""
     docs = table(spark, sf_dir, "documents")
-    classed = neardup.classes(docs.select("doc_id", "text")).select("doc_id", "root")
-    sizes = classed.where("root IS NOT NULL").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    joined = classed.join(sizes, F.col("root") == F.col("r"), "left")
+    classed = written(neardup.classes(docs.select("doc_id", "text")).select("doc_id", "root"), "classes")
+    joined = neardup.with_sizes(classed, "doc_id")
     return joined.select("doc_id", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("class_size"))
 
 

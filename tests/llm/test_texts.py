@@ -299,6 +299,15 @@ def found_classes(spark, made):
     return [least[r.root] for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
+def test_sizes_of_classes(spark):
+    rows = [(i, 7, "x", i) for i in range(3000)] + [(-4, 9, "y", 0), (-4, 9, "y", 0), (None, 9, None, 1), (None, 8, None, None), (5000, None, None, None), (None, None, "z", 2)]
+    classed = spark.createDataFrame(rows, "doc_id long, root long, least string, n long").repartition(5)
+    found = sorted(map(tuple, neardup.with_sizes(classed, "doc_id").collect()), key=str)
+    want = [(i, 7, 0, 3000) for i in range(3000)] + [(-4, 9, -4, 3)] * 2 + [(None, 9, -4, 3), (None, 8, None, 1), (5000, None, None, None), (None, None, None, None)]
+    assert found == sorted(want, key=str)
+    assert neardup.with_sizes(classed.limit(0), "doc_id").count() == 0
+
+
 def test_copies_with_a_much_repeated_line_are_near(spark):
     rng = random.Random(5)
     made = []
