@@ -33,6 +33,14 @@ r3 AS (SELECT *, lag(own) OVER o AS l, n <= 2 AND d < 800 AND coalesce(lag(own)
 r4 AS (SELECT *, sum(CASE WHEN may THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY run ROWS UNBOUNDED PRECEDING) AS st FROM r3),
 r5 AS (SELECT *, may AND row_number() OVER (PARTITION BY file_id, st ORDER BY run) % 2 = 0 AS taken FROM r4),
 absorbed AS (SELECT r1.* REPLACE (CASE WHEN taken THEN l ELSE speaker END AS speaker) FROM r1 JOIN r5 USING (file_id, run))"""
+#: Sentences of 150 characters at most and paragraphs, each told row by row from what came before.
+CAPPED = f"""{SENTS.replace("s1 AS (", "s1 AS MATERIALIZED (")},
+fold AS (SELECT file_id, pos, 1 AS sid, length(word) AS n FROM s1 WHERE pos = 1
+UNION ALL SELECT s.file_id, s.pos, CASE WHEN b THEN sid + 1 ELSE sid END, CASE WHEN b THEN 0 ELSE n END + length(word) FROM (SELECT s1.*, sid, n, le OR start_ms - pe > 1500 OR speaker IS DISTINCT FROM ps OR n >= 150 AS b FROM fold f JOIN s1 ON s1.file_id = f.file_id AND s1.pos = f.pos + 1) s),
+capped AS (SELECT file_id, sid AS sent_id, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms, arg_min(speaker, pos) AS speaker, count(*) AS n_words, trim(string_agg(word, '' ORDER BY pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM fold JOIN s1 USING (file_id, pos) GROUP BY file_id, sid)"""
+PARS = f"""{SENTS}, p0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY sent_id) AS k FROM sents WHERE text <> ''),
+fold AS (SELECT file_id, k, 0 AS par_id, start_ms, end_ms, speaker, text FROM p0 WHERE k = 1
+UNION ALL SELECT file_id, k, CASE WHEN j THEN par_id ELSE par_id + 1 END, CASE WHEN j THEN fs ELSE start_ms END, end_ms, speaker, CASE WHEN NOT j THEN text WHEN regexp_matches(ft, '([。！？!?」』]|[^\\x00-\\x7F])$') THEN ft || text ELSE ft || ' ' || text END FROM (SELECT p0.*, f.par_id, f.start_ms AS fs, f.text AS ft, p0.speaker IS NOT DISTINCT FROM f.speaker AND p0.start_ms - f.end_ms <= 3000 AND length(f.text) + length(p0.text) <= 400 AS j FROM fold f JOIN p0 ON p0.file_id = f.file_id AND p0.k = f.k + 1) x)"""
 HMS = "printf('%02d:%02d:%02d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60)"
 
 QUERIES, ORACLES = {}, {}
@@ -130,12 +138,12 @@ def f11_f15_sentences(spark, d):
     return _sentences(spark, d)
 
 
-@query()
+@query(f"WITH RECURSIVE {WORDS}, {CAPPED} SELECT file_id, CAST(sent_id AS BIGINT) AS sent_id, start_ms, end_ms, speaker, n_words, text FROM capped WHERE text <> ''")
 def f11_sentences_capped(spark, d):
     return S.sentences(S.sentence_ids(A.words(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {WORDS}, {PARS} SELECT file_id, CAST(par_id AS BIGINT) AS par_id, arg_min(start_ms, k) AS start_ms, arg_max(end_ms, k) AS end_ms, arg_min(speaker, k) AS speaker, arg_max(text, k) AS text FROM fold GROUP BY file_id, par_id")
 def f16_paragraphs(spark, d):
     return S.paragraphs(_sentences(spark, d))
 
