@@ -105,7 +105,7 @@ class TrieBpe:
         word's shared prefix is the path that the walk stands on, cut back to where the two part.
         So only one path is held, and each prefix shared by these words is computed once.
         """
-        ids, token, longest, may_follow, known = self.ids, self.token, self.longest, self.may_follow, self.known
+        ids, token, longest, may_follow, beside, known = self.ids, self.token, self.longest, self.may_follow, self.beside, self.known
         path, last = b"", [-1]  # last[d]: the last token of the path's first d bytes
         for word in sorted(fresh):
             data = word.encode("utf-8", "replace")
@@ -117,11 +117,20 @@ class TrieBpe:
             del last[common + 1 :]
             for depth in range(common + 1, len(data) + 1):
                 state = -1
-                for start in range(max(0, depth - longest), depth):
+                # Only one token can stand here, so the order is free: short ones are found with fewest look-ups.
+                for start in range(depth - 1, max(0, depth - longest) - 1, -1):
                     t = ids.get(data[start:depth])
-                    if t is not None and (start == 0 or (last[start] >= 0 and may_follow(last[start], t))):
+                    if t is None:
+                        continue
+                    if start == 0:
                         state = t
                         break
+                    before = last[start]
+                    if before >= 0:
+                        ok = beside.get((before, t))
+                        if may_follow(before, t) if ok is None else ok:
+                            state = t
+                            break
                 last.append(state)
             path = data
             out, at = [], len(data)
