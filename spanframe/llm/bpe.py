@@ -29,7 +29,7 @@ from spanframe.llm import tokens
 #: Fixed value: the pattern that splits text into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of encoded words (about, with what Python adds to each) and number of token borders that a worker keeps; beyond, it starts anew. Of the trie only the walk's path is held.
-MOST_BYTES, WORD_BYTES, MOST_PAIRS = 40 << 20, 240, 100_000
+MOST_BYTES, WORD_BYTES, MOST_PAIRS = 64 << 20, 240, 100_000
 #: Characters that are encoded at a time.
 RUN = 500_000
 FAR = 1 << 60
