@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import ann, bpe, langid, mixing, neardup, pii, quality_prior, quality_rules, sharding, substrings
+from spanframe.llm import ann, bpe, infill, langid, mixing, neardup, pii, quality_prior, quality_rules, sharding, substrings
 from spanframe.llm.common import shared_path, table, written
 
 
@@ -82,6 +82,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_doc", "site_post", "path_post", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = infill.rearrange(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return written(moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")), "moved")
+
+
+OP12 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, x, n, CAST('0x' || h[1:8] AS UBIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS UBIGINT) % (n + 1) AS b, CAST('0x' || h[17:24] AS UBIGINT) % 100 AS c, CAST('0x' || h[25:32] AS UBIGINT) % 100 AS d FROM t),
+v AS (SELECT doc_id, x, CAST(n AS BIGINT) AS n, CAST(least(a, b) AS BIGINT) AS lo, CAST(greatest(a, b) AS BIGINT) AS hi,
+  CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+w AS (SELECT *, substring(x, 1, lo) AS p, substring(x, lo + 1, hi - lo) AS m, substring(x, hi + 1) AS s FROM v)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256 FROM w"""
+
+
 def quality_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator of op10 over web pages: fitted on labelled documents, sites are hosts, paths the first part of the URL's path."""
     model = quality_prior.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -91,5 +106,5 @@ def quality_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_prior.combine(evidence, "host", "path").select("page_id", "host", "path", "p_doc", "site_post", "path_post", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier, quality_of_pages)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier, op12_fill_in_middle, quality_of_pages)}
+ORACLES: dict[str, str] = {"op12_fill_in_middle": OP12}
