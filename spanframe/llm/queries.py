@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import ann, bpe, infill, langid, mixing, neardup, pii, quality_prior, quality_rules, sharding, substrings
+from spanframe.llm import ann, bpe, infill, langid, mixing, neardup, pii, quality_prior, quality_rules, sharding, spellings, substrings
 from spanframe.llm.common import shared_path, table, written
 
 
@@ -82,6 +82,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_doc", "site_post", "path_post", "score", (F.col("score") >= 0.5).alias("kept"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spellings.counts(table(spark, sf_dir, "documents"), drop_every=97)
+    return spellings.group(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = infill.rearrange(table(spark, sf_dir, "documents"))
     back = infill.restored(F.col("output"), F.col("form"))
@@ -106,5 +111,5 @@ def quality_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_prior.combine(evidence, "host", "path").select("page_id", "host", "path", "p_doc", "site_post", "path_post", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier, op12_fill_in_middle, quality_of_pages)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier, op11_spelling_variants, op12_fill_in_middle, quality_of_pages)}
 ORACLES: dict[str, str] = {"op12_fill_in_middle": OP12}
