@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import ann, bpe, infill, langid, mixing, neardup, pii, quality_prior, quality_rules, sharding, spellings, substrings
+from spanframe.llm import ann, bpe, infill, langid, mixing, neardup, pii, pitman_yor, quality_prior, quality_rules, sharding, spellings, substrings
 from spanframe.llm.common import shared_path, table, written
 
 
@@ -93,6 +93,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")), "moved")
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id has no remainder: it is neither held out nor learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = pitman_yor.fit(docs, "doc_id", "text", ~held_out)
+    scored = pitman_yor.scores(model, docs.schema["doc_id"].dataType.simpleString())
+    out = scored.select(F.col("key").alias("doc_id"), (~F.col("train") & F.col("key").isNotNull()).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return written(out, "scores")
+
+
 OP12 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 u AS (SELECT doc_id, x, n, CAST('0x' || h[1:8] AS UBIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS UBIGINT) % (n + 1) AS b, CAST('0x' || h[17:24] AS UBIGINT) % 100 AS c, CAST('0x' || h[25:32] AS UBIGINT) % 100 AS d FROM t),
 v AS (SELECT doc_id, x, CAST(n AS BIGINT) AS n, CAST(least(a, b) AS BIGINT) AS lo, CAST(greatest(a, b) AS BIGINT) AS hi,
@@ -111,5 +121,5 @@ def quality_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_prior.combine(evidence, "host", "path").select("page_id", "host", "path", "p_doc", "site_post", "path_post", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier, op11_spelling_variants, op12_fill_in_middle, quality_of_pages)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_nearest, op4_pii, op5_mixing, op6_quality_rules, op7_substrings, op8_near_duplicates, op9_bpe, op10_quality_classifier, op11_spelling_variants, op12_fill_in_middle, op13_lm_scoring, quality_of_pages)}
 ORACLES: dict[str, str] = {"op12_fill_in_middle": OP12}
