@@ -5,7 +5,7 @@ import json
 import math
 import random
 import re
-import struct
+import string
 
 import numpy as np
 import pytest
@@ -20,7 +20,7 @@ from spanframe.operators import metrics as M
 from spanframe.operators import retry as E
 from spanframe.operators import sequences as S
 from spanframe.operators import words as W
-from spanframe.sources import audio, sinks
+from spanframe.sources import sinks
 
 WORDS = "file_id string, pos long, speaker string, word string, start_ms long, end_ms long"
 SEGS, FILES = "file_id string, start_ms long, end_ms long", "file_id string, total_ms long"
@@ -288,7 +288,9 @@ def test_texts_are_cleaned(spark):
     assert rules == [R.Rule("クロード", "Claude"), R.Rule("ジェミ[ニ二]", "Gemini", True), R.Rule("ＡＩ", "AI"), R.Rule("a", "b")]
     clean = R.Clean(tuple(rules[:3]), tuple(R.FILLERS))
     assert texts(spark, clean, ["えー、今日は クロード と ジェミ二の話です。", "あのー、ＡＩについて、えーと、話します。", "Hello world です", "　x "]) == ["今日はClaudeとGeminiの話です。", "AIについて、話します。", "Hello world です", "x"]
-    assert R.java_template(r"a\1$\g<2>") == r"a$1\$$2"
+    own = R.parse_rules("re:(?P<a>um)(x)? => <\\g<a>$\\2>\nre:a(?#c) => \\3\nre:b => \\q\nre:(?i)OK\\b => ok\nre:(?P<w>z)(?P=w) => \\g<nix>\nx => y\nre:(z)\\1 => Z")
+    assert [r.source for r in own] == ["(?P<a>um)(x)?", "(?i)OK\\b", "x", "(z)\\1"]
+    assert texts(spark, lambda t: R.apply_rules(t, own), ["um zz Ok oKx", "umx"]) == ["<um$> Z ok oKy", "<um$y>"]
     rng = random.Random(6)
     made = ["".join(rng.choice([*R.FILLERS[:5], "ー", "、", "。", " ", "話", "え", "x", "「", "」", "，"]) for _ in range(rng.randint(1, 14))) for _ in range(800)]
     rx = re.compile(R.BEFORE + "(?:" + "|".join(re.escape(w) + "ー*" for w in sorted(R.FILLERS, key=len, reverse=True)) + ")" + R.AFTER)
@@ -300,6 +302,30 @@ def test_texts_are_cleaned(spark):
         return re.sub(r"[、，,]\s*([。．.!?！？])", r"\1", re.sub(r"^[、，,\s]+", "", s))
 
     assert texts(spark, lambda t: R.remove_fillers(t, R.FILLERS), made) == [brute(s) for s in made]
+    assert texts(spark, lambda t: R.remove_fillers(t, ["um", "you know"]), ["you you you you um know know know know, ok", "Um, um"]) == ["ok", "Um, "]
+    for _ in range(25):
+        fillers = list({" ".join(rng.choice(["a", "b", "um", "aー"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 4))})
+        rx = re.compile(R.BEFORE + "(?:" + "|".join(re.escape(w) + "ー*" for w in sorted(fillers, key=len, reverse=True)) + ")" + R.AFTER)
+        made = ["".join(rng.choice(["a", "b", "um", " ", " ", ", ", ".", "aー", "x", "\n"]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+        assert texts(spark, lambda t: R.remove_fillers(t, fillers), made) == [brute(s) for s in made]
+
+
+def test_documents_are_cleaned_as_by_hand(spark):
+    from spanframe.plans.speech import RULES, i13_clean_text
+
+    space, wide = re.compile(r"(?<=[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ、。！？])[ \t　]+(?=[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ、。！？])"), str.maketrans({chr(ord(c) + 0xFEE0): c for c in string.digits + string.ascii_letters})
+    rx = re.compile(R.BEFORE + "(?:theー*|ofー*)" + R.AFTER)
+
+    def by_hand(t):
+        t = space.sub("", t).translate(wide)
+        for r in RULES:
+            t = re.sub(r.source, r.target, t) if r.pattern else t.replace(r.source, r.target)
+        while (u := rx.sub("", t)) != t:
+            t = u
+        return re.sub(r"[、，,]\s*([。．.!?！？])", r"\1", re.sub(r"^[、，,\s]+", "", t)).strip()
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in i13_clean_text(spark, "/root/testdata/sf0.001").collect()} == {k: by_hand(t) for k, t in docs.items()}
 
 
 def distance(a, b):
@@ -375,40 +401,6 @@ def test_outputs(spark):
     assert sinks.output_base("/a/b.wav", "") == "/a/b" and sinks.output_base("/a/b.wav", "out/") == "out/b" and sinks.output_base("/a/b.wav", "o/x.txt") == "o/x" and sinks.output_base("/a/b.wav", "o/x.txt", True) == "o/x.txt/b"
 
 
-def test_sound_files(spark, tmp_path):
-    rate, x = 16000, (np.sin(np.arange(48000) / 8) * 0.5).astype(np.float32)
-    x[16000:32000] = 0
-    plain = audio.wav_bytes(x, rate)
-    odd = plain[:12] + b"LIST" + struct.pack("<I", 3) + b"abc\0" + plain[12:-len(x) * 2 - 4] + struct.pack("<I", 0) + plain[-len(x) * 2 :]
-    (tmp_path / "a").mkdir()
-    for name, data in (("b.wav", plain), ("a.wav", odd), ("c.wav", b"none"), ("d.txt", b""), ("a/e.WAV", plain)):
-        (tmp_path / name).write_bytes(data)
-    found = audio.resolve_inputs(spark, f'"{tmp_path}"\n{tmp_path}/b.wav, {tmp_path}/d.txt\n\n{tmp_path}/*.txt')
-    assert [f.rsplit("/", 1)[1] for f in found] == ["a.wav", "b.wav", "c.wav", "d.txt"]
-    assert len(audio.resolve_inputs(spark, str(tmp_path), True)) == 4
-    with pytest.raises(FileNotFoundError):
-        audio.resolve_inputs(spark, f"{tmp_path}/z.wav")
-    sounds = audio.files(spark, found[:3])
-    heads = {r.path.rsplit("/", 1)[1]: (r.head, r.total_ms) for r in audio.probe(sounds).collect()}
-    assert heads["a.wav"][0].offset == heads["b.wav"][0].offset + 12 and heads["a.wav"][1] == heads["b.wav"][1] == 3000 and heads["c.wav"][0].error and heads["c.wav"][1] is None
-    assert np.allclose(audio.cut(plain, 0.5, 1.0), x[8000:16000], atol=1e-4) and len(audio.cut(plain, 2, 9)) == 16000 and len(audio.cut(plain, 9, 10)) == 0
-    frames = audio.frame_levels(sounds)
-    assert frames.groupBy("file_id").count().where("count = 150").count() == 2
-    from spanframe.operators.intervals import energy_vad
-
-    heard = energy_vad(frames.where(F.col("file_id").endswith("b.wav")), ["file_id"], ["frame"], "db", 30, 13, 20).orderBy("first").collect()
-    assert [(r.first, r.last) for r in heard] == [(0, 49), (100, 149)]
-    calls = []
-
-    def work(items):
-        calls.append(len(items))
-        if len(items) > 2:
-            raise MemoryError
-        return [2 * i for i in items]
-
-    assert audio.with_backoff(work, list(range(5)), 8) == [0, 2, 4, 6, 8] and calls == [5, 4, 2, 2, 1] or calls[0] == 5
-
-
 def test_dummies(spark):
     clips_ = spark.createDataFrame([("f", 0, 0, 10000, "", "あ、い'x"), ("f", 1, 0, 100, "ECHO", "")], "file_id string, clip_id long, start_ms long, end_ms long, context string, text string")
     assert [r.text for r in E.dummy_recogniser(clips_).orderBy("clip_id").collect()] == ["これは1番目の文です。これは2番目の文です。これは3番目の文です。", "ECHO"]
