@@ -8,15 +8,22 @@ from spanframe.functions import rewrite as R
 from spanframe.functions import text as T
 from spanframe.operators import clips as C
 from spanframe.operators import cues as Q
+from spanframe.operators import intervals as I
 from spanframe.operators import metrics as M
 from spanframe.operators import retry as E
 from spanframe.operators import sequences as S
 from spanframe.operators import words as W
 from spanframe.plans.queries import CLIPS, PAIRS, WORDS, query
 from spanframe.sources import adapters as A
-from spanframe.sources import sinks
+from spanframe.sources import audio, sinks
+from spanframe.sources.shared import once
 
 SPEECH = "speech AS (SELECT event_type AS file_id, (epoch_us(ts) // 1000000) % 2592000 AS start_ms, (epoch_us(ts) // 1000000) % 2592000 + CAST(round(value * 6) AS BIGINT) AS end_ms FROM events)"
+#: The samples of the sound made of vectors (adapters.sound_files), numbered within their file; and the levels of its frames of 32 samples.
+SOUND = """vectors AS (SELECT vec_id // 250 AS file_id, vec_id % 250 AS n, embedding, CAST(CASE WHEN vec_id % 250 >= 110 AND (vec_id % 250) // 10 % 5 = 0 THEN 0.001 ELSE 1.0 END AS FLOAT) AS gain FROM embeddings),
+numbered AS (SELECT file_id, gain, unnest(embedding) AS x, n * 64 + generate_subscripts(embedding, 1) - 1 AS i FROM vectors),
+samples AS (SELECT file_id, i, CAST(trunc(greatest(CAST(-1 AS FLOAT), least(CAST(1 AS FLOAT), x * gain)) * CAST(32767 AS FLOAT)) AS BIGINT) AS s FROM numbered),
+levels AS (SELECT file_id, i // 32 AS frame, CAST(10 * log10(sum(s * s) / 32.0 + 1e-3) AS FLOAT) AS db FROM samples GROUP BY file_id, i // 32 HAVING count(*) = 32)"""
 RULES = R.parse_rules("the => THE\nre:([a-z])ing\\b => \\1in'\n# a comment\nand → &")
 
 
@@ -35,7 +42,71 @@ def f5_build_clips(spark, d):
 
 @query()
 def f6_split_clips(spark, d):
-    return C.split_clips(_clips(spark, d).where("end_ms - start_ms >= 600"))
+    return C.split_clips(_clips(spark, d))
+
+
+@query(f"WITH {SOUND} SELECT file_id, i // 16000 AS chunk_no, count(*) AS n, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * s) AS BIGINT) AS squares, min(s) AS least, max(s) AS most FROM samples GROUP BY file_id, i // 16000")
+def a4_wav_chunks(spark, d):
+    """Sound written as WAV files, read again by ranges of bytes."""
+    x = A.sound(spark, d).select("file_id", "chunk_no", F.explode("samples").alias("s"))
+    return x.groupBy("file_id", "chunk_no").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("total"), F.sum(F.col("s").cast("long") * F.col("s")).alias("squares"), F.min(F.col("s").cast("long")).alias("least"), F.max(F.col("s").cast("long")).alias("most"))
+
+
+@query(f"WITH {SOUND} SELECT file_id, 44 AS first_byte, 2 * count(*) AS n_bytes, 1 AS channels, 1600 AS rate, 16 AS bits, count(*) * 1000 // 1600 AS total_ms FROM samples GROUP BY file_id")
+def a2_wav_headers(spark, d):
+    h = audio.probe(spark, [A.sound_files(spark, d)])
+    return h.select(F.regexp_extract("file_id", r"s(\d+)\.wav$", 1).cast("long").alias("file_id"), F.col("offset").alias("first_byte"), F.col("bytes").alias("n_bytes"), "channels", "rate", "bits", "total_ms")
+
+
+@query()
+def a3_resampled(spark, d):
+    """The sound at 1000 Hz instead of 1600."""
+    return A.sound(spark, d, 1000).select("file_id", "chunk_no", F.posexplode("samples").alias("i", "s"))
+
+
+@query(f"WITH {SOUND}, w AS (SELECT vec_id AS k, vec_id // 250 AS file_id, greatest(vec_id % 250 * 40 - 15, 0) AS a, vec_id % 250 * 40 + 85 AS b FROM embeddings WHERE vec_id % 3 = 0) SELECT k, count(s) AS n, coalesce(sum(s), 0) / 32768.0 AS total FROM w LEFT JOIN samples ON samples.file_id = w.file_id AND i >= round_even(a * 1.6, 0) AND i < round_even(b * 1.6, 0) GROUP BY k")
+def a5_stretches(spark, d):
+    """What is heard from 15 ms before every third vector to 45 ms behind it."""
+    n = F.col("vec_id") % A.SOUND_VECTORS
+    asked = A.table(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("k"), F.floor(F.col("vec_id") / A.SOUND_VECTORS).alias("file_id"), (n * 40 - 15).alias("start_ms"), (n * 40 + 85).alias("end_ms"))
+    heard = audio.stretches(A.sound(spark, d), asked, ["k"])
+    return heard.select("k", F.size("x").cast("long").alias("n"), F.aggregate("x", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {SOUND} SELECT * FROM levels")
+def e2_frame_levels(spark, d):
+    return audio.frame_levels(A.sound(spark, d).withColumn("file_id", F.col("file_id").cast("string"))).withColumn("file_id", F.col("file_id").cast("long"))
+
+
+def _heard(spark, d):
+    """Levels of the sound, its speech by energy, and how long each file is."""
+    chunked = A.sound(spark, d)
+    levels = once(audio.frame_levels(chunked.withColumn("file_id", F.col("file_id").cast("string"))), "levels")
+    runs = I.energy_vad(levels, ["file_id"], ["frame"], "db", 45, 13, 20)
+    speech = runs.select("file_id", (F.col("first") * C.HOP).alias("start_ms"), ((F.col("last") + 1) * C.HOP).alias("end_ms"))
+    files = levels.groupBy("file_id").agg(((F.max("frame") + 1) * C.HOP).alias("total_ms"))
+    return levels, speech, files
+
+
+@query()
+def f5_clips_of_sound(spark, d):
+    """From samples to clips: levels, speech by energy, clips of two seconds cut where it is quietest."""
+    levels, speech, files = _heard(spark, d)
+    return C.build_clips(speech, files, levels, max_clip_ms=2000, max_gap_ms=300, pad_ms=100, overlap_ms=200)
+
+
+@query()
+def f6_halves_of_sound(spark, d):
+    levels, speech, files = _heard(spark, d)
+    return C.split_clips(C.build_clips(speech, files, levels, max_clip_ms=4000, max_gap_ms=300, pad_ms=100, overlap_ms=200), levels)
+
+
+@query()
+def f4_quiet_cuts(spark, d):
+    """Where stretches of `embeddings`' sound longer than a second would be cut."""
+    levels, speech, files = _heard(spark, d)
+    clips = C.build_clips(speech, files, levels, max_clip_ms=2000, max_gap_ms=300, pad_ms=0, overlap_ms=0)
+    return clips.where("cut").select("file_id", F.col("own_end").alias("cut_ms"))
 
 
 @query(f"WITH {SPEECH} SELECT * FROM speech WHERE start_ms + end_ms >= 1200000 AND start_ms + end_ms < 2400000")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import text as T
+from spanframe.sources import audio
+from spanframe.sources.files import write_files
+from spanframe.sources.shared import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +74,28 @@ def reader(spark: SparkSession, sf_dir: str, loops: bool = True):
         return both.select("file_id", "clip_id", said.alias("text"), F.lit("English").alias("language"), F.lit(None).cast("array<struct<tok:string,s:double,e:double>>").alias("words"))
 
     return recognise
+
+
+#: Of the sound made of vectors: samples a second, vectors in a file.
+SOUND_RATE, SOUND_VECTORS = 1600, 250
+
+
+def sound_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of WAV files made of `embeddings`: neighbouring vectors are the samples of a file, one after the other.
+
+    The first 110 vectors of a file are loud; of the others every fifth ten are all but silent.
+    """
+    n = F.col("vec_id") % SOUND_VECTORS
+    quiet = (n >= 110) & (F.floor(n / 10) % 5 == 0)
+    gain = F.when(quiet, 0.001).otherwise(1.0).cast("float")
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / SOUND_VECTORS).alias("f"), "vec_id", F.transform("embedding", lambda x: x * gain).alias("x"))
+    whole = rows.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("x")).select("f", F.flatten("x.x").alias("x"))  # a bounded number of vectors
+    coded = F.pandas_udf(lambda xs: xs.map(lambda x: audio.wav_bytes(x, SOUND_RATE)), "binary")
+    folder = new_folder(spark, "sound")
+    write_files(whole, folder, F.concat(F.lit("s"), F.col("f"), F.lit(".wav")), coded("x"))
+    return folder
+
+
+def sound(spark: SparkSession, sf_dir: str, rate: int = 0) -> DataFrame:
+    """Chunks of those files; a file's number is its file_id."""
+    return audio.chunks(spark, [sound_files(spark, sf_dir)], rate=rate, partition_bytes=20_000).withColumn("file_id", F.regexp_extract("file_id", r"s(\d+)\.wav$", 1).cast("long"))

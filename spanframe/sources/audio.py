@@ -71,6 +71,16 @@ def store(path: str) -> tuple[stores.FileSystem, str]:
     return stores.FileSystem.from_uri(path) if re.match(r"\w+:/", path) else (stores.LocalFileSystem(), path)
 
 
+def sized(path: str) -> list[tuple[str, int]]:
+    """A file and its bytes (none: 0), or all files right in a folder."""
+    fs, inner = store(path)
+    info = fs.get_file_info(inner)
+    if info.type != stores.FileType.Directory:
+        return [(path, max(0, info.size or 0))]
+    inside = sorted(fs.get_file_info(stores.FileSelector(inner)), key=lambda f: f.path)
+    return [(f"{path.rstrip('/')}/{f.base_name}", f.size) for f in inside if f.is_file and not f.base_name.startswith((".", "_"))]
+
+
 @dataclass(frozen=True)
 class Form:
     """Where a WAV file's samples are and how they are written."""
@@ -231,9 +241,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Ranges]:
         dealt: list[list] = []
         held = self.size
-        for path in self.paths:
-            fs, inner = store(path)
-            total = max(0, fs.get_file_info(inner).size or 0)
+        for path, total in (f for p in self.paths for f in sized(p)):
             ends = [*range(self.size, total, self.size)] if self.cut else []
             for a, b in zip([0, *ends], [*ends, None]):
                 length = (total if b is None else b) - a
@@ -295,7 +303,7 @@ class HeaderReader(_Reader):
 
 
 class WavSource(DataSource):
-    """`wav`: file_id, chunk_no, t0 (seconds), rate, samples, error of the files named by the option `paths` (a JSON list).
+    """`wav`: file_id, chunk_no, t0 (seconds), rate, samples, error of the files, or of all in the folders, that the option `paths` names (a JSON list).
 
     Options: channel (mix, left, right), rate (16000; 0: the file's own), start and length in seconds, partitionBytes.
     """
