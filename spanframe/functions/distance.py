@@ -11,6 +11,8 @@ import numpy as np
 
 #: Bits of columns kept for a trace back; beyond, the longer text is halved.
 MOST_BITS = 1 << 27
+#: Windows times words of bits that are aligned at a time.
+MOST_WINDOWS = 1 << 16
 
 
 def common(a: str, b: str) -> tuple[int, int]:
@@ -111,3 +113,130 @@ def opcodes(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
             out.append((names[e], i, to[0], j, to[1]))
         i, j = to
     return out
+
+
+class Substrings:
+    """All substrings of a text as a suffix automaton: states with the longest substring's length, where the first one ends, and which state a letter leads to."""
+
+    def __init__(self, text: str):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length, self.end = [-1], [0], [-1]
+        last = 0
+        for i, c in enumerate(text):
+            state = self.state(self.length[last] + 1, i, {})
+            while last >= 0 and c not in self.next[last]:
+                self.next[last][c] = state
+                last = self.link[last]
+            if last >= 0:
+                old = self.next[last][c]
+                if self.length[old] > self.length[last] + 1:
+                    # Only the shorter substrings of the old state go on to end here as well: they get a state of their own.
+                    part = self.state(self.length[last] + 1, self.end[old], dict(self.next[old]))
+                    self.link[part], self.link[old] = self.link[old], part
+                    while last >= 0 and self.next[last].get(c) == old:
+                        self.next[last][c] = part
+                        last = self.link[last]
+                    old = part
+                self.link[state] = old
+            last = state
+
+    def state(self, length: int, end: int, leads: dict[str, int]) -> int:
+        self.next.append(leads)
+        self.link.append(0)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def longest_in(self, other: str) -> tuple[int, int, int]:
+        """Where in other, and where in the text, the longest common substring begins, and its length; of several the first in other, then in the text."""
+        state = n = 0
+        best = 0, 0, 0
+        for i, c in enumerate(other):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if c in self.next[state]:
+                state, n = self.next[state][c], n + 1
+            if n > best[2]:
+                best = i + 1 - n, self.end[state] + 1 - n, n
+        return best
+
+
+def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """Stretches (place in a, place in b, length) that the texts share, in order: the longest, then the same before and behind it. Neighbours are one.
+
+    Of several longest ones the first in a, then in b, is taken. Memory grows with the texts' lengths.
+    """
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, l = todo.pop()
+        if i == j or k == l:
+            continue
+        x, y, n = (0, 0, j - i) if a[i:j] == b[k:l] else Substrings(b[k:l]).longest_in(a[i:j])
+        if n:
+            found.append((i + x, k + y, n))
+            todo += [(i, i + x, k, k + y), (i + x + n, j, k + y + n, l)]
+    out: list[tuple[int, int, int]] = []
+    for x, y, n in sorted(found):
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (x, y):
+            x, y, n = *out[-1][:2], out.pop()[2] + n
+        out.append((x, y, n))
+    return out
+
+
+def block_opcodes(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
+    """Stretches as opcodes() gives them, but by matching_blocks(): easier to read, not always the fewest edits."""
+    out, i, j = [], 0, 0
+    for x, y, n in [*matching_blocks(a, b), (len(a), len(b), 0)]:
+        if (x, y) != (i, j):
+            out.append(("insert" if x == i else "delete" if y == j else "replace", i, x, j, y))
+        if n:
+            out.append(("equal", x, x + n, y, y + n))
+        i, j = x + n, y + n
+    return out
+
+
+def window_likeness(short: str, text: str) -> float:
+    """How alike `short` and the likest window of text are: twice their longest common subsequence by both lengths, from 0 to 1.
+
+    Windows are as long as short, or shorter ones at either end of text. All are aligned together,
+    bit by bit of short, so that memory grows with text times the words that short's bits take, in blocks.
+    """
+    m, n = len(short), len(text)
+    if not m or not n:
+        return float(m == n)
+    letters = {c: k for k, c in enumerate(dict.fromkeys(short), 1)}
+    words = -(-m // 64)
+    bits = np.zeros((words, len(letters) + 1), np.uint64)
+    for i, c in enumerate(short):
+        bits[i // 64, letters[c]] |= np.uint64(1 << i % 64)
+    # Beyond its ends the text has letters that short has not.
+    codes = np.zeros(n + 2 * (m - 1), np.int64)
+    codes[m - 1 : m - 1 + n] = [letters.get(c, 0) for c in text]
+    starts = np.arange(n + m - 1)
+    sizes = np.minimum(starts + m, m - 1 + n) - np.maximum(starts, m - 1)
+    best, step = 0.0, max(1, MOST_WINDOWS // words)
+    for at in range(0, len(starts), step):
+        count = min(step, len(starts) - at)
+        column = np.full((words, count), ~np.uint64(0))
+        for j in range(at, at + m):
+            here = codes[j : j + count]
+            carry = np.zeros(count, bool)
+            for w in range(words):
+                v = column[w]
+                both = v & bits[w, here]
+                total = v + both
+                over = total < v
+                total += carry
+                carry = over | (total < carry)
+                column[w] = total | (v - both)
+        same = np.bitwise_count(~column).sum(axis=0)
+        best = max(best, float((2 * same / (m + sizes[at : at + count])).max()))
+    return best
+
+
+def partial_likeness(a: str, b: str) -> float:
+    """window_likeness of the shorter text in the longer one; of texts of one length, the better way round."""
+    if len(a) == len(b):
+        return max(window_likeness(a, b), window_likeness(b, a))
+    return window_likeness(*sorted((a, b), key=len))

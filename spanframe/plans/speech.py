@@ -256,3 +256,18 @@ def m_compare(spark, d):
 @query(f"WITH {WORDS}, f AS (SELECT file_id, speaker, min(pos) AS p FROM words GROUP BY file_id, speaker), n AS (SELECT file_id, speaker, row_number() OVER (PARTITION BY file_id ORDER BY p) AS n FROM f) SELECT file_id, speaker, CASE WHEN speaker = 'user' THEN 'asker' WHEN n = 1 THEN 'first' ELSE 'S' || n END AS name FROM n")
 def f12_names_with_mapping(spark, d):
     return S.speaker_names(A.words(spark, d), "S1", "user=asker, S1＝first")
+
+
+@query()
+def i31_dropped_utterances(spark, d):
+    """Sentences of benchmark's items that the document beside each of them lacks."""
+    p = A.pairs(spark, d)
+    said = p.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("ref", r"\.")).alias("utt_id", "text"))
+    return M.dropped_utterances(said, p.select(F.col("doc_id").alias("file_id"), F.col("hyp").alias("text")))
+
+
+@query()
+def b13_differences(spark, d):
+    """Documents beside themselves cleaned: what rules and fillers have changed."""
+    clean = R.Clean(tuple(RULES), ("the", "of", "and"))
+    return A.table(spark, d, "documents").select("doc_id", M.differences(F.col("text"), clean(F.col("text"))).alias("html"))

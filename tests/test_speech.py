@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import rewrite as R
 from spanframe.functions import text as T
-from spanframe.functions.distance import edit_distance, edits, opcodes
+from spanframe.functions.distance import block_opcodes, edit_distance, edits, matching_blocks, opcodes, partial_likeness
 from spanframe.operators import clips as C
 from spanframe.operators import cues as Q
 from spanframe.operators import metrics as M
@@ -426,3 +426,97 @@ def test_long_words_are_assigned_and_ties_go_to_the_earliest(spark):
 
 def test_diff_of_equal_texts_is_no_diff():
     assert opcodes("abc", "abc") == [("equal", 0, 3, 0, 3)] == [tuple(x) for x in difflib.SequenceMatcher(None, "abc", "abc").get_opcodes()]
+
+
+def test_blocks_are_those_of_a_quadratic_search():
+    rng = random.Random(11)
+    for _ in range(600):
+        a, b = ("".join(rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 40))) for _ in range(2))
+        if rng.random() < 0.3:
+            b = a[: rng.randint(0, 20)] + b + a[rng.randint(0, 20) :]
+        plain = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert matching_blocks(a, b) == [tuple(x) for x in plain.get_matching_blocks() if x.size] and block_opcodes(a, b) == [tuple(x) for x in plain.get_opcodes()]
+    long_ = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    assert matching_blocks(long_, long_[:9000] + "X" + long_[9000:]) == [(0, 0, 9000), (9000, 9001, 11_000)]
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[-1]))
+    return row[-1]
+
+
+def likest(a, b):
+    """By trying all windows."""
+    if not a or not b:
+        return float(a == b)
+    ways = [(a, b), (b, a)] if len(a) == len(b) else [sorted((a, b), key=len)]
+    best = 0.0
+    for s, t in ways:
+        for i in range(1 - len(s), len(t)):
+            w = t[max(0, i) : i + len(s)]
+            best = max(best, 2 * subsequence(s, w) / (len(s) + len(w)))
+    return best
+
+
+def test_windows_are_compared_as_by_trying_all(monkeypatch):
+    rng = random.Random(12)
+    for k in range(250):
+        size = rng.choice([1, 3, 9, 64, 65, 130]) if k % 10 == 0 else rng.randint(1, 12)
+        a = "".join(rng.choice("abcdeé") for _ in range(size))
+        b = "".join(rng.choice("abcdeé日") for _ in range(rng.randint(1, 30)))
+        if rng.random() < 0.4:
+            b = b + a[1:] + b
+        assert partial_likeness(a, b) == pytest.approx(likest(a, b)) == partial_likeness(b, a)
+    from spanframe.functions import distance
+
+    whole = distance.window_likeness("abcde" * 40, "xabced" * 500)
+    monkeypatch.setattr(distance, "MOST_WINDOWS", 64)
+    assert distance.window_likeness("abcde" * 40, "xabced" * 500) == whole
+    assert partial_likeness("", "") == 1 and partial_likeness("", "a") == partial_likeness("a", "") == 0
+
+
+def test_dropped_utterances_equal_trying(spark):
+    from spanframe.plans.speech import i31_dropped_utterances
+    from spanframe.sources import adapters
+
+    rng = random.Random(13)
+    said, whole, want = [], [], {}
+    for f in range(12):
+        us = ["".join(rng.choice("abcdefg ,") for _ in range(rng.randint(0, 14))) for _ in range(rng.choice([3, 200]))]
+        text = None if f == 3 else "".join(rng.choice(["", u, u[1:], u[::-1]]) for u in us[:20])
+        said += [(f, i, u) for i, u in enumerate(us)] + [(f, None, None)]
+        whole += [(f, text)] if f != 4 else []
+        bare = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+        kept = [bare(u) for u in us if len(bare(u)) >= 4]
+        want[f] = len(kept), sum(likest(u, bare(text) if f != 4 else "") < 0.6 for u in kept)
+    got = M.dropped_utterances(spark.createDataFrame(said, "file_id long, utt_id long, text string"), spark.createDataFrame(whole, "file_id long, text string"))
+    assert {r.file_id: (r.utterances, r.dropped) for r in got.collect()} == {f: n for f, n in want.items() if n[0]}
+    assert sum(n[1] for n in want.values()) > 20
+    docs = {r.doc_id: r for r in i31_dropped_utterances(spark, "/root/testdata/sf0.001").selectExpr("file_id AS doc_id", "utterances", "dropped").collect()}
+    some = sorted(adapters.pairs(spark, "/root/testdata/sf0.001").collect(), key=lambda r: len(r.hyp) * len(r.ref))[:12]
+    for r in some:
+        bare = lambda t: "".join(c for c in t.lower() if c.isalnum())
+        us = [bare(u) for u in r.ref.split(".") if len(bare(u)) >= 4]
+        assert (docs[r.doc_id].utterances, docs[r.doc_id].dropped) == (len(us), sum(u not in bare(r.hyp) and likest(u, bare(r.hyp)) < 0.6 for u in us))
+
+
+def test_differences_equal_the_library(spark):
+    import html
+
+    from spanframe.plans.speech import b13_differences, i13_clean_text  # noqa: F401
+
+    rng = random.Random(14)
+    for _ in range(100):
+        a, b = ("".join(rng.choice("ab<&c") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        want = ""
+        for tag, i, j, k, l in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            want += html.escape(a[i:j]) if tag == "equal" else (f"<del style='background:#fdd;text-decoration:line-through'>{html.escape(a[i:j])}</del>" if j > i else "") + (f"<ins style='background:#dfd;text-decoration:none'>{html.escape(b[k:l])}</ins>" if l > k else "")
+        assert M.diff_html(a, b) == want
+    rows = b13_differences(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    back = lambda x: html.unescape(re.sub("<ins[^>]*>.*?</ins>|<del[^>]*>|</del>", "", x, flags=re.S))
+    assert {r.doc_id: back(r.html) for r in rows} == {k: t[:20_000] for k, t in docs.items()} and any("<del" in r.html for r in rows)
