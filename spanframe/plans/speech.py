@@ -16,7 +16,8 @@ from spanframe.operators import words as W
 from spanframe.plans.queries import CLIPS, PAIRS, WORDS, query
 from spanframe.sources import adapters as A
 from spanframe.sources import audio, sinks
-from spanframe.sources.shared import once
+from spanframe.sources.files import write_files
+from spanframe.sources.shared import new_folder, once
 
 SPEECH = "speech AS (SELECT event_type AS file_id, (epoch_us(ts) // 1000000) % 2592000 AS start_ms, (epoch_us(ts) // 1000000) % 2592000 + CAST(round(value * 6) AS BIGINT) AS end_ms FROM events)"
 #: The samples of the sound made of vectors (adapters.sound_files), numbered within their file; and the levels of its frames of 32 samples.
@@ -225,11 +226,53 @@ def b8_review(spark, d):
     return sinks.review(E.review_items(_recognised(spark, d)))
 
 
+def _conversed(spark, d):
+    """Turns of conversations as clips, what is said in them as a recogniser's answers."""
+    words = A.words(spark, d)
+    turns = words.groupBy("file_id", F.col("turn").cast("bigint").alias("clip_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    none = F.lit(None).cast("double")
+    clips = turns.select("*", none.alias("own_start"), none.alias("own_end"), (F.col("end_ms") - F.col("start_ms")).alias("speech_ms"), F.lit(False).alias("cut"), F.lit(None).cast("bigint").alias("parent"))
+    said = A.table(spark, d, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").cast("bigint").alias("clip_id"), "text", F.lit("English").alias("language"), F.lit(None).cast(E.WORDS).alias("words"))
+    policy = E.Policy(split=False, language="English", most_cps=200)
+    return words, E.recognised(clips, lambda asked: asked.select("file_id", "clip_id").join(said, ["file_id", "clip_id"]), context="Terms: alpha.", policy=policy)
+
+
 @query()
 def b5_json(spark, d):
-    words = S.sentence_ids(A.words(spark, d))
-    none = E.recognised(A.spoken(spark, d).limit(0), E.dummy_recogniser).withColumn("file_id", F.lit(0).cast("bigint"))
-    return sinks.json_documents(S.sentences(words), words, none, S.speaker_names(words), {"version": "1"})
+    words, results = _conversed(spark, d)
+    ids = S.sentence_ids(words)
+    return sinks.json_documents(S.sentences(ids), ids, results, S.speaker_names(words), {"version": "1"})
+
+
+@query()
+def b9_outputs(spark, d):
+    """All formats of all conversations, written as files, all or none, and read again."""
+    words, results = _conversed(spark, d)
+    plain = words.select("file_id", "pos", "speaker", "word", "start_ms", "end_ms")
+    made = sinks.outputs(plain, results, plain.drop("word"), S.speaker_names(words), ("txt", "plain", "srt", "vtt", "csv", "md", "json", "rttm"), meta={"version": "1"})
+    folder = new_folder(spark, "outputs")
+    write_files(made, folder)
+    read = spark.read.format("binaryFile").load(folder)
+    return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("content"))
+
+
+def _compared(spark, d):
+    """Documents beside items of benchmark, and themselves without loops, as two models; a third that failed for every tenth."""
+    p = A.pairs(spark, d).select(F.col("doc_id").alias("file_id"), "ref", "hyp").repartition(4 * spark.sparkContext.defaultParallelism)
+    one = lambda place, name, text, error: p.select("file_id", F.lit(place).alias("place"), F.lit(name).alias("preset"), F.lit(name).alias("label"), text.alias("text"), F.lit(2.0).alias("asr_sec"), F.lit(3.0).alias("wall_sec"), F.lit(1.0).alias("load_sec"), F.lit(60.0).alias("duration"), F.lit(0).alias("flags"), error.cast("string").alias("error"))
+    runs = one(0, "whole", F.col("hyp"), F.lit(None)).unionByName(one(1, "<short>", T.collapse_repeats(F.col("hyp")), F.lit(None)))
+    return runs.unionByName(one(2, "gone", F.lit(None).cast("string"), F.lit("out of memory")).where("file_id % 10 = 0"))
+
+
+@query()
+def b14_comparison_table(spark, d):
+    """Without a reference: models beside the first."""
+    return sinks.comparison_table(M.compare(_compared(spark, d), terms=["the", "and"]))
+
+
+@query()
+def b10_comparison_json(spark, d):
+    return sinks.comparison_json(M.compare(_compared(spark, d), terms=["the", "and"])).select("name", "content")
 
 
 @query(f"WITH {CLIPS} SELECT clip_id, (SELECT string_agg('これは' || i || '番目の文です。', '' ORDER BY i) FROM range(1, greatest(1, dur_ms // 3000) + 1) r(i)) AS text FROM clips")

@@ -1,10 +1,10 @@
-"""Sinks: one text a file (transcript, table, notes), and files replaced as a whole."""
+"""Sinks: one text a file: transcripts, tables, subtitles, notes, comparisons."""
 
 from __future__ import annotations
 
 import os
 import re
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from spanframe.operators.cues import CueRules, make_cues
 from spanframe.operators.intervals import islands
 from spanframe.operators.retry import review_items
 from spanframe.operators.sequences import labelled, paragraphs, sentence_ids, sentences
+from spanframe.sources.shared import once
 
 
 def in_order(order: str, line: Column, glue: str = "\n") -> Column:
@@ -22,11 +23,16 @@ def in_order(order: str, line: Column, glue: str = "\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("x")))), lambda r: r["x"]), glue)
 
 
-def transcript(rows: DataFrame, order: str, timestamps: bool = True) -> DataFrame:
-    """file_id, txt: a line [HH:MM:SS] speaker: text for each row; rows without a speaker have text only."""
+def transcript_text(order: str, timestamps: bool = True) -> Column:
+    """The text of transcript() as an aggregate, so that several formats can share a pass over rows."""
     who = F.coalesce(F.concat("speaker", F.lit(": ")), F.lit(""))
     head = F.concat(F.lit("["), T.hms(F.col("start_ms")), F.lit("] ")) if timestamps else F.lit("")
-    return rows.groupBy("file_id").agg(F.concat(in_order(order, F.concat(head, who, "text")), F.lit("\n")).alias("txt"))
+    return F.concat(in_order(order, F.concat(head, who, "text")), F.lit("\n"))
+
+
+def transcript(rows: DataFrame, order: str, timestamps: bool = True) -> DataFrame:
+    """file_id, txt: a line [HH:MM:SS] speaker: text for each row; rows without a speaker have text only."""
+    return rows.groupBy("file_id").agg(transcript_text(order, timestamps).alias("txt"))
 
 
 def csv_field(c: Column) -> Column:
@@ -44,29 +50,44 @@ def csv_table(rows: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("file_id").agg(F.concat(F.lit("start,end,start_hms,speaker,text\n"), in_order(order, line), F.lit("\n")).alias("csv"))
 
 
-def markdown(rows: DataFrame, order: str, title: str, meta: dict[str, str]) -> DataFrame:
-    """file_id, md: a title, the notes as a list, and a paragraph with time and speaker for each row."""
+def markdown_text(order: str, title: str, meta: dict[str, str]) -> Column:
+    """The text of markdown() as an aggregate."""
     head = "\n".join([f"# {title}", "", *(f"- {k}: {v}" for k, v in meta.items()), "", "## 文字起こし", "", ""])
     who = F.coalesce(F.concat(F.lit(" **"), "speaker", F.lit("**")), F.lit(""))
     line = F.concat(F.lit("**["), T.hms(F.col("start_ms")), F.lit("]**"), who, F.lit("  \n"), "text", F.lit("\n"))
-    return rows.groupBy("file_id").agg(F.concat(F.lit(head), in_order(order, line)).alias("md"))
+    return F.concat(F.lit(head), in_order(order, line))
 
 
-def srt(cues: DataFrame, order: str = "cue", speaker_format: str = "{speaker}: {text}") -> DataFrame:
-    """file_id, srt: numbered cues; the format, with {speaker} and {text}, is used where there is a speaker."""
-    n = F.row_number().over(Window.partitionBy("file_id").orderBy(order))
+def markdown(rows: DataFrame, order: str, title: str, meta: dict[str, str]) -> DataFrame:
+    """file_id, md: a title, the notes as a list, and a paragraph with time and speaker for each row."""
+    return rows.groupBy("file_id").agg(markdown_text(order, title, meta).alias("md"))
+
+
+def srt_text(order: str, speaker_format: str = "{speaker}: {text}") -> Column:
+    """The text of srt() as an aggregate over cues numbered by `order`, from 1."""
     parts = re.split(r"(\{speaker\}|\{text\})", speaker_format)
     spoken = F.concat(*[F.col(p[1:-1]) if p in ("{speaker}", "{text}") else F.lit(p) for p in parts])
     body = F.when(F.coalesce("speaker", F.lit("")) != "", spoken).otherwise(F.col("text"))
-    line = F.concat(F.col("__n").cast("string"), F.lit("\n"), T.clock(F.col("start_ms")), F.lit(" --> "), T.clock(F.col("end_ms")), F.lit("\n"), body, F.lit("\n"))
-    return cues.withColumn("__n", n).groupBy("file_id").agg(in_order("__n", line).alias("srt"))
+    line = F.concat(F.col(order).cast("string"), F.lit("\n"), T.clock(F.col("start_ms")), F.lit(" --> "), T.clock(F.col("end_ms")), F.lit("\n"), body, F.lit("\n"))
+    return in_order(order, line)
 
 
-def vtt(cues: DataFrame, order: str = "cue") -> DataFrame:
-    """file_id, vtt: WEBVTT with voices."""
+def srt(cues: DataFrame, order: str = "cue", speaker_format: str = "{speaker}: {text}") -> DataFrame:
+    """file_id, srt: numbered cues; the format, with {speaker} and {text}, is used where there is a speaker."""
+    n = F.row_number().over(Window.partitionBy("file_id").orderBy(order))
+    return cues.withColumn("__n", n).groupBy("file_id").agg(srt_text("__n", speaker_format).alias("srt"))
+
+
+def vtt_text(order: str) -> Column:
+    """The text of vtt() as an aggregate."""
     body = F.when(F.coalesce("speaker", F.lit("")) != "", F.concat(F.lit("<v "), "speaker", F.lit(">"), "text")).otherwise(F.col("text"))
     line = F.concat(T.clock(F.col("start_ms"), "."), F.lit(" --> "), T.clock(F.col("end_ms"), "."), F.lit("\n"), body, F.lit("\n"))
-    return cues.groupBy("file_id").agg(F.concat(F.lit("WEBVTT\n\n"), in_order(order, line)).alias("vtt"))
+    return F.concat(F.lit("WEBVTT\n\n"), in_order(order, line))
+
+
+def vtt(cues: DataFrame, order: str = "cue") -> DataFrame:
+    """file_id, vtt: WEBVTT with voices."""
+    return cues.groupBy("file_id").agg(vtt_text(order).alias("vtt"))
 
 
 def rttm_lines(turns: DataFrame) -> DataFrame:
@@ -171,25 +192,37 @@ def output_base(source: str, folder: str, many: bool = False) -> str:
 
 
 def outputs(words: DataFrame, results: DataFrame, turns: DataFrame, names: DataFrame, formats: tuple[str, ...] = ("txt", "srt", "json"), clean: Clean = PLAIN, rules: CueRules = CueRules(), meta: dict[str, str] | None = None, with_review: bool = True) -> DataFrame:
-    """file_id, name (of a file: the id and an extension), content of every chosen format, from one stream of words.
+    """file_id, name (of a file: the id and an extension), content of every chosen format, from one stream of words; files.write_files() writes them.
 
-    words: file_id, pos, speaker, word, start_ms, end_ms. A file without anything to review has no review.
+    words: file_id, pos, speaker, word, start_ms, end_ms. They are computed once, into the shared folder, and so
+    are sentences; formats made of the same rows share a pass over them. csv begins with a byte order mark. A file
+    without anything to review has null for its review, so that an older one goes.
     """
-    ids = sentence_ids(words)
-    sents = sentences(ids, clean)
-    known = labelled(sents, names)
-    paras, cues = paragraphs(known), labelled(make_cues(words, clean, rules), names) if {"srt", "vtt"} & set(formats) else None
-    made = {
-        "txt": lambda: transcript(blank_speakers(paras), "par_id"), "plain": lambda: transcript(blank_speakers(paras), "par_id", False).withColumnRenamed("txt", "plain"),
-        "srt": lambda: srt(cues), "vtt": lambda: vtt(cues), "csv": lambda: csv_table(known, "sent_id"), "md": lambda: markdown(blank_speakers(paras), "par_id", "", meta or {}),
-        "json": lambda: json_documents(sents, ids, results, names, meta), "rttm": lambda: rttm(labelled(turns, names)),
-    }
-    out = None
-    for fmt in [*formats, *["review"] * with_review]:
-        one = review(review_items(results)) if fmt == "review" else made[fmt]()
-        one = one.select("file_id", F.concat(F.col("file_id").cast("string"), F.lit(extension(fmt))).alias("name"), F.col(fmt).alias("content"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    ids = once(sentence_ids(words), "words")
+    sents = once(sentences(ids, clean), "sentences")
+    known, chosen = labelled(sents, names), lambda *some: [f for f in some if f in formats]
+    made = []
+    if some := chosen("txt", "plain", "md"):
+        of = {"txt": transcript_text("par_id"), "plain": transcript_text("par_id", False), "md": markdown_text("par_id", "", meta or {})}
+        made.append(blank_speakers(paragraphs(known)).groupBy("file_id").agg(*[of[f].alias(f) for f in some]))
+    if some := chosen("srt", "vtt"):
+        of = {"srt": srt_text("cue"), "vtt": vtt_text("cue")}
+        made.append(labelled(make_cues(ids.select(*words.columns), clean, rules), names).groupBy("file_id").agg(*[of[f].alias(f) for f in some]))
+    if chosen("csv"):
+        made.append(csv_table(known, "sent_id").withColumn("csv", F.concat(F.lit("\ufeff"), "csv")))
+    if chosen("json"):
+        made.append(json_documents(sents, ids, results, names, meta))
+    if chosen("rttm"):
+        made.append(rttm(labelled(turns, names)))
+    every = ids.select("file_id").unionByName(results.select("file_id")).distinct()
+    made.append(every.join(review(review_items(results)), "file_id", "left") if with_review else every.withColumn("review", F.lit(None).cast("string")))
+    return reduce(DataFrame.unionByName, (one_a_row(m) for m in made))
+
+
+def one_a_row(made: DataFrame) -> DataFrame:
+    """file_id, name, content of a table with a column for each format."""
+    each = F.explode(F.array(*[F.struct(F.lit(extension(f)).alias("ext"), F.col(f).alias("content")) for f in made.columns if f != "file_id"]))
+    return made.select("file_id", each.alias("x")).select("file_id", F.concat(F.col("file_id").cast("string"), "x.ext").alias("name"), "x.content")
 
 
 def blank_speakers(rows: DataFrame) -> DataFrame:
@@ -197,19 +230,53 @@ def blank_speakers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("speaker", F.nullif("speaker", F.lit("")))
 
 
-def write_files(df: DataFrame, name: str, content: str, folder: str, bom: bool = False) -> None:
-    """Writes each row's content as folder/name, on a file system that all executors share.
+#: The columns of a comparison with and without a reference, and what stands below it.
+COMPARED = ["モデル", "推論", "倍速", "読み込み", "VRAM峰"]
+WITH_REFERENCE, WITHOUT_REFERENCE, LAST = ["CER", "用語", "数字", "否定", "抜け"], ["1行目との差", "用語の出現"], ["要確認", "冒頭"]
+NOTE = "推論・倍速はモデルの読み込み(vLLM はサーバーの起動)を除いた時間。読み込みはそのモデルを最後に読み込んだときの時間です。"
+NOTE_WITH = "CER は句読点・空白を除き NFKC 正規化した文字誤り率(低いほど良い)。用語 = 正解に出てくる context の語を正しく書けた数、数字 = 正解の数字を同じ形で書けた数(金額・日付の取り違えの目安)、否定 = 正解の「ない・ません」などが同じ所に残った数(+ は正解に無い否定。意味の反転の目安)、抜け = 正解の 8 字以上がまとめて抜けた箇所(発話の読み飛ばしの目安)。"
+NOTE_WITHOUT = "正解テキストがないので、1行目のモデルとの文字の食い違い率を参考表示しています(どちらが正しいかは分かりません)。"
 
-    Every file is written beside its place and then renamed, so a task run again replaces it whole.
-    """
 
-    def put(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            path = os.path.join(folder, os.path.basename(str(r[0])))
-            part = f"{path}.{uuid.uuid4().hex}.tmp"
-            with open(part, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
-                f.write(r[1] or "")
-            os.replace(part, path)
+def cell(value: Column, style: str = "") -> Column:
+    return F.concat(F.lit(f"<td{style}>"), F.coalesce(value, F.lit("-")), F.lit("</td>"))
 
-    df.select(name, content).foreachPartition(put)
+
+def comparison_table(compared: DataFrame) -> DataFrame:
+    """file_id, html: what operators.metrics.compare() gives as a table, a row for each model in order, a failed one with its error.
+
+    Whether there was a reference is seen by its columns. gpu_peak_gb is shown if it is there.
+    """
+    with_ref, col = "cer" in compared.columns, F.col
+    percent = lambda c: F.when(col(c).isNotNull(), F.concat(F.format_string("%.1f", F.bround(col(c) * 100, 1)), F.lit("%")))
+    share = lambda c, total: F.when(col(total) > 0, F.concat(col(c).cast("string"), F.lit("/"), col(total).cast("string")))
+    whole = lambda c: F.bround(c, 0).cast("bigint").cast("string")
+    cells = [
+        cell(T.escaped(col("label"))), cell(F.concat(F.format_string("%.1f", F.bround(F.coalesce("asr_sec", F.lit(0.0)), 1)), F.lit("秒"))), cell(F.concat(F.lit("x"), whole(col("x_realtime")))),
+        cell(F.concat(whole(col("load_sec")), F.lit("秒"))), cell(col("gpu_peak_gb").cast("string") if "gpu_peak_gb" in compared.columns else F.lit(None).cast("string")),
+        cell(F.concat(F.lit("<b>"), F.coalesce(percent("cer" if with_ref else "diff_vs_first"), F.lit("-")), F.lit("</b>"))),
+    ]
+    if with_ref:
+        more = F.when(col("negations.extra") > 0, F.concat(F.lit(" (+"), col("negations.extra").cast("string"), F.lit(")"))).otherwise("")
+        drops = F.when(col("drops.runs") == 0, "なし").when(col("drops.runs") > 0, F.concat(F.lit("<b>"), col("drops.runs").cast("string"), F.lit(" か所</b>（"), col("drops.chars").cast("string"), F.lit(" 字）")))
+        cells += [cell(share("terms.hit", "terms.total")), cell(share("numbers.hit", "numbers.total")), cell(F.concat(F.coalesce(share("negations.kept", "negations.total"), F.lit("-")), more)), cell(drops)]
+    else:
+        cells.append(cell(col("terms_found").cast("string")))
+    cells += [cell(F.coalesce(col("flags"), F.lit(0)).cast("string")), cell(F.concat(T.escaped(F.substring("text", 1, 160)), F.lit("…")), " style='max-width:520px'")]
+    failed = F.concat(cell(T.escaped(col("label"))), F.lit("<td colspan=11 style='color:#c00'>"), T.escaped(F.substring("error", 1, 200)), F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), F.when(col("error").isNotNull(), failed).otherwise(F.concat(*cells)), F.lit("</tr>"))
+    heads = "".join(f"<th>{h}</th>" for h in [*COMPARED, *(WITH_REFERENCE if with_ref else WITHOUT_REFERENCE), *LAST])
+    notes = "".join(f"<div style='font-size:12px;color:#666'>{n}</div>" for n in (NOTE, NOTE_WITH if with_ref else NOTE_WITHOUT))
+    table = F.concat(F.lit(f"<table style='border-collapse:collapse;font-size:13px' border=1 cellpadding=4><tr>{heads}</tr>"), in_order("place", row, ""), F.lit(f"</table>{notes}"))
+    return compared.groupBy("file_id").agg(table.alias("html"))
+
+
+def comparison_json(compared: DataFrame) -> DataFrame:
+    """file_id, name, content: the rows of a comparison as a JSON list, models in order; a failed one has preset, label and error only."""
+    kept = [c for c in compared.columns if c not in ("file_id", "place", "error")]
+    rate = F.col("drops") if "drops" in compared.columns else None
+    lists = {"terms": ("hit", "total"), "numbers": ("hit", "total"), "negations": ("kept", "total", "extra"), "drops": ("runs", "chars")} if rate is not None else {}
+    fields = [F.array(*[F.col(c)[n] for n in lists[c]]).alias(c) if c in lists else F.col(c) for c in kept]
+    row = F.when(F.col("error").isNotNull(), F.to_json(F.struct("preset", "label", F.substring("error", 1, 300).alias("error")))).otherwise(F.to_json(F.struct(*fields)))
+    made = compared.groupBy("file_id").agg(F.concat(F.lit("[\n"), in_order("place", row, ",\n"), F.lit("\n]")).alias("content"))
+    return made.select("file_id", F.concat(F.col("file_id").cast("string"), F.lit(".compare.json")).alias("name"), "content")

@@ -63,13 +63,6 @@ def test_tokens_skip_silence(spark):
     assert got == [(1, 0, "ab ", 0, 200), (1, 1, "cd", 200, 1000), (2, 0, "x", 10, 20)]
 
 
-def test_files_are_replaced_whole(spark, tmp_path):
-    for text in ("one", "two\n"):
-        sinks.write_files(spark.createDataFrame([("a.txt", text), ("b.txt", None)], "n string, c string"), "n", "c", str(tmp_path), bom=True)
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.txt", "b.txt"]
-    assert (tmp_path / "a.txt").read_bytes() == b"\xef\xbb\xbftwo\n"
-
-
 def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     source, table, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
     for rows in ([(1, "a"), (1, "a"), (2, "b")], [(2, "again"), (3, "c")]):

@@ -396,6 +396,7 @@ def test_outputs(spark):
     assert doc["segments"][1]["speaker"] == "話者B" and doc["segments"][0]["words"][0]["word"] == "こんにちは。" and "own_start" not in doc["clips"][0] and doc["version"] == "test" and doc["clips"][0]["attempts"]
     assert got["会議 1.rttm"].splitlines()[0] == "SPEAKER 会議_1 1 0.000 1.000 <NA> <NA> 話者A <NA> <NA>"
     assert got["会議 1.txt"] == "[00:00:00] 話者A: こんにちは。\n[00:00:01] 話者B: はい。\n" and got["会議 1_plain.txt"].startswith("話者A: ")
+    assert got["会議 1.csv"].startswith("\ufeffstart,end") and not any(t.startswith("\ufeff") for n, t in got.items() if n != "会議 1.csv")
     md = got["会議 1_review.md"]
     assert "同じ言葉のループ" in md and "context なし): はい" in md and "- **採用した結果**: こんにちは。はい。" in md
     assert sinks.output_base("/a/b.wav", "") == "/a/b" and sinks.output_base("/a/b.wav", "out/") == "out/b" and sinks.output_base("/a/b.wav", "o/x.txt") == "o/x" and sinks.output_base("/a/b.wav", "o/x.txt", True) == "o/x.txt/b"
@@ -520,3 +521,55 @@ def test_differences_equal_the_library(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     back = lambda x: html.unescape(re.sub("<ins[^>]*>.*?</ins>|<del[^>]*>|</del>", "", x, flags=re.S))
     assert {r.doc_id: back(r.html) for r in rows} == {k: t[:20_000] for k, t in docs.items()} and any("<del" in r.html for r in rows)
+
+
+def test_written_outputs_are_those_of_each_format(spark):
+    from spanframe.operators.sequences import labelled, paragraphs, sentence_ids, sentences
+    from spanframe.plans import speech
+
+    d = "/root/testdata/sf0.001"
+    got = {r["name"]: r.content for r in speech.b9_outputs(spark, d).collect()}
+    words, results = speech._conversed(spark, d)
+    names, plain = S.speaker_names(words), words.select("file_id", "pos", "speaker", "word", "start_ms", "end_ms")
+    ids = sentence_ids(plain)
+    sents = sentences(ids)
+    known = labelled(sents, names)
+    paras, cues = paragraphs(known), labelled(Q.make_cues(plain), names)
+    one = {
+        ".txt": (sinks.transcript(paras, "par_id"), "txt"), "_plain.txt": (sinks.transcript(paras, "par_id", False), "txt"), ".md": (sinks.markdown(paras, "par_id", "", {"version": "1"}), "md"),
+        ".srt": (sinks.srt(cues), "srt"), ".vtt": (sinks.vtt(cues), "vtt"), ".csv": (sinks.csv_table(known, "sent_id"), "csv"), ".json": (sinks.json_documents(sents, ids, results, names, {"version": "1"}), "json"),
+        ".rttm": (sinks.rttm(labelled(plain.drop("word"), names)), "rttm"), "_review.md": (sinks.review(E.review_items(results)), "review"),
+    }
+    want = {f"{r.file_id}{ext}": ("\ufeff" if ext == ".csv" else "") + r[name] for ext, (df, name) in one.items() for r in df.collect()}
+    assert got == want and len(got) > 8 * 20
+    turns = {}
+    for r in spark.read.parquet(f"{d}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.text))
+    for r in speech.b5_json(spark, d).collect():
+        doc = json.loads(r.json)
+        said = [(t, x) for t, x in sorted(turns[r.file_id]) if x.split()]
+        assert [(c["id"], c["text"]) for c in doc["clips"]] == [(t, x.strip()) for t, x in said]
+        assert all(c["flags"] and c["attempts"] if "flags" in c and c["flags"] else True for c in doc["clips"])
+        spoken = [w["word"] for g in doc["segments"] for w in g["words"]]
+        assert "".join(spoken) == "".join(re.sub(r"^\s+", "", x) for _, x in said) and all(g["text"] == "".join(w["word"] for w in g["words"]).strip() for g in doc["segments"])
+        assert [c["start"] for c in doc["clips"]] == sorted(c["start"] for c in doc["clips"])
+
+
+def test_comparisons_are_shown_and_kept(spark):
+    schema = "file_id string, place int, preset string, label string, text string, asr_sec double, wall_sec double, load_sec double, duration double, flags int, error string"
+    rows = [("f", 0, "m", "M&", "明日は行かない。1つ<b>", 2.0, 9.0, 1.4, 61.0, 2, None), ("f", 1, "n", "N", "明日は行く。", None, 3.0, None, 60.0, None, None), ("f", 2, "o", "O<", None, None, None, None, None, None, "gone" * 100)]
+    runs = spark.createDataFrame(rows, schema)
+    ref = spark.createDataFrame([("f", "明日は行かない。1つ2つ")], "file_id string, ref string")
+    with_ref, without = M.compare(runs, ref, ["行か"]), M.compare(runs, terms=["明日"])
+    html = sinks.comparison_table(with_ref).first().html
+    assert "<td>M&amp;</td><td>2.0秒</td><td>x30</td><td>1秒</td><td>-</td><td><b>" in html and "<td>1/1</td><td>1/2</td><td>1/1</td><td>なし</td><td>2</td><td style='max-width:520px'>明日は行かない。1つ&lt;b&gt;…</td>" in html
+    assert "<td>N</td><td>0.0秒</td><td>x20</td><td>-</td>" in html and "<td>0/1</td>" in html and f"<tr><td>O&lt;</td><td colspan=11 style='color:#c00'>{'gone' * 50}</td></tr></table>" in html
+    assert html.count("<tr>") == 4 and html.count("<th>") == 12 and html.count("<div") == 2
+    html = sinks.comparison_table(without).first().html
+    assert "<th>1行目との差</th><th>用語の出現</th><th>要確認</th>" in html and "<b>-</b></td><td>1</td>" in html
+    made = sinks.comparison_json(with_ref).first()
+    doc = json.loads(made.content)
+    assert made["name"] == "f.compare.json" and [r["preset"] for r in doc] == ["m", "n", "o"] and doc[2] == {"preset": "o", "label": "O<", "error": ("gone" * 100)[:300]}
+    assert doc[0]["terms"] == [1, 1] and doc[0]["numbers"] == [1, 2] and doc[0]["negations"] == [1, 1, 0] and doc[0]["drops"] == [0, 0] and doc[0]["text"].startswith("明日")
+    doc = json.loads(sinks.comparison_json(without).first().content)
+    assert doc[1]["diff_vs_first"] > 0 and "diff_vs_first" not in doc[0] and doc[1]["terms_found"] == 1
