@@ -2,7 +2,9 @@
 
 A recogniser is a function DataFrame -> DataFrame: of file_id, clip_id, start_ms, end_ms and
 context it makes file_id, clip_id, text, language and words (array of tok, s, e in ms from the clip's
-start, or null), one row for each row. All passes are one plan: each works on the clips that are still flagged.
+start, or null), and may make error, one row for each row. All passes are one plan: each works on the clips
+that are still flagged. A clip that failed, or got no answer, has its error, no text and no flags, and isn't
+read again; isolated() then sets its file apart.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ WORDS = "array<struct<tok:string,s:double,e:double>>"
 ATTEMPT = "struct<kind:string,ctx:boolean,text:string,flags:array<string>,split_from:bigint,split_texts:array<string>,split_flags:array<array<string>>,model:string,pieces:int,rejected:string,adopted:string>"
 ATTEMPTS = f"array<{ATTEMPT}>"
 CLIP = ["file_id", "clip_id", "start_ms", "end_ms", "own_start", "own_end", "speech_ms", "cut", "parent"]
-RESULT = [*CLIP, "text", "language", "flags", "attempts", "words"]
+RESULT = [*CLIP, "text", "language", "flags", "attempts", "words", "error"]
+NO_ANSWER = "no answer"
 ECHO, INFLATING = ("context_label", "context_echo"), ("repetition", "too_dense", "context_echo", "context_label")
 
 
@@ -51,13 +54,24 @@ def flagged(rows: DataFrame, policy: Policy, terms: list[str], label: str) -> Da
     return rows.withColumn("flags", T.quality_flags(F.col("text"), dur, F.col("speech_ms"), some, label, policy.punctuates, policy.most_cps, F.lit(policy.language) if policy.language else None))
 
 
+def with_error(rows: DataFrame) -> DataFrame:
+    return rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+
+
 def answered(clips: DataFrame, recognise: Recogniser, policy: Policy, terms: list[str], label: str) -> DataFrame:
-    """clips (with context) with text, language, words and flags; a clip without an answer is an error."""
-    said = recognise(clips.select("file_id", "clip_id", "start_ms", "end_ms", "context"))
-    said = said.select("file_id", "clip_id", T.strip(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("language", F.lit("")).alias("language"), F.col("words").cast(WORDS).alias("words"), F.lit(True).alias("__got"))
-    out = clips.join(said, ["file_id", "clip_id"], "left")
-    out = out.withColumn("text", F.when(F.col("__got").isNull(), F.raise_error(F.lit("the recogniser gave no answer for a clip"))).otherwise(F.col("text"))).drop("__got")
-    return flagged(out, policy, terms, label)
+    """clips (with context) with text, language, words, flags and error; a clip without an answer has an error too."""
+    said = with_error(recognise(clips.select("file_id", "clip_id", "start_ms", "end_ms", "context")))
+    said = said.select("file_id", "clip_id", T.strip(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("language", F.lit("")).alias("language"), F.col("words").cast(WORDS).alias("words"), "error", F.lit(True).alias("__got"))
+    out = clips.join(said, ["file_id", "clip_id"], "left").withColumn("error", F.when(F.col("__got").isNull(), NO_ANSWER).otherwise(F.col("error"))).drop("__got")
+    told = lambda c, none: F.when(F.col("error").isNull(), F.col(c)).otherwise(none).alias(c)
+    out = out.withColumns({"text": told("text", F.lit("")), "language": told("language", F.lit("")), "words": told("words", F.lit(None))})
+    return flagged(out, policy, terms, label).withColumn("flags", F.when(F.col("error").isNull(), F.col("flags")).otherwise(F.array().cast("array<string>")))
+
+
+def isolated(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The results of the files in which no clip failed; and file_id, error of the others, that of their first clip that did."""
+    bad = results.where("error IS NOT NULL").groupBy("file_id").agg(F.min_by("error", F.struct("start_ms", "clip_id")).alias("error"))
+    return results.join(bad.select("file_id"), "file_id", "left_anti").drop("error"), bad
 
 
 def tried(context: Column, text: str = "text", flags: str = "flags") -> Column:
@@ -77,17 +91,17 @@ def recognised(clips: DataFrame, recognise: Recogniser, *, context: str = "", te
     one = answered(todo.withColumn("context", ctx), recognise, policy, terms_, label).withColumn("attempts", F.array(tried(F.col("context")))).select(*RESULT)
     if done is not None:
         kept = clips.join(done.select("file_id", "clip_id", "text", "language", "attempts", "words"), ["file_id", "clip_id"])
-        one = flagged(kept, policy, terms_, label).select(*RESULT).unionByName(one)
+        one = with_error(flagged(kept, policy, terms_, label)).select(*RESULT).unionByName(one)
     if not policy.enabled:
         return one
     if context and policy.without_context:
         again = answered(one.where(F.size("flags") > 0).select(*CLIP).withColumn("context", F.lit("")), recognise, policy, terms_, label)
-        again = again.select("file_id", "clip_id", *[F.col(c).alias(f"__{c}") for c in ("text", "language", "flags", "words")])
+        again = again.select("file_id", "clip_id", *[F.col(c).alias(f"__{c}") for c in ("text", "language", "flags", "words", "error")])
         both = one.join(again, ["file_id", "clip_id"], "left")
-        tried_, better = F.col("__text").isNotNull(), F.size("__flags") < F.size("flags")
+        tried_, better = F.col("__text").isNotNull() & F.col("__error").isNull(), F.size("__flags") < F.size("flags")
         attempts = F.when(tried_, F.concat("attempts", F.array(tried(F.lit(""), "__text", "__flags")))).otherwise(F.col("attempts"))
         take = lambda c, new: F.when(tried_ & better, new).otherwise(F.col(c)).alias(c)
-        one = both.select(*CLIP, take("text", F.col("__text")), take("language", F.when(F.col("__language") != "", F.col("__language")).otherwise(F.col("language"))), take("flags", F.col("__flags")), attempts.alias("attempts"), take("words", F.col("__words")))
+        one = both.select(*CLIP, take("text", F.col("__text")), take("language", F.when(F.col("__language") != "", F.col("__language")).otherwise(F.col("language"))), take("flags", F.col("__flags")), attempts.alias("attempts"), take("words", F.col("__words")), F.coalesce("error", "__error").alias("error"))
     if policy.split:
         one = in_halves(one, recognise, context, policy, terms_, label, levels)
     looped = F.array_contains("flags", "repetition") & (T.collapse_repeats(F.col("text")) != F.col("text"))
@@ -108,11 +122,11 @@ def in_halves(results: DataFrame, recognise: Recogniser, context: str, policy: P
     halves = halves.withColumn("clip_id", F.col("__top") + 1 + 2 * F.col("__place") + F.col("part"))
     said = answered(halves, recognise, policy, terms, label)
     pair = F.array_sort(F.collect_list(F.struct("part", "text", "flags")))
-    judged = said.groupBy(F.col("file_id").alias("__file"), F.col("parent").alias("__parent")).agg(pair.alias("__pair"))
+    judged = said.groupBy(F.col("file_id").alias("__file"), F.col("parent").alias("__parent")).agg(pair.alias("__pair"), F.min("error").alias("__bad"))
     both = results.join(judged, (F.col("file_id") == F.col("__file")) & (F.col("clip_id") == F.col("__parent")), "left")
-    wins = F.col("__pair").isNotNull() & (F.aggregate("__pair", F.lit(0), lambda n, x: n + F.size(x["flags"])) < F.size("flags"))
+    wins = F.col("__pair").isNotNull() & F.col("__bad").isNull() & (F.aggregate("__pair", F.lit(0), lambda n, x: n + F.size(x["flags"])) < F.size("flags"))
     split = attempt("split", split_texts=F.transform("__pair", lambda x: x["text"]), split_flags=F.transform("__pair", lambda x: x["flags"]))
-    stay = both.where(~wins).withColumn("attempts", F.when(F.col("__pair").isNotNull(), F.concat("attempts", F.array(split))).otherwise(F.col("attempts"))).select(*RESULT)
+    stay = both.where(~wins).withColumn("error", F.coalesce("error", "__bad")).withColumn("attempts", F.when(F.col("__pair").isNotNull(), F.concat("attempts", F.array(split))).otherwise(F.col("attempts"))).select(*RESULT)
     won = both.where(wins).select(F.col("file_id").alias("__f"), F.col("clip_id").alias("__c"), F.col("attempts").alias("__before"))
     new = said.join(won, (F.col("file_id") == F.col("__f")) & (F.col("parent") == F.col("__c")))
     mark = attempt("split_from", split_from=F.col("__c"))
@@ -161,7 +175,7 @@ def second_opinion(results: DataFrame, recognise: Recogniser, model: str, speech
     note = attempt("text", model=F.lit(model), text=F.col("__text"), flags=F.col("__new"), pieces=F.when(F.col("__n") > 1, F.col("__n")), rejected=refused)
     attempts = F.when(adopt, F.concat("attempts", F.array(note, attempt("adopted", adopted=F.lit(model))))).when(asked, F.concat("attempts", F.array(note))).otherwise(F.col("attempts"))
     take = lambda c, new: F.when(adopt, F.col(new)).otherwise(F.col(c)).alias(c)
-    return again.select(*CLIP, take("text", "__text"), "language", take("flags", "__new"), attempts.alias("attempts"), take("words", "__words"))
+    return with_error(again).select(*CLIP, take("text", "__text"), "language", take("flags", "__new"), attempts.alias("attempts"), take("words", "__words"), "error")
 
 
 def review_items(results: DataFrame) -> DataFrame:
@@ -194,4 +208,4 @@ def dummy_turns(files: DataFrame, turn_ms: int = 10_000) -> DataFrame:
     return each.select("file_id", F.col("k").cast("bigint").alias("pos"), (F.col("k") * turn_ms).cast("bigint").alias("start_ms"), F.least("total_ms", (F.col("k") + 1) * turn_ms).cast("bigint").alias("end_ms"), F.concat(F.lit("SPEAKER_"), F.lpad((F.col("k") % 2).cast("string"), 2, "0")).alias("speaker"))
 
 
-__all__ = ["Policy", "Recogniser", "answered", "dummy_aligner", "dummy_recogniser", "dummy_turns", "recognised", "review_items", "second_opinion", "with_speech"]
+__all__ = ["Policy", "Recogniser", "answered", "dummy_aligner", "dummy_recogniser", "dummy_turns", "isolated", "recognised", "review_items", "second_opinion", "with_speech"]

@@ -366,4 +366,4 @@ def b6_markdown(spark, d):
     return sinks.markdown(_sentences(spark, d), "sent_id", "Talk", {"model": "none"})
 
 
-from spanframe.plans import speech as _speech  # noqa: E402, F401  (adds its queries to QUERIES and ORACLES)
+from spanframe.plans import runs as _runs, speech as _speech  # noqa: E402, F401  (they add their queries to QUERIES and ORACLES)

@@ -1,24 +1,54 @@
-"""Resumable batches: what a stream brings is appended once, by key, and a restart goes on where it ended."""
+"""Resumable batches: what a stream brings is kept once, by key, and a restart goes on where it ended.
+
+Every batch of a query is a folder of its own, run=QUERY/epoch=N, and counts once Spark has marked it
+as whole. A batch that is run again after a crash replaces its own folder, so nothing comes twice;
+what another query, or this one before its checkpoint was lost, has kept is looked up by key. A last
+table, `final`, closes the log: from then on it is all that is read.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+
+def whole_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders of a pattern that hold a finished write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = at(pattern).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at(f"{pattern}/_SUCCESS"))
+    return sorted(s.getPath().getParent().toString() for s in found or [])
+
+
+def kept(spark: SparkSession, path: str, schema: StructType, but: str | None = None) -> DataFrame:
+    """The rows of all whole batches, but for those of one folder."""
+    folders = [f for f in whole_folders(spark, f"{path}/run=*/epoch=*") if but is None or not f.endswith(but)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def keep_new(batch: DataFrame, epoch: int, path: str, key: list[str]) -> None:
+    """Keeps the rows of a batch whose key no other batch has; of rows with equal keys one. A null is a key like any other."""
+    spark = batch.sparkSession
+    own = f"run={spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'alone'}/epoch={epoch}"
+    known = kept(spark, path, batch.schema, own).select(*[F.col(k).alias(f"__{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    batch.dropDuplicates(key).join(known, same, "left_anti").write.mode("overwrite").parquet(f"{path}/{own}")
+
+
+def resume(stream: DataFrame, path: str, key: str | list[str], checkpoint: str) -> StreamingQuery:
+    """Runs over all that has come since the last run, then ends. The log is read by restored()."""
+    keys = [key] if isinstance(key, str) else key
+    return stream.writeStream.foreachBatch(lambda batch, epoch: keep_new(batch, epoch, path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_new(batch: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key is not in the table at path; of rows with equal keys one stays."""
-    fresh = batch.dropDuplicates([key])
-    try:
-        done = batch.sparkSession.read.parquet(path)
-    except AnalysisException:  # nothing is there yet
-        done = None
-    if done is not None:
-        fresh = fresh.join(done.select(key), key, "left_anti").select(*batch.columns)
-    fresh.write.mode("append").parquet(path)
+def close(results: DataFrame, path: str) -> None:
+    """Writes what the log has come to."""
+    results.write.mode("overwrite").parquet(f"{path}/final")
 
 
-def resume(stream: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Runs over all that has come since the last run, then ends."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def restored(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, bool]:
+    """What the log has come to and True, if it is closed; else the rows kept so far and False."""
+    if last := whole_folders(spark, f"{path}/final"):
+        return spark.read.parquet(*last), True
+    return kept(spark, path, schema), False
