@@ -8,8 +8,8 @@ without any training: their number is the text's length, and the offset at a ran
 from __future__ import annotations
 
 import gc
-from array import array
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,35 +21,59 @@ from spanframe.llm import tokens
 MARKS = ("<P>", "<S>", "<M>")
 #: Any one code point, line ends included.
 UNIT = r"[\s\S]"
-#: Code points that are matched at a time. As the pattern matches one code point, texts may be cut anywhere.
-BLOCK = 256
+#: Code points that are matched at a time (as the pattern matches one code point, texts may be cut anywhere), and of a text whose offsets are kept.
+BLOCK, MOST_KEPT = 256, 16_384
 CUT = pa.struct([("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output", pa.string())])
 ADDED = [f.name for f in CUT]
 
 
-def splitter():
-    from tokenizers import Regex, pre_tokenizers
+def splitter() -> Callable[[str], list[tuple]]:
+    """A function from a text to its units, each with its offsets in the text's UTF-8 bytes."""
+    from tokenizers import PreTokenizedString, Regex, pre_tokenizers
 
-    return pre_tokenizers.Split(Regex(UNIT), "isolated").pre_tokenize_str
+    isolated = pre_tokenizers.Split(Regex(UNIT), "isolated")
 
+    def split(text: str) -> list[tuple]:
+        whole = PreTokenizedString(text)
+        isolated.pre_tokenize(whole)
+        return whole.get_splits("original", "byte")
 
-def starts(text: str, split) -> array:
-    """The offset at which each unit of the text begins."""
-    out = array("Q")
-    for at in range(0, len(text), BLOCK):
-        out.extend([at + begin for _, (begin, _) in split(text[at : at + BLOCK])])
-    return out
+    return split
+
+
+class Units:
+    """How many units a text has, and where each begins. A long text's offsets are not kept, but found again for the blocks that are asked for."""
+
+    def __init__(self, text: str, split):
+        self.text, self.split = text, split
+        self.upto, self.bytes = [0], [0]  # units and bytes before each block
+        self.kept = [] if len(text) <= MOST_KEPT else None
+        for at in range(0, len(text), BLOCK):
+            offsets = split(text[at : at + BLOCK])
+            self.upto.append(self.upto[-1] + len(offsets))
+            self.bytes.append(self.bytes[-1] + offsets[-1][1][1])
+            if self.kept is not None:
+                self.kept.append(offsets)
+        self.n = self.upto[-1]
+
+    def begin(self, rank: int) -> int:
+        """The byte at which the unit of that rank begins, from 0; of the rank n, where the text ends."""
+        if rank == self.n:
+            return self.bytes[-1]
+        k = bisect_right(self.upto, rank) - 1
+        offsets = self.kept[k] if self.kept is not None else self.split(self.text[k * BLOCK : (k + 1) * BLOCK])
+        return self.bytes[k] + offsets[rank - self.upto[k]][1][0]
 
 
 def moved(text: str, h: tuple[int, int, int, int], split, marks: tuple[str, str, str], plain_from: int, spm_below: int) -> tuple[int, str, int | None, int | None, str]:
     """n, form, length of prefix and middle, output of a text under four hashes."""
-    at = starts(text, split)
-    n = len(at)
+    units = Units(text, split)
+    n = units.n
     if not n or h[2] % 100 >= plain_from or any(m in text for m in marks):
         return n, "plain", None, None, text
-    at.append(len(text))
     low, high = sorted((h[0] % (n + 1), h[1] % (n + 1)))
-    prefix, middle, suffix = text[: at[low]], text[at[low] : at[high]], text[at[high] :]
+    data, a, b = text.encode(), units.begin(low), units.begin(high)
+    prefix, middle, suffix = data[:a].decode(), data[a:b].decode(), data[b:].decode()
     p, s, m = marks
     if h[3] % 100 < spm_below:
         return n, "spm", low, high - low, f"{s}{suffix}{p}{prefix}{m}{middle}"
