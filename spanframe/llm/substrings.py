@@ -11,8 +11,8 @@ beyond `fanout` runs, compact() merges them; a manifest in the index's folder na
 and the batches' texts, so that an index is opened again later and further batches are checked
 against all history. repeated() merge-joins fingerprints with the runs and answers with one bit for each.
 
-Windows whose fingerprint repeats are then verified: a hash of all 35 words of 128 bits, made
-apart from the fingerprints, must itself start at two places (by chance, two of 10^13 windows
+Windows whose fingerprint repeats are then verified: a hash of all 35 words of 128 bits, two halves
+made of two hashes of each word, must itself start at two places (by chance, two of 10^13 windows
 agree in it once in 10^12 corpora). What is sent for that is again packed by block and bucket, and
 answered by bits. A block holds about 4 MB of text, a bucket's share is some MB whatever the size of
 the corpus, and a block sends each hash once, so a passage that many documents share puts no more than
@@ -25,9 +25,12 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,9 +80,27 @@ class Block:
         out = np.empty((int(which.sum()) if which.dtype == bool else len(which), 2), ">u8")
         if len(out):
             out[:, 0] = tokens.runs(tokens.splitmix(self.hashes), LENGTH)[self.starts[which]]
-            out[:, 1] = tokens.runs(tokens.splitmix(self.hashes ^ tokens.K2), LENGTH)[self.starts[which]]
+            out[:, 1] = tokens.runs(self.second_hashes(self.starts[which]), LENGTH)[self.starts[which]]
         return out.view(WIDE).ravel()
 
+    def second_hashes(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes by another seed of the words that the windows cover; others have 0."""
+        covered = in_windows(starts, len(self.hashes))
+        ends = np.cumsum(self.counts).tolist()
+        some = [list(compress(words, covered[end - len(words) : end].tolist())) for words, end in zip(self.lists, ends)]
+        known = {w: xxhash.xxh3_64_intdigest(w, 1) for w in set().union(*some)}
+        out = np.zeros(len(self.hashes), np.uint64)
+        out[covered] = np.fromiter(map(known.__getitem__, chain.from_iterable(some)), np.uint64, int(covered.sum()))
+        return out
+
+
+def in_windows(starts: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n words lies in a window that begins at one of the places."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + LENGTH, -1)
+    return np.cumsum(edge[:-1]) > 0
+
 
 def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each hash, from its high 32 bits: in the order of the hashes."""
@@ -148,6 +169,7 @@ class Dealt:
         # The catalog only learns of files that are there already.
         spark.sql(f"CREATE TABLE {name} (key {kind}, text STRING, blk BIGINT) USING parquet CLUSTERED BY (blk) INTO {files} BUCKETS LOCATION '{path}'")
         self.table = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")  # the plan knows the files and their buckets; they stay
 
     @classmethod
     def of(cls, docs: DataFrame, key: str, text: str) -> Dealt:
@@ -163,38 +185,74 @@ class Dealt:
 
 
 class WindowIndex:
-    """Sorted immutable runs of fingerprints, one table each, and a manifest, in one folder that all executors share."""
+    """Sorted immutable runs of fingerprints, one table each, and manifests, in one folder that all executors share.
+
+    Buckets are ranges of hashes. As texts come in their number is doubled, so that a bucket's share stays some
+    MB; runs and batches written before are cut at the new borders when they are read, and anew when runs are compacted.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 8, fanout: int = 2):
         self.spark, self.path, self.buckets, self.fanout = spark, path or shared_path(spark, "index"), buckets, fanout
-        self.runs: list[str] = []
-        #: Of each batch: its texts (path, files, type of the key) and its fingerprints by block (path).
+        #: Of each run its path and buckets.
+        self.runs: list[list] = []
+        #: Of each batch: its texts (path, files, type of the key), its fingerprints by block (path) and their buckets.
         self.batches: list[dict] = []
+        self.bytes, self.saved = 0, 0
 
     def _fs(self):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
+    def _manifests(self) -> list[str]:
+        fs, at = self._fs()
+        found = fs.globStatus(at(f"{self.path}/manifest-*.json"))
+        return sorted(x.getPath().toString() for x in found or [])
+
     def save(self) -> None:
-        """Writes the manifest beside its place and renames it, so that readers see the old or the new one."""
+        """Writes the next manifest beside its place and renames it; the one before goes after that, so there is always a whole one."""
         fs, at = self._fs()
-        text = json.dumps({"buckets": self.buckets, "fanout": self.fanout, "runs": self.runs, "batches": self.batches})
-        part = f"{self.path}/manifest-{uuid.uuid4().hex}"
+        old = self._manifests()
+        self.saved += 1
+        text = json.dumps({"buckets": self.buckets, "fanout": self.fanout, "bytes": self.bytes, "saved": self.saved, "runs": self.runs, "batches": self.batches})
+        part = f"{self.path}/part-{uuid.uuid4().hex}"
         out = fs.create(at(part))
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(at(f"{self.path}/manifest.json"), False)
-        fs.rename(at(part), at(f"{self.path}/manifest.json"))
+        if not fs.rename(at(part), at(f"{self.path}/manifest-{self.saved:012d}.json")):
+            raise RuntimeError(f"another writer has saved the index {self.path}")
+        for path in old:
+            fs.delete(at(path), False)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> WindowIndex:
-        d = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))  # the names of some runs
-        index = cls(spark, path, d["buckets"], d["fanout"])
-        index.runs, index.batches = d["runs"], d["batches"]
+        """The index as its newest manifest has it."""
+        index = cls(spark, path)
+        d = json.loads("\n".join(r[0] for r in spark.read.text(index._manifests()[-1]).collect()))  # the names of some runs
+        index.buckets, index.fanout, index.bytes, index.saved, index.runs, index.batches = (d[k] for k in ("buckets", "fanout", "bytes", "saved", "runs", "batches"))
         return index
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(PACKED).parquet(path)
+    def grow(self, more: int) -> None:
+        """Makes room for so many bytes of text."""
+        self.bytes += more
+        while self.buckets * BUCKET_BYTES < self.bytes:
+            self.buckets *= 2
+
+    def _read(self, path: str, buckets: int | None = None) -> DataFrame:
+        """A table of packed rows, cut at the borders of the buckets that there are now."""
+        rows = self.spark.read.schema(PACKED).parquet(path)
+        if buckets is None or buckets == self.buckets:
+            return rows
+        now = self.buckets
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples():
+                    values = np.frombuffer(r.prints, np.uint64)
+                    bucket = bucket_of(values, now)
+                    cuts = _stretches(bucket)
+                    yield pd.DataFrame({"bucket": np.array([bucket[a] for a, _ in cuts], np.int32), "blk": np.int64(r.blk), "prints": [values[a:b].tobytes() for a, b in cuts], "twice": [r.twice[a:b] for a, b in cuts]}, columns=["bucket", "blk", "prints", "twice"])
+
+        return rows.mapInPandas(cut, PACKED)
 
     def _write(self, df: DataFrame, tag: str) -> str:
         path = f"{self.path}/{tag}-{uuid.uuid4().hex}"
@@ -206,10 +264,10 @@ class WindowIndex:
         """All runs' rows: a row for each run and bucket."""
         out = self.spark.createDataFrame([], PACKED)
         for r in self.runs:
-            out = out.unionByName(self._read(r))
+            out = out.unionByName(self._read(*r))
         return out
 
-    def add(self, prints: DataFrame, dealt: Dealt | None = None) -> None:
+    def add(self, prints: DataFrame, dealt: Dealt | None = None, name: str | None = None) -> None:
         """Merge-joins a batch's fingerprints with the runs, bucket by bucket, and writes its run: those met before, or twice, are marked."""
         where = self._write(prints, "prints")
 
@@ -221,8 +279,8 @@ class WindowIndex:
             return pd.DataFrame({"bucket": batch["bucket"].iloc[:1].to_numpy(), "blk": np.int64(-1), "prints": [values.tobytes()], "twice": [twice.tobytes()]})
 
         both = self._read(where).groupBy("bucket").cogroup(self.history().groupBy("bucket"))
-        self.runs.append(self._write(both.applyInPandas(merge, PACKED).sortWithinPartitions("bucket"), "run"))
-        self.batches.append({"prints": where} | ({"texts": [dealt.path, dealt.files, dealt.kind]} if dealt else {}))
+        self.runs.append([self._write(both.applyInPandas(merge, PACKED).sortWithinPartitions("bucket"), "run"), self.buckets])
+        self.batches.append({"prints": where, "buckets": self.buckets} | ({"texts": [dealt.path, dealt.files, dealt.kind]} if dealt else {}) | ({"name": name} if name else {}))
         if len(self.runs) > self.fanout:
             self.compact()
         self.save()
@@ -236,9 +294,9 @@ class WindowIndex:
             values, marks = merged(rows)
             return pd.DataFrame({"bucket": rows["bucket"].iloc[:1].to_numpy(), "blk": np.int64(-1), "prints": [values.tobytes()], "twice": [marks.tobytes()]})
 
-        old, self.runs = self.runs, [self._write(self.history().groupBy("bucket").applyInPandas(merge, PACKED).sortWithinPartitions("bucket"), "run")]
+        old, self.runs = self.runs, [[self._write(self.history().groupBy("bucket").applyInPandas(merge, PACKED).sortWithinPartitions("bucket"), "run"), self.buckets]]
         self.save()
-        for path in old:
+        for path, _ in old:
             remove(self.spark, path)
 
     def repeated(self, prints: DataFrame) -> DataFrame:
@@ -254,8 +312,12 @@ class WindowIndex:
         remove(self.spark, self.path)
 
 
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def buckets_for(docs: DataFrame, text: str = "text") -> int:
-    return max(8, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / BUCKET_BYTES))
+    return max(8, math.ceil(text_bytes(docs, text) / BUCKET_BYTES))
 
 
 def fingerprints(dealt: DataFrame, buckets: int) -> DataFrame:
@@ -295,10 +357,7 @@ def remove_windows(dealt: DataFrame, replies: DataFrame, buckets: int, kind: str
         which = among(block.least, marked(block.chosen, told[told["step"] == 1], buckets))
         wholes = block.wholes(which)
         starts = block.starts[which][among(wholes, marked(wholes, told[told["step"] == 2], buckets))]
-        edge = np.zeros(len(block.hashes) + 1, np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + LENGTH, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = in_windows(starts, len(block.hashes))
         kept, lost, at = [], [], 0
         for words in block.lists:
             own = gone[at : at + len(words)]
@@ -315,13 +374,14 @@ def remove_windows(dealt: DataFrame, replies: DataFrame, buckets: int, kind: str
     return dealt.groupBy("blk").cogroup(told.groupBy("blk")).applyInPandas(cut, f"key {kind}, n_words long, n_removed long, kept string")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 3, index: WindowIndex | None = None) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = 3, index: WindowIndex | None = None, name: str | None = None) -> DataFrame:
     """One row for each document: its key, n_words, n_removed and kept.
 
     Without an index, docs are all there is: one is built from `batches` batches of blocks, each
     merge-joined with the runs before it, and all are judged against all. With an index, docs are a new batch:
     it is merge-joined with the runs of earlier batches, its windows that start elsewhere in it or
-    in their texts go from it, and it is added; what earlier batches returned stays as it was.
+    in their texts go from it, and it is added; what earlier batches returned stays as it was. A batch with a
+    name that the index knows is not added again, so that one whose result was lost can be run again.
 
     A null or empty text has no words and is kept as the empty text; texts are read whole; equal
     rows cover each other; an empty table gives no rows; other columns are not carried.
@@ -329,14 +389,20 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int
     spark = docs.sparkSession
     own = index is None
     index = index or WindowIndex(spark, buckets=buckets_for(docs, text))
+    names = [b.get("name") for b in index.batches]
+    again = name is not None and name in names
+    if not own and not again:
+        index.grow(text_bytes(docs, text))
     dealt = Dealt.of(docs, key, text)
     prints = written(fingerprints(dealt.table, index.buckets), "prints")
-    old = list(index.batches)
-    if own:
+    old = index.batches[: names.index(name)] if again else list(index.batches)
+    if again:
+        pass  # its run is there
+    elif own:
         for b in range(batches):
             index.add(prints.where(F.pmod(F.col("blk"), F.lit(batches)) == b))
     else:
-        index.add(prints, dealt)
+        index.add(prints, dealt, name)
     replies = written(index.repeated(prints), "replies")
     history = None if own else earlier(index, old, prints)
     if own:
@@ -353,7 +419,7 @@ def earlier(index: WindowIndex, batches: list[dict], prints: DataFrame) -> DataF
     out = index.spark.createDataFrame([], PACKED)
     for b in batches:
         texts = Dealt(index.spark, *b["texts"]).table
-        asked = index._read(b["prints"]).groupBy("bucket").cogroup(prints.groupBy("bucket"))
+        asked = index._read(b["prints"], b["buckets"]).groupBy("bucket").cogroup(prints.groupBy("bucket"))
         replies = written(asked.applyInPandas(shared, "blk long, bucket int, bits binary"), "earlier")
         out = out.unionByName(candidates(texts, replies, index.buckets).withColumn("blk", F.lit(-1).cast("long")))
     return out

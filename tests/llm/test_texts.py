@@ -196,6 +196,47 @@ def test_runs_mark_what_was_met_before(spark):
     assert marks([1, 2, 3, 4, 5]) == [0, 1, 1, 1, 0] and len(index.runs) == 1
 
 
+def test_an_index_grows_with_its_texts_and_survives_crashes(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 3000)
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randint(0, 10**6)}"
+    shared = [" ".join(word() for _ in range(45)) for _ in range(4)]
+    index, texts, most = substrings.WindowIndex(spark, buckets=1, fanout=2), {}, []
+    for b, n in enumerate((2, 4, 30, 200)):
+        batch = {1000 * b + i: " ".join([word() for _ in range(40)] + shared[i % 4].split() * (i % 3 == 0) + [word() for _ in range(20)]) for i in range(n)}
+        df = spark.createDataFrame(list(batch.items()), "doc_id long, text string")
+        texts |= batch
+        want = {k: cut(texts)[k] for k in batch}
+        before = index.path and (index.buckets, list(index.batches))
+        if b == 2:  # the manifest can't be put in its place: the index is as it was
+            save = substrings.WindowIndex.save
+
+            def torn(self):
+                raise OSError("lost")
+
+            monkeypatch.setattr(substrings.WindowIndex, "save", torn)
+            with pytest.raises(OSError):
+                substrings.dedup(df, index=index, name=f"b{b}")
+            monkeypatch.setattr(substrings.WindowIndex, "save", save)
+            index = substrings.WindowIndex.open(spark, index.path)
+            assert (index.buckets, index.batches) == before
+        assert digest(substrings.dedup(df, index=index, name=f"b{b}").collect()) == want
+        # The result was lost: once more, from what the manifest tells.
+        index = substrings.WindowIndex.open(spark, index.path)
+        assert digest(substrings.dedup(df, index=index, name=f"b{b}").collect()) == want and len(index.batches) == b + 1
+        most.append(max(len(r.prints) for r in index.history().collect()))
+    assert index.buckets * 3000 >= index.bytes == sum(len(t) for t in texts.values()) and index.buckets >= 32
+    assert most[-1] < 4 * max(most[0], 8 * 60) and len(index._manifests()) == 1
+    # Of two manifests, as a crash between a rename and a deletion leaves them, the newer one counts.
+    fs, at = index._fs()
+    fs.rename(at(index._manifests()[0]), at(f"{index.path}/manifest-000000000001.json"))
+    index.save()
+    out = fs.create(at(f"{index.path}/manifest-000000000002.json"))
+    out.close()
+    assert substrings.WindowIndex.open(spark, index.path).runs == index.runs
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+
+
 def test_dealt_texts_are_not_shuffled_again(spark, docs):
     dealt = substrings.Dealt.of(docs, "doc_id", "text")
     plan = substrings.fingerprints(dealt.table, 8)._jdf.queryExecution().executedPlan().toString()
