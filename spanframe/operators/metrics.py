@@ -38,7 +38,8 @@ def alignment(ref: Column, hyp: Column) -> Column:
 
 def drop_runs(status: Column, least: int = 8, bridge: int = 2) -> Column:
     """runs, chars: stretches of the reference that were dropped, `least` characters and more, with up to `bridge` others between."""
-    runs = F.transform(F.regexp_extract_all(status, F.lit(f"d(?:[^d]{{0,{bridge}}}d)*"), F.lit(0)), lambda r: F.length(F.regexp_replace(r, "[^d]", "")))
+    # Cut where more stands between: a pattern of repeated groups would need a stack as deep as a run is long.
+    runs = F.transform(F.split(status, f"[^d]{{{bridge + 1},}}"), lambda r: F.length(F.regexp_replace(r, "[^d]", "")))
     long_ = F.filter(runs, lambda n: n >= least)
     return F.struct(F.size(long_).cast("bigint").alias("runs"), F.aggregate(long_, F.lit(0), lambda a, n: a + n).cast("bigint").alias("chars"))
 
@@ -64,7 +65,8 @@ def compare(runs: DataFrame, reference: DataFrame | None = None, terms: list[str
     With a reference (file_id, ref) its measures are added; without one diff_vs_first, the error rate
     against the first model that didn't fail, and terms_found. A run that failed keeps its error and has no measures.
     """
-    ok = runs.where("error IS NULL").withColumns({"chars": T.core_len(F.col("text")).cast("bigint"), "x_realtime": F.col("duration") / F.greatest(F.coalesce(F.nullif("asr_sec", F.lit(0.0)), "wall_sec"), F.lit(1e-6))})
+    took = F.coalesce(F.nullif("asr_sec", F.lit(0.0)), "wall_sec")
+    ok = runs.where("error IS NULL").withColumns({"chars": T.core_len(F.col("text")).cast("bigint"), "x_realtime": F.col("duration") / F.when(took.isNotNull(), F.greatest(took, F.lit(1e-6)))})
     if reference is not None:
         out = measured(ok.join(reference, "file_id", "left").withColumn("ref", F.coalesce("ref", F.lit(""))), "ref", "text", terms).drop("ref")
     else:
@@ -77,11 +79,6 @@ def compare(runs: DataFrame, reference: DataFrame | None = None, terms: list[str
     return out.unionByName(runs.where("error IS NOT NULL"), allowMissingColumns=True)
 
 
-def excerpts(presets: DataFrame, files: DataFrame) -> DataFrame:
-    """Every file with every preset, whose few rows (a dimension, broadcast up to the session's threshold) go to each file."""
-    return files.crossJoin(presets)
-
-
 def load_seconds(reused: Column, cached: Column, waited: Column, loaded: Column) -> Column:
     """What loading a model took: nothing if it was there, else the time waited for it, else that of loading."""
     return F.when(F.coalesce(reused, F.lit(False)) | F.coalesce(cached, F.lit(False)), 0.0).otherwise(F.coalesce(waited, loaded, F.lit(0.0)).cast("double"))

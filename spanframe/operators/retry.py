@@ -2,9 +2,9 @@
 
 A recogniser is a function DataFrame -> DataFrame: of file_id, clip_id, start_ms, end_ms and
 context it makes file_id, clip_id, text, language and words (array of tok, s, e in ms from the clip's
-start, or null), and may make error, one row for each row. All passes are one plan: each works on the clips
-that are still flagged. A clip that failed, or got no answer, has its error, no text and no flags, and isn't
-read again; isolated() then sets its file apart.
+start, or null), and may make error, one row for each row. Each pass works on the clips that are still
+flagged, and what a recogniser has said in it is written once, into the shared folder. A clip that failed
+has its error, no text and no flags, and isn't read again; isolated() then sets its file apart.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from spanframe.functions import text as T
 from spanframe.operators.clips import build_clips, split_clips, with_speech
 from spanframe.operators.intervals import inner_pieces
+from spanframe.sources.shared import once
 
 Recogniser = Callable[[DataFrame], DataFrame]
 WORDS = "array<struct<tok:string,s:double,e:double>>"
@@ -59,10 +60,14 @@ def with_error(rows: DataFrame) -> DataFrame:
 
 
 def answered(clips: DataFrame, recognise: Recogniser, policy: Policy, terms: list[str], label: str) -> DataFrame:
-    """clips (with context) with text, language, words, flags and error; a clip without an answer has an error too."""
-    said = with_error(recognise(clips.select("file_id", "clip_id", "start_ms", "end_ms", "context")))
-    said = said.select("file_id", "clip_id", T.strip(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("language", F.lit("")).alias("language"), F.col("words").cast(WORDS).alias("words"), "error", F.lit(True).alias("__got"))
-    out = clips.join(said, ["file_id", "clip_id"], "left").withColumn("error", F.when(F.col("__got").isNull(), NO_ANSWER).otherwise(F.col("error"))).drop("__got")
+    """clips (with context) with text, language, words, flags and error.
+
+    A clip without an answer has an error, if the recogniser tells of errors; of one that doesn't it ends the job.
+    """
+    said = recognise(clips.select("file_id", "clip_id", "start_ms", "end_ms", "context"))
+    none = F.lit(NO_ANSWER) if "error" in said.columns else F.raise_error(F.lit("the recogniser gave no answer for a clip"))
+    said = with_error(said).select("file_id", "clip_id", T.strip(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("language", F.lit("")).alias("language"), F.col("words").cast(WORDS).alias("words"), "error", F.lit(True).alias("__got"))
+    out = clips.join(said, ["file_id", "clip_id"], "left").withColumn("error", F.when(F.col("__got").isNull(), none).otherwise(F.col("error"))).drop("__got")
     told = lambda c, none: F.when(F.col("error").isNull(), F.col(c)).otherwise(none).alias(c)
     out = out.withColumns({"text": told("text", F.lit("")), "language": told("language", F.lit("")), "words": told("words", F.lit(None))})
     return flagged(out, policy, terms, label).withColumn("flags", F.when(F.col("error").isNull(), F.col("flags")).otherwise(F.array().cast("array<string>")))
@@ -92,10 +97,11 @@ def recognised(clips: DataFrame, recognise: Recogniser, *, context: str = "", te
     if done is not None:
         kept = clips.join(done.select("file_id", "clip_id", "text", "language", "attempts", "words"), ["file_id", "clip_id"])
         one = with_error(flagged(kept, policy, terms_, label)).select(*RESULT).unionByName(one)
+    one = once(one, "answers")  # what a recogniser has said is read several times below
     if not policy.enabled:
         return one
     if context and policy.without_context:
-        again = answered(one.where(F.size("flags") > 0).select(*CLIP).withColumn("context", F.lit("")), recognise, policy, terms_, label)
+        again = once(answered(one.where(F.size("flags") > 0).select(*CLIP).withColumn("context", F.lit("")), recognise, policy, terms_, label), "answers")
         again = again.select("file_id", "clip_id", *[F.col(c).alias(f"__{c}") for c in ("text", "language", "flags", "words", "error")])
         both = one.join(again, ["file_id", "clip_id"], "left")
         tried_, better = F.col("__text").isNotNull() & F.col("__error").isNull(), F.size("__flags") < F.size("flags")
@@ -120,7 +126,7 @@ def in_halves(results: DataFrame, recognise: Recogniser, context: str, policy: P
     numbered = bad.join(top, "file_id").withColumns({"__place": place, "context": F.when(first["ctx"] & (F.size(first["flags"]) == 0), context).otherwise("")})
     halves = split_clips(numbered.select(*CLIP, "context", "__top", "__place"), levels)
     halves = halves.withColumn("clip_id", F.col("__top") + 1 + 2 * F.col("__place") + F.col("part"))
-    said = answered(halves, recognise, policy, terms, label)
+    said = once(answered(halves, recognise, policy, terms, label), "answers")
     pair = F.array_sort(F.collect_list(F.struct("part", "text", "flags")))
     judged = said.groupBy(F.col("file_id").alias("__file"), F.col("parent").alias("__parent")).agg(pair.alias("__pair"), F.min("error").alias("__bad"))
     both = results.join(judged, (F.col("file_id") == F.col("__file")) & (F.col("clip_id") == F.col("__parent")), "left")
@@ -160,6 +166,7 @@ def second_opinion(results: DataFrame, recognise: Recogniser, model: str, speech
         parts = parts.unionByName(cut.select(*parts.columns))
     # The recogniser sees pieces as clips of their own numbers.
     parts = parts.withColumn("clip_id", F.row_number().over(Window.partitionBy("file_id").orderBy("of", "piece")).cast("bigint"))
+    parts = once(parts, "pieces")
     said = parts.join(recognise(parts.select("file_id", "clip_id", "start_ms", "end_ms", "context")).select("file_id", "clip_id", "text", "words"), ["file_id", "clip_id"], "left")
     rows = F.array_sort(F.collect_list(F.struct("piece", "text")))
     whole = said.groupBy("file_id", "of").agg(rows.alias("rows"), F.count(F.lit(1)).cast("int").alias("__n"), F.count("text").alias("n_said"), F.first("words").cast(WORDS).alias("__words")).where(F.col("__n") == F.col("n_said"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,27 +211,30 @@ def rest_lengths(words: DataFrame, gap_ms: int = 800) -> DataFrame:
     return ended.withColumn("rest", F.coalesce(F.sum(F.length("word")).over(own), F.lit(0)).cast("bigint")).drop("__end", "__s")
 
 
-#: Elements whose sums are added one by one; sums of so many are kept.
-_STEP = 32
-
-
-def running(weights: Column) -> Column:
-    """The running sums of an array, without an array being built element by element."""
-
-    def made(ws):
-        total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        blocks = F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / _STEP).cast("int"))
-        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out"))
-        firsts = F.aggregate(blocks, start, lambda a, k: F.struct((a["n"] + total(F.slice(ws, k * _STEP + 1, _STEP))).alias("n"), F.concat(a["out"], F.array(a["n"])).alias("out")), lambda a: a["out"])
-        each = lambda heads: F.transform(ws, lambda x, i: F.get(heads, F.floor(i / _STEP).cast("int")) + total(F.slice(ws, F.floor(i / _STEP).cast("int") * _STEP + 1, i % _STEP + 1)))
-        return F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(let(firsts, each))
-
-    return let(weights, made)
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _times(weights: pa.Array, start: pa.Array, end: pa.Array, spans: pa.Array) -> pa.Array:
+    """For each clip the times at which its words begin, and the end of the last one: an array one longer than the weights."""
+    out, offsets = [], [0]
+    of = weights.values.to_numpy(zero_copy_only=False)
+    ends = weights.offsets.to_numpy()
+    lows, highs = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    cuts = spans.offsets.to_numpy()
+    present = ~np.asarray(spans.is_null()) if spans.null_count else np.ones(len(spans), bool)
+    for i, (s, e) in enumerate(zip(start.to_numpy(zero_copy_only=False), end.to_numpy(zero_copy_only=False))):
+        w = of[ends[i] : ends[i + 1]]
+        if len(w):
+            inside = [(max(a, s), min(b, e)) for a, b in zip(lows[cuts[i] : cuts[i + 1]], highs[cuts[i] : cuts[i + 1]]) if min(b, e) > max(a, s)] if present[i] else []
+            inside = inside or [(s, e)]
+            left = np.concatenate([[0], np.cumsum(w)]) / w.sum() * sum(b - a for a, b in inside)
+            at = np.full(len(left), inside[-1][1])
+            todo = np.ones(len(left), bool)
+            for a, b in inside:
+                here = todo & (left <= b - a)
+                at[here] = a + left[here]
+                todo &= ~here
+                left = left - (b - a)
+            out.append(np.floor(at + 0.5).astype(np.int64))
+        offsets.append(offsets[-1] + (len(w) + 1 if len(w) else 0))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
 
 
 def approx_array(text: Column, start_ms: Column, end_ms: Column, spans: Column) -> Column:
@@ -237,27 +242,16 @@ def approx_array(text: Column, start_ms: Column, end_ms: Column, spans: Column)
 
     An array of structs word, start_ms, end_ms, in whole milliseconds.
     """
-    inside = F.filter(F.transform(spans, lambda x: F.struct(F.greatest(x["s"], start_ms).cast("double").alias("s"), F.least(x["e"], end_ms).cast("double").alias("e"))), lambda x: x["e"] > x["s"])
-    whole = F.array(F.struct(start_ms.cast("double").alias("s"), end_ms.cast("double").alias("e")))
-
-    def timed(given):
-        speech = F.aggregate(given, F.lit(0.0), lambda n, x: n + x["e"] - x["s"])
-
-        def at(share):
-            step = lambda a, x: F.when(a["t"].isNotNull(), a).when(a["x"] <= x["e"] - x["s"], F.struct(a["x"].alias("x"), (x["s"] + a["x"]).alias("t"))).otherwise(F.struct((a["x"] - (x["e"] - x["s"])).alias("x"), F.lit(None).cast("double").alias("t")))
-            return F.floor(F.aggregate(given, F.struct((share * speech).alias("x"), F.lit(None).cast("double").alias("t")), step, lambda a: F.coalesce(a["t"], F.element_at(given, -1)["e"])) + 0.5)
-
-        def of_words(ws):
-            weights = F.transform(ws, lambda x: F.greatest(F.lit(1), F.length(F.regexp_replace(x, r"[^\p{L}\p{N}']", ""))).cast("bigint"))
-            spot = lambda sums, x, i: F.struct(x.alias("word"), at(F.coalesce(F.get(sums, i - 1), F.lit(0)) / F.element_at(sums, -1)).alias("start_ms"), at(F.get(sums, i) / F.element_at(sums, -1)).alias("end_ms"))
-            return let(running(weights), lambda sums: F.transform(ws, lambda x, i: spot(sums, x, i)))
-
-        return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), of_words)
-
-    return let(F.when(F.size(inside) > 0, inside).otherwise(whole), timed)
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
+    weights = F.transform(words, lambda x: F.greatest(F.lit(1), F.length(F.regexp_replace(x, r"[^\p{L}\p{N}']", ""))).cast("bigint"))
+    # Words' shares come out of a numpy kernel; texts themselves don't go to Python and back.
+    times = F.arrow_udf(_times, "array<bigint>")(weights, start_ms.cast("double"), end_ms.cast("double"), F.transform(spans, lambda x: F.struct(x["s"].cast("double").alias("s"), x["e"].cast("double").alias("e"))))
+    n = F.greatest(F.size(times) - 1, F.lit(0))
+    spans_of_words = F.zip_with(F.slice(times, 1, n), F.slice(times, 2, n), lambda a, b: F.struct(a.alias("s"), b.alias("e")))
+    return F.zip_with(words, spans_of_words, lambda w, t: F.struct(w.alias("word"), t["s"].alias("start_ms"), t["e"].alias("end_ms")))
 
 
 def approx_tokens(clips: DataFrame, key: str = "clip_id") -> DataFrame:
     """Words of each clip's text (start_ms, end_ms, spans) as rows: key, i, word, start_ms, end_ms; see approx_array. Nothing is shuffled."""
     words = approx_array(F.col("text"), F.col("start_ms"), F.col("end_ms"), F.col("spans"))
-    return clips.select(key, F.posexplode(words).alias("i", "w")).select(key, F.col("i").cast("bigint").alias("i"), "w.word", "w.start_ms", "w.end_ms")
+    return clips.select(key, words.alias("__ws")).select(key, F.posexplode("__ws").alias("i", "w")).select(key, F.col("i").cast("bigint").alias("i"), "w.word", "w.start_ms", "w.end_ms")

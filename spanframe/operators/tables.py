@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.sources.shared import once
+
 
 def unfinished(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not done."""
@@ -47,3 +49,14 @@ def replaced(rows: DataFrame, parents: DataFrame, children: DataFrame, key: str)
 def speaker_counts(turns: DataFrame, by: list[str]) -> DataFrame:
     """Per group: distinct speakers and turns."""
     return turns.groupBy(*by).agg(F.count_distinct("speaker").alias("speakers"), F.count(F.lit(1)).alias("turns"))
+
+
+def ranked(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with their number from 0 in the order of a key, over the whole table: ranges of the key are numbered each for itself, behind those before them."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    parted = once(rows.repartitionByRange(n, key).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = parted.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
+    return parted.join(starts, "__p").withColumn(name, (F.col("__before") + place).cast("bigint")).drop("__p", "__before")

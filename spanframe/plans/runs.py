@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from spanframe.operators import batches as G
 from spanframe.operators import detect as V
+from spanframe.operators import metrics as M
 from spanframe.operators import retry as E
+from spanframe.operators import sequences as S
+from spanframe.operators import sweep as P
 from spanframe.plans.queries import query
 from spanframe.plans.speech import _conversed, _heard
 from spanframe.sources import adapters as A
 from spanframe.sources.cache import read_cache
 from spanframe.sources.files import write_files
-from spanframe.sources.shared import new_folder
+from spanframe.sources.shared import new_folder, once
 from spanframe.streaming.resume import close, restored, resume
 
 
@@ -96,3 +99,48 @@ def j6_speech_with_fallback(spark, d):
 def g8_batches(spark, d):
     """Documents as clips in batches of sixteen at most, ten minutes with their padding."""
     return G.in_batches(A.spoken(spark, d), 16, 600_000, partitions=8).select("clip_id", (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"), "batch", "place")
+
+
+#: Presets over conversations, one whose recogniser fails for some clips and one that has none.
+PRESETS = [P.Preset("plain", "Plain"), P.Preset("short", "Short", context=False), P.Preset("picky", "Picky"), P.Preset("missing", "Missing", env="none")]
+
+
+def _sweep(spark, d):
+    words, _ = _conversed(spark, d)
+    turns = words.groupBy("file_id", F.col("turn").cast("bigint").alias("clip_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    none = F.lit(None).cast("double")
+    clips = turns.select("*", none.alias("own_start"), none.alias("own_end"), (F.col("end_ms") - F.col("start_ms")).alias("speech_ms"), F.lit(False).alias("cut"), F.lit(None).cast("bigint").alias("parent"))
+    clips = once(clips, "clips")  # every preset reads them, some several times
+    told = A.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("file_id"), F.col("turn").cast("bigint").alias("clip_id")).agg(F.max("text").alias("said"))
+    # Halves of clips have numbers of their own, for which nothing is said.
+    answers = lambda said: lambda asked: asked.select("file_id", "clip_id").join(told, ["file_id", "clip_id"], "left").select("file_id", "clip_id", F.coalesce(said, F.lit("")).alias("text"), F.lit("English").alias("language"), F.lit(None).cast(E.WORDS).alias("words"))
+    files = clips.groupBy("file_id").agg(F.max("end_ms").alias("total_ms"))
+    recognisers = {"plain": answers(F.col("said")), "short": answers(F.substring("said", 1, 60)), "picky": G.recogniser(_picky, 16)}
+    reference = S.sentences(S.sentence_ids(words)).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_id", "text"))), lambda x: x["text"]), " ").alias("ref"))
+    return P.sweep(clips, files, PRESETS, recognisers, context="Terms."), reference
+
+
+@query()
+def d10_presets_by_files(spark, d):
+    """Every preset with every conversation, and how its text compares with what was said."""
+    runs, reference = _sweep(spark, d)
+    return M.compare(runs, reference).select("file_id", "place", "preset", "chars", "cer", F.col("drops.runs").alias("dropped"), "flags", "error")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)
+SELECT conv_id, turn, string_agg(line[1:40], chr(10) ORDER BY i) FILTER (i <= 2) || CASE WHEN count(*) > 2 THEN chr(10) || '… (全 ' || count(*) || ' 行)' ELSE '' END AS shown FROM l WHERE (conv_id, turn) IN (SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 3) GROUP BY conv_id, turn""")
+def g6_previews(spark, d):
+    """The first three turns of each conversation, of each two lines."""
+    rows = P.first_rows(A.table(spark, d, "conversations"), ["conv_id"], ["turn"], 3)
+    return rows.select("conv_id", "turn", P.preview(F.col("text"), 2, 40).alias("shown"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 1 ELSE least(32, CAST(pow(2, floor(log2(least(128, greatest(1, floor(greatest(1.0, p_size * 2 * 0.8 - 4.0) / 0.5))) + 0.01))) AS INTEGER)) END AS batch FROM part")
+def l8_batch_sizes(spark, d):
+    memory = F.when(F.col("p_size") % 10 != 0, F.col("p_size") * 2.0)
+    return A.table(spark, d, "part").select("p_partkey", P.batch_size(memory, cap=32).alias("batch"))
+
+
+@query("""SELECT doc_id, 'You write minutes.' || chr(10) || chr(10) || 'Sum up.' || chr(10) || chr(10) || '参考: この会議で出てくる固有名詞・専門用語の候補: alpha、beta' || chr(10) || chr(10) || '<transcript>' || chr(10) || text || chr(10) || '</transcript>' || chr(10) AS prompt FROM documents""")
+def k16_minutes_prompts(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", P.minutes_prompt(F.col("text"), "You write minutes.", "Sum up.", ["alpha", "", "beta"]).alias("prompt"))

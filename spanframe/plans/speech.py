@@ -189,6 +189,19 @@ def e4_word_stats(spark, d):
     return W.word_stats(W.compose_words(*_results(spark, d))[1])
 
 
+@query("""WITH c AS (SELECT *, length(regexp_replace(text, '[^\\p{L}\\p{N}'']', '', 'g')) AS n FROM documents)
+SELECT coalesce(lang, '?') AS file_id, count(*) FILTER (doc_id % 3 = 0) AS aligner, count(*) FILTER (doc_id % 3 = 1) AS engine, count(*) FILTER (doc_id % 3 = 2) AS approx, count(*) FILTER (doc_id % 5 = 0) AS rescued, CAST(sum(doc_id % 4) AS BIGINT) AS long_words,
+count(*) FILTER (doc_id % 7 = 0) AS trimmed_much, count(*) FILTER (doc_id % 3 > 0) AS flagged, count(*) FILTER (doc_id % 2 = 1) AS retried, CASE WHEN sum(n) > 0 THEN CAST(sum(n // 2) AS BIGINT) / CAST(sum(n) AS BIGINT) ELSE 1.0 END AS coverage FROM c GROUP BY lang""")
+def e8_clip_counts(spark, d):
+    """Documents as clips of which all that word_stats() counts is known."""
+    n = F.col("doc_id")
+    rows = A.table(spark, d, "documents").select(
+        F.coalesce("lang", F.lit("?")).alias("file_id"), "text", F.element_at(F.array(*map(F.lit, ("aligner", "engine", "approx"))), (n % 3 + 1).cast("int")).alias("source"), (n % 5 == 0).alias("rescued"), (n % 4).alias("long_words"),
+        (n % 7 == 0).alias("trimmed"), F.array_repeat(F.lit("flag"), (n % 3).cast("int")).alias("flags"), F.array_repeat(F.lit("attempt"), (n % 2 + 1).cast("int")).alias("attempts"), F.floor(T.core_len(F.col("text")) / 2).alias("kept"),
+    )
+    return W.word_stats(rows)
+
+
 def _results(spark, d):
     texts = A.clips(spark, d).select(F.col("clip_id").alias("__c"), "text")
     results = A.spoken(spark, d).join(texts, F.col("clip_id") == F.col("__c")).drop("__c").withColumns({"flags": F.array().cast("array<string>"), "words": F.lit(None).cast(E.WORDS), "attempts": F.array().cast(E.ATTEMPTS)})

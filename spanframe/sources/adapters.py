@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import text as T
+from spanframe.operators.tables import ranked
 from spanframe.sources import audio
 from spanframe.sources.files import write_files
 from spanframe.sources.shared import new_folder
@@ -38,9 +39,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ref, hyp: whole texts of benchmark and documents side by side; documents take the items in turn, all of them."""
-    b = table(spark, sf_dir, "benchmark")
-    ranks = b.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("rank"))
-    b = b.join(F.broadcast(ranks), "item_id").select("rank", F.col("text").alias("ref"))
+    b = ranked(table(spark, sf_dir, "benchmark"), "item_id", "rank").select("rank", F.col("text").alias("ref"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hyp"), F.pmod("doc_id", F.lit(max(1, b.count()))).alias("rank"))
     return d.join(b, "rank").select("doc_id", "ref", "hyp")
 
@@ -55,9 +54,14 @@ def speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 APART = 1_000_000_000
 
 
+#: Documents in a file of clips.
+SPOKEN_TOGETHER = 50
+
+
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips (as operators.clips gives them) of documents: a language is a file."""
-    c = clips(spark, sf_dir).withColumns({"file_id": F.coalesce("lang", F.lit("?")), "start_ms": F.col("clip_id") * APART})
+    """Clips (as operators.clips gives them) of documents: some neighbours of one language are a file, so that files stay small."""
+    part = F.floor(F.col("clip_id") / (4 * SPOKEN_TOGETHER)).cast("string")
+    c = clips(spark, sf_dir).withColumns({"file_id": F.concat(F.coalesce("lang", F.lit("?")), F.lit("-"), part), "start_ms": F.col("clip_id") * APART})
     none = F.lit(None).cast("double")
     return c.select("file_id", "clip_id", "start_ms", (F.col("start_ms") + F.col("dur_ms")).alias("end_ms"), none.alias("own_start"), none.alias("own_end"), "speech_ms", F.lit(False).alias("cut"), F.lit(None).cast("bigint").alias("parent"))
 

@@ -1,9 +1,10 @@
 """Resumable batches: what a stream brings is kept once, by key, and a restart goes on where it ended.
 
-Every batch of a query is a folder of its own, run=QUERY/epoch=N, and counts once Spark has marked it
-as whole. A batch that is run again after a crash replaces its own folder, so nothing comes twice;
-what another query, or this one before its checkpoint was lost, has kept is looked up by key. A last
-table, `final`, closes the log: from then on it is all that is read.
+The log is a table: a folder of Parquet files. Every batch of a query has names of its own in it and,
+once all its files are in their places, a mark; files without one don't count yet. A batch that is
+run again after a crash replaces its own files, so nothing comes twice; what another query, or this
+one before its checkpoint was lost, has kept is looked up by key. A last table, `_final`, closes the
+log: from then on it is all that is read.
 """
 
 from __future__ import annotations
@@ -14,26 +15,43 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def whole_folders(spark: SparkSession, pattern: str) -> list[str]:
-    """The folders of a pattern that hold a finished write."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    found = at(pattern).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at(f"{pattern}/_SUCCESS"))
-    return sorted(s.getPath().getParent().toString() for s in found or [])
+class Folder:
+    """A folder of any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.at = lambda *names: spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((path.rstrip("/"), *names)))
+        self.fs = self.at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, pattern: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.globStatus(self.at(pattern)) or [])
+
+    def remove(self, pattern: str) -> None:
+        for name in self.names(pattern):
+            self.fs.delete(self.at(name), True)
 
 
 def kept(spark: SparkSession, path: str, schema: StructType, but: str | None = None) -> DataFrame:
-    """The rows of all whole batches, but for those of one folder."""
-    folders = [f for f in whole_folders(spark, f"{path}/run=*/epoch=*") if but is None or not f.endswith(but)]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    """The rows of all whole batches, but for those of one."""
+    folder = Folder(spark, path)
+    done = {n.removeprefix("_done-") for n in folder.names("_done-*")} - {but}
+    files = [f"{path.rstrip('/')}/{n}" for n in folder.names("*.parquet") if n.rpartition("-")[0] in done]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
 def keep_new(batch: DataFrame, epoch: int, path: str, key: list[str]) -> None:
     """Keeps the rows of a batch whose key no other batch has; of rows with equal keys one. A null is a key like any other."""
-    spark = batch.sparkSession
-    own = f"run={spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'alone'}/epoch={epoch}"
+    spark, folder = batch.sparkSession, Folder(batch.sparkSession, path)
+    own = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'alone'}-{epoch}"
     known = kept(spark, path, batch.schema, own).select(*[F.col(k).alias(f"__{k}") for k in key])
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
-    batch.dropDuplicates(key).join(known, same, "left_anti").write.mode("overwrite").parquet(f"{path}/{own}")
+    staged = f"_stage-{own}"
+    batch.dropDuplicates(key).join(known, same, "left_anti").write.mode("overwrite").parquet(f"{path}/{staged}")
+    folder.remove(f"_done-{own}")
+    folder.remove(f"{own}-*.parquet")
+    for i, name in enumerate(folder.names(f"{staged}/*.parquet")):
+        folder.fs.rename(folder.at(staged, name), folder.at(f"{own}-{i}.parquet"))
+    folder.fs.create(folder.at(f"_done-{own}")).close()
+    folder.remove(staged)
 
 
 def resume(stream: DataFrame, path: str, key: str | list[str], checkpoint: str) -> StreamingQuery:
@@ -44,11 +62,11 @@ def resume(stream: DataFrame, path: str, key: str | list[str], checkpoint: str)
 
 def close(results: DataFrame, path: str) -> None:
     """Writes what the log has come to."""
-    results.write.mode("overwrite").parquet(f"{path}/final")
+    results.write.mode("overwrite").parquet(f"{path}/_final")
 
 
 def restored(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, bool]:
     """What the log has come to and True, if it is closed; else the rows kept so far and False."""
-    if last := whole_folders(spark, f"{path}/final"):
-        return spark.read.parquet(*last), True
+    if Folder(spark, path).names("_final/_SUCCESS"):
+        return spark.read.parquet(f"{path}/_final"), True
     return kept(spark, path, schema), False

@@ -134,3 +134,11 @@ def test_error_rate_counts_the_letters_of_all_scripts(spark):
     for i, (r, h) in enumerate(map(kept, x) for x in made):
         assert got[i] == distance(r, h) / len(r) if r else (got[i] == 0) if not h else got[i] != got[i], made[i]
     assert got[0] > 0 and got[1] > 0 and got[2] == 0
+
+
+def test_ranks_count_through_all_ranges(spark):
+    from spanframe.operators.tables import ranked
+
+    rows = spark.range(0, 1000, 7).repartition(5).selectExpr("id AS k", "concat('x', id) AS v")
+    assert sorted((r.k, r.v, r.n) for r in ranked(rows, "k", "n").collect()) == [(k, f"x{k}", i) for i, k in enumerate(range(0, 1000, 7))]
+    assert ranked(rows.limit(0), "k", "n").count() == 0

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from spanframe.operators import batches as G
 from spanframe.operators import detect as V
+from spanframe.operators import metrics as M
 from spanframe.operators import retry as E
+from spanframe.operators import sweep as P
 from spanframe.plans import runs as queries
 from spanframe.sources.cache import read_cache
 from spanframe.streaming.resume import close, keep_new, restored, resume
@@ -131,15 +133,16 @@ def test_a_log_goes_on_after_crashes(spark, tmp_path):
     with pytest.raises(Exception, match="killed between"):
         stream().writeStream.foreachBatch(crash).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start().awaitTermination()
     assert table() == [(1, "a"), (2, "b"), (3, "c"), (None, "n")]
-    # The same batch comes again; what it wrote but Spark had not marked as whole would not have counted.
-    (epoch,) = (p for p in (tmp_path / "log").glob("run=*/epoch=1"))
-    (epoch / "_SUCCESS").unlink()
+    # The same batch comes again; had it not been whole, it would not have counted.
+    (mark,) = (tmp_path / "log").glob("_done-*-1")
+    mark.unlink()
     assert table() == [(1, "a"), (2, "b"), (None, "n")]
     resume(stream(), log, "k", str(tmp_path / "marks")).awaitTermination()
     assert table() == [(1, "a"), (2, "b"), (3, "c"), (None, "n")]
     put([(4, "d"), (1, "late")])
     resume(stream(), log, "k", str(tmp_path / "other-marks")).awaitTermination()  # the checkpoint is lost: all comes again
     assert table() == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "n")]
+    assert sorted(tuple(r) for r in spark.read.parquet(log).where("k IS NOT NULL").collect()) == table()[:4]  # the folder is the table
     rows, closed = restored(spark, log, spark.createDataFrame([], schema).schema)
     assert not closed
     close(rows.where("k > 1"), log)
@@ -162,3 +165,61 @@ def test_caches_are_whole_or_discarded(spark, tmp_path):
     assert got == {"partial": ("partial", [(1, "later"), (2, "日本")]), "open": ("partial", [(1, "x")]), "final": ("final", [(5, "x"), (4, "x")]), "only": ("final", [(5, "x"), (4, "x")])} | {n: ("none", []) for n in ("torn", "blank", "noclip", "badfinal", "early", "newline")}
     e = read_cache(spark, f"{tmp_path}/open.jsonl").first().results[0]
     assert json.loads(e.attempts) == [{"ctx": True, "text": "y"}] and json.loads(e.words) == [["a", 0.0, 1.0]] and e.flags == ["empty"] and e.clip.cut is False and e.clip.speech == 1.0
+
+
+def test_presets_and_variants():
+    some = [P.Preset("a", "A model", env="x", options={"beam": 5, "keep": True}), P.Preset("b", "a", env="y", native_times=True), P.Preset("c", "C")]
+    assert P.find(some, " a ") is some[0] and P.find(some, "C") is some[2] and P.find(some, "A model") is some[0] and P.find(some, "nix") is None and P.find(some, None) is None
+    assert P.installed(some, ["y"]) == some[1:] and P.installed(some, []) == some[2:]
+    assert P.environments(some[0]) == ["x"] and P.environments(some[0], "x", "d") == ["x", "d"] and P.environments(some[2], "al", "d") == ["al", "d"]
+    got = P.variants(" a | 15 |1.5| beam=0 , size=8,name= big ;\n\nb;c||2\n a|||x=none|ignored")
+    assert got == [P.Variant("a", "15", "1.5", {"beam": None, "size": 8, "name": "big"}), P.Variant("b"), P.Variant("c", "auto", "2"), P.Variant("a", options={"x": None})]
+    with pytest.raises(ValueError):
+        P.variants("a|||beam")
+    new = P.varied(some[0], got[0])
+    assert new.options == {"keep": True, "size": 8, "name": "big"} and new.key == "a@15/1.5,beam=None,size=8,name=big" and new.label.startswith("A model [15/1.5") and new.env == "x"
+    assert P.varied(some[0], got[1]) is some[0]
+
+
+def test_batch_sizes_and_prompts(spark):
+    sizes = [(None,), (0.0,), (4.0,), (6.25,), (15.0,), (24.0,), (40.0,), (80.0,), (1000.0,)]
+    rows = spark.createDataFrame(sizes, "m double")
+
+    def plainly(m, model, each, cap):
+        if not m:
+            return 1
+        n = int(max(1.0, m * 0.8 - model) / each)
+        return next((min(p, cap) for p in (128, 64, 32, 16, 8, 4, 2, 1) if n >= p), 1)
+
+    for model, each, cap in ((4.0, 0.5, 128), (4.0, 3.0, 128), (0.0, 0.1, 16)):
+        assert [r.b for r in rows.select(P.batch_size(F.col("m"), model, each, cap).alias("b")).collect()] == [plainly(m, model, each, cap) for (m,) in sizes]
+    made = spark.createDataFrame([("x",), (" \u3000\n",), (None,)], "t string").select(P.minutes_prompt(F.col("t"), "S", "I").alias("p"))
+    assert [r.p for r in made.collect()] == ["S\n\nI\n\n<transcript>\nx\n</transcript>\n", None, None]
+    shown = spark.createDataFrame([("a\nb\nc\n",), ("abcdef\nb",), ("",)], "t string").select(P.preview(F.col("t"), 2, 3).alias("p"))
+    assert [r.p for r in shown.collect()] == ["a\nb\n… (全 3 行)", "abc\nb", ""]
+
+
+def test_every_preset_meets_every_file(spark):
+    runs, reference = queries._sweep(spark, DATA)
+    rows = runs.collect()
+    files = {r.file_id for r in reference.collect()}
+    assert sorted((r.file_id, r.preset, r.place) for r in rows) == sorted((f, p.key, i) for f in files for i, p in enumerate(queries.PRESETS))
+    by = {(r.file_id, r.preset): r for r in rows}
+    texts = {}
+    for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect():
+        if r.text.split():
+            texts.setdefault(r.conv_id, {})[r.turn] = r.text
+    for f in files:
+        said = texts[f]
+        bad = min((t for t in said if (f * 31 + t) % 7 == 0), default=None)
+        assert (by[f, "picky"].error, by[f, "picky"].text) == ((f"ValueError: clip {bad}", None) if bad is not None else (None, " ".join(f"clip {t}." for t in sorted(said)).replace(". ", ".")))
+        assert by[f, "missing"].error == "no recogniser" and by[f, "missing"].text is None
+        glued = ""
+        for t in (said[k].strip() for k in sorted(said)):
+            glued += (" " if glued[-1:].isascii() and glued[-1:].isalnum() and t[0].isascii() and t[0].isalnum() else "") + t
+        assert by[f, "plain"].text == glued and by[f, "plain"].error is None
+    got = {(r.file_id, r.preset): r for r in M.compare(runs, reference).collect()}
+    assert len(got) == len(rows) and all(got[f, "plain"].cer == 0 and got[f, "plain"].x_realtime is None for f in files) and any(got[f, "short"].cer > 0 for f in files)
+    with pytest.raises(ValueError):
+        P.as_rows(spark.range(1), [P.Preset(str(i), "") for i in range(P.MOST_PRESETS + 1)])
+    assert P.as_rows(spark.range(3), []).count() == 0 and P.sweep(some_clips(spark, 3), spark.createDataFrame([("f0", 5)], "file_id string, total_ms long"), queries.PRESETS, {}).where("error = 'no recogniser'").count() == 4

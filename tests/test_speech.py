@@ -573,3 +573,23 @@ def test_comparisons_are_shown_and_kept(spark):
     assert doc[0]["terms"] == [1, 1] and doc[0]["numbers"] == [1, 2] and doc[0]["negations"] == [1, 1, 0] and doc[0]["drops"] == [0, 0] and doc[0]["text"].startswith("明日")
     doc = json.loads(sinks.comparison_json(without).first().content)
     assert doc[1]["diff_vs_first"] > 0 and "diff_vs_first" not in doc[0] and doc[1]["terms_found"] == 1
+
+
+def test_drops_of_long_texts(spark):
+    rng = random.Random(21)
+
+    def plainly(status, least=8, bridge=2):
+        runs, n, gap = [], 0, 0
+        for c in status:
+            if c == "d":
+                n, gap = n + 1, 0
+            else:
+                gap += 1
+                if gap > bridge:
+                    runs.append(n)
+                    n = 0
+        return [x for x in [*runs, n] if x >= least]
+
+    made = ["".join(rng.choice("dd=s") * rng.randint(1, 5) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["d" * 200_000, "d=" * 100_000, "", "=" * 9]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(made)], "i long, s string").select("i", M.drop_runs(F.col("s")).alias("x")).orderBy("i").collect()
+    assert [(r.x.runs, r.x.chars) for r in got] == [(len(p), sum(p)) for p in map(plainly, made)]
