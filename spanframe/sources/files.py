@@ -7,6 +7,7 @@ deletes the folder. So what failed or speculative tasks have written is never se
 from __future__ import annotations
 
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,9 +21,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from spanframe.sources.audio import store
 
 
+#: How often a folder that is still written to is tried to be deleted.
+TRIES = 25
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    """Where a task has put its files, and their names; and the names of files that are to go."""
+    """Where a task has put its files, by number, and their names; and the names of files that are to go."""
 
     folder: str
     names: list[str]
@@ -39,21 +44,24 @@ def checked(name: str | None) -> str:
 
 class FilesWriter(DataSourceArrowWriter):
     def __init__(self, folder: str):
+        """On the driver, before any task. Tasks write below the job's folder but don't make it, so that one that outlives an abort can't bring it back."""
         self.folder, self.staged = folder.rstrip("/"), f"{folder.rstrip('/')}/_job-{uuid.uuid4().hex}"
+        fs, staged = store(self.staged)
+        fs.create_dir(staged, recursive=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, staged = store(self.staged)
         own, names, gone = f"{staged}/{uuid.uuid4().hex}", [], []
+        fs.create_dir(own, recursive=False)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 name = checked(name)
                 if not content.is_valid:
                     gone.append(name)
                     continue
-                names.append(name)
-                fs.create_dir(posixpath.dirname(f"{own}/{name}"), recursive=True)
-                with fs.open_output_stream(f"{own}/{name}") as out:
+                with fs.open_output_stream(f"{own}/{len(names)}") as out:
                     out.write(content.as_buffer())
+                names.append(name)
         return Written(own, names, gone)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -64,9 +72,9 @@ class FilesWriter(DataSourceArrowWriter):
             raise ValueError(f"several rows name one file, as {next(n for n in names if names.count(n) > 1)!r}")
         fs.create_dir(folder, recursive=True)
         for m in done:
-            for name in m.names:
+            for i, name in enumerate(m.names):
                 fs.create_dir(posixpath.dirname(f"{folder}/{name}"), recursive=True)
-                fs.move(f"{m.folder}/{name}", f"{folder}/{name}")
+                fs.move(f"{m.folder}/{i}", f"{folder}/{name}")
             for name in m.gone:
                 if fs.get_file_info(f"{folder}/{name}").type != stores.FileType.NotFound:
                     fs.delete_file(f"{folder}/{name}")
@@ -76,9 +84,17 @@ class FilesWriter(DataSourceArrowWriter):
         self.clear()
 
     def clear(self) -> None:
+        """Deletes the job's folder; tasks that are being ended may still write to it, so this is tried again."""
         fs, staged = store(self.staged)
-        if fs.get_file_info(staged).type != stores.FileType.NotFound:
-            fs.delete_dir(staged)
+        for left in range(TRIES, -1, -1):
+            if fs.get_file_info(staged).type == stores.FileType.NotFound:
+                return
+            try:
+                fs.delete_dir(staged)
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.2)
 
 
 class WholeFiles(DataSource):
