@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from spanframe.functions import text as T
 from spanframe.operators.clips import build_clips, split_clips, with_speech
 from spanframe.operators.intervals import inner_pieces
+from spanframe.operators.sequences import let
 from spanframe.sources.shared import once
 
 Recogniser = Callable[[DataFrame], DataFrame]
@@ -204,8 +205,8 @@ def dummy_aligner(clips: DataFrame) -> DataFrame:
     kept = F.split(F.regexp_replace("text", r"[^\p{L}\p{N}']", ""), "")
     kept = F.filter(kept, lambda c: c != "")
     dur = (F.col("end_ms") - F.col("start_ms")).cast("double")
-    n = F.greatest(F.size(kept), F.lit(1))
-    return clips.select("file_id", "clip_id", F.transform(kept, lambda c, i: F.struct(c.alias("tok"), (dur * i / n).alias("s"), (dur * (i + 1) / n).alias("e"))).alias("tokens"))
+    shared = lambda cs: F.transform(cs, lambda c, i: F.struct(c.alias("tok"), (dur * i / F.size(cs)).alias("s"), (dur * (i + 1) / F.size(cs)).alias("e")))
+    return clips.select("file_id", "clip_id", let(kept, shared).alias("tokens"))
 
 
 def dummy_turns(files: DataFrame, turn_ms: int = 10_000) -> DataFrame:

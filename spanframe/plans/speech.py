@@ -209,7 +209,8 @@ def _results(spark, d):
     results = results.repartition(4 * spark.sparkContext.defaultParallelism)
     bare = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
     dur = (F.col("end_ms") - F.col("start_ms")).cast("double")
-    tokens = F.transform(bare, lambda w, i: F.struct(w.alias("tok"), (dur * i / F.size(bare)).alias("s"), (dur * (i + 1) / F.size(bare)).alias("e")))
+    # Bound once: within the function of each word, the whole text would be searched again for it.
+    tokens = S.let(bare, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("tok"), (dur * i / F.size(ws)).alias("s"), (dur * (i + 1) / F.size(ws)).alias("e"))))
     aligned = results.where(F.col("clip_id") % 2 == 0).select("file_id", "clip_id", tokens.alias("tokens"))
     return results, aligned, results.select("file_id", "start_ms", "end_ms")
 

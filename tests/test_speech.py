@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -593,3 +594,19 @@ def test_drops_of_long_texts(spark):
     made = ["".join(rng.choice("dd=s") * rng.randint(1, 5) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["d" * 200_000, "d=" * 100_000, "", "=" * 9]
     got = spark.createDataFrame([(i, s) for i, s in enumerate(made)], "i long, s string").select("i", M.drop_runs(F.col("s")).alias("x")).orderBy("i").collect()
     assert [(r.x.runs, r.x.chars) for r in got] == [(len(p), sum(p)) for p in map(plainly, made)]
+
+
+def long_document(spark, tmp_path, n):
+    """A folder with one document of n words."""
+    rows = [(7, " ".join(f"word{i}," for i in range(n)), "en", "s", 10 * n), (8, "Two words.", "en", "s", 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_word_stats_of_a_long_text_take_time_by_its_length(spark, tmp_path):
+    from spanframe.plans.queries import QUERIES
+
+    folder, began = long_document(spark, tmp_path, 80_000), time.time()
+    row = QUERIES["e4_word_stats"](spark, folder).first()
+    assert (row.aligner, row.approx, row.coverage) == (1, 1, 1.0)
+    assert time.time() - began < 30  # by the square of the length it takes minutes
