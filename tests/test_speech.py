@@ -598,7 +598,7 @@ def test_drops_of_long_texts(spark):
 
 def long_document(spark, tmp_path, n):
     """A folder with one document of n words."""
-    rows = [(7, " ".join(f"word{i}," for i in range(n)), "en", "s", 10 * n), (8, "Two words.", "en", "s", 10)]
+    rows = [(6, " ".join(f"word{i}," for i in range(n)), "en", "s", 10 * n), (7, "Two words.", "en", "s", 10)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
 
@@ -610,3 +610,12 @@ def test_word_stats_of_a_long_text_take_time_by_its_length(spark, tmp_path):
     row = QUERIES["e4_word_stats"](spark, folder).first()
     assert (row.aligner, row.approx, row.coverage) == (1, 1, 1.0)
     assert time.time() - began < 30  # by the square of the length it takes minutes
+
+
+def test_composed_words_of_a_long_text_take_time_by_its_length(spark, tmp_path):
+    from spanframe.plans.queries import QUERIES
+
+    folder, began = long_document(spark, tmp_path, 80_000), time.time()
+    rows = QUERIES["f7_compose_words"](spark, folder).selectExpr("clip_id", "core").collect()
+    assert [r.core for r in rows if r.clip_id == 6] == [f"word{i}" for i in range(80_000)] and len(rows) == 80_002
+    assert time.time() - began < 30
