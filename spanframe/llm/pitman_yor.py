@@ -4,9 +4,10 @@ Each context of a word is a restaurant; its customers are the words seen there,
 one word, and a table is a customer of the restaurant of the shorter context. There are three
 floors: the word before (WORD_BITS and ENDING_BITS of a hash number its restaurant), under it the
 last two letters of the word before (ENDING_BITS), under that one restaurant for all, under which
-all known words and one unknown are equally likely. A sweep of Gibbs sampling takes some customers
-of every word from their tables, floor by floor, and seats them again by the Chinese restaurant's
-rule. Probabilities are averaged over the sweeps that are kept.
+all known words and one unknown are equally likely. A sweep of Gibbs sampling takes all customers
+of every word from their tables, floor by floor, and seats them again: those of up to DRAWN_AT_ONCE
+together, by drawing how many tables they take from its exact law, more of them one by one by the
+Chinese restaurant's rule. Probabilities are averaged over the sweeps that are kept.
 
 Texts are worked on in blocks, and what they hold dealt over buckets by word: a bucket has all
 restaurants' customers of its words, on all floors. What a restaurant needs of other buckets is
@@ -19,6 +20,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -40,6 +43,8 @@ RESTAURANTS = 1 << BITS
 BLOCK_TOKENS, BLOCK_DOCS, RUN, BUCKET_BYTES, LEAST_BUCKETS = 1_500_000, 60_000, 1 << 20, 8 << 20, 32
 #: Counts that are merged at a time, bytes of a bucket's cells that one task scores, buckets in parts that are broadcast.
 FAN_IN, PART_BYTES, MOST_SENT = 1024, 64 << 20, 100_000
+#: Customers of a word in a restaurant up to which all are seated in one draw, and numbers drawn from at a time.
+DRAWN_AT_ONCE, DRAW_NUMBERS = 2048, 1 << 18
 DISCOUNTS, STRENGTHS = (0.5, 0.8, 0.8), (1.0, 1.0, 1.0)
 
 
@@ -179,6 +184,86 @@ def merged(parts: list[bytes]) -> bytes:
     return pack(np.diff(values, prepend=np.uint64(0)), np.bincount(key >> BITS, minlength=len(values)).astype(np.uint32), (key & RESTAURANTS - 1).astype(np.uint32), n)
 
 
+@lru_cache(maxsize=8)
+def ways(discount: float, most: int) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: [n, t] of all ways to seat n customers at t tables, each as likely as the product of what the customers who joined were drawn by."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    for n in range(most):
+        with np.errstate(divide="ignore"):
+            joined = out[n, 1:] + np.log(np.maximum(n - discount * np.arange(1, most + 1), 0))
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], joined)
+    return out
+
+
+def tables_of(n: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """How many tables n customers take (up to DRAWN_AT_ONCE), drawn from the law that moving each of them without end leads to."""
+    out = n.astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    starts = stretches(n[order])
+    logs = ways(discount, DRAWN_AT_ONCE)
+    for a, b in zip(starts, np.append(starts[1:], len(n))):
+        m = int(n[order[a]])
+        if m < 2:
+            continue
+        step = max(1, DRAW_NUMBERS // m)
+        for i in range(a, b, step):
+            who = order[i : min(i + step, b)]
+            mass = logs[m, 1 : m + 1] + np.log(np.maximum(pull[who], 1e-300))[:, None] * np.arange(m)
+            mass -= mass.max(axis=1, keepdims=True)
+            upto = np.cumsum(np.exp(mass), axis=1)
+            out[who] = np.minimum(m, 1 + (upto <= rng.random(len(who))[:, None] * upto[:, -1:]).sum(axis=1))
+    return out
+
+
+def seated(sizes: np.ndarray, n: int, pull: float, discount: float, times: int, rng: np.random.Generator) -> np.ndarray:
+    """The tables of one word, of these sizes: customers leave or come until there are n, then so many times each of them leaves and is seated again."""
+    size, seat = sizes.tolist(), np.repeat(np.arange(len(sizes)), sizes).tolist()
+    empty: list[int] = []
+    draw = chain.from_iterable(rng.random(1 << 14).tolist() for _ in repeat(None)).__next__
+    tables = len(size)
+    # Until there are n, one at random leaves, or there is one more to seat; then each in turn leaves and is to be seated.
+    over, short = max(0, len(seat) - n), max(0, n - len(seat))
+    turns = chain(repeat(-1, over), repeat(-2, short), chain.from_iterable(repeat(range(n), times if n > 1 else 0)))
+    for at in turns:
+        left = len(seat)
+        if at != -2:
+            at_random = at == -1
+            if at_random:
+                at = int(draw() * left)
+            left -= 1
+            k = seat[at]
+            # The one in turn stands at the end of the row from now on, whose last one has the place.
+            seat[at] = seat[left]
+            size[k] -= 1
+            if not size[k]:
+                tables -= 1
+                empty.append(k)
+            if at_random:
+                seat.pop()
+                continue
+        else:
+            seat.append(0)
+        old = left - discount * tables
+        if draw() * (old + pull) >= old:
+            tables += 1
+            if empty:
+                k = empty.pop()
+            else:
+                k = len(size)
+                size.append(0)
+        else:
+            k = seat[int(draw() * left)]
+            while draw() * size[k] >= size[k] - discount:  # a table draws as its customers less the discount
+                k = seat[int(draw() * left)]
+        size[k] += 1
+        if at < 0:
+            seat[left] = k
+        else:
+            seat[left], seat[at] = seat[at], k
+    return np.array([x for x in size if x], np.int64)
+
+
 class Floor:
     """The customers (n) and tables (t) of each word in each restaurant of a floor. Tables are held of the entries that can have more than one customer."""
 
@@ -186,6 +271,8 @@ class Floor:
         """most: how many customers an entry can come to have. Begins with about as many tables as the rule gives in the long run, all but the first with one customer: any seating may be a sampler's first."""
         self.n, self.discount = n.astype(np.int64), discount
         self.live = np.flatnonzero(most > 1)
+        self.many = np.flatnonzero(most > DRAWN_AT_ONCE)
+        self.few = np.flatnonzero((most > 1) & (most <= DRAWN_AT_ONCE))
         self.t = np.ones(len(n), np.int64)
         own = self.n[self.live]
         tables = np.minimum(np.maximum(own**discount, 1).astype(np.int64), own)
@@ -235,13 +322,20 @@ class Floor:
         self.t[who[new]] += 1
         self.settle(who[new])
 
-    def resize(self, n: np.ndarray, pull: np.ndarray, rng: np.random.Generator) -> None:
-        """Customers leave and come until there are n."""
-        while (over := np.flatnonzero(self.n > n)).size:
-            self.leave(over, rng)
-        self.settle(over)
-        while (short := np.flatnonzero(self.n < n)).size:
-            self.come(short, pull[short], rng)
+    def reseat(self, n: np.ndarray, pull: np.ndarray, times: int, rng: np.random.Generator) -> None:
+        """All customers of every word, n from now on, are seated anew: so many times one by one, or where they are few in one draw, after which further ones would change nothing."""
+        lo, hi = np.searchsorted(self.owner, self.many), np.searchsorted(self.owner, self.many, side="right")
+        anew = [seated(self.size[a:b], int(n[i]), float(pull[i]), self.discount, times, rng) for i, a, b in zip(self.many, lo, hi)]
+        self.n = n.astype(np.int64)
+        self.t[self.many] = [len(x) for x in anew]
+        self.t[self.few] = tables_of(self.n[self.few], pull[self.few], self.discount, rng)
+        # Of few customers only the number of tables counts: all but the first have one.
+        self.owner = np.repeat(self.live, self.t[self.live])
+        self.size = np.ones(len(self.owner), np.int64)
+        first = stretches(self.owner)
+        self.size[first] = (self.n - self.t + 1)[self.owner[first]]
+        for a, x in zip(np.searchsorted(self.owner, self.many), anew):
+            self.size[a : a + len(x)] = x
 
     def move(self, pull: np.ndarray, times: int, rng: np.random.Generator) -> None:
         """So many times, a customer of every word that has more than one leaves and is seated again."""
@@ -305,9 +399,8 @@ class Bucket:
         for k in (2, 1, 0):
             f = self.floors[k]
             pull = (strengths[k] + f.discount * totals.tables[k][self.where[k]]) * under[k]
-            if k < 2:
-                f.resize(np.bincount(self.words[k + 1], self.floors[k + 1].t, len(f.n)).astype(np.int64), pull, rng)
-            f.move(pull, moves, rng)
+            n = np.bincount(self.words[k + 1], self.floors[k + 1].t, len(f.n)).astype(np.int64) if k < 2 else f.n
+            f.reseat(n, pull, moves, rng)
 
     def found(self, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the keys (word's place and restaurant) have an entry on floor k, and where."""
@@ -400,7 +493,7 @@ def summed(rows: DataFrame, salts: int) -> np.ndarray:
 def fit(docs: DataFrame, key: str, text: str, train: Column, sweeps: int = 2, keep: int = 2, moves: int = 2, seed: int = 1, discounts=DISCOUNTS, strengths=STRENGTHS) -> Model:
     """Learns from the documents for which train is true, all of them and whole; the rest is only laid out to be scored.
 
-    Words are compared by 64 bits of a hash. Nulls are as in scores().
+    Words are compared by 64 bits of a hash. Nulls are as in scores(). moves: how often a sweep seats all customers of a word anew.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0

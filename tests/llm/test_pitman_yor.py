@@ -132,3 +132,43 @@ def test_odd_rows(spark, odd):
     assert P.scores(P.fit(odd.limit(0), "doc_id", "text", F.lit(True))).count() == 0
     nothing = P.scores(P.fit(odd, "doc_id", "text", F.lit(None).cast("boolean"))).collect()
     assert len(nothing) == len(rows) and all(r.score == r.base_score == 0 and r.n_known == 0 for r in nothing)
+
+
+@pytest.mark.parametrize("at_once", [2, 1024])
+def test_a_sweep_seats_all_customers_anew(monkeypatch, at_once):
+    """From two opposite first seatings, at as few tables as can be and at as many, one draw, or some rounds one by one, lead to the same number of tables: that of the law."""
+    monkeypatch.setattr(P, "DRAWN_AT_ONCE", at_once)
+    d, pull, customers, copies = 0.5, 3.0, 200, 300 if at_once > 2 else 60
+    logs = P.ways(d, 1024)[customers, 1 : customers + 1] + np.arange(1, customers + 1) * math.log(pull)
+    law = np.exp(logs - logs.max())
+    want = (law * np.arange(1, customers + 1)).sum() / law.sum()
+    for tables in (1, customers):
+        n = np.full(copies, customers)
+        floor, rng = P.Floor(n, n, d), np.random.default_rng(5)
+        floor.t[:], floor.owner = tables, np.repeat(np.arange(copies), tables)
+        floor.size = np.ones(len(floor.owner), np.int64)
+        floor.size[P.stretches(floor.owner)] = customers - tables + 1
+        floor.reseat(n, np.full(copies, pull), 2 if at_once > 2 else 60, rng)
+        assert (np.bincount(floor.owner, floor.size, copies) == customers).all() and (np.bincount(floor.owner, minlength=copies) == floor.t).all()
+        assert floor.t.mean() == pytest.approx(want, rel=0.03 if at_once > 2 else 0.25)
+
+
+def test_tables_drawn_at_once_follow_the_law():
+    """Ways to seat five customers, by going through all of them."""
+    d, pull = 0.6, 0.9
+
+    def law(sizes, left):
+        if not left:
+            return Counter({len(sizes): 1.0})
+        out = Counter()
+        for weight, more in [(s - d, (*sizes[:i], s + 1, *sizes[i + 1 :])) for i, s in enumerate(sizes)] + [(pull, (*sizes, 1))]:
+            for t, p in law(more, left - 1).items():
+                out[t] += weight * p
+        return out
+
+    want = law((), 5)
+    got = np.bincount(P.tables_of(np.full(50_000, 5), np.full(50_000, pull), d, np.random.default_rng(2)), minlength=6) / 50_000
+    one = np.bincount([len(P.seated(np.array([1, 4]), 5, pull, d, 12, np.random.default_rng([3, i]))) for i in range(4000)], minlength=6) / 4000
+    for t in range(1, 6):
+        assert got[t] == pytest.approx(want[t] / sum(want.values()), abs=0.01)
+        assert one[t] == pytest.approx(want[t] / sum(want.values()), abs=0.03)
