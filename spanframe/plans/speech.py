@@ -327,4 +327,6 @@ def i31_dropped_utterances(spark, d):
 def b13_differences(spark, d):
     """Documents beside themselves cleaned: what rules and fillers have changed."""
     clean = R.Clean(tuple(RULES), ("the", "of", "and"))
-    return A.table(spark, d, "documents").select("doc_id", M.differences(F.col("text"), clean(F.col("text"))).alias("html"))
+    # Comparing texts takes far longer than sending them.
+    docs = A.table(spark, d, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism)
+    return docs.select("doc_id", M.differences(F.col("text"), clean(F.col("text"))).alias("html"))

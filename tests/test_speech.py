@@ -619,3 +619,28 @@ def test_composed_words_of_a_long_text_take_time_by_its_length(spark, tmp_path):
     rows = QUERIES["f7_compose_words"](spark, folder).selectExpr("clip_id", "core").collect()
     assert [r.core for r in rows if r.clip_id == 6] == [f"word{i}" for i in range(80_000)] and len(rows) == 80_002
     assert time.time() - began < 30
+
+
+def test_blocks_of_long_texts_need_few_automata(monkeypatch):
+    from spanframe.functions import distance as D
+
+    rng, built = random.Random(31), []
+    plain = D.Substrings
+
+    class Counted(plain):
+        def __init__(self, text):
+            built.append(len(text))
+            super().__init__(text)
+
+    monkeypatch.setattr(D, "Substrings", Counted)
+    for letters in ("abcdefghij klmnop", "ab"):
+        a = "".join(rng.choice(letters) for _ in range(3000))
+        cut = sorted(rng.sample(range(3000), 60))
+        b = "".join(a[i + 1 : j] for i, j in zip([-1, *cut], [*cut, 3000]))
+        fast, n = D.matching_blocks(a, b), sum(built)
+        monkeypatch.setattr(D, "shared_runs", lambda *_: None)
+        assert fast == D.matching_blocks(a, b)
+        assert letters == "ab" or n < 300 < 10_000 < sum(built)
+        monkeypatch.undo()
+        monkeypatch.setattr(D, "Substrings", Counted)
+        built.clear()
