@@ -65,21 +65,57 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_ms: int = 600_000) -> DataFrame
 def assign_speakers(words: DataFrame, turns: DataFrame, most_ms: int = 1000, bin_ms: int = 120_000) -> DataFrame:
     """words with the speaker of the turn that overlaps most (ties: earliest), else of the nearest within most_ms of the midpoint, else filled forward, then backward.
 
-    Words and turns meet in the time bins that both touch, turns widened by most_ms; meeting in several bins changes nothing.
+    Of turns in order of their starts only those that end later than all before can be the best for
+    what they were there before: so a word needs the last of them begun by its start (by its midpoint),
+    and the first to reach its end (its midpoint), which running frames tell, besides turns that begin
+    within the word. Only words that no turn covers meet those, in the time bins where they begin.
     """
-    t = turns.where("end_ms > start_ms").select("file_id", F.col("speaker").alias("s"), F.col("pos").alias("p"), F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"))
-    t = binned(t, F.col("ts") - most_ms, F.col("te") + most_ms, bin_ms)
-    w = binned(words.drop("speaker").withColumn("mid2", F.col("start_ms") + F.col("end_ms")), F.col("start_ms"), F.greatest("start_ms", "end_ms"), bin_ms)
-    both = w.join(t, ["file_id", "bin"], "left")
-    # A word alone in a bin has no turn there; least and greatest pass over its nulls.
-    met = F.col("te").isNotNull()
-    shared = F.least("te", "end_ms") - F.greatest("ts", "start_ms")
-    off = F.greatest(F.col("ts") * 2 - F.col("mid2"), F.col("mid2") - F.col("te") * 2, F.lit(0))
     keys = words.drop("speaker").columns
-    best = both.groupBy(*keys).agg(
-        F.min(F.when(met & (shared > 0), F.struct((-shared).alias("o"), "ts", "p", "s"))).alias("over"),
-        F.min(F.when(met & (off <= 2 * most_ms), F.struct(off.alias("o"), "ts", "p", "s"))).alias("near"),
-    ).withColumn("speaker", F.coalesce("over.s", "near.s"))
+    ts, te = F.col("start_ms"), F.col("end_ms")
+    turn = F.struct(ts.alias("ts"), F.col("pos").alias("p"), F.col("speaker").alias("s"), te.alias("te"))
+    t = turns.where("end_ms > start_ms").select("file_id", turn.alias("__turn"), F.lit(None).cast(words.select(F.struct(*keys)).schema[0].dataType).alias("__word"), (ts * 2).alias("__a"), (ts * 2).alias("__m"))
+    w = words.select("file_id", F.lit(None).cast(t.schema["__turn"].dataType).alias("__turn"), F.struct(*keys).alias("__word"), (ts * 2).alias("__a"), (ts + te).alias("__m"))
+    file, is_word = Window.partitionBy("file_id"), F.col("__word").isNotNull()
+    before = lambda *order: file.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = t.unionByName(w)
+    begun = file.orderBy("__a", is_word, "__turn.p")
+    both = both.withColumn("__until", F.max("__turn.te").over(begun.rowsBetween(Window.unboundedPreceding, -1)))
+    # A turn that ends later than all that began before it; no other is ever better than an earlier one.
+    both = both.withColumn("__top", F.when(F.col("__until").isNull() | (F.col("__turn.te") > F.col("__until")), F.col("__turn"))).drop("__until")
+    both = both.withColumn("__by_start", F.last("__top", True).over(before("__a", is_word, "__turn.p")))
+    both = both.withColumn("__by_middle", F.last("__top", True).over(before("__m", is_word, "__turn.p")))
+    both = both.withColumn("__next", F.last("__turn", True).over(before(F.desc("__m"), is_word.desc(), F.desc("__turn.p"))))
+    # Backwards in time: of those whose ends are not yet passed, the earliest, which is the last seen.
+    end = F.coalesce(F.col("__turn.te"), F.col("__word.end_ms")) * 2
+    both = both.withColumn("__to_end", F.last("__top", True).over(before(end.desc(), is_word)))
+    end = F.coalesce(F.col("__turn.te") * 2, F.col("__m"))
+    both = both.where(is_word | F.col("__top").isNotNull()).withColumn("__to_middle", F.last("__top", True).over(before(end.desc(), is_word)))
+    a, b, mid2 = F.col("__word.start_ms"), F.col("__word.end_ms"), F.col("__m")
+    ranked = lambda x, *o: F.struct(*[c.alias(f"o{i}") for i, c in enumerate(o)], x["ts"].alias("ts"), x["p"].alias("p"), x["s"].alias("s"))
+
+    def over(x):
+        shared = F.least(x["te"], b) - F.greatest(x["ts"], a)
+        return F.when(x["ts"].isNotNull() & (shared > 0), ranked(x, -shared))
+
+    def near(x):
+        off = F.greatest(x["ts"] * 2 - mid2, mid2 - x["te"] * 2, F.lit(0).cast("bigint"))
+        return F.when(x["ts"].isNotNull() & (off <= 2 * most_ms), ranked(x, off))
+
+    begun_by = lambda c, at: F.when(F.col(c)["ts"] * 2 <= at, F.col(c))
+    first_to_end, first_to_middle = begun_by("__to_end", F.col("__a")), begun_by("__to_middle", mid2)
+    best = both.where(is_word).select(
+        "__word", F.coalesce(over(first_to_end), over(F.col("__by_start"))).alias("__over"), (first_to_end.isNotNull() & (b > a)).alias("__covered"),
+        F.least(near(first_to_middle), near(F.col("__by_middle")), near(F.col("__next"))).alias("__near"),
+    )
+    # Turns that begin within a word share less of it than one that covers it.
+    part = best.where(~F.coalesce("__covered", F.lit(False)))
+    inner = turns.where("end_ms > start_ms").select("file_id", ts.alias("ts"), te.alias("te"), F.col("pos").alias("p"), F.col("speaker").alias("s"), F.floor(ts / bin_ms).alias("bin"))
+    open_ = part.where("__word.end_ms > __word.start_ms").select(F.col("__word.file_id").alias("file_id"), "__word", F.explode(F.sequence(F.floor(a / bin_ms), F.floor(b / bin_ms))).alias("bin"))
+    met = open_.join(inner, ["file_id", "bin"]).where((F.col("ts") > a) & (F.col("ts") < b))
+    met = met.groupBy("__word").agg(F.min(F.struct((F.col("ts") - F.least("te", b)).alias("o0"), "ts", "p", "s")).alias("__inner"))
+    part = part.join(met.withColumnRenamed("__word", "__w"), F.col("__word") == F.col("__w"), "left")
+    told = lambda rows, *o: rows.select("__word.*", F.coalesce(F.least("__over", *o)["s"], F.col("__near.s")).alias("speaker")) if o else rows.select("__word.*", F.coalesce("__over.s", "__near.s").alias("speaker"))
+    best = told(best.where("__covered")).unionByName(told(part, "__inner"))
     order = Window.partitionBy("file_id").orderBy("start_ms", "pos")
     filled = best.withColumn("speaker", F.coalesce("speaker", F.last("speaker", True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
     # Backwards as a running frame of the reversed order: a frame up to the end is computed anew for each row.

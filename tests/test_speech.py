@@ -644,3 +644,35 @@ def test_blocks_of_long_texts_need_few_automata(monkeypatch):
         monkeypatch.undo()
         monkeypatch.setattr(D, "Substrings", Counted)
         built.clear()
+
+
+def test_speakers_of_words_equal_trying_all_turns(spark):
+    from spanframe.operators.intervals import assign_speakers
+
+    rng, words, turns = random.Random(4), [], []
+    for f in range(60):
+        span = rng.choice([30, 300, 3000])
+        turns += [(f"f{f}", p, rng.choice("ABCDE"), a := rng.randint(0, span), a + rng.choice([0, 1, 2, 5, 20, 100, span // 3])) for p in range(rng.randint(0, 20))]
+        words += [(f"f{f}", p, "", a := rng.randint(0, span), a + rng.choice([-1, 0, 1, 2, 7, 30, span // 4])) for p in range(rng.randint(1, 20))]
+    frame = lambda rows: spark.createDataFrame(rows, "file_id string, pos long, speaker string, start_ms long, end_ms long")
+    for most, bin_ms in ((3, 7), (1000, 120_000)):
+        got, own = {(r.file_id, r.pos): r.speaker for r in assign_speakers(frame(words), frame(turns), most, bin_ms).collect()}, 0
+        for f, p, _, a, b in words:
+            near = [t for t in turns if t[0] == f and t[4] > t[3]]
+            over = [(max(s, a) - min(e, b), s, q, x) for _, q, x, s, e in near if min(e, b) > max(s, a)]
+            far = [(o, s, q, x) for _, q, x, s, e in near if (o := max(2 * s - a - b, a + b - 2 * e, 0)) <= 2 * most]
+            if over or far:
+                own += 1
+                assert got[f, p] == min(over or far)[3]
+        assert own > 200 and len(got) == len(words)
+
+
+def test_speakers_where_many_turns_are_open_at_once(spark):
+    """Every word meets every turn here: as pairs that would be 400 million."""
+    from spanframe.operators.intervals import assign_speakers
+
+    began, n = time.time(), F.col("id")
+    turns = spark.range(20_000).select(F.lit("f").alias("file_id"), n.alias("pos"), F.concat(F.lit("s"), n).alias("speaker"), n.alias("start_ms"), (n + 100_000).alias("end_ms"))
+    words = spark.range(20_000).select(F.lit("f").alias("file_id"), n.alias("pos"), (n + 50_000).alias("start_ms"), (n + 50_001).alias("end_ms"))
+    assert {r.speaker for r in assign_speakers(words, turns).collect()} == {"s0"}
+    assert time.time() - began < 25
