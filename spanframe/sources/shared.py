@@ -27,5 +27,5 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 def once(df: DataFrame, tag: str = "kept") -> DataFrame:
     """df computed once, as a table in the shared folder: what reads it several times computes nothing again, and lost executors lose nothing."""
     path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # two thirds of what texts take by default
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -676,3 +676,16 @@ def test_speakers_where_many_turns_are_open_at_once(spark):
     words = spark.range(20_000).select(F.lit("f").alias("file_id"), n.alias("pos"), (n + 50_000).alias("start_ms"), (n + 50_001).alias("end_ms"))
     assert {r.speaker for r in assign_speakers(words, turns).collect()} == {"s0"}
     assert time.time() - began < 25
+
+
+def test_kept_tables_take_less_than_by_default(spark, tmp_path):
+    from spanframe.sources.shared import once
+
+    def size(folder):
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+    rows = spark.range(2000).select(F.concat_ws(" ", *[F.sha1((F.col("id") + k).cast("string")) for k in range(20)]).alias("text")).coalesce(1)
+    rows.write.parquet(f"{tmp_path}/plain")
+    kept = once(rows)
+    assert kept.count() == 2000
+    assert sum(len(spark.read.format("binaryFile").load(f).first().content) for f in kept.inputFiles()) < 0.8 * size(tmp_path)
