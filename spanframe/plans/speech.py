@@ -203,10 +203,10 @@ def e8_clip_counts(spark, d):
 
 
 def _results(spark, d):
-    texts = A.clips(spark, d).select(F.col("clip_id").alias("__c"), "text")
-    results = A.spoken(spark, d).join(texts, F.col("clip_id") == F.col("__c")).drop("__c").withColumns({"flags": F.array().cast("array<string>"), "words": F.lit(None).cast(E.WORDS), "attempts": F.array().cast(E.ATTEMPTS)})
-    # Restoring texts takes far longer than sending them.
-    results = results.repartition(4 * spark.sparkContext.defaultParallelism)
+    results = A.spoken(spark, d, "text").where("file_id IS NOT NULL AND clip_id IS NOT NULL").withColumns({"flags": F.array().cast("array<string>"), "words": F.lit(None).cast(E.WORDS), "attempts": F.array().cast(E.ATTEMPTS)})
+    # Restoring texts takes far longer than sending them. Dealt by clip, they meet their tokens, which are larger, in place.
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    results = results.repartition(parts, "file_id", "clip_id")
     bare = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
     dur = (F.col("end_ms") - F.col("start_ms")).cast("double")
     # Bound once: within the function of each word, the whole text would be searched again for it.

@@ -58,12 +58,12 @@ APART = 1_000_000_000
 SPOKEN_TOGETHER = 50
 
 
-def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips (as operators.clips gives them) of documents: some neighbours of one language are a file, so that files stay small."""
+def spoken(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Clips (as operators.clips gives them) of documents, with more columns of clips(): some neighbours of one language are a file, so that files stay small."""
     part = F.floor(F.col("clip_id") / (4 * SPOKEN_TOGETHER)).cast("string")
     c = clips(spark, sf_dir).withColumns({"file_id": F.concat(F.coalesce("lang", F.lit("?")), F.lit("-"), part), "start_ms": F.col("clip_id") * APART})
     none = F.lit(None).cast("double")
-    return c.select("file_id", "clip_id", "start_ms", (F.col("start_ms") + F.col("dur_ms")).alias("end_ms"), none.alias("own_start"), none.alias("own_end"), "speech_ms", F.lit(False).alias("cut"), F.lit(None).cast("bigint").alias("parent"))
+    return c.select("file_id", "clip_id", "start_ms", (F.col("start_ms") + F.col("dur_ms")).alias("end_ms"), none.alias("own_start"), none.alias("own_end"), "speech_ms", F.lit(False).alias("cut"), F.lit(None).cast("bigint").alias("parent"), *more)
 
 
 def reader(spark: SparkSession, sf_dir: str, loops: bool = True):

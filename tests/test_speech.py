@@ -689,3 +689,33 @@ def test_kept_tables_take_less_than_by_default(spark, tmp_path):
     kept = once(rows)
     assert kept.count() == 2000
     assert sum(len(spark.read.format("binaryFile").load(f).first().content) for f in kept.inputFiles()) < 0.8 * size(tmp_path)
+
+
+def test_composed_words_equal_sorting_all_and_stay_packed(spark):
+    from spanframe.operators import words as W
+    from spanframe.operators import retry as E
+
+    rng, rows, aligned, expected = random.Random(7), [], [], []
+    for f in ("f", "g"):
+        for k in range(12):
+            start, own = 10_000 * k + rng.choice([0, 0, -6000]), rng.choice([(None, None), (10_000.0 * k, 10_000.0 * k + 9000)])
+            ws = [rng.choice(["ab", "é", "語", "Don't"]) + rng.choice(["", ",", "."]) for _ in range(rng.randint(0, 9))]
+            times = [(t := rng.randint(-500, 9500), t + rng.randint(0, 5000)) for _ in ws]
+            bare = [w.rstrip(",.") for w in ws]
+            rows.append((f, k, start, start + 9000, *own, " ".join(ws), [], None))
+            aligned.append((f, k, [{"tok": b, "s": float(s), "e": float(e)} for b, (s, e) in zip(bare, times)]))
+            for i, (w, b, (s, e)) in enumerate(zip(ws, bare, times)):
+                s = min(max(s, 0), 9000) + start
+                e = min(max(e + start, s), start + 9000)
+                if own[0] is None or own[0] <= (s + e) / 2 < own[1]:
+                    expected.append((f, s, e, k, i, w + " " * (i + 1 < len(ws)), b))
+    res = spark.createDataFrame(rows, f"file_id string, clip_id long, start_ms long, end_ms long, own_start double, own_end double, text string, flags array<string>, words {E.WORDS}")
+    tokens = spark.createDataFrame(aligned, f"file_id string, clip_id long, tokens {E.WORDS}")
+    words, _ = W.compose_words(res, tokens, res.select("file_id", "start_ms", "end_ms"))
+    got = [(r.file_id, r.start_ms, r.end_ms, r.clip_id, r.word, r.core) for r in words.orderBy("file_id", "pos").collect()]
+    assert got == [(*x[:4], *x[5:]) for x in sorted(expected)]
+    assert all([r.pos for r in words.where(F.col("file_id") == f).orderBy("pos").collect()] == list(range(1, 1 + sum(x[0] == f for x in expected))) for f in "fg")
+    # What waits to be numbered takes a few bytes a word.
+    n = 20_000
+    whole = W.packed([f"word{i % 900} " for i in range(n)], [f"word{i % 900}" for i in range(n)], np.arange(n) * 80, np.arange(n) * 80 + 70)
+    assert len(whole) < 12 * n and W.unpacked(W.packed(["a ", "語"], ["a", "語"], np.array([5, 5]), np.array([6, 9])))[:2] == (["a ", "語"], ["a", "語"])
