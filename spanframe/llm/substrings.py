@@ -26,11 +26,9 @@ import json
 import math
 import uuid
 from collections.abc import Iterator
-from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +56,8 @@ class Block:
     """The hashes of a block of texts."""
 
     def __init__(self, texts):
-        self.lists = tokens.word_lists(texts)
-        self.hashes, self.counts = tokens.word_hashes(self.lists)
+        self.texts, self.words = texts, tokens.Words(texts)
+        self.hashes, self.counts = self.words.hashes(), self.words.counts
         n = len(self.hashes)
         ends = np.repeat(np.cumsum(self.counts), self.counts)
         self.starts = np.flatnonzero(np.arange(n) + LENGTH <= ends)  # of windows
@@ -86,11 +84,8 @@ class Block:
     def second_hashes(self, starts: np.ndarray) -> np.ndarray:
         """Hashes by another seed of the words that the windows cover; others have 0."""
         covered = in_windows(starts, len(self.hashes))
-        ends = np.cumsum(self.counts).tolist()
-        some = [list(compress(words, covered[end - len(words) : end].tolist())) for words, end in zip(self.lists, ends)]
-        known = {w: xxhash.xxh3_64_intdigest(w, 1) for w in set().union(*some)}
         out = np.zeros(len(self.hashes), np.uint64)
-        out[covered] = np.fromiter(map(known.__getitem__, chain.from_iterable(some)), np.uint64, int(covered.sum()))
+        out[covered] = self.words.hashes(1, covered)
         return out
 
 
@@ -359,7 +354,7 @@ def remove_windows(dealt: DataFrame, replies: DataFrame, buckets: int, kind: str
         starts = block.starts[which][among(wholes, marked(wholes, told[told["step"] == 2], buckets))]
         gone = in_windows(starts, len(block.hashes))
         kept, lost, at = [], [], 0
-        for words in block.lists:
+        for words in tokens.word_lists(block.texts):
             own = gone[at : at + len(words)]
             at += len(words)
             n = int(own.sum())

@@ -11,6 +11,8 @@ import xxhash
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 #: Words whose hashes a worker keeps; beyond, it starts anew.
 MOST_KNOWN = 200_000
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 512
 _known: dict[bytes, int] = {}
 
 
@@ -47,6 +49,39 @@ def word_hashes(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return flat, counts
 
 
+class Words:
+    """Where the words of some texts stand in their bytes, so that all are hashed together, eight bytes at a time."""
+
+    def __init__(self, texts):
+        coded = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+        self.raw = b" ".join([*coded, bytes(8)])
+        n = len(self.raw) - 8
+        data = np.frombuffer(self.raw, np.uint8, n)
+        blank = np.concatenate([[True], (data == 32) | (data - np.uint8(9) <= 4), [True]])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        self.starts, self.sizes = edges[::2], edges[1::2] - edges[::2]
+        #: Words of each text.
+        self.counts = np.diff(np.searchsorted(self.starts, np.cumsum([0, *(len(c) + 1 for c in coded)])))
+
+    def hashes(self, seed: int = 0, which: np.ndarray | None = None) -> np.ndarray:
+        """A hash of 64 bits of each word, or of those marked; of words of one length up to eight bytes no two are alike."""
+        starts, sizes = (self.starts, self.sizes) if which is None else (self.starts[which], self.sizes[which])
+        lanes = np.ndarray(len(self.raw) - 7, "<u8", self.raw, 0, (1,))
+        out = splitmix(sizes.astype(np.uint64) + np.uint64(seed) * K1)
+        todo = np.flatnonzero(sizes <= LONG_WORD)
+        at, left = starts[todo], sizes[todo]
+        while len(todo):
+            lane = lanes[at]
+            part = np.flatnonzero(left < 8)
+            lane[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+            out[todo] = mixed(out[todo], lane)
+            more = np.flatnonzero(left > 8)
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.raw[starts[i] : starts[i] + sizes[i]], seed)
+        return out
+
+
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes, in order."""
     x = (a ^ (a >> np.uint64(31))) * K1

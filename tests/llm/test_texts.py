@@ -369,3 +369,26 @@ def test_links_in_a_family_just_under_the_least_similarity_are_found(spark):
     want = brute_classes(made)
     assert 340 < len(set(want)) <= 360
     assert found_classes(spark, made) == want
+
+
+def test_words_are_hashed_together():
+    import random
+
+    import numpy as np
+
+    from spanframe.llm import substrings, tokens
+
+    rng = random.Random(3)
+    some = ["a", "ab", "abcdefgh", "abcdefghi", "abcdefgh\x00", "é語", "x" * 511, "x" * 513, "y" * 3000, "a\x00", "\xa0", "\x1f"]
+    texts = [None, "", " \t\n\x0b\x0c\r ", *("".join(rng.choice([*some, " ", "\n", "  "]) + rng.choice(["", " "]) for _ in range(40)) for _ in range(60)), "end"]
+    lists, words = tokens.word_lists(texts), tokens.Words(texts)
+    assert words.counts.tolist() == [len(x) for x in lists]
+    flat = [w for x in lists for w in x]
+    for seed in (0, 1):
+        of = dict(zip(flat, words.hashes(seed).tolist()))
+        assert [of[w] for w in flat] == words.hashes(seed).tolist() and len(set(of.values())) == len(of) == len(set(flat))
+    half = np.arange(len(flat)) % 2 == 0
+    assert (words.hashes(1, half) == words.hashes(1)[half]).all() and not (words.hashes(1) == words.hashes()).any()
+    # One pass over bytes, not a look-up for each word.
+    tokens._known.clear()
+    assert len(substrings.Block(texts).hashes) == len(flat) and not tokens._known
