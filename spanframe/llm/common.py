@@ -79,6 +79,11 @@ def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     del _tables[since:upto]
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes the table written before the last one, from which that was made and which nothing else reads."""
+    remove(spark, _tables.pop(-2))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row (a lambda variable can't be inlined twice)."""
     return F.element_at(F.transform(F.array(value), body), 1)

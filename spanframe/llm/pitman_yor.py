@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm import tokens
-from spanframe.llm.common import written
+from spanframe.llm.common import forget, written
 
 #: Restaurants: 2 ** ENDING_BITS for endings, each with 2 ** WORD_BITS for words.
 ENDING_BITS, WORD_BITS = 9, 8
@@ -277,10 +277,16 @@ class Floor:
         own = self.n[self.live]
         tables = np.minimum(np.maximum(own**discount, 1).astype(np.int64), own)
         self.t[self.live] = tables
-        self.owner = np.repeat(self.live, tables)
+        self.lay([])
+
+    def lay(self, sizes: list[np.ndarray]) -> None:
+        """Tables as t counts them: those of the entries with many customers of these sizes; of others, or without sizes, all but the first have one."""
+        self.owner = np.repeat(self.live, self.t[self.live])
         self.size = np.ones(len(self.owner), np.int64)
         first = stretches(self.owner)
         self.size[first] = (self.n - self.t + 1)[self.owner[first]]
+        for a, x in zip(np.searchsorted(self.owner, self.many), sizes):
+            self.size[a : a + len(x)] = x
 
     def settle(self, owner: np.ndarray) -> None:
         """Empty tables go, and new ones with one customer come, in order."""
@@ -329,13 +335,17 @@ class Floor:
         self.n = n.astype(np.int64)
         self.t[self.many] = [len(x) for x in anew]
         self.t[self.few] = tables_of(self.n[self.few], pull[self.few], self.discount, rng)
-        # Of few customers only the number of tables counts: all but the first have one.
-        self.owner = np.repeat(self.live, self.t[self.live])
-        self.size = np.ones(len(self.owner), np.int64)
-        first = stretches(self.owner)
-        self.size[first] = (self.n - self.t + 1)[self.owner[first]]
-        for a, x in zip(np.searchsorted(self.owner, self.many), anew):
-            self.size[a : a + len(x)] = x
+        # Of few customers only the number of tables counts.
+        self.lay(anew)
+
+    def sizes(self) -> np.ndarray:
+        """Those of the tables of the entries with many customers, one after the other."""
+        return self.size[np.isin(self.owner, self.many)]
+
+    def restore(self, n: np.ndarray, t: np.ndarray, sizes: np.ndarray) -> None:
+        """The seats that had n customers at t tables, and these sizes()."""
+        self.n, self.t = n.astype(np.int64), t.astype(np.int64)
+        self.lay(np.split(sizes, np.cumsum(self.t[self.many])[:-1]) if len(self.many) else [])
 
     def move(self, pull: np.ndarray, times: int, rng: np.random.Generator) -> None:
         """So many times, a customer of every word that has more than one leaves and is seated again."""
@@ -402,6 +412,20 @@ class Bucket:
             n = np.bincount(self.words[k + 1], self.floors[k + 1].t, len(f.n)).astype(np.int64) if k < 2 else f.n
             f.reseat(n, pull, moves, rng)
 
+    def seats(self) -> bytes:
+        """What restored() needs beside the counts: small, as most entries have one table."""
+        return pack(*(x for f in self.floors for x in (f.t.astype(np.uint32), f.sizes())))
+
+    @staticmethod
+    def restored(model: bytes, seats: bytes, discounts) -> Bucket:
+        out = Bucket.of(model, discounts)
+        kept = unpack(seats, *(np.uint32, np.int64) * 3)
+        for k in (2, 1, 0):
+            f = out.floors[k]
+            n = np.bincount(out.words[k + 1], out.floors[k + 1].t, len(f.n)) if k < 2 else f.n
+            f.restore(n, kept[2 * k], kept[2 * k + 1])
+        return out
+
     def found(self, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the keys (word's place and restaurant) have an entry on floor k, and where."""
         own = (self.words[1][self.words[2]] << BITS | self.where[2]) if k == 2 else self.words[1] << ENDING_BITS | self.where[1]
@@ -421,7 +445,7 @@ class Bucket:
 
 @dataclass(frozen=True)
 class Model:
-    """buckets: a row for each bucket with its counts. totals[s]: those that sweep s begins with; the last are those after the last sweep."""
+    """buckets: a row for each bucket with its counts, and its seats after each of the last `keep` sweeps. totals[s]: those that sweep s begins with; the last are those after the last sweep."""
 
     buckets: DataFrame
     n_buckets: int
@@ -436,7 +460,7 @@ class Model:
 
 
 def replayed(model: bytes, bucket: int, totals: list[Totals], sweeps: int, moves: int, seed: int, discounts, strengths) -> Iterator[Bucket]:
-    """A bucket before the first sweep and after each: a sweep follows from the counts, the totals and the seed, so that it needn't be stored to be seen again."""
+    """A bucket before the first sweep and after each, which follows from the counts, the totals and the seed. fit() and scores() take kept seats instead, which are the same and cost less."""
     out = Bucket.of(model, discounts)
     yield out
     for s in range(sweeps):
@@ -517,40 +541,54 @@ def fit(docs: DataFrame, key: str, text: str, train: Column, sweeps: int = 2, ke
     model = written(rows.select("bucket", "data"), "model")
     salts = max(1, min(64, buckets // 64))
 
-    def gathered(sums, totals: Broadcast) -> np.ndarray:
+    def sums_of(rows: DataFrame) -> np.ndarray:
+        return summed(rows.select(F.pmod("salt", F.lit(salts)).alias("salt"), "sums"), salts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        for batch in batches:
+            for data in batch.column("data"):
+                x = Bucket.of(data.as_py(), discounts)
+                sums = np.concatenate([x.tables(), np.bincount(x.where[2], x.floors[2].n, RESTAURANTS).astype(np.int64), [len(x.hashes)]])
+                part = sums if part is None else part + sums
+        if part is not None:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(part)], pa.binary())], ["salt", "sums"])
+        tokens.rest()
+
+    def swept(rows: DataFrame, s: int, totals: Broadcast) -> DataFrame:
+        """After sweep s: the buckets with their seats; and in rows without a bucket, each task's sums of tables."""
+
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = None
+            part, task = None, TaskContext.get().partitionId()
+            row = lambda bucket, data, seats, sums: pa.record_batch([pa.array([bucket], pa.int64()), pa.array([data], pa.binary()), pa.array([seats], pa.list_(pa.binary())), pa.array([task], pa.int64()), pa.array([sums], pa.binary())], ["bucket", "data", "seats", "salt", "sums"])
             for batch in batches:
-                for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-                    x = sums(data.as_py(), b, totals.value)
-                    part = x if part is None else part + x
+                for bucket, data, seats in zip(*(batch.column(c) for c in ("bucket", "data", "seats"))):
+                    bucket, data, seats = bucket.as_py(), data.as_py(), seats.as_py()
+                    x = Bucket.restored(data, seats[-1], discounts) if seats else Bucket.of(data, discounts)
+                    x.sweep(totals.value, moves, strengths, np.random.default_rng([seed, bucket, s]))
+                    part = x.tables() if part is None else part + x.tables()
+                    yield row(bucket, data, [*seats, x.seats()][-max(1, keep) :], None)
             if part is not None:
-                yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(part)], pa.binary())], ["salt", "sums"])
+                yield row(None, None, None, pack(part))
             tokens.rest()
 
-        return summed(model.mapInArrow(each, "salt long, sums binary").withColumn("salt", F.pmod("salt", F.lit(salts))), salts)
-
-    def first(data: bytes, bucket: int, _) -> np.ndarray:
-        x = Bucket.of(data, discounts)
-        return np.concatenate([x.tables(), np.bincount(x.where[2], x.floors[2].n, RESTAURANTS).astype(np.int64), [len(x.hashes)]])
-
-    def after(data: bytes, bucket: int, totals: list[Totals]) -> np.ndarray:
-        *_, last = replayed(data, bucket, totals, len(totals), moves, seed, discounts, strengths)
-        return last.tables()
+        return rows.mapInArrow(each, "bucket long, data binary, seats array<binary>, salt long, sums binary")
 
     def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = RESTAURANTS, RESTAURANTS + (1 << ENDING_BITS)
         return x[b : b + 1], x[a:b], x[:a]
 
-    held = spark.sparkContext.broadcast([])
-    x = gathered(first, held)
+    x = sums_of(model.mapInArrow(first, "salt long, sums binary"))
     if not len(x):
         x = np.zeros(2 * RESTAURANTS + (1 << ENDING_BITS) + 2, np.int64)
     customers, words = x[-1 - RESTAURANTS : -1], int(x[-1])
     totals = [Totals(split(x), customers, words)]
-    for _ in range(sweeps):
-        held = spark.sparkContext.broadcast(totals)
-        x = gathered(after, held)
+    model = model.withColumn("seats", F.array().cast("array<binary>"))
+    for s in range(sweeps):
+        held = spark.sparkContext.broadcast(totals[-1])
+        rows = written(swept(model, s, held), "seats")
+        forget(spark)  # the table that the sweep has read
+        model, x = rows.where("bucket IS NOT NULL").select("bucket", "data", "seats"), sums_of(rows.where("bucket IS NULL"))
         totals = [*totals, Totals(split(x) if len(x) else totals[0].tables, customers, words)]
         held.destroy()
     return Model(model, buckets, cells, int(customers.sum()), totals, moves, keep, seed, discounts, strengths)
@@ -566,17 +604,19 @@ def scores(model: Model, kind: str = "long") -> DataFrame:
     whole; an empty table gives no rows. kind: Spark's type of key.
     """
     spark = model.cells.sparkSession
-    totals, sweeps = spark.sparkContext.broadcast(model.totals), len(model.totals) - 1
+    totals, keep = spark.sparkContext.broadcast(model.totals[-model.keep :]), model.keep
     n, v = model.train_tokens, model.totals[0].words
-    moves, keep, seed, discounts, strengths = model.moves, model.keep, model.seed, model.discounts, model.strengths
+    discounts, strengths = model.discounts, model.strengths
 
     def score(cells: pa.Table, models: pa.Table) -> pa.Table:
         """Per block of the cells: documents, their sums of log10 probabilities by the model and by counts, and their known tokens."""
-        bucket = cells.column("bucket")[0].as_py() if cells.num_rows else 0
         data = models.column("data")[0].as_py() if models.num_rows else pack(*(np.zeros(0, k) for k in COUNTS))
+        seats = models.column("seats")[0].as_py() if models.num_rows else []
         asked, states = [unpack(x.as_py(), *CELL) for x in cells.column("data")] if cells.num_rows else [], None
         entries = []
-        for s, state in enumerate(replayed(data, bucket, totals.value, sweeps, moves, seed, discounts, strengths)):
+        for s in range(len(totals.value)):
+            k = s - len(totals.value) + len(seats)  # where fewer sweeps were made than are kept, the first state counts too
+            state = Bucket.restored(data, seats[k], discounts) if k >= 0 and seats else Bucket.of(data, discounts)
             if states is None:
                 states = np.bincount(state.words[1][state.words[2]], state.floors[2].n, len(state.hashes)) if len(state.hashes) else np.zeros(0)
                 for hashes, per, where, doc, times, _ in asked:
@@ -591,9 +631,8 @@ def scores(model: Model, kind: str = "long") -> DataFrame:
                         found.append((ok & known, i))
                     count = np.where(known, states[word], 0) if len(states) else np.zeros(len(word))
                     entries.append([known, word, where, doc, times, found, count, np.zeros(len(word))])
-            if s > sweeps - keep:
-                for e in entries:
-                    e[-1] += state.probability(e[0], e[1], e[2], totals.value[s], strengths, e[5])
+            for e in entries:
+                e[-1] += state.probability(e[0], e[1], e[2], totals.value[s], strengths, e[5])
         out = []
         for known, _, _, doc, times, _, count, p in entries:
             docs = np.unique(doc)

@@ -172,3 +172,16 @@ def test_tables_drawn_at_once_follow_the_law():
     for t in range(1, 6):
         assert got[t] == pytest.approx(want[t] / sum(want.values()), abs=0.01)
         assert one[t] == pytest.approx(want[t] / sum(want.values()), abs=0.03)
+
+
+def test_kept_seats_are_those_of_a_replay(spark):
+    texts = ["a b c a b d", "a b c", "x y z a b", "b a b a the theme", "a b " * 3000]  # of a and b there are more than are drawn at once
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = P.fit(docs, "doc_id", "text", F.col("doc_id") >= 0, sweeps=3, keep=2)
+    assert "seats" in model.buckets.columns  # before, every sweep and the scores replayed all sweeps before them
+    for r in model.buckets.collect():
+        want = [*P.replayed(r.data, r.bucket, model.totals, 3, model.moves, model.seed, model.discounts, model.strengths)][-1]
+        assert len(r.seats) == 2
+        got = P.Bucket.restored(r.data, r.seats[-1], model.discounts)
+        for f, g in zip(want.floors, got.floors):
+            assert all((x == y).all() for x, y in ((f.n, g.n), (f.t, g.t), (f.owner, g.owner), (f.size, g.size)))
