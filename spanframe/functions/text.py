@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,9 +78,44 @@ def close_cjk_blanks(t: Column) -> Column:
     return F.regexp_replace(t, rf"(?<=[{_CJK}])[ \t\x{{3000}}]+(?=[{_CJK}])", "")
 
 
+#: Characters in which loops are looked for at a time.
+LOOKED_AT = 1 << 18
+
+
+def looping(texts: list[str]) -> np.ndarray:
+    """In which texts _LOOP matches: where each of 5 n neighbours is like the one n behind it, n from 1 to 20, by numpy on all texts in a row."""
+    out = np.zeros(len(texts), bool)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    # No two ends of texts are alike, and no character is like one.
+    codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    codes[starts + sizes - 1] = 0x110000 + np.arange(len(texts))
+    for at in range(0, len(codes), LOOKED_AT):
+        x = codes[at : at + LOOKED_AT + 120]  # a loop of 120 that begins here is seen whole
+        for n in range(1, 21):
+            if len(x) < 6 * n:
+                break
+            run, size = x[n:] == x[:-n], 1
+            while size < 5 * n and run.any():
+                more = min(size, 5 * n - size)
+                run, size = run[:-more] & run[more:], size + more
+            if size == 5 * n:
+                out[np.searchsorted(starts, at + np.flatnonzero(run), side="right") - 1] = True
+    return out
+
+
+def _looping(texts: pd.Series) -> pd.Series:
+    return pd.Series(looping([t or "" for t in texts]), dtype=bool)
+
+
+def has_loop(t: Column) -> Column:
+    """Whether collapse_repeats() would change the text or match in it; null has none. A pattern takes many times as long, as it tries every length at every place."""
+    return F.pandas_udf(_looping, "boolean")(t)
+
+
 def collapse_repeats(t: Column, keep: int = 2) -> Column:
     """A run of six or more of the same 1 to 20 characters keeps `keep` of them."""
-    return F.regexp_replace(t, _LOOP, "$1" * keep)
+    return F.when(has_loop(t), F.regexp_replace(t, _LOOP, "$1" * keep)).otherwise(t)
 
 
 def terms(t: Column) -> Column:
@@ -146,7 +182,12 @@ def nfkc(t: Column) -> Column:
 
 
 def _normal(texts: pd.Series) -> pd.Series:
-    return pd.Series(["".join(c for c in unicodedata.normalize("NFKC", t or "").lower() if unicodedata.category(c)[0] in "LN") for t in texts], dtype=object)
+    out = []
+    for t in texts:
+        plain = unicodedata.normalize("NFKC", t or "").lower()
+        # Each character is looked at once a text, not at every place.
+        out.append(plain.translate({ord(c): None for c in set(plain) if unicodedata.category(c)[0] not in "LN"}))
+    return pd.Series(out, dtype=object)
 
 
 def normal(t: Column) -> Column:
@@ -231,7 +272,7 @@ def quality_flags(text: Column, dur_ms: Column, speech_ms: Column, ctx_terms: Co
         echo = F.aggregate(by_length, start, step, lambda s: (s["hits"] >= 2) & (core_len(s["rest"]) <= F.greatest(F.lit(3), F.floor(core / 10))))
         flags.append(flag(echo, "context_echo"))
     flags.append(flag((dur_ms > 0) & (core * 1000 > F.greatest(dur_ms, F.lit(1000)) * most_cps), "too_dense"))
-    flags.append(flag(t.rlike(_LOOP) | ((F.length(t) >= 80) & (compression_ratio(t) > 3.2)), "repetition"))
+    flags.append(flag(has_loop(t) | ((F.length(t) >= 80) & (compression_ratio(t) > 3.2)), "repetition"))
     if punctuates:
         flags.append(flag((core > 150) & (F.length(t) - F.length(F.translate(t, _PUNCT, "")) < 3), "no_punct"))
     if lang is not None:

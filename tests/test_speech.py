@@ -719,3 +719,19 @@ def test_composed_words_equal_sorting_all_and_stay_packed(spark):
     n = 20_000
     whole = W.packed([f"word{i % 900} " for i in range(n)], [f"word{i % 900}" for i in range(n)], np.arange(n) * 80, np.arange(n) * 80 + 70)
     assert len(whole) < 12 * n and W.unpacked(W.packed(["a ", "語"], ["a", "語"], np.array([5, 5]), np.array([6, 9])))[:2] == (["a ", "語"], ["a", "語"])
+
+
+def test_loops_are_where_the_pattern_finds_them(monkeypatch):
+    import random
+    import re
+
+    from spanframe.functions import text as T  # before, a pattern was tried at every place of every text
+
+    rng, texts = random.Random(3), ["", "a" * 6, "aaaaa", "a"]
+    for _ in range(1500):
+        unit = "".join(rng.choice("abcd\U0001F600あ\n") for _ in range(rng.randint(1, 22)))
+        texts.append("".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) + unit * rng.choice([1, 4, 5, 6, 7]) + "x" * rng.randint(0, 2))
+    want = [bool(re.search(T._LOOP, t)) for t in texts]
+    assert T.looping(texts).tolist() == want and any(want) and not all(want) and len(T.looping([])) == 0
+    monkeypatch.setattr(T, "LOOKED_AT", 50)
+    assert T.looping(texts).tolist() == want
