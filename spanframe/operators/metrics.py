@@ -6,12 +6,14 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import text as T
-from spanframe.functions.distance import edits, matching_blocks, partial_likeness
+from spanframe.functions.distance import alike as alike_texts
+from spanframe.functions.distance import edits, matching_blocks
 
 #: Fixed value: what negates.
 NEGATIONS = re.compile("ない|なかっ|なく|ません|ずに")
@@ -145,7 +147,9 @@ def dropped_utterances(utterances: DataFrame, texts: DataFrame, least: int = 4,
     both = some.join(texts.select("file_id", T.normal(F.coalesce("text", F.lit(""))).alias("__text")), "file_id", "left").withColumn("__text", F.coalesce("__text", F.lit("")))
 
     def lacking(us: pd.Series, whole: pd.Series) -> pd.Series:
-        return pd.Series([sum(u not in t and partial_likeness(u, t) < alike for u in many) for many, t in zip(us, whole)], dtype="int64")
+        pairs = [(k, (u, t)) for k, (many, t) in enumerate(zip(us, whole)) for u in many if u not in t]
+        missing = ~alike_texts([p for _, p in pairs], alike)
+        return pd.Series(np.bincount(np.array([k for k, _ in pairs], np.int64)[missing], minlength=len(us)), dtype="int64")
 
     counted = both.withColumn("__n", F.pandas_udf(lacking, "bigint")("us", "__text"))
     return counted.groupBy("file_id").agg(F.sum(F.size("us")).alias("utterances"), F.sum("__n").alias("dropped"))

@@ -735,3 +735,19 @@ def test_loops_are_where_the_pattern_finds_them(monkeypatch):
     assert T.looping(texts).tolist() == want and any(want) and not all(want) and len(T.looping([])) == 0
     monkeypatch.setattr(T, "LOOKED_AT", 50)
     assert T.looping(texts).tolist() == want
+
+
+def test_alike_is_partial_likeness_without_most_windows(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    pairs = [("", ""), ("", "a"), ("abc", "abc"), ("abd", "acb")]
+    for _ in range(250):
+        a, b = ("".join(rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, n))) for n in (150, 300))
+        pairs.append((a, b[:20] + a[: rng.randint(0, 150)] + b[20:] if rng.random() < 0.3 else b))
+    for least in (0.3, 0.6, 0.75, 1.0):
+        assert distance.alike(pairs, least).tolist() == [partial_likeness(*p) >= least for p in pairs]
+    looked = []
+    count = distance._common
+    monkeypatch.setattr(distance, "_common", lambda codes, start, *rest: looked.append(len(start)) or count(codes, start, *rest))
+    assert not distance.alike([("abcdefgh" * 5, "zyxw" * 1000)], 0.6).any() and sum(looked) < 1000  # of 4039 windows
