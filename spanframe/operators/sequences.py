@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanframe.functions.rewrite import PLAIN, Clean
 from spanframe.operators.intervals import islands
@@ -260,21 +264,88 @@ def _times(weights: pa.Array, start: pa.Array, end: pa.Array, spans: pa.Array) -
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
 
 
+#: Code points that are cut into words at a time.
+CUT_AT_ONCE = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point: what it is to TOKEN (0 of a word, 1 punctuation, 2 blank), and whether it weighs (letters, digits, apostrophe)."""
+    kind = np.zeros(0x110000, np.uint8)
+    kind[[ord(c) for c in "、。！？!?,.，．"]] = 1
+    kind[[ord(c) for c in " \t\n\v\f\r\u3000"]] = 2
+    weighs = np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)])
+    weighs[ord("'")] = True
+    return kind, weighs
+
+
+def _cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of texts (as TOKEN finds them) in a row, what each weighs, and the number of words of each text: a word's letters are followed by its punctuation, then by its blanks, if there are any."""
+    kind, weighs = _kinds()
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    whole = "\0".join([*texts, ""])
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = kind[codes]
+    kinds[np.cumsum(sizes) - 1] = 3  # between texts
+    runs = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(kinds) else np.zeros(0, np.int64)
+    of = np.concatenate([kinds[runs], [3, 3, 3]])
+    upto = np.concatenate([runs[1:], [len(kinds)] * 3])
+    word = np.flatnonzero(of == 0)
+    last = word + (of[word + 1] == 1)
+    last += of[last + 1] == 2
+    starts, ends = runs[word], upto[last]
+    heavy = np.concatenate([[0], np.cumsum(weighs[codes])])
+    weights = np.maximum(1, heavy[ends] - heavy[starts])
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+    return [whole[x:y] for x, y in zip(starts.tolist(), ends.tolist())], weights, counts
+
+
+def _approx(text: pa.Array, start: pa.Array, end: pa.Array, spans: pa.Array) -> Iterator[pa.Array]:
+    """For some clips after the other, a list of structs word, start_ms, end_ms of each."""
+    texts = [(t or b"").decode("utf-8", "replace") for t in text.cast(pa.binary()).to_pylist()]
+    part = np.cumsum([len(t) for t in texts]) // CUT_AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        words, weights, counts = _cut(texts[a:b])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        times = _times(pa.ListArray.from_arrays(offsets, pa.array(weights, pa.int64())), start[a:b], end[a:b], spans[a:b])
+        at, stands = times.values.to_numpy(), times.offsets.to_numpy()
+        some = np.diff(stands) > 0
+        begins, finishes = (np.delete(at, x) for x in (stands[1:][some] - 1, stands[:-1][some]))
+        fields = [pa.array(words, pa.string()), pa.array(begins, pa.int64()), pa.array(finishes, pa.int64())]
+        yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["word", "start_ms", "end_ms"]))
+
+
+def _bounds(start_ms: Column, end_ms: Column, spans: Column) -> tuple[Column, Column, Column]:
+    return start_ms.cast("double"), end_ms.cast("double"), F.transform(spans, lambda x: F.struct(x["s"].cast("double").alias("s"), x["e"].cast("double").alias("e")))
+
+
 def approx_array(text: Column, start_ms: Column, end_ms: Column, spans: Column) -> Column:
     """Words of a text with times by their share of its characters, along the spans (array of struct s, e) within start and end; none: all of it.
 
     An array of structs word, start_ms, end_ms, in whole milliseconds.
     """
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
-    weights = F.transform(words, lambda x: F.greatest(F.lit(1), F.length(F.regexp_replace(x, r"[^\p{L}\p{N}']", ""))).cast("bigint"))
-    # Words' shares come out of a numpy kernel; texts themselves don't go to Python and back.
-    times = F.arrow_udf(_times, "array<bigint>")(weights, start_ms.cast("double"), end_ms.cast("double"), F.transform(spans, lambda x: F.struct(x["s"].cast("double").alias("s"), x["e"].cast("double").alias("e"))))
-    n = F.greatest(F.size(times) - 1, F.lit(0))
-    spans_of_words = F.zip_with(F.slice(times, 1, n), F.slice(times, 2, n), lambda a, b: F.struct(a.alias("s"), b.alias("e")))
-    return F.zip_with(words, spans_of_words, lambda w, t: F.struct(w.alias("word"), t["s"].alias("start_ms"), t["e"].alias("end_ms")))
+
+    def each(text: pa.Array, start: pa.Array, end: pa.Array, spans: pa.Array) -> pa.Array:
+        made = list(_approx(text, start, end, spans))
+        return pa.concat_arrays(made)
+
+    return F.arrow_udf(each, "array<struct<word:string,start_ms:bigint,end_ms:bigint>>")(text, *_bounds(start_ms, end_ms, spans))
 
 
 def approx_tokens(clips: DataFrame, key: str = "clip_id") -> DataFrame:
     """Words of each clip's text (start_ms, end_ms, spans) as rows: key, i, word, start_ms, end_ms; see approx_array. Nothing is shuffled."""
-    words = approx_array(F.col("text"), F.col("start_ms"), F.col("end_ms"), F.col("spans"))
-    return clips.select(key, words.alias("__ws")).select(key, F.posexplode("__ws").alias("i", "w")).select(key, F.col("i").cast("bigint").alias("i"), "w.word", "w.start_ms", "w.end_ms")
+    start, end, spans = _bounds(F.col("start_ms"), F.col("end_ms"), F.col("spans"))
+    rows = clips.select(F.col(key), F.col("text").cast("string").alias("__text"), start.alias("__start"), end.alias("__end"), spans.alias("__spans"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for made in _approx(*(batch.column(k) for k in range(1, 5))):
+                n, words = np.diff(made.offsets.to_numpy()), made.values
+                keys = batch.column(0).slice(at, len(n)).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                i = np.arange(len(words)) - np.repeat(made.offsets.to_numpy()[:-1], n)
+                yield pa.record_batch([keys, pa.array(i, pa.int64()), *(words.field(k) for k in range(3))], [key, "i", "word", "start_ms", "end_ms"])
+                at += len(n)
+
+    return rows.mapInArrow(each, StructType([rows.schema[0], *StructType.fromDDL("i long, word string, start_ms long, end_ms long").fields]))

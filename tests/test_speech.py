@@ -722,9 +722,6 @@ def test_composed_words_equal_sorting_all_and_stay_packed(spark):
 
 
 def test_loops_are_where_the_pattern_finds_them(monkeypatch):
-    import random
-    import re
-
     from spanframe.functions import text as T  # before, a pattern was tried at every place of every text
 
     rng, texts = random.Random(3), ["", "a" * 6, "aaaaa", "a"]
@@ -738,7 +735,7 @@ def test_loops_are_where_the_pattern_finds_them(monkeypatch):
 
 
 def test_alike_is_partial_likeness_without_most_windows(monkeypatch):
-    import random
+    from spanframe.functions import distance
 
     rng = random.Random(4)
     pairs = [("", ""), ("", "a"), ("abc", "abc"), ("abd", "acb")]
@@ -751,3 +748,21 @@ def test_alike_is_partial_likeness_without_most_windows(monkeypatch):
     count = distance._common
     monkeypatch.setattr(distance, "_common", lambda codes, start, *rest: looked.append(len(start)) or count(codes, start, *rest))
     assert not distance.alike([("abcdefgh" * 5, "zyxw" * 1000)], 0.6).any() and sum(looked) < 1000  # of 4039 windows
+
+
+def test_words_cut_by_kinds_of_characters_are_those_of_the_pattern(spark):
+    from spanframe.operators import sequences as S  # before, two patterns were matched for each word
+
+    rng = random.Random(5)
+    texts = ["", " ", ".", "a", " .a", "a ,b", "a. . b\u3000", "\u00a0x", "\0a b"]
+    texts += ["".join(rng.choice("abé1' .,、。\u3000\n\U0001F600あ-") for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    want = [re.findall(r"[^、。！？!?,.，．\u3000 \t\n\v\f\r]+[、。！？!?,.，．]*[\u3000 \t\n\v\f\r]*", t) for t in texts]
+    words, weights, counts = S._cut(texts)
+    assert words == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert weights.tolist() == [max(1, sum(c.isalnum() or c == "'" for c in w)) for w in words]
+    rows = spark.createDataFrame([(i, t, 0, 1000, []) for i, t in enumerate([*texts, None])], "clip_id string, text string, start_ms long, end_ms long, spans array<struct<s:double,e:double>>")
+    got = {}
+    for r in sorted(S.approx_tokens(rows).collect(), key=lambda r: (int(r.clip_id), r.i)):
+        got.setdefault(int(r.clip_id), []).append((r.word, r.start_ms, r.end_ms))
+    assert [[w for w, _, _ in got.get(i, [])] for i in range(len(texts) + 1)] == [*want, []]
+    assert all(x[0][1] == 0 and x[-1][2] == 1000 and all(a[2] == b[1] for a, b in zip(x, x[1:])) for x in got.values())
