@@ -30,7 +30,10 @@ def told(ref: str, hyp: str) -> tuple[str, int, int, int, int, int, int]:
 
 
 def _alignments(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([told(r or "", h or "") for r, h in zip(ref, hyp)], columns=["status", "kept", "negations", "extra", "replaced", "deleted", "inserted"])
+    # Models often say the same of a file, whose rows stand beside each other once they have met their reference.
+    pairs = [(r or "", h or "") for r, h in zip(ref, hyp)]
+    each = {p: told(*p) for p in dict.fromkeys(pairs)}
+    return pd.DataFrame([each[p] for p in pairs], columns=["status", "kept", "negations", "extra", "replaced", "deleted", "inserted"])
 
 
 def alignment(ref: Column, hyp: Column) -> Column:

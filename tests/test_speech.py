@@ -766,3 +766,14 @@ def test_words_cut_by_kinds_of_characters_are_those_of_the_pattern(spark):
         got.setdefault(int(r.clip_id), []).append((r.word, r.start_ms, r.end_ms))
     assert [[w for w, _, _ in got.get(i, [])] for i in range(len(texts) + 1)] == [*want, []]
     assert all(x[0][1] == 0 and x[-1][2] == 1000 and all(a[2] == b[1] for a, b in zip(x, x[1:])) for x in got.values())
+
+
+def test_what_several_models_say_alike_is_aligned_once(monkeypatch):
+    import pandas as pd
+
+    from spanframe.operators import metrics
+
+    told, asked = metrics.told, []
+    monkeypatch.setattr(metrics, "told", lambda *p: asked.append(p) or told(*p))
+    got = metrics._alignments(pd.Series(["abc", "abc", None, "abc"]), pd.Series(["abd", "abd", "x", "abc"]))
+    assert asked == [("abc", "abd"), ("", "x"), ("abc", "abc")] and got.status.tolist() == ["==s", "==s", "", "==="]
