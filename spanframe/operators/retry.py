@@ -84,6 +84,15 @@ def tried(context: Column, text: str = "text", flags: str = "flags") -> Column:
     return attempt("text", ctx=context != "", text=F.col(text), flags=F.col(flags))
 
 
+def answers_once(results: DataFrame) -> DataFrame:
+    """results computed once, as once() does; a text that an attempt and the result have in common is kept once."""
+    said = lambda a: a["text"].eqNullSafe(F.col("text"))
+    bare = F.transform("attempts", lambda a: F.when(said(a), a.withField("text", F.lit(None).cast("string"))).otherwise(a))
+    kept = once(results.withColumns({"__same": F.transform("attempts", said), "attempts": bare}), "answers")
+    whole = F.zip_with("attempts", "__same", lambda a, same: F.when(same, a.withField("text", F.col("text"))).otherwise(a))
+    return kept.withColumn("attempts", whole).drop("__same")
+
+
 def recognised(clips: DataFrame, recognise: Recogniser, *, context: str = "", terms: tuple[str, ...] = (), label: str = "", policy: Policy = Policy(), levels: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
     """Results of clips (CLIP columns): text, language, flags, attempts, words.
 
@@ -98,7 +107,7 @@ def recognised(clips: DataFrame, recognise: Recogniser, *, context: str = "", te
     if done is not None:
         kept = clips.join(done.select("file_id", "clip_id", "text", "language", "attempts", "words"), ["file_id", "clip_id"])
         one = with_error(flagged(kept, policy, terms_, label)).select(*RESULT).unionByName(one)
-    one = once(one, "answers")  # what a recogniser has said is read several times below
+    one = answers_once(one)  # what a recogniser has said is read several times below
     if not policy.enabled:
         return one
     if context and policy.without_context:

@@ -777,3 +777,17 @@ def test_what_several_models_say_alike_is_aligned_once(monkeypatch):
     monkeypatch.setattr(metrics, "told", lambda *p: asked.append(p) or told(*p))
     got = metrics._alignments(pd.Series(["abc", "abc", None, "abc"]), pd.Series(["abd", "abd", "x", "abc"]))
     assert asked == [("abc", "abd"), ("", "x"), ("abc", "abc")] and got.status.tolist() == ["==s", "==s", "", "==="]
+
+
+def test_a_text_that_an_attempt_has_too_is_kept_once(spark, monkeypatch):
+    from spanframe.operators import retry
+
+    kept = []
+    once = retry.once
+    monkeypatch.setattr(retry, "once", lambda df, tag: kept.append(once(df, tag)) or kept[-1])
+    blank = dict.fromkeys(f.split(":")[0] for f in ("kind", "ctx", "text", "flags", "split_from", "split_texts", "split_flags", "model", "pieces", "rejected", "adopted"))
+    rows = [(1, "a", [blank | {"kind": "text", "text": x} for x in ("a", "b", None)]), (2, None, [blank | {"text": None}, blank | {"text": "c"}]), (3, "d", None), (4, "e", [])]
+    df = spark.createDataFrame(rows, f"k int, text string, attempts {retry.ATTEMPTS}")
+    got = retry.answers_once(df)
+    assert got.columns == df.columns and sorted(got.collect(), key=lambda r: r.k) == df.collect()
+    assert [a.text for a in kept[0].where("k = 1").first().attempts] == [None, "b", None]  # before, all were written again
