@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from spanframe.operators.intervals import islands
 from spanframe.operators.sequences import ENDS_CLAUSE, ENDS_LAST, cue_times, ends_sentence, rest_lengths
 
 
+#: What a cue is sent as when it is full.
+CUE = ["file_id", "pos", "start_ms", "end_ms", "speaker", "text"]
+
+
 @dataclass(frozen=True)
 class CueRules:
     most_chars: int = 30
@@ -73,6 +78,16 @@ def cue_numbers(rows: pd.DataFrame, cue: Cue, at: int) -> tuple[list[int], int]:
     return out, at
 
 
+def cue_rows(words: pd.DataFrame, numbers: list[int]) -> pd.DataFrame:
+    """file_id, pos, start_ms, end_ms, speaker, text of whole cues, of which the first words have the numbers."""
+    n = np.asarray(numbers)
+    first = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+    upto = np.concatenate([first[1:], [len(n)]])
+    said = words["word"].tolist()
+    ends = words["end_ms"].iloc[upto - 1].array
+    return words.iloc[first][["file_id", "pos", "start_ms", "speaker"]].assign(end_ms=ends, text=["".join(said[a:b]) for a, b in zip(first, upto)])[CUE]
+
+
 def make_cues(words: DataFrame, clean: Clean = PLAIN, rules: CueRules = CueRules()) -> DataFrame:
     """file_id, cue (from 1), start_ms, end_ms, speaker, text of the cues of a stream of words (file_id, pos, speaker, word, start_ms, end_ms).
 
@@ -91,23 +106,23 @@ def make_cues(words: DataFrame, clean: Clean = PLAIN, rules: CueRules = CueRules
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, cue, at, held = None, Cue(rules), 0, []
         for batch in batches:
+            made = []
             for k, part in batch.groupby(["file_id", "stretch"], sort=False, dropna=False):
                 if k != key and held:
-                    yield pd.concat(held).assign(n=at)
+                    made.append(cue_rows(pd.concat(held), [at] * sum(map(len, held))))
                     held = []
                 if k != key:
                     key, cue, at = k, Cue(rules), 0
                 all_ = pd.concat([*held, part]) if held else part
                 done, at = cue_numbers(part, cue, at)
                 if done:
-                    yield all_.iloc[: len(done)].assign(n=done)
+                    made.append(cue_rows(all_, done))
                 held = [all_.iloc[len(done) :]] if len(all_) > len(done) else []
+            if made:
+                yield pd.concat(made)
         if held:
-            yield pd.concat(held).assign(n=at)
+            yield cue_rows(pd.concat(held), [at] * sum(map(len, held)))
 
-    names = ["file_id", "stretch", "pos", "speaker", "word", "start_ms", "end_ms", "n"]
-    flat = rows.mapInPandas(lambda batches: (b[names] for b in numbered(batches)), f"file_id {kind}, stretch long, pos long, speaker string, word string, start_ms long, end_ms long, n long")
-    texts = F.array_sort(F.collect_list(F.struct("pos", "word")))
-    each = flat.groupBy("file_id", "stretch", "n").agg(F.min("pos").alias("pos"), F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.min_by("speaker", "pos").alias("speaker"), F.array_join(F.transform(texts, lambda x: x["word"]), "").alias("text"))
+    each = rows.mapInPandas(numbered, f"file_id {kind}, pos long, start_ms long, end_ms long, speaker string, text string")
     each = each.withColumn("text", clean(F.col("text"))).where("text <> ''").withColumn("cue", F.row_number().over(w).cast("bigint"))
     return cue_times(each.select("file_id", "cue", "start_ms", "end_ms", "speaker", "text"), "cue", rules.tail_ms, rules.least_ms)

@@ -155,10 +155,18 @@ def speaker_names(words: DataFrame, style: str = "話者A", mapping: str = "") -
 
 
 def labelled(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """rows with the speaker's name for the speaker; without a name it stays, null becomes empty."""
-    known = names.select(F.col("file_id").alias("__f"), F.col("speaker").alias("__s"), F.col("name").alias("__name"))
-    out = rows.join(known, (F.col("file_id") == F.col("__f")) & (F.col("speaker") == F.col("__s")), "left")
-    return out.withColumn("speaker", F.coalesce("__name", "speaker", F.lit(""))).select(*rows.columns)
+    """rows with the speaker's name for the speaker; without a name it stays, null becomes empty.
+
+    The names of a file are met by the file alone, so that rows which lie by file stay where they are.
+    """
+    known = names_by_file(names).select(F.col("file_id").alias("__f"), F.col("speakers").alias("__names"))
+    out = rows.join(known, F.col("file_id") == F.col("__f"), "left")
+    return out.withColumn("speaker", F.coalesce(F.try_element_at("__names", F.col("speaker")), "speaker", F.lit(""))).select(*rows.columns)
+
+
+def names_by_file(names: DataFrame) -> DataFrame:
+    """file_id, speakers: the names of a file's speakers as a map, speakers in order."""
+    return names.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", "name")))).alias("speakers"))
 
 
 def fill(rows: DataFrame, by: list[str], order: list[str], column: str, back: bool = True) -> DataFrame:

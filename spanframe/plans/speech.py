@@ -17,7 +17,7 @@ from spanframe.plans.queries import CLIPS, PAIRS, WORDS, query
 from spanframe.sources import adapters as A
 from spanframe.sources import audio, sinks
 from spanframe.sources.files import write_files
-from spanframe.sources.shared import new_folder, once
+from spanframe.sources.shared import new_folder, once, once_by
 
 SPEECH = "speech AS (SELECT event_type AS file_id, (epoch_us(ts) // 1000000) % 2592000 AS start_ms, (epoch_us(ts) // 1000000) % 2592000 + CAST(round(value * 6) AS BIGINT) AS end_ms FROM events)"
 #: The samples of the sound made of vectors (adapters.sound_files), numbered within their file; and the levels of its frames of 32 samples.
@@ -242,7 +242,7 @@ def b8_review(spark, d):
 
 def _conversed(spark, d):
     """Turns of conversations as clips, what is said in them as a recogniser's answers."""
-    words = A.words(spark, d)
+    words = once_by(A.words(spark, d), "file_id", "spoken")
     turns = words.groupBy("file_id", F.col("turn").cast("bigint").alias("clip_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     none = F.lit(None).cast("double")
     clips = turns.select("*", none.alias("own_start"), none.alias("own_end"), (F.col("end_ms") - F.col("start_ms")).alias("speech_ms"), F.lit(False).alias("cut"), F.lit(None).cast("bigint").alias("parent"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -29,3 +31,22 @@ def once(df: DataFrame, tag: str = "kept") -> DataFrame:
     path = new_folder(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)  # two thirds of what texts take by default
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shares(spark: SparkSession) -> int:
+    """In how many parts rows are dealt that lie by a key from then on."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def once_by(df: DataFrame, key: str, tag: str = "kept") -> DataFrame:
+    """df computed once, as once() does, in buckets of a key: windows, groups and joins by it then send no rows.
+
+    Rows that lie by the key in shares() parts make a file a bucket; others make some more of them.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, tag)
+    name = posixpath.basename(path).replace("-", "_")
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(shares(spark), key).saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files are no table's own, so they stay
+    return kept.select(*[F.col(c).alias(c) for c in kept.columns])  # columns that bear the table's name lose their buckets in a union

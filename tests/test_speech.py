@@ -556,6 +556,25 @@ def test_written_outputs_are_those_of_each_format(spark):
         assert [c["start"] for c in doc["clips"]] == sorted(c["start"] for c in doc["clips"])
 
 
+def test_outputs_send_no_words_again(spark):
+    from spanframe.plans import speech
+    from spanframe.sources.shared import once
+
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where there are many names
+    try:
+        words, results = speech._conversed(spark, "/root/testdata/sf0.001")
+        plain, results = words.select("file_id", "pos", "speaker", "word", "start_ms", "end_ms"), once(results)
+        made = [sinks.outputs(plain, results, plain.drop("word"), S.speaker_names(words), f, with_review=False) for f in (("txt", "plain", "md", "csv", "rttm"), ("json",), ("srt", "vtt"))]
+        sent = [m._jdf.queryExecution().executedPlan().toString().count("Exchange ") for m in made]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    # The ids of files each time; results; words by stretch and cues by file.
+    assert sent == [1, 2, 3]
+
+
 def test_comparisons_are_shown_and_kept(spark):
     schema = "file_id string, place int, preset string, label string, text string, asr_sec double, wall_sec double, load_sec double, duration double, flags int, error string"
     rows = [("f", 0, "m", "M&", "明日は行かない。1つ<b>", 2.0, 9.0, 1.4, 61.0, 2, None), ("f", 1, "n", "N", "明日は行く。", None, 3.0, None, 60.0, None, None), ("f", 2, "o", "O<", None, None, None, None, None, None, "gone" * 100)]
