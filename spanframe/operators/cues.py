@@ -15,6 +15,8 @@ from spanframe.operators.intervals import islands
 from spanframe.operators.sequences import ENDS_CLAUSE, ENDS_LAST, cue_times, ends_sentence, rest_lengths
 
 
+#: Words of a file that one task takes at once.
+TOGETHER = 20_000
 #: What a cue is sent as when it is full.
 CUE = ["file_id", "pos", "start_ms", "end_ms", "speaker", "text"]
 
@@ -92,15 +94,17 @@ def make_cues(words: DataFrame, clean: Clean = PLAIN, rules: CueRules = CueRules
     """file_id, cue (from 1), start_ms, end_ms, speaker, text of the cues of a stream of words (file_id, pos, speaker, word, start_ms, end_ms).
 
     A gap or another speaker always ends a cue, so the stretches between are dealt to tasks and each
-    is streamed in order with no more state than the cue that is being filled. Empty texts go.
+    is streamed in order with no more state than the cue that is being filled. Files of TOGETHER words
+    at most are cut where their words lie, so that these aren't sent. Empty texts go.
     """
     w = Window.partitionBy("file_id").orderBy("pos")
     last = F.lead("pos").over(w).isNull()
     marked = rest_lengths(words, rules.gap_ms).withColumns({"ends": ends_sentence(F.col("word"), last), "lone": F.col("word").rlike(ENDS_LAST), "clause": F.col("word").rlike(ENDS_CLAUSE)})
     hard = F.lag("pos").over(w).isNull() | (F.col("start_ms") - F.lag("end_ms").over(w) >= rules.gap_ms) | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w))
     marked = islands(marked.withColumn("__b", hard), ["file_id"], ["pos"], F.col("__b"), "stretch")
-    rows = marked.select("file_id", "stretch", "pos", "speaker", "word", "start_ms", "end_ms", "ends", "lone", "clause", "rest")
-    rows = rows.repartition("file_id", "stretch").sortWithinPartitions("file_id", "stretch", "pos")
+    marked = marked.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy("file_id")))
+    part = lambda some: marked.where(some).select("file_id", "stretch", "pos", "speaker", "word", "start_ms", "end_ms", "ends", "lone", "clause", "rest")
+    rows = part(F.col("__all") > TOGETHER).repartition("file_id", "stretch").sortWithinPartitions("file_id", "stretch", "pos")
     kind = words.schema["file_id"].dataType.simpleString()
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,6 +127,10 @@ def make_cues(words: DataFrame, clean: Clean = PLAIN, rules: CueRules = CueRules
         if held:
             yield cue_rows(pd.concat(held), [at] * sum(map(len, held)))
 
-    each = rows.mapInPandas(numbered, f"file_id {kind}, pos long, start_ms long, end_ms long, speaker string, text string")
+    def whole(file: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(numbered(iter([file.sort_values("pos")])))
+
+    made = f"file_id {kind}, pos long, start_ms long, end_ms long, speaker string, text string"
+    each = rows.mapInPandas(numbered, made).unionByName(part(F.col("__all") <= TOGETHER).groupBy("file_id").applyInPandas(whole, made))
     each = each.withColumn("text", clean(F.col("text"))).where("text <> ''").withColumn("cue", F.row_number().over(w).cast("bigint"))
     return cue_times(each.select("file_id", "cue", "start_ms", "end_ms", "speaker", "text"), "cue", rules.tail_ms, rules.least_ms)

@@ -571,10 +571,26 @@ def test_outputs_send_no_words_again(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-    # The ids of files each time; results; words by stretch and cues by file.
+    # The ids of files each time; results; words of long files by stretch and cues by file.
     assert sent == [1, 2, 3]
 
 
+def test_cues_of_short_files_are_cut_where_their_words_lie(spark, monkeypatch):
+    from spanframe.plans.queries import QUERIES
+
+    f = QUERIES["f17_cues"]
+    few = f(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(Q, "TOGETHER", 200)
+    some = f(spark, "/root/testdata/sf0.001")
+    got, want = some.collect(), few.collect()
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    # Both ways occur: the words of files of more than 200 words are sent, others never.
+    n = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").selectExpr("conv_id", "size(regexp_extract_all(text, '\\\\S+', 0)) AS n").groupBy("conv_id").sum("n").collect()
+    assert min(r[1] for r in n) <= 200 < max(r[1] for r in n)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "MapInPandas" in plan.replace("FlatMapGroupsInPandas", "")
+
+
 def test_comparisons_are_shown_and_kept(spark):
     schema = "file_id string, place int, preset string, label string, text string, asr_sec double, wall_sec double, load_sec double, duration double, flags int, error string"
     rows = [("f", 0, "m", "M&", "明日は行かない。1つ<b>", 2.0, 9.0, 1.4, 61.0, 2, None), ("f", 1, "n", "N", "明日は行く。", None, 3.0, None, 60.0, None, None), ("f", 2, "o", "O<", None, None, None, None, None, None, "gone" * 100)]
