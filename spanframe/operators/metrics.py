@@ -118,9 +118,9 @@ def pieces(a: str, b: str) -> Iterator[tuple[tuple[str, str], str]]:
         done = x + n, y + n
 
 
-def diff_html(a: str, b: str, most: int = 20_000) -> str:
-    """Two texts as one: what is gone in del, what is new in ins, escaped. A display, of `most` characters of each."""
-    return "".join(f"{mark[0]}{html.escape(text)}{mark[1]}" for mark, text in pieces(a[:most], b[:most]) if text)
+def diff_html(a: str, b: str) -> str:
+    """Two texts as one: what is gone in del, what is new in ins, escaped."""
+    return "".join(f"{mark[0]}{html.escape(text)}{mark[1]}" for mark, text in pieces(a, b) if text)
 
 
 def differences(a: Column, b: Column) -> Column:

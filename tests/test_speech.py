@@ -826,3 +826,44 @@ def test_a_text_that_an_attempt_has_too_is_kept_once(spark, monkeypatch):
     got = retry.answers_once(df)
     assert got.columns == df.columns and sorted(got.collect(), key=lambda r: r.k) == df.collect()
     assert [a.text for a in kept[0].where("k = 1").first().attempts] == [None, "b", None]  # before, all were written again
+
+
+def test_differences_are_of_whole_texts(spark, tmp_path):
+    import html
+
+    from spanframe.plans.queries import QUERIES
+
+    rng = random.Random(41)
+    long_ = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(12_000)) + " the end of going"
+    spark.createDataFrame([(1, long_), (2, "sing the song"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.html for r in QUERIES["b13_differences"](spark, str(tmp_path)).collect()}
+    gone, new = (lambda x: html.unescape(re.sub("<ins[^>]*>.*?</ins>|<del[^>]*>|</del>", "", x, flags=re.S))), (lambda x: html.unescape(re.sub("<del[^>]*>.*?</del>|<ins[^>]*>|</ins>", "", x, flags=re.S)))
+    assert len(long_) > 60_000 and gone(got[1]) == long_ and new(got[1]) == long_.replace(" the end of going", " THE end goin'") and "<ins" in got[1][-200:]
+    assert gone(got[2]) == "sing the song" and got[3] == ""
+
+
+def test_blocks_of_long_parts_and_of_loops_need_no_automaton(monkeypatch):
+    from spanframe.functions import distance as D
+
+    rng = random.Random(43)
+    monkeypatch.setattr(D, "Substrings", None)
+    monkeypatch.setattr(D, "LONG_PART", 0)
+    for t in range(300):
+        a, b = ("".join(rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 60))) for _ in range(2))
+        if t % 2:
+            a, b = a * rng.randint(1, 4), b + a[rng.randint(0, 20) :]
+        monkeypatch.setattr(D, "MOST_MEETINGS", t % 3)
+        assert D.matching_blocks(a, b) == [tuple(x) for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
+    monkeypatch.undo()
+    plain = D.Substrings
+
+    class Short(plain):
+        def __init__(self, text):
+            assert len(text) <= D.LONG_PART
+            super().__init__(text)
+
+    monkeypatch.setattr(D, "Substrings", Short)
+    began, line = time.time(), "the people of a land sing again\n"
+    a, b = line * 2000, line.replace("sing", "sin'") * 2000
+    blocks = D.matching_blocks(a, b)
+    assert all(a[x : x + n] == b[y : y + n] for x, y, n in blocks) and sum(n for _, _, n in blocks) > 1999 * (len(line) - 1) and time.time() - began < 30
