@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from itertools import groupby
+from functools import partial, reduce
+from operator import methodcaller
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -72,14 +72,11 @@ def each_text(t: Column, work: Callable[[str], str]) -> Column:
 
 
 def apply_rules(t: Column, rules: list[Rule]) -> Column:
-    """The rules one after the other. Neighbouring patterns are applied together, by Python, whose syntax they are in."""
-    for pattern, some in groupby(rules, lambda r: r.pattern):
-        if pattern:
-            compiled = [(re.compile(r.source), r.target) for r in some]
-            t = each_text(t, lambda x, compiled=compiled: reduce(lambda y, rule: rule[0].sub(rule[1], y), compiled, x))
-        else:
-            t = reduce(lambda y, r: F.replace(y, F.lit(r.source), F.lit(r.target)), some, t)
-    return t
+    """The rules one after the other. If one is a pattern, all are applied by Python, whose syntax patterns are in: texts then go there only once."""
+    if not any(r.pattern for r in rules):
+        return reduce(lambda y, r: F.replace(y, F.lit(r.source), F.lit(r.target)), rules, t)
+    each = [partial(re.compile(r.source).sub, r.target) if r.pattern else methodcaller("replace", r.source, r.target) for r in rules]
+    return each_text(t, lambda x: reduce(lambda y, change: change(y), each, x))
 
 
 def filler(words: list[str]) -> str:

@@ -17,7 +17,7 @@ from spanframe.plans.queries import CLIPS, PAIRS, WORDS, query
 from spanframe.sources import adapters as A
 from spanframe.sources import audio, sinks
 from spanframe.sources.files import write_files
-from spanframe.sources.shared import new_folder, once, once_by
+from spanframe.sources.shared import BATCH_BYTES, new_folder, once, once_by
 
 SPEECH = "speech AS (SELECT event_type AS file_id, (epoch_us(ts) // 1000000) % 2592000 AS start_ms, (epoch_us(ts) // 1000000) % 2592000 + CAST(round(value * 6) AS BIGINT) AS end_ms FROM events)"
 #: The samples of the sound made of vectors (adapters.sound_files), numbered within their file; and the levels of its frames of 32 samples.
@@ -325,7 +325,8 @@ def i31_dropped_utterances(spark, d):
 
 @query()
 def b13_differences(spark, d):
-    """Documents beside themselves cleaned: what rules and fillers have changed."""
+    """Documents beside themselves cleaned: what rules and fillers have changed. The session's Arrow batches are bounded by bytes from then on."""
+    spark.conf.set(BATCH_BYTES, "1MB")
     clean = R.Clean(tuple(RULES), ("the", "of", "and"))
     # Comparing texts takes far longer than sending them.
     docs = A.table(spark, d, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism)

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bounds Arrow batches by bytes, as the default counts rows and texts may be long.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own: dict[str, str] = {}
 
 

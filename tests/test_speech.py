@@ -867,3 +867,33 @@ def test_blocks_of_long_parts_and_of_loops_need_no_automaton(monkeypatch):
     a, b = line * 2000, line.replace("sing", "sin'") * 2000
     blocks = D.matching_blocks(a, b)
     assert all(a[x : x + n] == b[y : y + n] for x, y, n in blocks) and sum(n for _, _, n in blocks) > 1999 * (len(line) - 1) and time.time() - began < 30
+
+
+def test_long_texts_that_meet_often_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    from spanframe.functions import distance as D
+
+    rng = random.Random(47)
+    a = "".join(rng.choice("abcdefghij ") for _ in range(6000)) * 10
+    b = a.replace("ab", "")
+    tracemalloc.start()
+    runs = D.shared_runs(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(runs[0]) > 1000 and most < 18 << 20
+    monkeypatch.setattr(D, "MET_AT_ONCE", 1000)
+    assert all((u == v).all() for u, v in zip(runs, D.shared_runs(a, b)))
+    for short in ("abcabcabcabc", ""):
+        assert sorted(zip(*[x.tolist() for x in D.shared_runs(short, short)])) == [(i, j, 12 - max(i, j)) for i in range(5) for j in range(5) if not (i and j) and (i - j) % 3 == 0 and short]
+
+
+def test_rules_with_patterns_go_to_python_once(spark):
+    def plan(rules, fillers=()):
+        x = spark.range(1).select(R.Clean(tuple(R.parse_rules(rules)), tuple(fillers))(F.col("id").cast("string")))
+        return x._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+    assert plan("a => b\nre:c => d\ne => \\f\nre:g => h", ["x"]) == 1 and plan("a => b\ne => f") == 0
+    rows = [("the a.b c\\1",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(R.apply_rules(F.col("t"), R.parse_rules("a.b => \\1x\nre:(t)he => \\1\nc\\1 => $1"))).collect()
+    assert [r[0] for r in got] == ["t \\1x $1", "", None]
