@@ -16,7 +16,7 @@ from spanframe.operators import words as W
 from spanframe.plans.queries import CLIPS, PAIRS, WORDS, query
 from spanframe.sources import adapters as A
 from spanframe.sources import audio, sinks
-from spanframe.sources.files import write_files
+from spanframe.sources.files import read_files, write_files
 from spanframe.sources.shared import BATCH_BYTES, new_folder, once, once_by
 
 SPEECH = "speech AS (SELECT event_type AS file_id, (epoch_us(ts) // 1000000) % 2592000 AS start_ms, (epoch_us(ts) // 1000000) % 2592000 + CAST(round(value * 6) AS BIGINT) AS end_ms FROM events)"
@@ -264,10 +264,9 @@ def b9_outputs(spark, d):
     words, results = _conversed(spark, d)
     plain = words.select("file_id", "pos", "speaker", "word", "start_ms", "end_ms")
     made = sinks.outputs(plain, results, plain.drop("word"), S.speaker_names(words), ("txt", "plain", "srt", "vtt", "csv", "md", "json", "rttm"), meta={"version": "1"})
-    folder = new_folder(spark, "outputs")
-    write_files(made, folder)
-    read = spark.read.format("binaryFile").load(folder)
-    return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("content"))
+    folder, lists = new_folder(spark, "outputs"), new_folder(spark, "lists")
+    write_files(made, folder, lists=lists)
+    return read_files(spark, folder, lists).select("name", F.decode("content", "UTF-8").alias("content"))
 
 
 def _compared(spark, d):

@@ -1,11 +1,13 @@
 """Tables written as files: all or none."""
 
 import os
+import pickle
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanframe.sources.files import checked, write_files
+from spanframe.sources.files import FilesReader, FilesWriter, checked, read_files, twice, write_files
 
 
 def tree(folder):
@@ -50,3 +52,30 @@ def test_names_stay_below_the_folder():
     for name in ("", None, ".", "..", "../a", "/a", "a/../.."):
         with pytest.raises(ValueError):
             checked(name)
+
+
+def test_written_files_are_read_by_lists(spark, tmp_path):
+    rows = [(f"a/{i}\n.txt", "é" * 400_000 if i % 9 == 0 else f"text {i}") for i in range(40)] + [("gone", None), ("empty", "")]
+    folder, lists = f"file://{tmp_path}/out", f"file://{tmp_path}/lists"
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "other").write_text("not of this job")
+    write_files(spark.createDataFrame(rows, "name string, content string").repartition(7), folder, lists=lists)
+    assert {r.name: bytes(r.content).decode() for r in read_files(spark, folder, lists).collect()} == {n: t for n, t in rows if t is not None}
+    assert sorted(os.listdir(tmp_path / "out")) == ["a", "empty", "other"] and 0 < len(os.listdir(tmp_path / "lists")) <= 7
+    write_files(spark.createDataFrame(rows[:0], "name string, content string"), folder, lists=f"file://{tmp_path}/none")
+    assert read_files(spark, folder, f"file://{tmp_path}/none").collect() == []
+
+
+def test_the_driver_holds_no_list_of_files(spark, tmp_path):
+    """Names are in lists that tasks write, and reading is planned by them, not by files."""
+    writer, n = FilesWriter(str(tmp_path / "out"), str(tmp_path / "lists")), 3000
+    said = [writer.write(iter([pa.record_batch([[f"{t}-{i}.txt" for i in range(n)], ["x"] * n], ["name", "content"])])) for t in range(2)]
+    assert all(len(pickle.dumps(m)) < 500 for m in said)
+    writer.commit([*said, None])
+    parts = FilesReader(str(tmp_path / "out"), str(tmp_path / "lists")).partitions()
+    assert len(parts) == 2 and len(pickle.dumps(parts)) < 1000 and len(os.listdir(tmp_path / "out")) == 2 * n
+
+
+def test_names_that_come_twice_are_found():
+    assert twice(lambda: iter(["a", "b", "a"])) == "a" and twice(lambda: iter([])) is None and twice(lambda: iter("abc")) is None
+    assert twice(lambda: (str(i) for i in range(1000))) is None
