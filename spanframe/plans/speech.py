@@ -17,7 +17,7 @@ from spanframe.plans.queries import CLIPS, PAIRS, WORDS, query
 from spanframe.sources import adapters as A
 from spanframe.sources import audio, sinks
 from spanframe.sources.files import read_files, write_files
-from spanframe.sources.shared import BATCH_BYTES, new_folder, once, once_by
+from spanframe.sources.shared import BATCH_BYTES, new_folder, once, once_by, short_plans
 
 SPEECH = "speech AS (SELECT event_type AS file_id, (epoch_us(ts) // 1000000) % 2592000 AS start_ms, (epoch_us(ts) // 1000000) % 2592000 + CAST(round(value * 6) AS BIGINT) AS end_ms FROM events)"
 #: The samples of the sound made of vectors (adapters.sound_files), numbered within their file; and the levels of its frames of 32 samples.
@@ -261,11 +261,12 @@ def b5_json(spark, d):
 @query()
 def b9_outputs(spark, d):
     """All formats of all conversations, written as files, all or none, and read again."""
-    words, results = _conversed(spark, d)
-    plain = words.select("file_id", "pos", "speaker", "word", "start_ms", "end_ms")
-    made = sinks.outputs(plain, results, plain.drop("word"), S.speaker_names(words), ("txt", "plain", "srt", "vtt", "csv", "md", "json", "rttm"), meta={"version": "1"})
-    folder, lists = new_folder(spark, "outputs"), new_folder(spark, "lists")
-    write_files(made, folder, lists=lists)
+    with short_plans(spark):
+        words, results = _conversed(spark, d)
+        plain = words.select("file_id", "pos", "speaker", "word", "start_ms", "end_ms")
+        made = sinks.outputs(plain, results, plain.drop("word"), S.speaker_names(words), ("txt", "plain", "srt", "vtt", "csv", "md", "json", "rttm"), meta={"version": "1"})
+        folder, lists = new_folder(spark, "outputs"), new_folder(spark, "lists")
+        write_files(made, folder, lists=lists)
     return read_files(spark, folder, lists).select("name", F.decode("content", "UTF-8").alias("content"))
 
 

@@ -6,6 +6,8 @@ import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,18 @@ def once(df: DataFrame, tag: str = "kept") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_plans(spark: SparkSession, most: str = "20000") -> Iterator[None]:
+    """Bounds what the driver tells its listeners of a plan, as it tells all of it again after each stage."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shares(spark: SparkSession) -> int:
     """In how many parts rows are dealt that lie by a key from then on."""
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

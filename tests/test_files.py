@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanframe.sources.files import FilesReader, FilesWriter, checked, read_files, twice, write_files
+from spanframe.sources.shared import short_plans
 
 
 def tree(folder):
@@ -79,3 +80,12 @@ def test_the_driver_holds_no_list_of_files(spark, tmp_path):
 def test_names_that_come_twice_are_found():
     assert twice(lambda: iter(["a", "b", "a"])) == "a" and twice(lambda: iter([])) is None and twice(lambda: iter("abc")) is None
     assert twice(lambda: (str(i) for i in range(1000))) is None
+
+
+def test_descriptions_of_plans_are_bounded_for_a_while(spark):
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), short_plans(spark, "500"):
+        assert spark.conf.get(key) == "500"
+        raise KeyError
+    assert spark.conf.get(key) == before
